@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, ship, texts_of
 
 #: Words in the broadcast table.
-TABLE = 400_000
+TABLE = 250_000
 #: Distinct words held in a task, before they are handed on or forgotten.
 HELD = 400_000
 #: The split of byte-level pre-tokenizers in terms of the re module; where a character's class differs
@@ -135,7 +135,8 @@ def word_table(words: DataFrame, source: str, odd: str, most: int = TABLE) -> di
             got = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.string()), pa.array([split.encode(w) for w in got], pa.binary())], ["word", "ids"])
 
-    return {r["word"]: bytes(r["ids"]) for r in top.mapInArrow(run, "word string, ids binary").collect()}
+    got = top.mapInArrow(run, "word string, ids binary").toArrow()
+    return dict(zip(got.column("word").to_pylist(), got.column("ids").to_pylist(), strict=True))
 
 
 def pieces_of(source: str) -> list[bytes]:

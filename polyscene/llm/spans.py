@@ -47,11 +47,12 @@ def matches(text: Column, pattern: str, needs: Column | None = None) -> Column:
 
 def kinds_of(found: dict[str, Column], order: list[str]) -> Column:
     """One array of start, rank, end, kind, in order of start, then of kind as listed."""
-    parts = []
-    for k, c in found.items():
-        rank = order.index(k)
-        parts.append(F.transform(c, lambda x, k=k, rank=rank: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(k).alias("kind"))))
-    return F.array_sort(F.concat(*parts))
+
+    def ranked(kind: str, column: Column) -> Column:
+        rank = order.index(kind)
+        return F.transform(column, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    return F.array_sort(F.concat(*[ranked(k, c) for k, c in found.items()]))
 
 
 def listed(spans: Column) -> Column:
