@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic rows are the positives; rows of the training fold, whatever their
-label, are the unlabelled set. A linear model on word presence minimises
+label, are the unlabelled set. A linear model on the presence of words minimises
 
     prior * R_pos(+) + max(0, R_unl(-) - prior * R_pos(-))
 
@@ -11,8 +11,9 @@ toxic rows among all labelled rows of the training fold. Scores are then scaled
 to probabilities on labelled training rows.
 
 Only the samples reach the driver: at most POSITIVES, UNLABELLED and LABELLED rows,
-drawn by a hash of doc_id. Features are the words whose rate differs between
-positives and unlabelled rows.
+drawn by a hash of doc_id. Features are words and word beginnings, each that stands
+once, twice or four times in a text; Spark counts them over the samples and keeps those
+that positives hold more often than unlabelled rows.
 
 Defined results: null and empty texts have no words and get the score of no words;
 several labels of a document count as toxic if one is; without a toxic training row
@@ -22,61 +23,104 @@ all scores are 0. A null doc_id counts as a training row without a label.
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, held_out, map_texts, ship, texts_of
+from .common import WORD_TABLE, held_out, map_texts, ship, stored, texts_of
 
 POSITIVES, UNLABELLED, LABELLED = 3000, 6000, 6000
-#: Words that the model may weigh, and the least z-score of one.
+#: Features that the model may weigh, and the least z-score of one.
 FEATURES, LEAST_Z = 512, 3.5
+#: Lengths of word beginnings, in characters, and the counts that make features of their own.
+BEGINNINGS, COUNTS = range(4, 9), (1, 2, 4)
+#: Features held in a counting task before they are handed on.
+HELD = 500_000
 STEPS, RATE, RIDGE = 400, 0.05, 1e-3
 THRESHOLD = 0.3
 
 
-def words_of(text: bytes | None) -> set[bytes]:
-    return set(text.translate(WORD_TABLE).split()) if text else set()
+def forms(word: bytes) -> tuple[str, ...]:
+    """The word, and its beginnings marked as such."""
+    w = word.decode()
+    return (w, *(w[:n] + "-" for n in BEGINNINGS if n <= len(w)))
+
+
+def words_of(text: bytes | None) -> Counter:
+    return Counter(text.translate(WORD_TABLE).split()) if text else Counter()
+
+
+def features(text: bytes | None, shape=forms) -> list[str]:
+    """Forms that stand once, twice or four times in a text, as form#count."""
+    n: Counter = Counter()
+    for w, c in words_of(text).items():
+        for f in shape(w):
+            n[f] += c
+    return [f"{f}#{k}" for f, c in n.items() for k in COUNTS if c >= k]
 
 
 def _picked(rows: DataFrame, n: int, kind: int) -> DataFrame:
     return rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).withColumn("kind", F.lit(kind))
 
 
-def samples(docs: DataFrame, labels: DataFrame, label: str) -> tuple[float, dict[int, list[frozenset[bytes]]]]:
-    """The class prior, and the word sets of rows: 0 unlabelled, 1 toxic, 2 labelled clean."""
-    ship(docs.sparkSession)
+def samples(docs: DataFrame, labels: DataFrame, label: str) -> tuple[float, DataFrame | None]:
+    """The class prior, and stored texts with their kinds: 0 unlabelled, 1 toxic, 2 labelled clean."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     n, pos = known.agg(F.count("*"), F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0))).first()
-    out: dict[int, list] = {0: [], 1: [], 2: []}
     if not pos:
-        return 0.0, out
+        return 0.0, None
     train = docs.filter(F.col("doc_id").isNotNull() & ~held_out())
     ids = _picked(train, UNLABELLED, 0).union(_picked(known.filter("y = 1"), POSITIVES, 1)).union(_picked(known.filter("y <> 1"), LABELLED, 2))
-    ids = ids.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))  # bounded by the three limits
+    ids = ids.groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))  # bounded by the three limits
+    rows = train.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    return pos / n, stored(rows.select("kinds", "text"), "sample")
 
-    def run(batches):
-        for b in batches:
-            sets = [b" ".join(sorted(words_of(t))) for t in texts_of(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["kinds", "words"])
 
-    rows = train.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    for r in rows.select("kinds", "text").mapInArrow(run, "kinds array<int>, words binary").collect():
-        w = bytes(r["words"]).split()
-        for k in r["kinds"]:
-            out[k].append(w)
-    return pos / n, out
+def _counted(batches):
+    seen: dict[str, list[int]] = {}
+
+    def out():
+        rows = list(seen)
+        cols = [pa.array(rows, pa.string()), *(pa.array([seen[f][i] for f in rows], pa.int64()) for i in (0, 1))]
+        seen.clear()
+        return pa.RecordBatch.from_arrays(cols, ["feature", "u", "p"])
 
+    for batch in batches:
+        for kinds, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+            own = [k for k in kinds if k < 2]
+            for f in features(t) if own else ():
+                n = seen.setdefault(f, [0, 0])
+                for k in own:
+                    n[k] += 1
+            if len(seen) > HELD:
+                yield out()
+    yield out()
 
-def _matrix(rows: list, index: dict[bytes, int]) -> np.ndarray:
-    x = np.zeros((len(rows), len(index) + 1), np.float32)
+
+def chosen(rows: DataFrame, n: int, k: int) -> list[str]:
+    """Features that n positives hold more often than k unlabelled rows, the surest first."""
+    sums = rows.mapInArrow(_counted, "feature string, u bigint, p bigint").groupBy("feature").agg(F.sum("u").alias("u"), F.sum("p").alias("p"))
+    a, b, both = F.col("p") / n, F.col("u") / k, (F.col("p") + F.col("u")) / (n + k)
+    z = (a - b) / F.sqrt(both * (1 - both) * (1 / n + 1 / k) + 1e-12)
+    top = sums.filter("p >= 3").withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(FEATURES)
+    return [r["feature"] for r in top.select("feature").collect()]
+
+
+def _selected(index: dict[str, int]):
+    """A function from texts to the numbers of the chosen features in them."""
+    stems = {f.rpartition("#")[0] for f in index}
+    shape = lru_cache(1 << 17)(lambda w: tuple(f for f in forms(w) if f in stems))
+    return lambda t: [index[f] for f in features(t, shape) if f in index]
+
+
+def _matrix(rows: list[list[int]], width: int) -> np.ndarray:
+    x = np.zeros((len(rows), width + 1), np.float32)
     x[:, -1] = 1
-    for i, ws in enumerate(rows):
-        for w in ws:
-            if (j := index.get(w)) is not None:
-                x[i, j] = 1
+    for i, own in enumerate(rows):
+        x[i, own] = 1
     return x
 
 
@@ -96,7 +140,8 @@ def nnpu(p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
     ridge = np.full(len(w), RIDGE)
     ridge[-1] = 0
     for t in range(1, STEPS + 1):
-        gp, gu = p @ w, u @ w
+        now = w.astype(np.float32)
+        gp, gu = p @ now, u @ now
         clean = _soft(gu).mean() - prior * _soft(gp).mean()
         d_clean = u.T @ _sigmoid(gu) / len(u) - prior * (p.T @ _sigmoid(gp)) / len(p)
         d_toxic = -prior * (p.T @ _sigmoid(-gp)) / len(p)
@@ -119,41 +164,48 @@ def calibrate(g: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return a, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[dict[bytes, float], float] | None:
-    """Weights by word and the bias, scaled to log odds; None without a toxic training row."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[dict[str, float], float] | None:
+    """Weights by feature and the bias, scaled to log odds; None without a toxic training row."""
+    ship(docs.sparkSession)
     prior, rows = samples(docs, labels, label)
-    if not rows[1]:
+    if rows is None:
+        return None
+    n, k = (rows.filter(F.array_contains("kinds", i)).count() for i in (1, 0))
+    if not n:
         return None
-    pos, unl = Counter(w for r in rows[1] for w in r), Counter(w for r in rows[0] for w in r)
-    n, k = len(rows[1]), max(1, len(rows[0]))
-    ranked = []
-    for w, c in pos.items():
-        a, b = c / n, unl[w] / k
-        both = (c + unl[w]) / (n + k)
-        z = (a - b) / np.sqrt(both * (1 - both) * (1 / n + 1 / k) + 1e-12)
-        if z >= LEAST_Z:
-            ranked.append((-z, w))
-    index = {w: j for j, (_, w) in enumerate(sorted(ranked)[:FEATURES])}
-    p, u, clean = _matrix(rows[1], index), _matrix(rows[0] or rows[1], index), _matrix(rows[2], index)
-    w = nnpu(p, u, min(max(prior, 1e-6), 1 - 1e-6))
+    index = {f: j for j, f in enumerate(chosen(rows, n, max(1, k)))}
+
+    def run(batches):
+        own = _selected(index)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own(t) for t in texts_of(b.column(1))], pa.list_(pa.int32()))], ["kinds", "own"])
+
+    by: dict[int, list] = {0: [], 1: [], 2: []}
+    for r in rows.mapInArrow(run, "kinds array<int>, own array<int>").collect():  # a row a sampled text
+        for kind in r["kinds"]:
+            by[kind].append(list(r["own"]))
+    for own in by.values():
+        own.sort()
+    p, u, clean = (_matrix(by[i], len(index)) for i in (1, 0, 2))
+    w = nnpu(p, u if len(u) else p, min(max(prior, 1e-6), 1 - 1e-6))
     a, b = 1.0, 0.0
     if len(clean):
         g, y = np.concatenate([p @ w, clean @ w]), np.concatenate([np.ones(len(p)), np.zeros(len(clean))])
         a, b = calibrate(g, y, np.concatenate([np.full(len(p), prior / len(p)), np.full(len(clean), (1 - prior) / len(clean))]))
-    return {x: float(a * w[j]) for x, j in index.items()}, float(a * w[-1] + b)
+    return {f: float(a * w[j]) for f, j in index.items()}, float(a * w[-1] + b)
 
 
-def score(docs: DataFrame, model: tuple[dict[bytes, float], float] | None, keep: dict[str, Column], text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[dict[str, float], float] | None, keep: dict[str, Column], text: str = "text") -> DataFrame:
     """Columns `keep`, then score and predicted."""
 
     def make():
         if model is None:
             return lambda texts: [[0.0] * len(texts), [0] * len(texts)]
-        weights, bias = model
-        known = weights.keys()
+        weights, bias = np.array([*model[0].values()]), model[1]
+        own = _selected({f: j for j, f in enumerate(model[0])})
 
         def work(texts):
-            g = [bias + sum(weights[w] for w in sorted(known & words_of(t))) for t in texts]
+            g = [bias + float(weights[sorted(own(t))].sum()) for t in texts]
             s = _sigmoid(np.array(g, np.float64))
             return [s.tolist(), (s >= THRESHOLD).astype(int).tolist()]
 
