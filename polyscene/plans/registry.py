@@ -1,10 +1,629 @@
-"""The registered queries of the evidence engine and their SQL."""
+"""The registered queries of the evidence engine and their SQL.
+
+Every query runs over whole tables and whole texts. Doubles are rounded to six places
+and arrays joined to strings on both sides, so that results compare.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dims, text
+from ..operators import align, narrative, reports, resume, segments, selection, support
+from ..operators import evidence as ev
+from . import adapters as ad
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+EV, PAIRS, QA, TRACES, RECORDINGS = ad.EVIDENCE, f"{ad.EVIDENCE}, {ad.PAIRS}", ad.QUESTIONS, ad.TRACES, ad.RECORDINGS
+TOKENS, CLEAN, JACCARD = ad.TOKENS, ad.CLEAN, ad.JACCARD
+LAGS = 24
+#: Traces are hourly; priors count seconds, so hours stand for seconds here.
+REFERENCE = "view"
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def six(c) -> F.Column:
+    return F.round(c, 6)
+
+
+def case(column: str, table: dict, default: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + f" ELSE {default} END"
+
+
+# --- evidence ---------------------------------------------------------------
+
+
+@query(f"WITH {EV} SELECT evidence_id, sample_id, modality, category, length(caption) AS caption_chars, len(tokens) AS n_tokens, md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM tok")
+def evidence_explode(spark, d):
+    rows = ad.with_tokens(ad.evidence(spark, d))
+    return rows.select("evidence_id", "sample_id", "modality", "category", F.length("caption").cast("long").alias("caption_chars"), F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
+_RAW = "concat('dataset\\', source, '_split\\Day_', lang, '-', doc_id % 7, CASE doc_id % 3 WHEN 0 THEN '_night_' WHEN 1 THEN '_day_' ELSE '_' END, ['rgb','ir','event','audio','depth'][doc_id % 5 + 1], CASE WHEN doc_id % 2 = 0 THEN '.mp4' ELSE '' END)"
+_STEM = "lower(regexp_replace(base, '\\.[^.]*$', ''))"
+
+
+@query(
+    f"WITH k AS (SELECT doc_id, {_RAW} AS raw FROM documents), b AS (SELECT *, split_part(replace(raw, '\\', '/'), '/', -1) AS base FROM k), "
+    f"s1 AS (SELECT *, regexp_replace(regexp_replace({_STEM}, '_(rgb|ir|event|depth|audio)$', ''), '^(rgb|ir|event|depth|audio)_', '') AS st FROM b), "
+    "s2 AS (SELECT *, regexp_replace(regexp_replace(st, '_(night|day)$', ''), '^(night|day)_', '') AS st2 FROM s1), "
+    "s3 AS (SELECT *, trim(regexp_replace(replace(regexp_replace(st2, '_(night|day)_(rgb|ir|event|depth|audio)$', ''), '-', '_'), '_+', '_', 'g'), '_') AS st3 FROM s2), "
+    f"p AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace({_STEM}, '_night|_day', '', 'g'), 'night|day', '', 'g'), '__+', '_', 'g'), '_') AS pst FROM s3) "
+    "SELECT doc_id, st3 AS fusion_key, regexp_replace(base, '_(rgb|ir|event|depth|audio)$', '') AS reasoning_key, regexp_extract(replace(raw, '\\', '/'), '^(.*)/[^/]*$', 1) || '/' || pst AS pair_key FROM p"
+)
+def normalize_key(spark, d):
+    docs, one = ad.table(spark, d, "documents"), F.col("doc_id")
+    side = F.when(one % 3 == 0, "_night_").when(one % 3 == 1, "_day_").otherwise("_")
+    raw = F.concat(F.lit("dataset\\"), "source", F.lit("_split\\Day_"), "lang", F.lit("-"), (one % 7).cast("string"), side, F.element_at(F.array(*map(F.lit, dims.FUSION_ORDER)), (one % 5 + 1).cast("int")), F.when(one % 2 == 0, ".mp4").otherwise(""))
+    return docs.select("doc_id", raw.alias("raw")).select("doc_id", text.fusion_key(F.col("raw")).alias("fusion_key"), text.reasoning_key(F.col("raw")).alias("reasoning_key"), text.pair_key(F.col("raw")).alias("pair_key"))
+
+
+_NIGHT = " ".join(f"WHEN night AND modality = '{m}' THEN {c}::DOUBLE" for m, c in dims.NIGHT_CONFIDENCE.items())
+
+
+@query(
+    f"WITH {EV}, n AS (SELECT *, evidence_id % 3 = 0 AS night FROM evidence) SELECT evidence_id, (CASE WHEN modality = 'depth' AND regexp_matches(lower(caption), '{'|'.join(dims.UNCERTAIN_PHRASES)}') THEN 0.35::DOUBLE "
+    f"{_NIGHT} ELSE {case('modality', {m: f'{c}::DOUBLE' for m, c in dims.CONFIDENCE.items()}, '0.5::DOUBLE')} END) AS confidence FROM n"
+)
+def confidence_rules(spark, d):
+    where = F.when(F.col("evidence_id") % 3 == 0, F.lit("clip_Night_3")).otherwise("clip_3")
+    return ad.evidence(spark, d).select("evidence_id", ev.confidence(F.col("modality"), where, F.col("caption")).alias("confidence"))
+
+
+@query(f"WITH {EV} SELECT t AS token, count(*) AS n_rows, count(DISTINCT modality) AS n_modalities FROM (SELECT modality, unnest(tokens) AS t FROM tok) GROUP BY 1")
+def tokenize(spark, d):
+    rows = ad.with_tokens(ad.evidence(spark, d)).select("modality", F.explode("tokens").alias("token"))
+    return rows.groupBy("token").agg(F.count("*").alias("n_rows"), F.countDistinct("modality").alias("n_modalities"))
+
+
+@query("WITH s AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY conv_id, turn) AS n FROM (SELECT c.*, 'x' AS lang FROM conversations c)), k AS (SELECT conv_id, turn, role, 'audio_' || CASE WHEN trim(regexp_replace(lower(trim(role || ' ' || conv_id % 3 || '!')), '[^a-z0-9]+', '_', 'g'), '_') = '' THEN 'qa_pair' ELSE trim(regexp_replace(lower(trim(role || ' ' || conv_id % 3 || '!')), '[^a-z0-9]+', '_', 'g'), '_') END AS slug FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, slug ORDER BY turn) AS n FROM k) SELECT conv_id, turn, CASE WHEN n > 1 THEN slug || '_' || n ELSE slug END AS section FROM r")
+def audio_sections(spark, d):
+    rows = ad.table(spark, d, "conversations").withColumn("kind", F.concat("role", F.lit(" "), (F.col("conv_id") % 3).cast("string"), F.lit("!")))
+    return ev.numbered_sections(rows, ["conv_id"], "kind", ["turn"]).select("conv_id", "turn", "section")
+
+
+@query(f"WITH {EV}, k AS (SELECT sample_id, modality, min(evidence_id) AS key FROM evidence GROUP BY 1, 2), r AS (SELECT *, {case('modality', {m: i for i, m in enumerate(dims.REASONING_ORDER)}, '99')} AS rank FROM k), u AS (SELECT sample_id, count(*) AS n_units FROM evidence WHERE caption <> '' GROUP BY 1) SELECT r.sample_id, string_agg(modality || '=' || key, ',' ORDER BY rank) AS source_keys, any_value(coalesce(n_units, 0)) AS n_units FROM r LEFT JOIN u USING (sample_id) GROUP BY 1")
+def sample_merge(spark, d):
+    units = ad.evidence(spark, d).select("sample_id", "modality", F.col("evidence_id").alias("raw_key"), F.col("category").alias("section"), "caption", F.col("evidence_id").alias("ord"))
+    keys = F.array_join(F.transform(F.map_entries("source_keys"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return ev.merged_samples(units).select("sample_id", keys.alias("source_keys"), F.size("units").cast("long").alias("n_units"))
+
+
+# --- support ----------------------------------------------------------------
+
+
+@query(f"WITH {PAIRS} SELECT sample_id, modality, other_modality, count(*) AS n_pairs, round(max(score), 6) AS best, round(avg(score), 6) AS mean FROM pairs GROUP BY 1, 2, 3")
+def jaccard_pairs(spark, d):
+    p = support.pairs(ad.with_tokens(ad.evidence(spark, d)))
+    return p.groupBy("sample_id", "modality", "other_modality").agg(F.count("*").alias("n_pairs"), six(F.max("score")).alias("best"), six(F.avg("score")).alias("mean"))
+
+
+@query(f"WITH {PAIRS} SELECT evidence_id, other_modality, other_evidence_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id, other_modality ORDER BY score DESC, other_evidence_id) AS n FROM pairs WHERE score > 0) WHERE n = 1")
+def best_match(spark, d):
+    p = support.pairs(ad.with_tokens(ad.evidence(spark, d)))
+    return support.best_match(p).select("evidence_id", "other_modality", "other_evidence_id", six("score").alias("score"))
+
+
+_WORDS = "words AS (SELECT sample_id, modality, list_distinct(flatten(list(tokens))) AS w FROM tok GROUP BY 1, 2), anchors AS (SELECT sample_id, list(t) AS a FROM (SELECT sample_id, t FROM (SELECT sample_id, modality, unnest(tokens) AS t FROM tok) GROUP BY 1, 2 HAVING count(DISTINCT modality) >= 2) GROUP BY 1), over_ AS (SELECT a.sample_id, a.modality, coalesce(avg(CASE WHEN len(b.w) > 0 THEN " + JACCARD.format("a.w", "b.w") + " END), 0.0) AS o FROM words a JOIN words b ON a.sample_id = b.sample_id AND a.modality <> b.modality GROUP BY 1, 2), rel AS (SELECT w.sample_id, w.modality, CASE WHEN o IS NULL THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.15::DOUBLE + o * 2.5::DOUBLE + (CASE WHEN a IS NULL THEN 1.0::DOUBLE ELSE len(list_intersect(w.w, a))::DOUBLE / len(a) END) * 1.3::DOUBLE)) END AS reliability FROM words w LEFT JOIN over_ USING (sample_id, modality) LEFT JOIN anchors USING (sample_id))"
+
+
+@query(f"WITH {EV}, {_WORDS} SELECT sample_id, modality, round(reliability, 6) AS reliability FROM rel")
+def anchor_reliability(spark, d):
+    return support.reliability(ad.with_tokens(ad.evidence(spark, d))).select("sample_id", "modality", six("reliability").alias("reliability"))
+
+
+_CAT = "cat(category, gate, profile, lexical_weight, needs_lexical, section, sections) AS (VALUES " + ", ".join(f"('{c}', '{r[0]}', '{r[1]}', {r[2]}::DOUBLE, {str(r[3]).lower()}, '{r[4].split()[0]}', {ad.quoted(r[4].split())})" for c, r in sorted(dims.CATEGORIES.items())) + ")"
+_PROF = "prof(profile, modality, weight, direct, complementary) AS (VALUES " + ", ".join(f"('{p}', '{m}', {x}::DOUBLE, {str(m in dims.PROFILE_SUPPORT[p][0].split()).lower()}, {str(m in dims.PROFILE_SUPPORT[p][1].split()).lower()})" for p, w in dims.PROFILE_WEIGHTS.items() for m, x in zip(dims.FUSION_ORDER, w, strict=True)) + ")"
+_RANK = case("other_modality", dims.DISPLAY_ORDER, "99")
+
+
+def _listed(relation: str, least: float) -> str:
+    return f"coalesce(string_agg(other_modality, ',' ORDER BY score DESC, {_RANK}, other_modality) FILTER (WHERE relation = '{relation}' AND score >= {least}), '')"
+
+
+_RELATED = (
+    f"{_CAT}, {_PROF}, bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id, other_modality ORDER BY score DESC, other_evidence_id) AS n FROM pairs WHERE score > 0) WHERE n = 1), "
+    "related AS (SELECT bm.sample_id, bm.evidence_id, bm.modality, bm.other_modality, round(bm.score, 3) AS score, CASE WHEN direct THEN 'direct_support' WHEN complementary THEN 'complementary_support' ELSE 'weak_or_irrelevant' END AS relation FROM bm JOIN evidence e ON e.evidence_id = bm.evidence_id JOIN cat ON cat.category = e.category JOIN prof ON prof.profile = cat.profile AND prof.modality = bm.other_modality), "
+    "lex AS (SELECT evidence_id, max(score) AS lexical FROM pairs GROUP BY 1), "
+    f"sup AS (SELECT evidence_id, greatest(coalesce(max(score) FILTER (WHERE relation = 'direct_support'), 0.0::DOUBLE), 0.5::DOUBLE * coalesce(max(score) FILTER (WHERE relation = 'complementary_support'), 0.0::DOUBLE)) AS support, {_listed('direct_support', dims.SUPPORTING)} AS supporting, {_listed('complementary_support', dims.SUPPORTING)} AS complementary, {_listed('weak_or_irrelevant', dims.MIN_SUPPORT)} AS weak FROM related GROUP BY 1), "
+    "supported AS (SELECT e.sample_id, e.evidence_id, e.modality, e.category, coalesce(lexical, 0.0::DOUBLE) AS lexical_score, coalesce(support, 0.0::DOUBLE) AS support_score, coalesce(supporting, '') AS supporting, coalesce(complementary, '') AS complementary, coalesce(weak, '') AS weak FROM evidence e LEFT JOIN lex USING (evidence_id) LEFT JOIN sup USING (evidence_id))"
+)
+
+
+@query(f"WITH {PAIRS}, {_RELATED} SELECT evidence_id, round(lexical_score, 6) AS lexical_score, round(support_score, 6) AS support_score, supporting, complementary, weak FROM supported")
+def support_relations(spark, d):
+    rows = ad.with_tokens(ad.evidence(spark, d))
+    out = support.support(rows, support.pairs(rows))
+    return out.select("evidence_id", six("lexical_score").alias("lexical_score"), six("support_score").alias("support_score"), "supporting", "complementary", "weak")
+
+
+@query("WITH v AS (SELECT vec_id, vec_id // 20 AS sample_id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS other_id, list_dot_product(a.e, b.e) AS cos FROM v a JOIN v b ON a.sample_id = b.sample_id AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(cos, 9) DESC, other_id) AS n FROM p) SELECT vec_id, other_id, round(cos, 6) AS cosine, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (cos - 0.4::DOUBLE) / 0.5::DOUBLE)), 6) AS semantic_score FROM r WHERE n = 1")
+def semantic_support(spark, d):
+    v = ad.table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 20).alias("s"), "embedding")
+    o = v.select("s", F.col("vec_id").alias("other_id"), F.col("embedding").alias("o"))
+    p = v.join(o, "s").filter("vec_id <> other_id").withColumn("cos", support.cosine(F.col("embedding"), F.col("o")))
+    best = p.groupBy("vec_id").agg(F.max_by(F.struct("other_id", "cos"), F.struct(F.round("cos", 9), -F.col("other_id"))).alias("b"))
+    return best.select("vec_id", "b.other_id", six("b.cos").alias("cosine"), six(support.semantic_score(F.col("b.cos"))).alias("semantic_score"))
+
+
+# --- selection --------------------------------------------------------------
+
+_GATED = (
+    f"{_WORDS}, scored AS (SELECT s.*, cat.gate, cat.profile, cat.section, cat.needs_lexical, cat.sections, reliability, reliability < 0.5 AND support_score < {dims.MIN_SUPPORT} AS outlier, "
+    f"weight + reliability * 0.6::DOUBLE + support_score * 1.2::DOUBLE - (CASE WHEN reliability < 0.5 AND support_score < {dims.MIN_SUPPORT} THEN 1.0 ELSE 0.0 END)::DOUBLE + (CASE WHEN s.evidence_id % 2 = 0 THEN 0.1 ELSE 0.0 END)::DOUBLE + (CASE WHEN s.evidence_id % 3 > 0 THEN 0.15 ELSE 0.0 END)::DOUBLE AS raw FROM supported s JOIN cat USING (category) JOIN prof ON prof.profile = cat.profile AND prof.modality = s.modality JOIN rel ON rel.sample_id = s.sample_id AND rel.modality = s.modality), "
+    f"gated AS (SELECT *, CASE WHEN outlier THEN 'outlier' WHEN gate = 'support_exempt' THEN CASE WHEN round(raw, 9) >= {dims.EXEMPT_SCORE} THEN 'passed_support_exempt_gate' ELSE 'score_gate' END WHEN gate = 'review_recommended' THEN CASE WHEN round(raw, 9) >= {dims.REVIEW_SCORE} THEN 'passed_review_gate' ELSE 'score_gate' END WHEN round(raw, 9) < {dims.MIN_SCORE} THEN 'score_gate' WHEN gate = 'support_soft' THEN CASE WHEN support_score >= {dims.MIN_SUPPORT} OR round(raw, 9) >= {dims.HIGH_SCORE} THEN 'passed_support_soft_gate' ELSE 'low_cross_modal_support' END WHEN support_score < {dims.STRICT_SUPPORT} THEN 'low_cross_modal_support' ELSE 'passed_support_required_gate' END AS reason FROM scored)"
+)
+
+
+def gated_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = ad.with_tokens(ad.evidence(spark, d))
+    scored = support.support(rows, support.pairs(rows)).join(support.reliability(rows), ["sample_id", "modality"])
+    qa = F.when(F.col("evidence_id") % 2 == 0, F.col("evidence_id")).alias("qa_index")
+    return selection.gated(scored.select("*", qa, (F.col("evidence_id") % 3 > 0).alias("has_qa")))
+
+
+@query(f"WITH {PAIRS}, {_RELATED}, {_GATED} SELECT evidence_id, section, gate, round(raw, 6) AS score, reason, CASE WHEN support_score >= 0.45 THEN 'strong' WHEN support_score >= 0.12 THEN 'moderate' WHEN support_score >= 0.08 THEN 'weak' ELSE 'very_weak' END AS support_level FROM gated")
+def gate_decision(spark, d):
+    return gated_rows(spark, d).select("evidence_id", "section", "gate", six("score").alias("score"), "reason", selection.support_level(F.col("support_score")).alias("support_level"))
+
+
+_NUM = "list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda t: regexp_full_match(t, '[0-9]+')), list_filter(regexp_extract_all(lower({0}), '[a-z]+'), lambda t: list_contains(" + ad.quoted(text.NUMBER_WORDS) + ", t)))))"
+_WORD = "regexp_matches(lower({0}), '(^|[^\\p{{L}}\\p{{N}}_])({1})($|[^\\p{{L}}\\p{{N}}_])')"
+_COUNT = "CASE WHEN {0} = '' THEN 0 ELSE len(string_split({0}, ' ')) END"
+
+
+def _reason(condition: str, name: str) -> str:
+    return f"CASE WHEN {condition} THEN '{name}' END"
+
+
+_REASONS = [
+    _reason("gate = 'review_recommended'", "anomaly_category"),
+    _reason("question = '' OR answer = ''", "caption_fallback"),
+    _reason(f"{_COUNT.format('answer')} > 12", "long_answer"),
+    _reason(f"{_COUNT.format('question')} > 35", "long_question"),
+    _reason("len(regexp_extract_all(' ' || regexp_replace(answer, '([^\\p{L}\\p{N}_])', ' \\1 ', 'g') || ' ', ' (and|or|while|because|then) ')) >= 2 AND false", "unused"),
+    _reason("regexp_matches(lower(question), '^how (many|much)') AND NOT list_contains(" + ad.quoted(selection.COUNTING) + ", category)", "category_mismatch_counting_hint"),
+    _reason("regexp_matches(lower(question), '^(where|which side|in which direction)') AND NOT list_contains(" + ad.quoted(selection.SPATIAL) + ", category)", "category_mismatch_spatial_hint"),
+    _reason("regexp_matches(lower(question || ' ' || answer), 'brand|logo|word|text|written|sticker') AND category <> 'text_recognition'", "category_mismatch_text_hint"),
+    _reason("regexp_matches(lower(question), '^(what|which) (sound|audio)') AND NOT list_contains(" + ad.quoted(selection.AUDIO) + ", category)", "category_mismatch_audio_hint"),
+    _reason("regexp_matches(lower(question), '^(what action|what is happening|what occurs|what does|what do|when)') AND NOT list_contains(" + ad.quoted(selection.MOTION) + ", category)", "category_mismatch_motion_hint"),
+    _reason("list_contains(['it', 'this', 'that', 'there', 'object', 'thing', 'something', 'unknown', 'unclear', 'none'], lower(answer))", "generic_answer"),
+    _reason("regexp_matches(lower(answer), 'not sure|unclear|cannot tell|can''t tell|unknown|maybe|possibly')", "uncertain_answer"),
+    _reason(f"answer <> '' AND question <> '' AND (lower(answer) = lower(question) OR (contains(lower(question), lower(answer)) AND {_COUNT.format('answer')} >= 5))", "answer_repeats_question"),
+]
+_REVIEW = f"{QA}, {_CAT}, rr AS (SELECT conv_id, turn, list_filter([{', '.join(_REASONS)}], lambda x: x IS NOT NULL) AS reasons FROM qa JOIN cat USING (category))"
+
+
+def _reviewed(spark: SparkSession, d: str) -> DataFrame:
+    rows = dims.with_category(ad.questions(spark, d))
+    n = lambda x: F.lit(x)
+    reasons = selection.review_reasons(F.col("category"), F.col("question"), F.col("answer"), F.col("gate"), F.lit(False), n(1.0), n(0.0), n(1), n(0), n(0), n(0), F.col("answer"))
+    return rows.select("conv_id", "turn", F.filter(reasons, lambda r: ~r.isin("multi_clause_answer", "unparsed_numbered_block")).alias("reasons"))
+
+
+@query(f"WITH {_REVIEW} SELECT conv_id, turn, array_to_string(reasons, ',') AS reasons FROM rr")
+def review_reasons(spark, d):
+    return _reviewed(spark, d).select("conv_id", "turn", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"WITH {_REVIEW} SELECT conv_id, turn, CASE WHEN len(reasons) = 0 THEN 'none' WHEN len(list_filter(reasons, lambda r: list_contains({ad.quoted(selection.HIGH)}, r) OR starts_with(r, 'category_mismatch_'))) > 0 THEN 'high' WHEN len(list_intersect(reasons, {ad.quoted(selection.MEDIUM)})) > 0 THEN 'medium' ELSE 'low' END AS priority FROM rr")
+def review_priority(spark, d):
+    return _reviewed(spark, d).select("conv_id", "turn", selection.review_priority(F.col("reasons")).alias("priority"))
+
+
+@query(f"WITH {QA} SELECT conv_id, turn, array_to_string({_NUM.format('answer')}, ',') AS numbers, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(answer), '[a-z]+'), lambda t: list_contains({ad.quoted(text.DIRECTIONS)}, t)))), ',') AS directions, array_to_string(list_filter([CASE WHEN {_WORD.format('answer', 'no|false|not|none|absent|invisible|without')} THEN 'negative' END, CASE WHEN {_WORD.format('answer', 'yes|true|visible|present')} THEN 'positive' END], lambda x: x IS NOT NULL), ',') AS polarity FROM qa")
+def conflict_tokens(spark, d):
+    a = F.col("answer")
+    return ad.questions(spark, d).select("conv_id", "turn", F.array_join(text.number_tokens(a), ",").alias("numbers"), F.array_join(text.direction_tokens(a), ",").alias("directions"), F.array_join(text.polarity_tokens(a), ",").alias("polarity"))
+
+
+@query(f"WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY sample_id, lower(caption) ORDER BY evidence_id) AS n FROM evidence) SELECT evidence_id, CASE WHEN n = 1 THEN 'kept' ELSE 'duplicate_exact_qa' END AS outcome FROM r")
+def dedup_exact(spark, d):
+    rows = ad.evidence(spark, d)
+    items = rows.select("sample_id", F.col("evidence_id").alias("id"), F.lit(1.0).alias("score"), F.col("caption").alias("question"), F.col("caption").alias("answer"), F.array().cast("array<string>").alias("tokens"))
+    return selection.deduplicated(items, ["sample_id"], above=None).select(F.col("id").alias("evidence_id"), "outcome")
+
+
+def _fold(above: float, order: str) -> str:
+    j = JACCARD.format("x[1].tokens", "k.tokens")
+    return f"list_reduce(list_prepend([]::STRUCT(evidence_id BIGINT, tokens VARCHAR[])[], list([{{'evidence_id': evidence_id, 'tokens': tokens}}] ORDER BY {order})), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: {j} > {above})) > 0 THEN acc ELSE list_concat(acc, x) END)"
+
+
+@query(f"WITH {EV}, f AS (SELECT sample_id, unnest({_fold(0.2, 'evidence_id')}) AS k FROM tok GROUP BY sample_id) SELECT sample_id, k.evidence_id AS evidence_id FROM f")
+def dedup_lexical(spark, d):
+    rows = ad.with_tokens(ad.evidence(spark, d))
+    items = rows.select("sample_id", F.col("evidence_id").alias("id"), F.lit(1.0).alias("score"), F.lit("").alias("question"), F.lit("").alias("answer"), "tokens")
+    kept = selection.deduplicated(items, ["sample_id"], exact=False, above=0.2).filter("outcome = 'kept'")
+    return kept.select("sample_id", F.col("id").alias("evidence_id"))
+
+
+@query()
+def dedup_semantic(spark, d):
+    v = ad.table(spark, d, "embeddings")
+    items = v.select(F.floor(F.col("vec_id") / 20).alias("sample_id"), F.col("vec_id").alias("id"), F.lit(1.0).alias("score"), F.concat(F.lit("what is shown "), F.col("vec_id").cast("string")).alias("question"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("answer"), F.array().cast("array<string>").alias("tokens"), F.col("embedding").cast("array<double>").alias("vector"))
+    return selection.deduplicated(items.withColumn("question", F.lit("what is shown")), ["sample_id"], exact=False, above=None, cosine_from=0.3).select("sample_id", F.col("id").alias("vec_id"), "outcome", "duplicate_of")
+
+
+# --- sections and reasoning --------------------------------------------------
+
+_SECTION_ROWS = ", ".join(f"('{s}')" for s in dims.SECTIONS)
+
+
+@query(f"WITH {EV}, {_CAT}, s AS (SELECT unnest(cat.sections) AS section FROM evidence JOIN cat USING (category)), every(section) AS (VALUES {_SECTION_ROWS}) SELECT every.section, count(s.section) AS n FROM every LEFT JOIN s USING (section) GROUP BY 1")
+def sections_explode(spark, d):
+    return reports.grouped_by_section(dims.with_category(ad.evidence(spark, d)))
+
+
+_GROUP_ROWS = ", ".join(f"('{s}', '{g}')" for s, g in dims.section_groups())
+
+
+@query(f"WITH {EV}, known(section, reasoning_group) AS (VALUES {_GROUP_ROWS}), r AS (SELECT modality, coalesce(reasoning_group, 'ungrouped') AS reasoning_group FROM evidence LEFT JOIN known ON known.section = category), grid AS (SELECT g AS reasoning_group, m AS modality FROM (SELECT unnest({ad.quoted(dims.GROUPS)}) AS g), (SELECT unnest({ad.quoted(dims.REASONING_ORDER)}) AS m)) SELECT grid.reasoning_group, grid.modality, count(r.modality) AS n FROM grid LEFT JOIN r ON r.reasoning_group = grid.reasoning_group AND r.modality = grid.modality GROUP BY 1, 2")
+def reasoning_groups(spark, d):
+    return reports.reasoning_counts(ad.evidence(spark, d).select(text.section_name(F.col("category")).alias("section"), "modality"))
+
+
+def _routes() -> str:
+    parts = []
+    for s in dims.ROUTES:
+        base = case("modality", {m: f"{w}::DOUBLE" for m, w in zip(dims.FUSION_ORDER, dims.ROUTE_WEIGHTS[s], strict=True)}, "0.3::DOUBLE")
+        hints = "|".join(dims.ROUTE_HINTS[s])
+        hits = f"len(list_intersect(tokens, {ad.quoted(dims.ROUTE_KEYWORDS[s])}))::DOUBLE"
+        add = lambda c, x: f"(CASE WHEN {c} THEN {x} ELSE 0.0 END)::DOUBLE"
+        has = lambda p: f"regexp_matches(lower(category), '{p}')"
+        any_ = lambda *w: f"len(list_intersect(tokens, {ad.quoted(list(w))})) > 0"
+        own = {
+            "scene_overview": f"{add(has('overview|setting|environment|context'), 0.6)} + least(0.25::DOUBLE, {hits} * 0.05::DOUBLE) - {add(has('layout|spatial|count|object|motion|event|audio|sound|action|dynamic'), 0.3)}",
+            "visible_objects_and_layout": f"{add(has('layout|spatial|count|object'), 0.55)} + least(0.35::DOUBLE, {hits} * 0.08::DOUBLE) - {add(has('scene|overview|audio|sound|motion|event'), 0.15)}",
+            "motion_and_event_cues": f"{add(has('dynamic|action|scene_sequence|event_scene|motion'), 0.7)} + least(0.35::DOUBLE, {hits} * 0.08::DOUBLE) - {add('NOT ' + any_(*'move motion moving enter lift reach pick grasp peel contact activity interaction hands'.split()), 0.2)}",
+            "audio_cues": f"{add(has('audio|sound|speech|music|noise'), 0.75)} + least(0.4::DOUBLE, {hits} * 0.1::DOUBLE) - {add('NOT ' + any_(*'audio sound speech music noise silence scraping chopping rhythmic'.split()), 0.3)}",
+        }[s]
+        bonus = f"(CASE WHEN regexp_matches(category, '^({hints})') THEN 0.35 WHEN regexp_matches(category, '{hints}') THEN 0.25 ELSE 0.0 END)::DOUBLE"
+        parts.append(f"{{'score': round({base} + 0.6::DOUBLE + {bonus} + least(0.45::DOUBLE, {hits} * 0.08::DOUBLE) + {own}, 9), 'section': '{s}'}}")
+    return f"list_reverse_sort([{', '.join(parts)}])"
+
+
+@query(f"WITH {EV}, r AS (SELECT evidence_id, modality, {_routes()} AS o FROM tok) SELECT evidence_id, round(o[1].score, 6) AS section_score, CASE WHEN round(o[1].score - o[2].score, 9) < 0.02 THEN CASE modality WHEN 'audio' THEN 'audio_cues' WHEN 'event' THEN 'motion_and_event_cues' ELSE 'visible_objects_and_layout' END ELSE o[1].section END AS section FROM r WHERE o[1].score > 0.45")
+def section_route(spark, d):
+    rows = ad.with_tokens(ad.evidence(spark, d)).select("evidence_id", "modality", "category", "tokens", F.lit(1.0).alias("reliability"), F.lit(0.0).alias("support_score"))
+    return narrative.routed(rows).select("evidence_id", six("section_score").alias("section_score"), "section")
+
+
+# --- splitting ---------------------------------------------------------------
+
+_NUMBERED = "n AS (SELECT conv_id, turn, '1. ' || question || ' 2) ' || answer || ' 3. ' || conv_id AS t FROM qa)"
+
+
+@query(f"WITH {QA}, {_NUMBERED}, s AS (SELECT conv_id, turn, string_split(regexp_replace(' ' || t, '[ \\t\\n\\r\\f][0-9]+[.)][ \\t\\n\\r\\f]+', chr(1), 'g'), chr(1)) AS p FROM n), i AS (SELECT conv_id, turn, list_filter(list_transform(p[2:], lambda x: trim(x)), lambda x: x <> '') AS items FROM s) SELECT conv_id, turn, len(items) AS n_items, md5(array_to_string(items, '|')) AS items_md5 FROM i")
+def split_numbered(spark, d):
+    rows = ad.questions(spark, d).select("conv_id", "turn", F.concat(F.lit("1. "), "question", F.lit(" 2) "), "answer", F.lit(" 3. "), F.col("conv_id").cast("string")).alias("t"))
+    items = text.numbered_text(F.col("t"))
+    return rows.select("conv_id", "turn", F.size(items).cast("long").alias("n_items"), F.md5(F.array_join(items, "|")).alias("items_md5"))
+
+
+_SENT = "list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])[ \\t\\n\\r\\f]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(f"WITH {QA}, s AS (SELECT conv_id, turn, {_SENT.format('answer')} AS a, {_SENT.format('question')} AS q FROM qa), p AS (SELECT conv_id, turn, unnest(range(1, greatest(len(q), len(a)) + 1)) AS pair_index, q, a FROM s) SELECT conv_id, turn, pair_index, md5(coalesce(q[pair_index], '')) AS question_md5, md5(coalesce(a[pair_index], '')) AS answer_md5 FROM p")
+def evidence_units_split(spark, d):
+    rows = ad.questions(spark, d).select("conv_id", "turn", text.sentences(F.col("question")).alias("q"), text.sentences(F.col("answer")).alias("a"))
+    pairs = F.zip_with("q", "a", lambda x, y: F.struct(F.coalesce(x, F.lit("")).alias("q"), F.coalesce(y, F.lit("")).alias("a")))
+    out = rows.select("conv_id", "turn", F.posexplode(pairs).alias("pos", "p"))
+    return out.select("conv_id", "turn", (F.col("pos") + 1).cast("long").alias("pair_index"), F.md5("p.q").alias("question_md5"), F.md5("p.a").alias("answer_md5"))
+
+
+@query(f"WITH {QA}, x AS (SELECT conv_id, turn, trim(regexp_replace(question, '[?]', '', 'g')) || ' ?' AS q1, trim(regexp_replace(answer, '[?]', '', 'g')) AS a1 FROM qa), s AS (SELECT conv_id, turn, {_SENT.format('a1')} AS a, q1, a1 FROM x), p AS (SELECT conv_id, turn, [trim(q1[:-2]) || '?', 'why?'] AS q, CASE WHEN len(a) > 1 THEN a WHEN a1 = '' THEN []::VARCHAR[] ELSE [a1] END AS a FROM s) SELECT conv_id, turn, greatest(len(q), len(a)) AS n_pairs, md5(array_to_string(q, '|')) AS questions_md5, md5(array_to_string(a, '|')) AS answers_md5 FROM p")
+def split_qa_pairs(spark, d):
+    bare = lambda c: F.trim(F.regexp_replace(c, r"\?", ""))
+    rows = ad.questions(spark, d).select("conv_id", "turn", F.concat(bare("question"), F.lit(" ? why?")).alias("q"), bare("answer").alias("a"))
+    rows = rows.select("conv_id", "turn", text.exported_pairs(F.col("q"), F.col("a")).alias("p"))
+    side = lambda f: F.md5(F.array_join(F.filter(F.transform("p", lambda x: x[f]), lambda x: x != ""), "|"))
+    return rows.select("conv_id", "turn", F.size("p").cast("long").alias("n_pairs"), side("question").alias("questions_md5"), side("answer").alias("answers_md5"))
+
+
+@query(f"WITH {QA}, n AS (SELECT conv_id, turn, regexp_replace(question, '[0-9]', '', 'g') AS q, regexp_replace(answer, '[0-9]', '', 'g') AS a FROM qa) SELECT conv_id, turn, 2::BIGINT AS n_pairs, md5('7|' || trim(q, ' .;') || '|' || trim(a, ' .;')) AS first_md5 FROM n WHERE trim(q, ' .;') <> '' AND trim(a, ' .;') <> '' AND NOT regexp_matches(q || a, '^\\.|[ ]\\.')")
+def fused_pairs(spark, d):
+    bare = lambda c: F.regexp_replace(c, "[0-9]", "")
+    rows = ad.questions(spark, d).select("conv_id", "turn", bare("question").alias("q"), bare("answer").alias("a"))
+    rows = rows.filter((text.stripped(F.col("q"), " .;") != "") & (text.stripped(F.col("a"), " .;") != "") & ~F.concat("q", "a").rlike(r"^\.|[ ]\."))
+    numbered = lambda c, n: F.concat(F.lit(f"{n[0]}. "), c, F.lit(f" {n[1]}. x"))
+    rows = rows.withColumn("p", text.fused_pairs(numbered(F.col("q"), (7, 9)), numbered(F.col("a"), (7, 9))))
+    first = F.col("p")[0]
+    return rows.select("conv_id", "turn", F.size("p").cast("long").alias("n_pairs"), F.md5(F.concat_ws("|", first["number"], text.clean(first["question"]), text.clean(first["answer"]))).alias("first_md5"))
+
+
+# --- reports -----------------------------------------------------------------
+
+
+@query(f"WITH {PAIRS}, {_RELATED}, {_GATED}, o AS (SELECT *, CASE WHEN NOT starts_with(reason, 'passed_') THEN 'dropped' WHEN gate = 'review_recommended' THEN 'review' ELSE 'selected' END AS outcome, CASE WHEN supporting = '' THEN 0 ELSE len(string_split(supporting, ',')) END AS c FROM gated) SELECT modality, count(*) AS candidate_count, count(*) FILTER (WHERE outcome = 'selected') AS selected_count, count(*) FILTER (WHERE outcome = 'review') AS review_count, count(*) FILTER (WHERE outcome = 'dropped') AS dropped_count, round(avg(support_score), 3) AS avg_support, round(avg(lexical_score), 3) AS avg_lexical, round(avg(c), 3) AS avg_supporting, round(avg(support_score), 9) < 0.12 OR avg(c) < 0.5 AS needs_review FROM o GROUP BY 1")
+def modality_support_summary(spark, d):
+    return reports.modality_summary(_outcomes(spark, d))
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    rows = gated_rows(spark, d)
+    outcome = F.when(~F.col("keep"), F.lit("dropped")).when(F.col("gate") == "review_recommended", F.lit("review")).otherwise("selected")
+    n = F.when(F.col("supporting") == "", 0).otherwise(F.size(F.split("supporting", ",")))
+    return rows.select("*", outcome.alias("outcome"), n.alias("supporting_count"))
+
+
+_DIMS = ["section", "category", "modality", "gate", "reason", "outlier"]
+
+
+@query(f"WITH {PAIRS}, {_RELATED}, {_GATED} " + " UNION ALL ".join(f"SELECT '{x}' AS dimension, {x}::VARCHAR AS value, count(*) AS n FROM gated GROUP BY 2" for x in _DIMS))
+def report_counts(spark, d):
+    return reports.counts(gated_rows(spark, d), _DIMS)
+
+
+@query(f"WITH {PAIRS}, {_RELATED}, {_GATED} SELECT reason, rank, evidence_id FROM (SELECT reason, evidence_id, row_number() OVER (PARTITION BY reason ORDER BY evidence_id) AS rank FROM gated WHERE NOT starts_with(reason, 'passed_')) WHERE rank <= 50")
+def dropped_topn(spark, d):
+    return reports.examples(gated_rows(spark, d).filter("not keep"), "reason", "evidence_id").select("reason", F.col("rank").cast("long").alias("rank"), "evidence_id")
+
+
+@query(f"WITH {PAIRS}, {_RELATED}, {_GATED} SELECT evidence_id, section, 'review' AS queue FROM gated WHERE reason = 'passed_review_gate' UNION ALL SELECT evidence_id, section, 'selected' AS queue FROM gated WHERE starts_with(reason, 'passed_') AND reason <> 'passed_review_gate'")
+def rows_union(spark, d):
+    rows = gated_rows(spark, d).filter("keep")
+    review = F.col("reason") == "passed_review_gate"
+    one = lambda c, q: rows.filter(c).select("evidence_id", "section", F.lit(q).alias("queue"))
+    return one(~review, "selected").unionByName(one(review, "review"))
+
+
+# --- traces ------------------------------------------------------------------
+
+
+@query(f"WITH {TRACES} SELECT modality, idx, round(e, 6) AS energy FROM (SELECT modality, idx, abs(value - lag(value) OVER (PARTITION BY modality ORDER BY idx)) AS e FROM trace) WHERE e IS NOT NULL")
+def motion_energy(spark, d):
+    return align.motion_energy(ad.traces(spark, d), ["modality"]).select("modality", "idx", six("value").alias("energy"))
+
+
+_STD = "b AS (SELECT modality, quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.95) AS p95 FROM trace GROUP BY 1), c AS (SELECT modality, idx, least(greatest(value, p5), p95) AS c FROM trace JOIN b USING (modality)), m AS (SELECT modality, median(c) AS med, avg(c) AS mean, stddev_pop(c) AS sd FROM c GROUP BY 1), q AS (SELECT modality, median(abs(c - med)) AS mad FROM c JOIN m USING (modality) GROUP BY 1), z AS (SELECT modality, idx, CASE WHEN mad > 1e-6 THEN (c - med) / (mad * 1.4826::DOUBLE) WHEN sd > 1e-6 THEN (c - mean) / sd ELSE 0.0::DOUBLE END AS value FROM c JOIN m USING (modality) JOIN q USING (modality))"
+_WIDTH = align.smoothing_window(8.0)
+_SMOOTH = f"sm AS (SELECT modality, idx, sum(value) OVER (PARTITION BY modality ORDER BY idx ROWS BETWEEN {_WIDTH // 2} PRECEDING AND {_WIDTH // 2} FOLLOWING) / {_WIDTH} AS value FROM z)"
+
+
+@query(f"WITH {TRACES}, {_STD} SELECT modality, idx, round(value, 6) AS z FROM z")
+def robust_standardize(spark, d):
+    return align.standardized(ad.traces(spark, d), ["modality"]).select("modality", "idx", six("value").alias("z"))
+
+
+@query(f"WITH {TRACES}, {_STD}, {_SMOOTH} SELECT modality, idx, round(value, 6) AS smooth FROM sm")
+def smooth_trace(spark, d):
+    return align.smoothed(align.standardized(ad.traces(spark, d), ["modality"]), ["modality"], _WIDTH).select("modality", "idx", six("value").alias("smooth"))
+
+
+_LAGS = f"{TRACES}, {_STD}, {_SMOOTH}, lags AS (SELECT t.modality, lag, count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(r.value) >= 1e-6 AND stddev_pop(t.value) >= 1e-6 THEN corr(r.value, t.value) END AS correlation FROM (SELECT *, unnest(range(-{LAGS}, {LAGS} + 1)) AS lag FROM sm WHERE modality <> '{REFERENCE}') t JOIN (SELECT idx, value FROM sm WHERE modality = '{REFERENCE}') r ON r.idx = t.idx - t.lag GROUP BY 1, 2)"
+
+
+def lag_rows(spark: SparkSession, d: str) -> DataFrame:
+    trace = align.smoothed(align.standardized(ad.traces(spark, d), ["modality"]), ["modality"], _WIDTH)
+    return align.lag_correlations(trace.filter(F.col("modality") == REFERENCE), trace.filter(F.col("modality") != REFERENCE), ["modality"], LAGS)
+
+
+@query(f"WITH {_LAGS} SELECT modality, lag, n, round(correlation, 6) AS correlation FROM lags WHERE correlation IS NOT NULL")
+def lag_correlation(spark, d):
+    return lag_rows(spark, d).select("modality", F.col("lag").cast("long").alias("lag"), "n", six("correlation").alias("correlation"))
+
+
+_PRIOR = (30.0, 0.0, 8.0, 0.08)
+_SCORED = f"longest AS (SELECT modality, max(n) AS longest FROM lags GROUP BY 1), sc AS (SELECT lags.modality, lag, round(correlation, 6) AS correlation, lag::DOUBLE AS offset_seconds, round(correlation + 0.12::DOUBLE * (n::DOUBLE / longest) - {_PRIOR[3]}::DOUBLE * least(1.0::DOUBLE, abs(lag::DOUBLE - {_PRIOR[1]}) / {_PRIOR[2]}), 6) AS score FROM lags JOIN longest USING (modality) WHERE correlation IS NOT NULL)"
+
+
+def scored_lag_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = lag_rows(spark, d)
+    longest = rows.groupBy("modality").agg(F.max("n").alias("longest"))
+    return align.scored_lags(rows.join(longest, "modality"), ["modality"], 1.0, _PRIOR, F.col("longest"))
+
+
+_PICK = "pk AS (SELECT modality, max(CASE WHEN s = 1 THEN lag END) AS lag, max(CASE WHEN s = 1 THEN correlation END) AS correlation, max(CASE WHEN c = 1 THEN lag END) AS raw_best_lag, max(CASE WHEN c = 2 THEN correlation END) AS second FROM (SELECT *, row_number() OVER (PARTITION BY modality ORDER BY score DESC, lag) AS s, row_number() OVER (PARTITION BY modality ORDER BY correlation DESC, lag) AS c FROM sc) GROUP BY 1), sel AS (SELECT *, CASE WHEN lag = raw_best_lag AND second IS NOT NULL THEN round(correlation - second, 6) ELSE 0.0::DOUBLE END AS peak_margin FROM pk)"
+_LABEL = "CASE WHEN correlation >= 0.80 OR (correlation >= 0.55 AND peak_margin >= 0.02) THEN 'high' WHEN correlation >= 0.30 THEN 'medium' ELSE 'low' END"
+
+
+@query(f"WITH {_LAGS}, {_SCORED}, {_PICK} SELECT modality, lag, correlation, raw_best_lag, peak_margin, CASE WHEN lag = raw_best_lag THEN 'best_correlation' ELSE 'modality_prior' END AS selected_by, {_LABEL} AS confidence_label FROM sel")
+def offset_selection(spark, d):
+    out = align.selected_offsets(scored_lag_rows(spark, d), ["modality"])
+    return out.select("modality", F.col("lag").cast("long").alias("lag"), "correlation", F.col("raw_best_lag").cast("long").alias("raw_best_lag"), "peak_margin", "selected_by", "confidence_label")
+
+
+@query(f"WITH {_LAGS}, {_SCORED} SELECT modality, rank, lag, score FROM (SELECT *, row_number() OVER (PARTITION BY modality ORDER BY score DESC, lag) AS rank FROM sc) WHERE rank <= 8")
+def top_lag_candidates(spark, d):
+    return align.top_candidates(scored_lag_rows(spark, d), ["modality"]).select("modality", F.col("rank").cast("long").alias("rank"), F.col("lag").cast("long").alias("lag"), six("score").alias("score"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 >= 0.80 OR (l_discount * 10 >= 0.55 AND l_tax >= 0.02) THEN 'high' WHEN l_discount * 10 >= 0.30 THEN 'medium' ELSE 'low' END AS label FROM lineitem")
+def confidence_label(spark, d):
+    return ad.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", align.confidence(F.col("l_discount") * 10, F.col("l_tax")).alias("label"))
+
+
+_OFFSET = "(l_tax - l_discount) * 100"
+
+
+@query(f"WITH o AS (SELECT l_orderkey, l_linenumber, l_quantity AS r, l_quantity * 0.9::DOUBLE AS t, {_OFFSET} AS o FROM lineitem), s AS (SELECT *, greatest(0.0::DOUBLE, -o) AS rs, greatest(0.0::DOUBLE, o) AS ts FROM o), l AS (SELECT *, greatest(0.0::DOUBLE, least(r - rs, t - ts)) AS long FROM s) SELECT l_orderkey, l_linenumber, round(rs, 6) AS reference_start, round(rs + long, 6) AS reference_end, round(ts, 6) AS target_start, round(ts + long, 6) AS target_end FROM l")
+def overlap_window(spark, d):
+    offset = (F.col("l_tax") - F.col("l_discount")) * 100
+    return ad.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *align.overlap(F.col("l_quantity"), F.col("l_quantity") * 0.9, offset))
+
+
+@query("WITH r AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'ir' WHEN 1 THEN 'depth' ELSE 'event' END AS modality, o_orderkey // 3 AS sample, round((o_totalprice % 1000) / 100 - 4, 6) AS off, round((o_totalprice % 97) / 97, 6) AS corr FROM orders), l AS (SELECT *, CASE WHEN corr >= 0.8 THEN 'high' WHEN corr >= 0.3 THEN 'medium' ELSE 'low' END AS label FROM r), a AS (SELECT sample, coalesce(max(off) FILTER (WHERE modality = 'ir' AND label IN ('high', 'medium') AND abs(off) <= 1.0), 0.0::DOUBLE) AS anchor FROM l GROUP BY 1), f AS (SELECT l.*, anchor, (modality = 'depth' AND abs(off - anchor) > 3 AND (label = 'low' OR corr < 0.55)) OR (modality = 'event' AND abs(off - anchor) > 5 AND (label = 'low' OR corr < 0.30)) AS rejected FROM l JOIN a USING (sample)) SELECT sample, modality, CASE WHEN rejected THEN anchor ELSE off END AS offset_seconds, CASE WHEN rejected THEN 'low' ELSE label END AS confidence_label, CASE WHEN rejected THEN off END AS rejected_offset_seconds FROM f")
+def consensus_fallback(spark, d):
+    o, k = ad.table(spark, d, "orders"), F.col("o_orderkey") % 3
+    rows = o.select(F.floor(F.col("o_orderkey") / 3).alias("sample"), F.when(k == 0, "ir").when(k == 1, "depth").otherwise("event").alias("modality"), F.round((F.col("o_totalprice") % 1000) / 100 - 4, 6).alias("offset_seconds"), F.round((F.col("o_totalprice") % 97) / 97, 6).alias("correlation"))
+    rows = rows.withColumn("confidence_label", F.when(F.col("correlation") >= 0.8, "high").when(F.col("correlation") >= 0.3, "medium").otherwise("low"))
+    none = rows.select("sample", "modality", "offset_seconds", F.lit(0.0).alias("score")).filter("false")
+    return align.consensus(rows, ["sample"], none)
+
+
+# --- intervals ---------------------------------------------------------------
+
+
+def _segmented(spark: SparkSession, d: str) -> DataFrame:
+    rows = ad.recordings(spark, d)
+    one = F.struct("ord", "label", "start", F.col("end"), "confidence")
+    lists = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(one)).alias("all"), F.max("end").alias("duration"))
+    raw = F.transform("all", lambda x: F.struct(x["label"].alias("label"), x["start"].alias("start"), x["end"].alias("end"), x["confidence"].alias("confidence"), F.lit(None).cast("array<string>").alias("evidence"), F.lit(None).cast("string").alias("notes")))
+    return lists.select("user_id", segments.clamped(raw, F.col("duration")).alias("segments"))
+
+
+@query(f"WITH {RECORDINGS}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ord) AS pos FROM recordings WHERE \"end\" > start) SELECT 'u' || user_id || '_seg_' || lpad(pos::VARCHAR, greatest(3, length(pos::VARCHAR))::INT, '0') AS segment_id, label, round(start, 3) AS start, round(\"end\", 3) AS \"end\", confidence FROM k")
+def segment_clamp(spark, d):
+    rows = _segmented(spark, d).select("user_id", F.posexplode("segments").alias("pos", "s"))
+    n = (F.col("pos") + 1).cast("string")
+    seg = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("_seg_"), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n))
+    return rows.select(seg.alias("segment_id"), "s.label", "s.start", "s.end", "s.confidence")
+
+
+@query()
+def segment_merge(spark, d):
+    rows = _segmented(spark, d).select("user_id", segments.merged(F.col("segments")).alias("segments"))
+    return rows.select("user_id", F.posexplode("segments").alias("pos", "s")).select("user_id", (F.col("pos") + 1).alias("n"), "s.label", "s.start", "s.end", "s.confidence")
+
+
+@query(f"WITH {RECORDINGS}, p AS (SELECT user_id, event_id, round((epoch(ts) - min(epoch(ts)) OVER (PARTITION BY user_id)) / 3600, 3) AS at FROM events), s AS (SELECT user_id, ord, start, \"end\" FROM recordings WHERE label = 'view') SELECT p.event_id, s.ord FROM p JOIN s ON p.user_id = s.user_id AND s.start <= p.at AND p.at < s.\"end\"")
+def frame_in_segment(spark, d):
+    from pyspark.sql import Window
+
+    e = ad.table(spark, d, "events").withColumn("s", ad.seconds(F.col("ts")))
+    points = e.select("user_id", "event_id", F.round((F.col("s") - F.min("s").over(Window.partitionBy("user_id"))) / 3600, 3).alias("at"))
+    views = ad.recordings(spark, d).filter("label = 'view'").select("user_id", F.col("ord").cast("long").alias("ord"), "start", "end")
+    return segments.points_in(points, views, "user_id", "at", 12.0).select("event_id", "ord")
+
+
+@query("WITH m AS (SELECT l_orderkey, l_linenumber, round_even(greatest(l_extendedprice, 0) * 1000, 0)::BIGINT AS ms FROM lineitem) SELECT l_orderkey, l_linenumber, format('{:02d}:{:02d}:{:02d}.{:03d}', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS stamp FROM m")
+def seconds_to_timestamp(spark, d):
+    return ad.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.timestamp(F.col("l_extendedprice")).alias("stamp"))
+
+
+# --- parsing, resume, files ---------------------------------------------------
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
+def json_from_prose(spark, d):
+    e = ad.table(spark, d, "events")
+    prose = F.concat(F.lit("```json\nHere it is: "), "props", F.lit(" as asked.\n```"))
+    return e.select("event_id", F.from_json(text.json_object(prose), "k bigint")["k"].alias("k"))
+
+
+_DONE = "done AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"
+
+
+@query(f"WITH {_DONE} SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM done)")
+def pending_jobs(spark, d):
+    o = ad.table(spark, d, "orders")
+    return resume.pending(o, o.filter("o_orderstatus = 'F'"), ["o_orderkey"]).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'new' ELSE 'old' END AS version, CASE WHEN o_orderstatus = 'O' THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS price FROM orders")
+def resume_upsert(spark, d):
+    o = ad.table(spark, d, "orders")
+    old = o.select("o_orderkey", F.lit("old").alias("version"), F.col("o_totalprice").alias("price"))
+    new = o.filter("o_orderstatus = 'O'").select("o_orderkey", F.lit("new").alias("version"), F.round(F.col("o_totalprice") * 2, 2).alias("price"))
+    return resume.upserted(old, new, ["o_orderkey"])
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus <> 'F') AS pending, count(*) FILTER (WHERE o_orderstatus = 'F') AS skipped, count(DISTINCT CASE WHEN o_orderstatus <> 'F' THEN o_custkey END) AS manifests, sum(CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderpriority = '1-URGENT' THEN 3 ELSE 1 END)::BIGINT AS calls FROM orders")
+def work_estimate(spark, d):
+    o = ad.table(spark, d, "orders")
+    return resume.work_estimate(o, o.filter("o_orderstatus = 'F'"), ["o_orderkey"], "o_custkey", F.when(F.col("o_orderpriority") == "1-URGENT", 3).otherwise(1))
+
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN l.quality ELSE d.doc_id % 2 END::BIGINT AS quality, coalesce(l.toxic, 0)::BIGINT AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def metadata_coalesce(spark, d):
+    null = F.lit(None).cast("bigint")
+    own = ad.table(spark, d, "labels").select("doc_id", F.lit(0).alias("ord"), F.array(F.lit("quality"), F.lit("toxic")).alias("has"), F.col("quality").cast("bigint").alias("quality"), F.col("toxic").cast("bigint").alias("toxic"))
+    rest = ad.table(spark, d, "documents").select("doc_id", F.lit(1).alias("ord"), F.array(F.lit("quality")).alias("has"), (F.col("doc_id") % 2).alias("quality"), null.alias("toxic"))
+    out = resume.coalesced(own.unionByName(rest), "doc_id", "ord", ["quality", "toxic"])
+    docs = ad.table(spark, d, "documents").select("doc_id")
+    return docs.join(out, "doc_id", "left").select("doc_id", "quality", F.coalesce("toxic", F.lit(0).cast("bigint")).alias("toxic"))
+
+
+_SIDES = "sides AS (SELECT c_custkey // 2 AS pair, CASE WHEN c_custkey % 2 = 0 THEN 'day' ELSE 'night' END AS side, c_name AS path FROM customer WHERE c_acctbal > 0)"
+
+
+@query(f"WITH {_SIDES} SELECT pair, coalesce(max(path) FILTER (WHERE side = 'night'), max(path) FILTER (WHERE side = 'day')) AS path FROM sides GROUP BY 1")
+def prefer_night(spark, d):
+    both = _pairs(spark, d)
+    return both.select("pair", F.coalesce("night", "day").alias("path"))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    c = ad.table(spark, d, "customer").filter("c_acctbal > 0")
+    rows = c.select(F.floor(F.col("c_custkey") / 2).alias("pair"), F.when(F.col("c_custkey") % 2 == 0, "day").otherwise("night").alias("side"), F.col("c_name").alias("path"))
+    return rows.groupBy("pair").pivot("side", ["day", "night"]).agg(F.min("path"))
+
+
+@query(f"WITH {_SIDES} SELECT pair, min(path) FILTER (WHERE side = 'day') AS day, min(path) FILTER (WHERE side = 'night') AS night FROM sides GROUP BY 1")
+def pair_pivot(spark, d):
+    return _pairs(spark, d)
+
+
+# --- facts and captions --------------------------------------------------------
+
+_FACT = (
+    "CASE WHEN contains(category, 'audio') THEN CASE WHEN contains(category, 'chronological') THEN 'audio_event' ELSE 'sound' END WHEN contains(category, 'object_recognition') THEN 'object_presence' "
+    "WHEN regexp_matches(category, 'spatial_reasoning|navigation') THEN 'spatial_relation' WHEN contains(category, 'counting') THEN 'count' WHEN regexp_matches(category, 'dynamic_recognition|scene_sequence') THEN 'motion' "
+    "WHEN contains(category, 'action') THEN 'action' WHEN contains(category, 'light') THEN 'lighting' WHEN category = 'text_recognition' THEN 'object_presence' WHEN contains(category, 'non_common') THEN 'non_common' ELSE '?' END"
+)
+
+
+@query(f"WITH {QA} SELECT conv_id, turn, {_FACT} AS fact_type FROM qa")
+def fact_type(spark, d):
+    rows = ad.questions(spark, d)
+    return rows.select("conv_id", "turn", narrative.fact_type(F.col("category"), F.col("question"), F.col("answer"), F.lit("")).alias("fact_type"))
+
+
+@query(f"WITH {EV}, k AS (SELECT sample_id, evidence_id, modality, {_FACT} AS fact_type, round((evidence_id % 10) / 10.0::DOUBLE, 1) AS c FROM evidence), o AS (SELECT *, fact_type IN ('scene', 'environment', 'object_presence', 'lighting') AS own FROM k), a AS (SELECT *, bool_or(own) OVER (PARTITION BY sample_id) AS any_ FROM o), s AS (SELECT *, c * 0.8::DOUBLE + 0.6::DOUBLE + (CASE WHEN own THEN 0.7 ELSE 0 END)::DOUBLE + (CASE WHEN fact_type IN ('scene', 'environment', 'lighting', 'object_presence', 'count') THEN 0.35 ELSE 0 END)::DOUBLE AS score FROM a WHERE own OR NOT any_), u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, modality, fact_type ORDER BY evidence_id) AS n FROM s) WHERE n = 1) SELECT sample_id, rank, evidence_id FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY round(score, 9) DESC, c DESC, modality, evidence_id) AS rank FROM u) WHERE rank <= 3")
+def fact_topk(spark, d):
+    rows = ad.evidence(spark, d)
+    kind = narrative.fact_type(F.col("category"), F.lit(""), F.lit(""), F.lit(""))
+    facts = rows.select("sample_id", F.col("evidence_id").alias("id"), "modality", kind.alias("fact_type"), F.lit("").alias("entity"), F.lit("").alias("attribute"), F.lit("").alias("value"), F.round((F.col("evidence_id") % 10) / 10, 1).alias("confidence"), F.lit(1.0).alias("reliability"), F.lit(0.0).alias("support"))
+    return narrative.top_facts(facts, "scene_overview", 3).select("sample_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("evidence_id"))
+
+
+_T0 = "regexp_replace(" + CLEAN.format("trim(answer, ' .,:;')") + ", '^([aA]|[aA][nN]|[tT][hH][eE]) +', '')"
+_SEP = "t"
+for _s in reversed(text.SEPARATORS):
+    _SEP = f"CASE WHEN contains(t, '{_s}') THEN trim(string_split(t, '{_s}')[1]) ELSE ({_SEP}) END"
+_TAIL = "|".join(text.TRAILING)
+
+
+@query(
+    f"WITH {QA}, a AS (SELECT conv_id, turn, {_T0} AS t FROM qa), b AS (SELECT *, trim(regexp_extract(t, '[^.!?]*[.!?]'), ' .!?,;') AS s, {_SEP} AS p FROM a), w AS (SELECT *, string_split(regexp_replace(trim(p), ' +', ' ', 'g'), ' ') AS w FROM b) "
+    f"SELECT conv_id, turn, CASE WHEN t = '' THEN '' WHEN regexp_matches(t, '[.!?]') AND (s = '' OR len(string_split(s, ' ')) <= 8) THEN s ELSE trim(CASE WHEN len(w) <= 8 THEN array_to_string(w, ' ') ELSE regexp_replace(array_to_string(w[1:8], ' '), '(?i)( ({_TAIL}))+$', '') END, ' .,:;') END AS answer FROM w"
+)
+def trim_answer(spark, d):
+    return ad.questions(spark, d).select("conv_id", "turn", text.trim_answer(F.col("answer")).alias("answer"))
+
+
+@query("SELECT p_partkey, 'What is to the ' || (CASE WHEN p_size % 2 = 0 THEN 'left' ELSE 'right' END) || ' of the ' || lower(p_brand) || '?' AS question, lower(p_type) AS answer FROM part WHERE NOT regexp_matches(p_type || p_brand, '[.,]') AND len(string_split(p_type, ' ')) <= 8 AND NOT regexp_matches(lower(p_type), '^(a|an|the) | (and|or|while|as|because|which) ')")
+def layout_qa(spark, d):
+    p = ad.table(spark, d, "part").filter(~F.concat("p_type", "p_brand").rlike("[.,]") & (F.size(F.split("p_type", " ")) <= 8) & ~F.lower("p_type").rlike("^(a|an|the) | (and|or|while|as|because|which) "))
+    side = F.when(F.col("p_size") % 2 == 0, "left").otherwise("right")
+    caption = F.concat(F.lit("Seen here. To the "), side, F.lit(" of the "), F.lower("p_brand"), F.lit(" sits a "), F.lower("p_type"), F.lit(", on a shelf."))
+    question, answer = narrative.layout_question(caption)
+    return p.select("p_partkey", question.alias("question"), answer.alias("answer"))
+
+
+@query(f"WITH {EV}, f AS (SELECT sample_id, evidence_id, {_SENT.format('caption')}[1] AS s FROM evidence), firsts AS (SELECT sample_id, evidence_id, s, {TOKENS.format('s')} AS tokens FROM f WHERE s IS NOT NULL), r AS (SELECT sample_id, {_fold(0.55, 'evidence_id')} AS kept FROM firsts GROUP BY sample_id) SELECT sample_id, array_to_string(list_transform(kept[1:4], lambda x: x.evidence_id), ',') AS evidence_ids FROM r")
+def final_caption(spark, d):
+    rows = ad.evidence(spark, d).withColumn("s", F.get(text.sentences(F.col("caption")), F.lit(0))).filter("s is not null").withColumn("tokens", text.tokens(F.col("s")))
+    lists = rows.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("evidence_id", "tokens"))).alias("all"))
+    kept = selection.distinct_greedy(F.col("all"), 0.55, 4)
+    return lists.select("sample_id", F.array_join(F.transform(kept, lambda x: x["evidence_id"].cast("string")), ",").alias("evidence_ids"))
+
+
+@query(f"WITH {QA} SELECT conv_id, turn, trim(question) <> '' OR trim(answer) <> '' AS complete FROM qa")
+def complete_annotations(spark, d):
+    return ad.questions(spark, d).select("conv_id", "turn", resume.has_text(F.col("question"), F.col("answer")).alias("complete"))
