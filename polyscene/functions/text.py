@@ -47,7 +47,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(clean(c), r"(?<=[.!?]) +"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(clean(c), r"(?<=[.!?]) +"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def numbered_items(c: Column) -> Column:
@@ -75,20 +75,20 @@ def numbered_text(c: Column) -> Column:
     """Items after markers such as `1.` or `1)` with white space behind; the whole text without one."""
     text = F.trim(c)
     parts = F.split(text, rf"(?:^|{SPACE})[0-9]+[.)]{SPACE}+", -1)
-    items = F.filter(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(text == "", F.array().cast("array<string>")).when(F.size(parts) < 2, F.array(text)).otherwise(items)
 
 
 def question_items(c: Column) -> Column:
     text, numbered = F.trim(c), numbered_text(c)
-    parts = F.filter(F.transform(F.split(text, r"\?", -1), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, r"\?", -1), lambda x: F.trim(x)), lambda x: x != "")
     asked = F.transform(parts, lambda x: F.concat(x, F.lit("?")))
     return F.when(text == "", F.array().cast("array<string>")).when(F.size(numbered) > 1, numbered).when(F.size(asked) > 1, asked).otherwise(F.array(text))
 
 
 def answer_items(c: Column) -> Column:
     text, numbered = F.trim(c), numbered_text(c)
-    parts = F.filter(F.transform(F.split(text, rf"(?<=[.!?]){SPACE}+", -1), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, rf"(?<=[.!?]){SPACE}+", -1), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(text == "", F.array().cast("array<string>")).when(F.size(numbered) > 1, numbered).when(F.size(parts) > 1, parts).otherwise(F.array(text))
 
 

@@ -114,7 +114,7 @@ def layout_question(caption: Column) -> tuple[Column, Column]:
     get = lambda p, k: F.trim(F.regexp_extract(caption, p, k))
     what = lambda d, r: F.concat(F.lit("What is to the "), d, F.lit(" of the "), r, F.lit("?"))
     strip = F.lower(caption).contains("power strip") & caption.rlike(outlets)
-    items = F.filter(F.transform(F.split(get(resting, 1), ",| and "), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(get(resting, 1), ",| and "), lambda x: F.trim(x)), lambda x: x != "")
     rests = caption.rlike(resting) & (F.size(items) > 0)
     question = F.when(caption.rlike(side), what(get(side, 1), get(side, 2))).when(caption.rlike(located), what(get(located, 2), get(located, 3))).when(strip, F.lit("How many outlets are on the power strip?")).when(rests, F.lit("What is on the cutting board?")).otherwise("What object is explicitly mentioned in the layout?")
     answer = F.when(caption.rlike(side), get(side, 3)).when(caption.rlike(located), get(located, 1)).when(strip, get(outlets, 1)).when(rests, F.get(items, F.lit(0))).otherwise(caption)
