@@ -55,7 +55,7 @@ def numbered_items(c: Column) -> Column:
     text = clean(c)
     marks = F.regexp_extract_all(text, F.lit(r"(?:^| )([0-9]+)\. *"), F.lit(1))
     parts = F.split(text, r"(?:^| )[0-9]+\. *", -1)
-    items = F.zip_with(marks, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda n, p: F.struct(n.cast("int").alias("number"), clean(stripped(p, " .;")).alias("item")))
+    items = F.zip_with(marks, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda n, p: F.struct(n.try_cast("int").alias("number"), clean(stripped(p, " .;")).alias("item")))
     none = F.array().cast("array<struct<number:int,item:string>>")
     return F.when(F.size(marks) >= 2, F.filter(items, lambda x: x["item"] != "")).otherwise(none)
 
@@ -65,7 +65,7 @@ def fused_pairs(question: Column, answer: Column) -> Column:
     q, a = numbered_items(question), numbered_items(answer)
     kind = "array<struct<number:int,question:string,answer:string>>"
     whole = F.when((question != "") & (answer != ""), F.array(F.struct(F.lit(None).cast("int").alias("number"), question.alias("question"), answer.alias("answer")))).otherwise(F.array().cast(kind))
-    matched = F.filter(F.transform(q, lambda x: F.struct(x["number"].alias("number"), x["item"].alias("question"), F.element_at(F.filter(a, lambda y: y["number"] == x["number"]), -1)["item"].alias("answer"))), lambda x: x["answer"].isNotNull())
+    matched = F.filter(F.transform(q, lambda x: F.struct(x["number"].alias("number"), x["item"].alias("question"), F.try_element_at(F.filter(a, lambda y: y["number"] == x["number"]), F.lit(-1))["item"].alias("answer"))), lambda x: x["answer"].isNotNull())
     placed = F.zip_with(q, a, lambda x, y: F.struct(x["number"].alias("number"), x["item"].alias("question"), y["item"].alias("answer")))
     split = F.when(F.size(matched) > 0, matched).when(F.size(q) == F.size(a), placed).otherwise(whole)
     return F.when((F.size(q) == 0) | (F.size(a) == 0), whole).otherwise(split)
@@ -135,7 +135,7 @@ def first_fragment(c: Column) -> Column:
     """The first item of an answer."""
     text = stripped(clean(c), " .,:;")
     parts = F.filter(F.transform(F.split(text, r" *[0-9]+\. *", -1), lambda p: stripped(p, " .,:;")), lambda p: p != "")
-    return F.when(F.size(parts) > 0, F.element_at(parts, 1)).otherwise(text)
+    return F.when(F.size(parts) > 0, F.try_element_at(parts, F.lit(1))).otherwise(text)
 
 
 def trim_answer(c: Column, most: int = 8) -> Column:

@@ -54,7 +54,7 @@ def merged(segments: Column, shortest: float = SHORTEST) -> Column:
     kind = f"array<{SEGMENT}>"
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         short = (last["end"] - last["start"] < shortest) | (x["end"] - x["start"] < shortest)
         one = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined_segments(last, x)).cast(kind)).cast(kind)
         return F.when(F.size(acc) == 0, F.array(x).cast(kind)).when(short, one).otherwise(F.concat(acc, F.array(x)).cast(kind))

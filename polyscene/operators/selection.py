@@ -132,7 +132,7 @@ def deduplicated(items: DataFrame, keys: list[str], exact: bool = True, above: f
             return F.lit(None).cast("bigint")
         dot = lambda k: F.aggregate(F.zip_with(x["vector"], k["vector"], lambda u, v: u * v), F.lit(0.0), lambda s, y: s + y)
         fits = F.filter(kept, lambda k: (dot(k) >= cosine_from) & ~duplicate_conflict(x["said"], k["said"]) & compatible(x["a"], k["a"]))
-        best = F.element_at(F.array_sort(F.transform(fits, lambda k: F.struct((-dot(k)).alias("far"), k["far"].alias("f"), k["id"].alias("id")))), 1)
+        best = F.try_element_at(F.array_sort(F.transform(fits, lambda k: F.struct((-dot(k)).alias("far"), k["far"].alias("f"), k["id"].alias("id")))), F.lit(1))
         return F.when(F.size(fits) > 0, best["id"]).cast("bigint")
 
     kind = "array<struct<far:double,id:bigint,q:string,a:string,tokens:array<string>,said:string,vector:array<double>>>"
