@@ -56,7 +56,7 @@ class Quantiser:
         n, d = x.shape
         out = np.zeros((n, -(-d // 4) * 4))
         out[:, :d] = x
-        return out.reshape(n, -1, 2)
+        return out.reshape(n, out.shape[1] // 2, 2)
 
     @classmethod
     def fit(cls, x: np.ndarray) -> Quantiser:
