@@ -2,4 +2,40 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = "coalesce(regexp_extract_all(translate(text, '" + _UPPER + "', '" + _LOWER + "'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+
+#: Windows of 8 words, or of a whole shorter item, joined on their words; runs on one diagonal give the longest match.
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+p AS (SELECT item, unnest(range(1, greatest(2, len(w) - 6))) AS j, w FROM b WHERE len(w) > 0),
+pat AS (SELECT item, j, least(8, len(w)) AS k, array_to_string(w[j:j + 7], ' ') AS s FROM p),
+ks AS (SELECT DISTINCT k FROM pat),
+places AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM d, ks WHERE len(w) >= k),
+hits AS (SELECT doc_id, i, pat.k, item, j FROM (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM places) x JOIN pat ON x.s = pat.s AND x.k = pat.k),
+hit_words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS pos FROM hits) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY 1),
+starts AS (SELECT *, CASE WHEN lag(i) OVER w = i - 1 THEN 0 ELSE 1 END AS head FROM hits WINDOW w AS (PARTITION BY doc_id, item, i - j ORDER BY i)),
+runs AS (SELECT *, sum(head) OVER (PARTITION BY doc_id, item, i - j ORDER BY i) AS run FROM starts),
+longest AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, max(i + k) - min(i) AS n FROM runs GROUP BY doc_id, item, i - j, run) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated, coalesce(longest, 0)::BIGINT AS longest_match
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN longest USING (doc_id)
+"""
+
+#: The first document of every window; words that a window of an earlier document covers go.
+SUBSTRING_DEDUP = """
+WITH d AS (SELECT doc_id, coalesce(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), []) AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+firsts AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM firsts WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+marked AS (SELECT words.doc_id, words.pos, word, gone.pos IS NOT NULL AS g FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.pos = words.pos),
+runs AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY pos), false) AS head FROM marked),
+sums AS (SELECT doc_id, count(*) FILTER (WHERE g) AS n, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT g) AS kept, count(*) FILTER (WHERE head) AS f FROM runs GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(f, 0)::BIGINT AS n_factors
+FROM d LEFT JOIN sums USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_decontamination": DECONTAMINATION, "op10_substring_dedup": SUBSTRING_DEDUP}
