@@ -167,3 +167,54 @@ def routed(evidence: DataFrame, least: float = 0.45) -> DataFrame:
 def joined(sentences: Column) -> Column:
     """Sentences with one full stop each, joined by spaces."""
     return F.array_join(F.transform(sentences, lambda s: F.concat(F.regexp_replace(s, r"\.+$", ""), F.lit("."))), " ")
+
+
+#: Modalities that a section prefers, if any of them is there.
+PREFERRED = {"audio_cues": ["audio"], "motion_and_event_cues": ["event", "rgb", "ir"], "visible_objects_and_layout": ["rgb", "ir", "depth"]}
+
+
+def sentence_score(section: str, modality: Column, category: Column, tokens: Column, reliability: Column, support: Column) -> Column:
+    """The route's score without the section's own rules."""
+    hits = F.size(F.array_intersect(tokens, F.array(*map(F.lit, dims.ROUTE_KEYWORDS[section]))))
+    return route_score(section, modality, category, tokens, reliability, support) - _route_bonus(section, category, tokens, hits)
+
+
+def selected_sentences(evidence: DataFrame, section: str, most: int, least: float = 0.45, relaxed: bool = False) -> DataFrame:
+    """sample_id, rank, id: a section's sentences by score, near-copies dropped, its preferred modalities if there are any.
+
+    evidence: sample_id, evidence_id, modality, category, tokens, reliability, support_score.
+    """
+    from .selection import distinct_greedy
+
+    hits = F.size(F.array_intersect("tokens", F.array(*map(F.lit, dims.ROUTE_KEYWORDS[section]))))
+    rows = evidence.withColumn("_score", F.round(sentence_score(section, *[F.col(c) for c in ("modality", "category", "tokens", "reliability", "support_score")]), 9))
+    if not relaxed:
+        named = {"visible_objects_and_layout": "spatial|count|object", "motion_and_event_cues": "dynamic|action|scene_sequence|event_scene"}.get(section)
+        rows = rows.filter((hits > 0) | F.col("category").rlike(named) if named else hits > 0)
+    one = F.struct((-F.col("_score")).alias("far"), F.col("evidence_id").alias("id"), F.col("modality"), F.col("tokens"))
+    lists = rows.filter(F.col("_score") > least).groupBy("sample_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    lists = lists.withColumn("kept", distinct_greedy(F.col("all"), 0.7))
+    if section in PREFERRED:
+        wanted = F.filter("kept", lambda x: x["modality"].isin(PREFERRED[section]))
+        lists = lists.withColumn("kept", F.when(F.size(wanted) > 0, wanted).otherwise(F.col("kept")))
+    if section == "audio_cues":
+        heard = evidence.filter("modality = 'audio'").select("sample_id").distinct()
+        lists = lists.join(heard, "sample_id", "left_semi")
+    return lists.select("sample_id", F.posexplode(F.slice("kept", 1, most)).alias("pos", "k")).select("sample_id", (F.col("pos") + 1).alias("rank"), F.col("k.id").alias("evidence_id"))
+
+
+def cross_modal_details(evidence: DataFrame) -> DataFrame:
+    """sample_id, details: up to two lines on what reliable modalities agree about. evidence: as above, with sentence."""
+    reliable = evidence.groupBy("sample_id").agg(F.collect_set(F.when(F.col("reliability") >= 0.5, F.col("modality"))).alias("m"))
+    both = lambda *p: F.reduce(F.array(*[F.array_contains("m", a) & F.array_contains("m", b) for a, b in p]), F.lit(False), lambda x, y: x | y)
+    rules = [
+        ("visible_objects_and_layout", both(("rgb", "ir")), "RGB and IR cues agree on the visual layout: "),
+        ("motion_and_event_cues", both(("event", "rgb"), ("event", "ir")), "Event evidence is consistent with the observed motion: "),
+        ("audio_cues", both(("audio", "rgb"), ("audio", "ir"), ("audio", "event")), "Audio evidence matches the rest of the sample: "),
+    ]
+    out, lines = reliable, []
+    for k, (section, holds, intro) in enumerate(rules):
+        first = selected_sentences(evidence, section, 1).join(evidence.select("sample_id", "evidence_id", "sentence"), ["sample_id", "evidence_id"]).select("sample_id", F.col("sentence").alias(f"s{k}"))
+        out = out.join(first, "sample_id", "left")
+        lines.append(F.when(holds & F.col(f"s{k}").isNotNull(), F.concat(F.lit(intro), F.regexp_replace(F.col(f"s{k}"), r"\.+$", ""), F.lit("."))))
+    return out.select("sample_id", F.array_join(F.slice(F.array_compact(F.array(*lines)), 1, 2), " ").alias("details"))

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims, text
-from ..operators import align, narrative, reports, resume, segments, selection, support
+from ..operators import align, export, narrative, reports, resume, segments, selection, support
 from ..operators import evidence as ev
+from ..sources import files
 from . import adapters as ad
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -627,3 +628,68 @@ def final_caption(spark, d):
 @query(f"WITH {QA} SELECT conv_id, turn, trim(question) <> '' OR trim(answer) <> '' AS complete FROM qa")
 def complete_annotations(spark, d):
     return ad.questions(spark, d).select("conv_id", "turn", resume.has_text(F.col("question"), F.col("answer")).alias("complete"))
+
+
+# --- exports -------------------------------------------------------------------
+
+_SPLIT = f"sp AS (SELECT *, {_SENT.format('answer')} AS a, trim(question) AS q1, trim(answer) AS a1 FROM qa), pr AS (SELECT *, CASE WHEN q1 = '' THEN []::VARCHAR[] ELSE [q1] END AS q, CASE WHEN a1 = '' THEN []::VARCHAR[] ELSE [a1] END AS aa FROM sp), ex AS (SELECT *, unnest(range(1, greatest(len(q), len(aa)) + 1)) AS pair_index FROM pr)"
+
+
+def _unit_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = ad.questions(spark, d).filter(~F.concat_ws(" ", "question", "answer").rlike(r"[0-9?]"))
+    modality = F.element_at(F.array(*map(F.lit, dims.REASONING_ORDER)), (F.col("turn") % 5 + 1).cast("int"))
+    return rows.select(F.floor(F.col("conv_id") / 4).alias("sample_id"), "conv_id", "turn", modality.alias("modality"), F.col("category").alias("section"), F.col("question").alias("caption"), "question", "answer")
+
+
+@query(f"WITH {QA}, known(section, reasoning_group) AS (VALUES {_GROUP_ROWS}), u AS (SELECT conv_id // 4 AS sample_id, conv_id, turn, category AS section, question, answer FROM qa WHERE NOT regexp_matches(question || ' ' || answer, '[0-9?]') AND question <> ''), g AS (SELECT u.*, coalesce(reasoning_group, 'ungrouped') AS reasoning_group FROM u LEFT JOIN known USING (section)) SELECT sample_id, reasoning_group, row_number() OVER (PARTITION BY sample_id, reasoning_group ORDER BY conv_id, turn) - 1 AS source_unit_index, 1::BIGINT AS pair_index, md5(question) AS question_md5, md5(answer) AS answer_md5 FROM g")
+def grouped_export(spark, d):
+    out = export.grouped_pairs(_unit_rows(spark, d), ["conv_id", "turn"])
+    return out.select("sample_id", "reasoning_group", F.col("source_unit_index").cast("long").alias("source_unit_index"), F.col("pair_index").cast("long").alias("pair_index"), F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
+
+
+@query(f"WITH {QA}, known(section, reasoning_group) AS (VALUES {_GROUP_ROWS}), u AS (SELECT conv_id // 4 AS sample_id, {ad.quoted(dims.REASONING_ORDER)}[turn % 5 + 1] AS modality, category AS section FROM qa WHERE question <> '' AND NOT regexp_matches(question || ' ' || answer, '[0-9?]')), c AS (SELECT sample_id, coalesce(reasoning_group, 'ungrouped') AS reasoning_group, modality, count(*) AS n FROM u LEFT JOIN known USING (section) GROUP BY 1, 2, 3), grid AS (SELECT sample_id, g AS reasoning_group, m AS modality FROM (SELECT DISTINCT sample_id FROM u), (SELECT unnest({ad.quoted(dims.GROUPS)}) AS g), (SELECT unnest({ad.quoted(dims.REASONING_ORDER)}) AS m)) SELECT sample_id, reasoning_group, modality, coalesce(n, 0) AS n FROM grid LEFT JOIN c USING (sample_id, reasoning_group, modality)")
+def export_cells(spark, d):
+    units = _unit_rows(spark, d).filter("caption <> ''")
+    counts = export.grouped_pairs(units, ["conv_id", "turn"]).groupBy("sample_id", "reasoning_group", "modality").agg(F.count("*").alias("n"))
+    return export.every_cell(counts, units)
+
+
+@query(f"WITH {QA} SELECT conv_id::VARCHAR AS segment_id, 'clip' || conv_id AS file_name, coalesce(l.quality::VARCHAR, '') AS task_label, 1::BIGINT AS pair_index, category AS section, md5(question) AS question_md5 FROM qa LEFT JOIN labels l ON l.doc_id = qa.conv_id WHERE NOT regexp_matches(question || ' ' || answer, '[0-9?]') AND (question <> '' OR answer <> '')")
+def segment_report_rows(spark, d):
+    rows = _unit_rows(spark, d).withColumn("segment_id", F.col("conv_id"))
+    meta = ad.table(spark, d, "labels").select(F.col("doc_id").alias("segment_id"), F.col("quality").cast("string").alias("task_label"))
+    pairs = export.split_units(export.with_metadata(rows, meta, "segment_id", ["task_label"]), ["segment_id"])
+    out = export.segment_rows(pairs.withColumn("file_name", F.concat(F.lit("clip"), F.col("segment_id").cast("string"))))
+    return out.select(F.col("segment_id").cast("string").alias("segment_id"), "file_name", F.coalesce("task_label", F.lit("")).alias("task_label"), F.col("pair_index").cast("long").alias("pair_index"), "section", F.md5("question").alias("question_md5"))
+
+
+@query("WITH n AS (SELECT p_partkey, (p_size * 7)::BIGINT AS c FROM part), x AS (SELECT p_partkey, c, list_sort(list_distinct([least(c - 1, round_even((c - 1) * i / 4.0, 0)::BIGINT) for i in [0, 1, 2, 3, 4]])) AS f FROM n) SELECT p_partkey, array_to_string(f, ',') AS frames FROM x")
+def frame_sampling(spark, d):
+    p = ad.table(spark, d, "part").select("p_partkey", (F.col("p_size") * 7).cast("long").alias("c"))
+    return p.select("p_partkey", F.array_join(F.transform(files.sampled_indices(F.col("c")), lambda x: x.cast("string")), ",").alias("frames"))
+
+
+def _plain_score(section: str) -> str:
+    base = case("modality", {m: f"{w}::DOUBLE" for m, w in zip(dims.FUSION_ORDER, dims.ROUTE_WEIGHTS[section], strict=True)}, "0.3::DOUBLE")
+    hints = "|".join(dims.ROUTE_HINTS[section])
+    return f"round({base} + 0.6::DOUBLE + (CASE WHEN regexp_matches(category, '^({hints})') THEN 0.35 WHEN regexp_matches(category, '{hints}') THEN 0.25 ELSE 0.0 END)::DOUBLE + least(0.45::DOUBLE, len(list_intersect(tokens, {ad.quoted(dims.ROUTE_KEYWORDS[section])}))::DOUBLE * 0.08::DOUBLE), 9)"
+
+
+@query(f"WITH {EV}, sc AS (SELECT sample_id, evidence_id, modality, tokens, {_plain_score('motion_and_event_cues')} AS score FROM tok WHERE len(list_intersect(tokens, {ad.quoted(dims.ROUTE_KEYWORDS['motion_and_event_cues'])})) > 0 OR regexp_matches(category, 'dynamic|action|scene_sequence|event_scene')), fo AS (SELECT sample_id, {_fold(0.7, 'score DESC, evidence_id')} AS kept FROM sc WHERE score > 0.45 GROUP BY sample_id), ids AS (SELECT sample_id, unnest(list_transform(kept, lambda x: x.evidence_id)) AS evidence_id, generate_subscripts(kept, 1) AS pos FROM fo), pref AS (SELECT ids.*, modality IN ('event', 'rgb', 'ir') AS p FROM ids JOIN evidence USING (sample_id, evidence_id)), used AS (SELECT *, bool_or(p) OVER (PARTITION BY sample_id) AS any_ FROM pref), rk AS (SELECT sample_id, evidence_id, row_number() OVER (PARTITION BY sample_id ORDER BY pos) AS rank FROM used WHERE p OR NOT any_) SELECT * FROM rk WHERE rank <= 2")
+def select_sentences(spark, d):
+    rows = ad.with_tokens(ad.evidence(spark, d)).withColumn("reliability", F.lit(1.0)).withColumn("support_score", F.lit(0.0))
+    return narrative.selected_sentences(rows, "motion_and_event_cues", 2).select("sample_id", "evidence_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def cross_modal_details(spark, d):
+    rows = ad.with_tokens(ad.evidence(spark, d)).withColumn("support_score", F.lit(0.0)).withColumn("sentence", F.col("caption"))
+    rows = rows.join(support.reliability(rows), ["sample_id", "modality"])
+    return narrative.cross_modal_details(rows)
+
+
+@query()
+def fused_report_rows(spark, d):
+    rows = gated_rows(spark, d).filter("keep").select(F.col("sample_id").cast("string").alias("sample_key"), "section", "category", F.col("category").alias("annotation_key"), F.col("modality").alias("source_modality"), F.col("score").alias("fusion_score"), "support_score", F.col("lexical_score").alias("lexical_support_score"), F.col("supporting").alias("supporting_modalities"), F.col("reliability").alias("modality_reliability"), F.col("reason").alias("selection_reason"), F.col("gate").alias("reliability_gate"), "sections")
+    review = F.col("reliability_gate") == "review_recommended"
+    return export.fused_rows(rows.filter(~review), rows.filter(review))

@@ -96,6 +96,42 @@ def preferred_audio(files: DataFrame) -> DataFrame:
     return both.select("pair", F.coalesce("night", "day").alias("path")).filter("path is not null")
 
 
+# MIME types by extension; others count as video/mp4.
+MIME = {"mp4": "video/mp4", "avi": "video/x-msvideo", "mov": "video/quicktime", "mkv": "video/x-matroska", "webm": "video/webm", "wav": "audio/wav", "mp3": "audio/mpeg", "m4a": "audio/mp4", "flac": "audio/flac", "ogg": "audio/ogg", "aac": "audio/aac", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg"}
+
+
+def mime_type(extension: Column) -> Column:
+    out = F.lit("video/mp4")
+    for k, v in MIME.items():
+        out = F.when(F.lower(extension) == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def frame_index(path: Column) -> Column:
+    """The number after frame_ in a file name; null without."""
+    return F.nullif(F.regexp_extract(path, r"frame_([0-9]+)", 1), F.lit("")).try_cast("int")
+
+
+def cached_frames(files: DataFrame) -> DataFrame:
+    """pair, side, frames (paths in order) of cached frames: pair/side/frame or pair_side_modality/frame."""
+    nested = F.regexp_extract(F.lower("folder"), "/([^/]+)/(day|night)$", 1)
+    flat = F.regexp_extract(F.lower("folder"), f"/([^/]+?)_(day|night)(?:_(?:{text.MODALITY}))?$", 1)
+    side = F.coalesce(F.nullif(F.regexp_extract(F.lower("folder"), "/(day|night)$", 1), F.lit("")), F.nullif(F.regexp_extract(F.lower("folder"), f"_(day|night)(?:_(?:{text.MODALITY}))?$", 1), F.lit("")))
+    rows = files.filter(F.col("extension").isin("png", "jpg", "jpeg")).select(F.coalesce(F.nullif(nested, F.lit("")), F.nullif(flat, F.lit(""))).alias("pair"), side.alias("side"), frame_index(F.col("stem")).alias("n"), "path")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(-1)).alias("n"), "path"))), lambda x: x["path"])
+    return rows.filter("pair is not null").groupBy("pair", "side").agg(ordered.alias("frames"))
+
+
+def sampled_indices(count: Column, most: int = 5) -> Column:
+    """Evenly spread frame numbers from the first to the last, each once; none of an empty recording."""
+    last = count - 1
+    if most <= 1:
+        picks = F.array(F.lit(0).cast("long"))
+    else:
+        picks = F.array_sort(F.array_distinct(F.array(*[F.least(last, F.bround(last * i / (most - 1)).cast("long")) for i in range(most)])))
+    return F.when(count > 0, picks).otherwise(F.array().cast("array<bigint>"))
+
+
 def write_rows(rows: DataFrame, path: str) -> None:
     """CSV with a header, one folder."""
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
