@@ -104,3 +104,9 @@ def modality_weight(profile: Column, modality: Column) -> Column:
         for m, x in zip(dims.FUSION_ORDER, w, strict=True):
             out = F.when((profile == p) & (modality == m), F.lit(x)).otherwise(out)
     return out
+
+
+def best_visual(reliabilities: DataFrame) -> DataFrame:
+    """sample_id, best_visual: rgb if there is one, else the most reliable of ir and depth."""
+    rank = F.struct((F.col("modality") == "rgb").alias("rgb"), F.round("reliability", 9).alias("r"), (-dims.display_rank(F.col("modality"))).alias("o"))
+    return reliabilities.filter(F.col("modality").isin("rgb", "ir", "depth")).groupBy("sample_id").agg(F.max_by("modality", rank).alias("best_visual"))

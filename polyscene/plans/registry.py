@@ -486,10 +486,13 @@ def segment_clamp(spark, d):
     return rows.select(seg.alias("segment_id"), "s.label", "s.start", "s.end", "s.confidence")
 
 
-@query()
+_MERGE = "list_reduce(list([{'s': start, 'e': \"end\"}] ORDER BY ord), lambda acc, x: CASE WHEN acc[-1].e - acc[-1].s < 15 OR x[1].e - x[1].s < 15 THEN list_concat(acc[:-2], [{'s': acc[-1].s, 'e': x[1].e}]) ELSE list_concat(acc, x) END)"
+
+
+@query(f"WITH {RECORDINGS}, m AS (SELECT user_id, {_MERGE} AS m FROM recordings WHERE \"end\" > start GROUP BY user_id), u AS (SELECT user_id, unnest(m) AS k, generate_subscripts(m, 1) AS n FROM m) SELECT user_id, n, k.s AS start, k.e AS \"end\" FROM u")
 def segment_merge(spark, d):
     rows = _segmented(spark, d).select("user_id", segments.merged(F.col("segments")).alias("segments"))
-    return rows.select("user_id", F.posexplode("segments").alias("pos", "s")).select("user_id", (F.col("pos") + 1).alias("n"), "s.label", "s.start", "s.end", "s.confidence")
+    return rows.select("user_id", F.posexplode("segments").alias("pos", "s")).select("user_id", (F.col("pos") + 1).cast("long").alias("n"), "s.start", "s.end")
 
 
 @query(f"WITH {RECORDINGS}, p AS (SELECT user_id, event_id, round((epoch(ts) - min(epoch(ts)) OVER (PARTITION BY user_id)) / 3600, 3) AS at FROM events), s AS (SELECT user_id, ord, start, \"end\" FROM recordings WHERE label = 'view') SELECT p.event_id, s.ord FROM p JOIN s ON p.user_id = s.user_id AND s.start <= p.at AND p.at < s.\"end\"")
@@ -693,3 +696,43 @@ def fused_report_rows(spark, d):
     rows = gated_rows(spark, d).filter("keep").select(F.col("sample_id").cast("string").alias("sample_key"), "section", "category", F.col("category").alias("annotation_key"), F.col("modality").alias("source_modality"), F.col("score").alias("fusion_score"), "support_score", F.col("lexical_score").alias("lexical_support_score"), F.col("supporting").alias("supporting_modalities"), F.col("reliability").alias("modality_reliability"), F.col("reason").alias("selection_reason"), F.col("gate").alias("reliability_gate"), "sections")
     review = F.col("reliability_gate") == "review_recommended"
     return export.fused_rows(rows.filter(~review), rows.filter(review))
+
+
+# --- samples -------------------------------------------------------------------
+
+
+@query(f"WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY sample_id, modality ORDER BY evidence_id DESC) AS n FROM evidence) SELECT sample_id, modality, evidence_id FROM r WHERE n = 1")
+def group_samples(spark, d):
+    return ev.keep_last(ad.evidence(spark, d), ["sample_id", "modality"], ["evidence_id"]).select("sample_id", "modality", "evidence_id")
+
+
+_CATEGORY_ROWS = ", ".join(f"('{c}')" for c in dims.CATEGORY_NAMES)
+
+
+@query(f"WITH {EV}, every(category) AS (VALUES {_CATEGORY_ROWS}), s AS (SELECT DISTINCT sample_id FROM evidence), one AS (SELECT sample_id, category, min(evidence_id) AS id FROM evidence GROUP BY 1, 2) SELECT s.sample_id, every.category, md5(coalesce(e.caption, '')) AS caption_md5 FROM s CROSS JOIN every LEFT JOIN one ON one.sample_id = s.sample_id AND one.category = every.category LEFT JOIN evidence e ON e.evidence_id = one.id")
+def fill_categories(spark, d):
+    rows = ad.evidence(spark, d)
+    first = rows.groupBy("sample_id", "category").agg(F.min_by("caption", "evidence_id").alias("caption")).select("*", F.lit("").alias("question"), F.lit("").alias("answer"))
+    grid = ev.fill_categories(first, rows, dims.category_table(spark), ["sample_id"])
+    return grid.select("sample_id", "category", F.md5("caption").alias("caption_md5"))
+
+
+@query(f"WITH {EV}, {_WORDS}, v AS (SELECT *, {case('modality', dims.DISPLAY_ORDER, '99')} AS r FROM rel WHERE modality IN ('rgb', 'ir', 'depth')), o AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY (CASE WHEN modality = 'rgb' THEN 0 ELSE 1 END), round(reliability, 9) DESC, r) AS n FROM v) SELECT sample_id, modality AS best_visual FROM o WHERE n = 1")
+def best_visual_modality(spark, d):
+    rel = support.reliability(ad.with_tokens(ad.evidence(spark, d)))
+    return support.best_visual(rel).select("sample_id", "best_visual")
+
+
+@query("SELECT p_partkey, CASE WHEN x IN ('', 'semantic task') THEN CASE WHEN y <> '' THEN y ELSE x END WHEN y IN ('', 'semantic task') OR x = y THEN x ELSE x || ' / ' || y END AS label FROM (SELECT p_partkey, lower(trim(CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'Semantic Task' ELSE p_type END)) AS x, lower(trim(CASE p_size % 3 WHEN 0 THEN ' ' WHEN 1 THEN p_type ELSE p_brand END)) AS y FROM part)")
+def combined_labels(spark, d):
+    n = F.col("p_size")
+    a = F.when(n % 4 == 0, "").when(n % 4 == 1, "Semantic Task").otherwise(F.col("p_type"))
+    b = F.when(n % 3 == 0, " ").when(n % 3 == 1, F.col("p_type")).otherwise(F.col("p_brand"))
+    return ad.table(spark, d, "part").select("p_partkey", segments.combined_labels(a, b).alias("label"))
+
+
+@query(f"WITH {PAIRS}, {_RELATED}, {_WORDS} SELECT sample_id, modality, round(max(reliability), 3) AS reliability, count(*) AS n, count(*) FILTER (WHERE support_score >= {dims.SUPPORTING}) AS supported FROM supported JOIN rel USING (sample_id, modality) GROUP BY 1, 2")
+def modality_reliability_max(spark, d):
+    rows = ad.with_tokens(ad.evidence(spark, d))
+    scored = support.support(rows, support.pairs(rows)).join(support.reliability(rows), ["sample_id", "modality"])
+    return scored.groupBy("sample_id", "modality").agg(F.round(F.max("reliability"), 3).alias("reliability"), F.count("*").alias("n"), F.count_if(F.col("support_score") >= dims.SUPPORTING).alias("supported"))
