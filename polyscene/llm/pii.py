@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 from .spans import kinds_of, listed, masked, matches
 
 #: Fixed patterns, rewritten to be linear-time; the same leftmost non-overlapping matches.
@@ -105,13 +105,19 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every span of their texts replaced by its kind in brackets; n_chars follows the text."""
-    kept = stored(docs.select(F.monotonically_increasing_id().alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), "rows")
-    found = extracted(kept, F.col("_id"), F.col("_row.text")).filter((F.size("base") > 0) | (F.size("more") > 0))
-    marks = found.select(F.col("doc_id").alias("_id"), F.array_sort(F.concat("base", "more")).alias("_spans"))
-    rows = kept.join(marks, "_id", "left").select("_row.*", F.col("_spans"))
-    text = masked(F.col("text"), F.col("_spans"))
-    rows = rows.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(text))
+    """The documents with every span of their texts replaced by its kind in brackets; n_chars follows the text.
+
+    Spans return to their rows by two hashes of id and text, which stay the same however the rows are read
+    again; rows alike in both have the same spans. The join is a merge at every size, as the texts are its
+    larger side and the spans have no bound.
+    """
+    key = [F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "text", "doc_id")]
+    k1, k2, mark = fresh(docs, "_k1", "_k2", "_spans")
+    found = extracted(docs, F.struct(key[0].alias("a"), key[1].alias("b")), F.col("text")).filter((F.size("base") > 0) | (F.size("more") > 0))
+    marks = found.select(F.col("doc_id.a").alias(k1), F.col("doc_id.b").alias(k2), F.array_sort(F.concat("base", "more")).alias(mark)).dropDuplicates([k1, k2])
+    rows = docs.withColumns({k1: key[0], k2: key[1]}).join(marks.hint("merge"), [k1, k2], "left")
+    text = F.when(F.col(mark).isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col(mark)))
+    rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        rows = rows.withColumn("n_chars", F.when(F.col(mark).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return rows.select(docs.columns)
