@@ -31,7 +31,7 @@ from .common import map_texts, ship, texts_of
 #: Words in the broadcast table.
 TABLE = 250_000
 #: Distinct words held in a task, before they are handed on or forgotten.
-HELD = 400_000
+HELD = 150_000
 #: The split of byte-level pre-tokenizers in terms of the re module; where a character's class differs
 #: between re and the library, odd_characters() finds it and the library splits the text.
 SPLIT = r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]+|_+)+|\s+(?!\S)|\s+"

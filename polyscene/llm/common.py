@@ -14,11 +14,12 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a Python worker.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 #: A-Z to a-z; every ASCII byte that is not a letter or digit becomes a space.
 #: On UTF-8 this splits like [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ on lower-cased text.
@@ -117,11 +118,11 @@ def map_texts(
     def run(batches):
         work = make()
         for batch in batches:
-            texts = texts_of(batch.column(n))
-            for a, b in slices([len(t or b"") for t in texts], most):
+            text = batch.column(n)
+            for a, b in slices(pc.fill_null(pc.binary_length(text), 0).to_pylist(), most):
                 new = [
                     x if isinstance(x, pa.Array) else pa.array(x, type=kind)
-                    for x, kind in zip(work(texts[a:b]), kinds, strict=True)
+                    for x, kind in zip(work(texts_of(text.slice(a, b - a))), kinds, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(n)] + new, names)
 
