@@ -21,8 +21,6 @@ than every other and names a component only if the component has no other id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -196,36 +194,44 @@ class Forest:
             np.minimum.at(self.root, b, a)
 
 
-def _compared(stored_: np.ndarray, visitors: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A spanning forest of the links among stored fingerprints and between them and each run of visitors."""
+def _forest(stored_: np.ndarray) -> np.ndarray:
+    """The root of each stored fingerprint by the links among them."""
     forest = Forest(len(stored_))
     for a in range(0, len(stored_), 256):
         i, j = np.nonzero(np.bitwise_count(stored_[a : a + 256, None] ^ stored_[None, a:]) <= DISTANCE)
         forest.join(i + a, j + a)
-    root = forest.roots(np.arange(len(stored_)))
-    own = np.flatnonzero(root != np.arange(len(stored_)))
-    yield stored_[root[own]], stored_[own]
-    for v in visitors:
-        for a in range(0, len(v), 256):
-            w = v[a : a + 256]
-            i, j = np.nonzero(np.bitwise_count(w[:, None] ^ stored_[None]) <= DISTANCE)
-            if len(i):  # one link to each of the leaf's components is enough
-                pair = np.unique(np.stack([i, root[j]]), axis=1)
-                yield w[pair[0]], stored_[pair[1]]
+    return forest.roots(np.arange(len(stored_)))
+
+
+def _visited(stored_: np.ndarray, root: np.ndarray, visitors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One link from each visitor to each of the shard's components that it is near."""
+    left, right = [visitors[:0]], [visitors[:0]]
+    for a in range(0, len(visitors) if len(stored_) else 0, 256):
+        w = visitors[a : a + 256]
+        i, j = np.nonzero(np.bitwise_count(w[:, None] ^ stored_[None]) <= DISTANCE)
+        if len(i):
+            pair = np.unique(np.stack([i, root[j]]), axis=1)
+            left.append(w[pair[0]])
+            right.append(stored_[pair[1]])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _links(batches):
-    """Batches sorted by tree, leaf, part, visits: the stored fingerprints of a shard come before its visitors."""
-    key, held, seen = None, [], []
+    """Batches sorted by tree, leaf, part, visits: a shard's stored fingerprints come before its visitors, which stream by."""
+    key, held, shard, root = None, [], None, None
 
     def close():
-        if held:
-            yield from _compared(np.concatenate(held), iter(seen))
+        """Compare what the shard stores, once all of it is there."""
+        nonlocal held, shard, root
+        shard = np.concatenate(held) if held else np.zeros(0, np.uint64)
+        held, root = [], _forest(shard)
+        own = np.flatnonzero(root != np.arange(len(shard)))
+        return shard[root[own]], shard[own]
 
     def out(found):
-        for a, b in found:
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        a, b = found
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     for batch in batches:
         t, leaf, part, visits = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
@@ -236,11 +242,16 @@ def _links(batches):
         for a, b in zip([0, *breaks], [*breaks, len(fps)]):
             now = (t[a], leaf[a], part[a])
             if now != key:
-                yield from out(close())
-                key, held, seen = now, [], []
-            held += [fps[a:b][~visits[a:b]]]
-            seen += [fps[a:b][visits[a:b]]]
-    yield from out(close())
+                if shard is None and key is not None:
+                    yield from out(close())
+                key, held, shard = now, [], None
+            held.append(fps[a:b][~visits[a:b]])
+            if len(come := fps[a:b][visits[a:b]]):
+                if shard is None:
+                    yield from out(close())
+                yield from out(_visited(shard, root, come))
+    if key is not None and shard is None:
+        yield from out(close())
 
 
 def links(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
@@ -299,11 +310,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least doc_id; rows with a null doc_id stay."""
+    """One document of each component, the one with the least doc_id; rows with a null doc_id stay.
+
+    The ids that go have no bound, so they are merged with the documents at every size.
+    """
     ids = stored(classes(docs).select("doc_id", "component_id"), "classes")
     gone = ids.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
     again = ids.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+        return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     once = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(gone.union(again), "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    return docs.join(gone.union(again).hint("merge"), "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
