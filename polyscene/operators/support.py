@@ -13,11 +13,16 @@ from ..functions import dims, text
 
 
 def pairs(evidence: DataFrame) -> DataFrame:
-    """Ordered pairs of different modalities of a sample, with the Jaccard score of their tokens."""
+    """Ordered pairs of different modalities of a sample, with the Jaccard score of their tokens.
+
+    The score is the same either way, so it is computed once for each two rows and the row is turned round after.
+    """
     other = evidence.select("sample_id", *[F.col(c).alias(f"other_{c}") for c in ("evidence_id", "modality", "tokens")])
-    both = evidence.select("sample_id", "evidence_id", "modality", "tokens").join(other, "sample_id").filter("modality <> other_modality")
-    score = text.jaccard(F.col("tokens"), F.col("other_tokens"))
-    return both.select("sample_id", "evidence_id", "modality", "other_evidence_id", "other_modality", score.alias("score"))
+    both = evidence.select("sample_id", "evidence_id", "modality", "tokens").join(other, "sample_id").filter("evidence_id < other_evidence_id and modality <> other_modality")
+    scored = both.select("sample_id", "evidence_id", "modality", "other_evidence_id", "other_modality", text.jaccard(F.col("tokens"), F.col("other_tokens")).alias("score"))
+    way = lambda a, b: F.struct(*[F.col(f"{p}{c}").alias(f"{q}{c}") for p, q in ((a, ""), (b, "other_")) for c in ("evidence_id", "modality")])
+    turned = scored.select("sample_id", "score", F.explode(F.array(way("", "other_"), way("other_", ""))).alias("p"))
+    return turned.select("sample_id", "p.evidence_id", "p.modality", "p.other_evidence_id", "p.other_modality", "score")
 
 
 def best_match(scored: DataFrame) -> DataFrame:
@@ -41,14 +46,14 @@ def reliability(evidence: DataFrame) -> DataFrame:
     return out.select("sample_id", "modality", F.when(F.col("overlap").isNull(), F.lit(1.0)).otherwise(score).alias("reliability"))
 
 
-def relations(evidence: DataFrame, scored: DataFrame) -> DataFrame:
-    """evidence_id, other_modality, score (3 places), relation: how each best match supports its evidence.
+def relations(evidence: DataFrame, best: DataFrame) -> DataFrame:
+    """evidence_id, other_modality, raw, score (3 places), relation: how each best match supports its evidence.
 
     evidence: evidence_id, category, and question and answer if there are any.
     """
     rated = dims.with_category(evidence.select("evidence_id", "category", *_said(evidence)))
     other = evidence.select(F.col("evidence_id").alias("other_evidence_id"), *[c.alias(f"o_{n}") for n, c in zip(("question", "said"), _said(evidence), strict=True)])
-    rows = best_match(scored).join(rated, "evidence_id").join(other, "other_evidence_id")
+    rows = best.join(rated, "evidence_id").join(other, "other_evidence_id")
     prof = F.broadcast(dims.profile_table(evidence.sparkSession).withColumnRenamed("modality", "other_modality"))  # a literal table
     rows = rows.join(prof, ["profile", "other_modality"], "left")
     clash = F.lit(False)
@@ -56,7 +61,7 @@ def relations(evidence: DataFrame, scored: DataFrame) -> DataFrame:
         clash = clash | text.conflict(f(F.col("said")), f(F.col("o_said")))
     same = text.jaccard(text.tokens(F.col("question")), text.tokens(F.col("o_question"))) >= 0.45
     relation = F.when(clash & (F.col("score") >= 0.7) & same, F.lit("conflict")).when(F.col("direct"), F.lit("direct_support")).when(F.col("complementary"), F.lit("complementary_support")).otherwise("weak_or_irrelevant")
-    return rows.select("sample_id", "evidence_id", "modality", "other_modality", F.round("score", 3).alias("score"), relation.alias("relation"))
+    return rows.select("sample_id", "evidence_id", "modality", "other_modality", F.col("score").alias("raw"), F.round("score", 3).alias("score"), relation.alias("relation"))
 
 
 def _said(evidence: DataFrame) -> list[Column]:
@@ -66,7 +71,7 @@ def _said(evidence: DataFrame) -> list[Column]:
 
 def support(evidence: DataFrame, scored: DataFrame) -> DataFrame:
     """Per evidence: lexical and support score, and the modalities of each relation, best first."""
-    related = relations(evidence, scored)
+    related = relations(evidence, best_match(scored))
     top = lambda name: F.coalesce(F.max(F.when(F.col("relation") == name, F.col("score"))), F.lit(0.0))
 
     def listed(name: str, least: float) -> Column:
@@ -75,14 +80,14 @@ def support(evidence: DataFrame, scored: DataFrame) -> DataFrame:
         return F.array_join(F.transform(F.array_sort(kept), lambda x: x["m"]), ",")
 
     out = related.groupBy("evidence_id").agg(
+        F.max("raw").alias("lexical_score"),  # the best of all is the best of some modality
         F.greatest(top("direct_support"), 0.5 * top("complementary_support")).alias("support_score"),
         listed("direct_support", dims.SUPPORTING).alias("supporting"),
         listed("complementary_support", dims.SUPPORTING).alias("complementary"),
         listed("conflict", dims.MIN_SUPPORT).alias("conflicting"),
         listed("weak_or_irrelevant", dims.MIN_SUPPORT).alias("weak"),
     )
-    lexical = scored.groupBy("evidence_id").agg(F.max("score").alias("lexical_score"))
-    out = evidence.select("sample_id", "evidence_id", "modality", "category").join(lexical, "evidence_id", "left").join(out, "evidence_id", "left")
+    out = evidence.select("sample_id", "evidence_id", "modality", "category").join(out, "evidence_id", "left")
     none = F.lit("")
     return out.select("sample_id", "evidence_id", "modality", "category", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("lexical_score", "support_score")], *[F.coalesce(c, none).alias(c) for c in ("supporting", "complementary", "conflicting", "weak")])
 
