@@ -64,3 +64,15 @@ def merged_samples(units: DataFrame) -> DataFrame:
     keys = keys.groupBy("sample_id").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "modality", "key"))), lambda x: F.struct(x["modality"], x["key"]))).alias("source_keys"))
     lists = rows.filter(F.trim("caption") != "").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("_rank", "section", "ord", "modality", "caption"))).alias("units"))
     return keys.join(lists, "sample_id", "left").withColumn("units", F.coalesce("units", F.array().cast("array<struct<_rank:int,section:string,ord:bigint,modality:string,caption:string>>")))
+
+
+#: Audio annotations that carry a caption alone.
+CAPTION_ONLY = ["audio_hia", "audio_chronological_caption"]
+
+
+def nested_audio(sections: Column) -> Column:
+    """captions (of the caption-only sections) and categories (all others) of a flat map of audio sections."""
+    return F.struct(
+        F.map_filter(sections, lambda k, _: k.isin(CAPTION_ONLY)).alias("captions"),
+        F.map_filter(sections, lambda k, _: ~k.isin(CAPTION_ONLY)).alias("categories"),
+    )

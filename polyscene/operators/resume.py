@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dims
+
+# Texts of placeholder annotations.
+PLACEHOLDERS = ["Demo caption", "Demo question?", "Demo answer"]
+
 
 def has_text(*fields: Column) -> Column:
     """Whether any field has a character that is not white space."""
@@ -38,3 +43,40 @@ def work_estimate(jobs: DataFrame, done: DataFrame, key: list[str], manifest: st
     left = jobs.join(done.select(*key).withColumn("_done", F.lit(True)), key, "left")
     open_ = F.col("_done").isNull()
     return left.agg(F.count("*").alias("total"), F.count_if(open_).alias("pending"), F.count_if(~open_).alias("skipped"), F.countDistinct(F.when(open_, F.col(manifest))).alias("manifests"), F.sum(F.when(open_, calls).otherwise(0)).alias("calls"))
+
+
+def leaves(annotations: Column) -> Column:
+    """All trimmed texts of a map of category to caption, question and answer."""
+    values = F.flatten(F.transform(F.map_values(annotations), lambda a: F.array(a["caption"], a["question"], a["answer"])))
+    return F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: F.coalesce(v != "", F.lit(False)))
+
+
+def complete(annotations: Column, trial: bool = False) -> Column:
+    """Whether annotations hold text that is not all placeholders; a trial run takes placeholders too."""
+    said = F.coalesce(leaves(annotations), F.array().cast("array<string>"))
+    real = F.lit(True) if trial else ~F.forall(said, lambda v: v.isin(PLACEHOLDERS))
+    return (F.size(said) > 0) & real
+
+
+def chosen_modalities(names: list[str] | None) -> list[str]:
+    """Lower-case names, each once, in order; all of them for None or `all`; an error for an unknown or empty choice."""
+    every = [m for m in dims.REASONING_ORDER]
+    if names is None:
+        return every
+    clean = [n for n in (str(x).strip().lower() for x in names) if n]
+    if "all" in clean:
+        return every
+    if not clean or any(n not in every for n in clean):
+        raise ValueError(f"modalities are some of {', '.join(every)}")
+    return list(dict.fromkeys(clean))
+
+
+def by_manifest(jobs: DataFrame, manifest: str, order: str) -> DataFrame:
+    """manifest, jobs: the jobs of each manifest in order, so that one call can serve them all."""
+    fields = [c for c in jobs.columns if c != manifest]
+    return jobs.groupBy(manifest).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in fields if c != order]))).alias("jobs"))  # within one recording
+
+
+def response_of(responses: Column, segment_id: Column, job_key: Column, kind: str) -> Column:
+    """A batch's answer for a segment, looked up by its id, then by its job's key, else an empty one."""
+    return F.coalesce(F.try_element_at(responses, segment_id), F.try_element_at(responses, job_key), F.from_json(F.lit("{}"), kind))

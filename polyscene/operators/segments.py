@@ -78,3 +78,18 @@ def points_in(points: DataFrame, intervals: DataFrame, key: str, at: str, width:
     bucket = lambda c: F.floor(c / width)
     cut = intervals.filter("end > start").withColumn("_b", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("end")))))
     return points.withColumn("_b", bucket(F.col(at))).join(cut, [key, "_b"]).filter((F.col("start") <= F.col(at)) & (F.col(at) < F.col("end"))).drop("_b")
+
+
+def payload(annotations: Column) -> Column:
+    """A segment's fields and annotations as one record; absent annotations are an empty map."""
+    fields = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("segment_id", "task_label", "start_timestamp", "end_timestamp")]
+    times = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("start_seconds", "end_seconds")]
+    none = F.from_json(F.lit("{}"), "map<string, struct<caption: string, question: string, answer: string>>")
+    return F.struct(F.struct(*fields, *times).alias("segment"), F.coalesce(annotations, none).alias("annotations"))
+
+
+def with_frames(jobs: DataFrame, frames: DataFrame, fps: float, width: float = 60.0) -> DataFrame:
+    """jobs with the paths of their frames in order; jobs without a frame go. jobs: recording, segment_id, start, end; frames: recording, idx, path."""
+    found = points_in(frames.withColumn("_at", F.col("idx") / fps), jobs.select("recording", "segment_id", "start", "end"), "recording", "_at", width)
+    lists = found.groupBy("recording", "segment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "path"))), lambda x: x["path"]).alias("frames"))  # within one segment
+    return jobs.join(lists, ["recording", "segment_id"])

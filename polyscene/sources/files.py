@@ -122,6 +122,30 @@ def cached_frames(files: DataFrame) -> DataFrame:
     return rows.filter("pair is not null").groupBy("pair", "side").agg(ordered.alias("frames"))
 
 
+def frame_folders(files: DataFrame, modality: str | None = None, side: str | None = None) -> DataFrame:
+    """Names of the folders that hold frames, in order; of a modality and side, if given."""
+    name = F.element_at(F.split("folder", "/"), -1)
+    rows = files.filter(F.col("extension").isin("png", "jpg", "jpeg")).select(name.alias("name"), "folder").distinct()
+    low = F.lower("name")
+    if modality:
+        rows = rows.filter(low.rlike(f"(^|_){modality}(_|$)"))
+    if side:
+        rows = rows.filter(low.contains(side))
+    return rows.orderBy("name", "folder")
+
+
+def rgb_recordings(files: DataFrame) -> DataFrame:
+    """pair, side, path: the first RGB recording of each pair and side, those with sound apart."""
+    low = F.lower("stem")
+    rows = files.filter(F.col("extension").isin(VIDEO) & low.endswith("_rgb") & ~low.contains("with_audio")).select(text.pair_key(F.regexp_replace("path", r"(?i)_rgb(\.[^.]*)$", "$1")).alias("pair"), side_of(F.col("stem")).alias("side"), "path")
+    return rows.groupBy("pair", "side").agg(F.min("path").alias("path"))
+
+
+def without_audio(recordings: DataFrame, audio: DataFrame) -> DataFrame:
+    """Pairs of recordings that no audio pair matches."""
+    return recordings.select("pair").distinct().join(audio.select("pair"), "pair", "left_anti")
+
+
 def sampled_indices(count: Column, most: int = 5) -> Column:
     """Evenly spread frame numbers from the first to the last, each once; none of an empty recording."""
     last = count - 1

@@ -122,3 +122,48 @@ def test_resume_and_reports(spark):
 def test_coalesced_keeps_given_nulls(spark):
     rows = spark.createDataFrame([(1, 0, ["x"], None, "n"), (1, 1, ["x", "y"], "b", "c")], "k int, o int, has array<string>, x string, y string")
     assert tuple(resume.coalesced(rows, "k", "o", ["x", "y"]).first()) == (1, None, "c")
+
+
+def test_completeness(spark):
+    kind = "k int, a map<string, struct<caption: string, question: string, answer: string>>"
+    rows = [(1, {"x": (" ", None, "")}), (2, {"x": ("Demo caption", "Demo question?", None)}), (3, {"x": ("Demo caption", "", ""), "y": ("real", "", "")}), (4, {}), (5, None)]
+    df = spark.createDataFrame(rows, kind)
+    assert [r["c"] for r in df.orderBy("k").select(resume.complete(F.col("a")).alias("c")).collect()] == [False, False, True, False, False]
+    assert [r["c"] for r in df.orderBy("k").select(resume.complete(F.col("a"), trial=True).alias("c")).collect()] == [False, True, True, False, False]
+
+
+def test_modality_choice():
+    assert resume.chosen_modalities(None) == resume.chosen_modalities(["IR", "all"]) == dims.REASONING_ORDER
+    assert resume.chosen_modalities([" IR", "rgb", "ir", ""]) == ["ir", "rgb"]
+    for bad in ([], [" "], ["smell"]):
+        try:
+            resume.chosen_modalities(bad)
+            raise AssertionError("no error")
+        except ValueError:
+            pass
+
+
+def test_batches_and_responses(spark):
+    jobs = spark.createDataFrame([("m", 2, "b"), ("m", 1, "a"), ("n", 1, "c")], "manifest string, pos int, id string")
+    got = {r["manifest"]: [j["id"] for j in r["jobs"]] for r in resume.by_manifest(jobs, "manifest", "pos").collect()}
+    assert got == {"m": ["a", "b"], "n": ["c"]}
+    kind = "struct<caption: string>"
+    df = spark.createDataFrame([({"s1": ("x",), "k2": ("y",)}, "s1", "k1"), ({"s1": ("x",), "k2": ("y",)}, "s2", "k2"), ({}, "s3", "k3")], f"m map<string, {kind}>, s string, k string")
+    out = [r["x"]["caption"] for r in df.select(resume.response_of(F.col("m"), F.col("s"), F.col("k"), kind).alias("x")).collect()]
+    assert out == ["x", "y", None]
+
+
+def test_audio_sections_nest(spark):
+    df = spark.createDataFrame([({"audio_hia": "h", "audio_counting": "c"},)], "m map<string, string>")
+    row = df.select(ev.nested_audio(F.col("m")).alias("x")).first()["x"]
+    assert (row["captions"], row["categories"]) == ({"audio_hia": "h"}, {"audio_counting": "c"})
+
+
+def test_payload_and_frames(spark):
+    kind = "recording string, segment_id string, task_label string, start double, end double, start_timestamp string, end_timestamp string, start_seconds double, end_seconds double, annotations map<string, struct<caption: string, question: string, answer: string>>"
+    jobs = spark.createDataFrame([("r", "a", None, 0.0, 2.0, "", "", 0.0, None, None), ("r", "b", "x", 50.0, 60.0, "", "", 50.0, 60.0, None)], kind)
+    frames = spark.createDataFrame([("r", i, f"f{i}") for i in (0, 10, 19, 20)], "recording string, idx int, path string")
+    got = segments.with_frames(jobs, frames, 10.0).collect()
+    assert [(r["segment_id"], r["frames"]) for r in got] == [("a", ["f0", "f10", "f19"])]
+    row = jobs.filter("segment_id = 'a'").select(segments.payload(F.col("annotations")).alias("p")).first()["p"]
+    assert row["segment"]["task_label"] == "" and row["segment"]["end_seconds"] == 0.0 and row["annotations"] == {}

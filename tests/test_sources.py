@@ -37,6 +37,20 @@ def test_media(spark, tmp_path):
     assert files.media_samples(found).count() == 2
 
 
+def test_recordings_and_folders(spark, tmp_path):
+    for n in ("v/run_day_rgb.mp4", "v/run_night_rgb.mp4", "v/walk_day_rgb.mp4", "v/run_day_with_audio_rgb.mp4", "c/run_night_ir/frame_1.png", "c/run_day_rgb/frame_1.png"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"x")
+    found = files.media(spark, str(tmp_path))
+    rgb = files.rgb_recordings(found)
+    got = sorted((r["pair"].rsplit("/", 1)[1], r["side"]) for r in rgb.collect())
+    assert got == [("run", "day"), ("run", "night"), ("walk", "day")]
+    audio = rgb.filter("pair like '%run'").select("pair").distinct()
+    assert [r["pair"].rsplit("/", 1)[1] for r in files.without_audio(rgb, audio).collect()] == ["walk"]
+    assert [r["name"] for r in files.frame_folders(found).collect()] == ["run_day_rgb", "run_night_ir"]
+    assert [r["name"] for r in files.frame_folders(found, "ir", "night").collect()] == ["run_night_ir"]
+
+
 def test_writers_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("a", 'x "q", y'), ("b", "z")], "k string, v string")
     files.write_rows(rows, str(tmp_path / "csv"))
