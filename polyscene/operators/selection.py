@@ -117,7 +117,7 @@ def deduplicated(items: DataFrame, keys: list[str], exact: bool = True, above: f
     """
     vector = F.col("vector") if cosine_from is not None else F.lit(None).cast("array<double>")
     one = F.struct(
-        (-F.col("score")).alias("far"), F.col("id").alias("id"), F.lower(text.clean(F.col("question"))).alias("q"), F.lower(text.clean(F.col("answer"))).alias("a"), F.col("tokens").alias("tokens"),
+        (-F.col("score")).alias("far"), F.col("id").alias("id"), F.lower(text.clean(F.col("question"))).alias("q"), F.lower(text.clean(F.col("answer"))).alias("a"), text.token_keys(F.col("tokens")).alias("tokens"),
         F.concat_ws(" ", "question", "answer").alias("said"), vector.cast("array<double>").alias("vector"),
     )
     ordered = items.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("all"))
@@ -135,7 +135,7 @@ def deduplicated(items: DataFrame, keys: list[str], exact: bool = True, above: f
         best = F.try_element_at(F.array_sort(F.transform(fits, lambda k: F.struct((-dot(k)).alias("far"), k["far"].alias("f"), k["id"].alias("id")))), F.lit(1))
         return F.when(F.size(fits) > 0, best["id"]).cast("bigint")
 
-    kind = "array<struct<far:double,id:bigint,q:string,a:string,tokens:array<string>,said:string,vector:array<double>>>"
+    kind = "array<struct<far:double,id:bigint,q:string,a:string,tokens:array<bigint>,said:string,vector:array<double>>>"
     done = "array<struct<id:bigint,outcome:string,duplicate_of:bigint>>"
     zero = F.struct(F.array().cast(kind).alias("kept"), F.array().cast(done).alias("done"))
 

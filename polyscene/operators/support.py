@@ -17,8 +17,9 @@ def pairs(evidence: DataFrame) -> DataFrame:
 
     The score is the same either way, so it is computed once for each two rows and the row is turned round after.
     """
-    other = evidence.select("sample_id", *[F.col(c).alias(f"other_{c}") for c in ("evidence_id", "modality", "tokens")])
-    both = evidence.select("sample_id", "evidence_id", "modality", "tokens").join(other, "sample_id").filter("evidence_id < other_evidence_id and modality <> other_modality")
+    rows = evidence.select("sample_id", "evidence_id", "modality", text.token_keys(F.col("tokens")).alias("tokens"))
+    other = rows.select("sample_id", *[F.col(c).alias(f"other_{c}") for c in ("evidence_id", "modality", "tokens")])
+    both = rows.join(other, "sample_id").filter("evidence_id < other_evidence_id and modality <> other_modality")
     scored = both.select("sample_id", "evidence_id", "modality", "other_evidence_id", "other_modality", text.jaccard(F.col("tokens"), F.col("other_tokens")).alias("score"))
     way = lambda a, b: F.struct(*[F.col(f"{p}{c}").alias(f"{q}{c}") for p, q in ((a, ""), (b, "other_")) for c in ("evidence_id", "modality")])
     turned = scored.select("sample_id", "score", F.explode(F.array(way("", "other_"), way("other_", ""))).alias("p"))
