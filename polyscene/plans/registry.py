@@ -197,7 +197,7 @@ _REASONS = [
     _reason("question = '' OR answer = ''", "caption_fallback"),
     _reason(f"{_COUNT.format('answer')} > 12", "long_answer"),
     _reason(f"{_COUNT.format('question')} > 35", "long_question"),
-    _reason("len(regexp_extract_all(' ' || regexp_replace(answer, '([^\\p{L}\\p{N}_])', ' \\1 ', 'g') || ' ', ' (and|or|while|because|then) ')) >= 2 AND false", "unused"),
+    _reason("len(list_filter(regexp_extract_all(lower(answer), '[\\p{L}\\p{N}_]+'), lambda t: list_contains(['and', 'or', 'while', 'because', 'then'], t))) >= 2", "multi_clause_answer"),
     _reason("regexp_matches(lower(question), '^how (many|much)') AND NOT list_contains(" + ad.quoted(selection.COUNTING) + ", category)", "category_mismatch_counting_hint"),
     _reason("regexp_matches(lower(question), '^(where|which side|in which direction)') AND NOT list_contains(" + ad.quoted(selection.SPATIAL) + ", category)", "category_mismatch_spatial_hint"),
     _reason("regexp_matches(lower(question || ' ' || answer), 'brand|logo|word|text|written|sticker') AND category <> 'text_recognition'", "category_mismatch_text_hint"),
@@ -214,7 +214,7 @@ def _reviewed(spark: SparkSession, d: str) -> DataFrame:
     rows = dims.with_category(ad.questions(spark, d))
     n = lambda x: F.lit(x)
     reasons = selection.review_reasons(F.col("category"), F.col("question"), F.col("answer"), F.col("gate"), F.lit(False), n(1.0), n(0.0), n(1), n(0), n(0), n(0), F.col("answer"))
-    return rows.select("conv_id", "turn", F.filter(reasons, lambda r: ~r.isin("multi_clause_answer", "unparsed_numbered_block")).alias("reasons"))
+    return rows.select("conv_id", "turn", F.array_remove(reasons, "unparsed_numbered_block").alias("reasons"))
 
 
 @query(f"WITH {_REVIEW} SELECT conv_id, turn, array_to_string(reasons, ',') AS reasons FROM rr")
