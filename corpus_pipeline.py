@@ -21,7 +21,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that two or more benchmark items stand in go."""
+    """Documents that share a verbatim window with a benchmark item go."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -34,7 +34,7 @@ WINDOW = 8
 BLOCK_BYTES = 16 << 20
 #: Document text in one shard.
 SHARD_BYTES = 8 << 20
-#: Items that make a document contaminated.
+#: Items that make a document `contaminated` in op2's digest (a fixed value of the contract); removal goes by any match.
 ITEMS = 2
 _SLOTS = 1 << 22
 
@@ -173,10 +173,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: dict[str, Column], text: s
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that fewer than ITEMS benchmark items touch, with all their columns."""
+    """The documents without a verbatim match of a benchmark window (or of a whole shorter item), with all their columns."""
     from .common import fresh
 
     names = fresh(docs, "_row")
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(names[0]), F.col("text").alias("text"))
     out = scan(kept, benchmark, {names[0]: F.col(names[0])})
-    return out.filter(~F.col("contaminated")).select(f"{names[0]}.*")
+    return out.filter(F.col("longest_match") == 0).select(f"{names[0]}.*")

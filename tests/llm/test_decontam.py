@@ -67,3 +67,22 @@ def test_filter_keeps_columns_and_clean_rows(make, spark, empty):
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2, 3]
     assert decontam.decontaminate(empty, bench).count() == 0
     assert decontam.decontaminate(docs, bench.limit(0)).count() == 4
+
+
+def test_filter_drops_every_verbatim_match(make, spark):
+    a, b = " ".join(f"p{i}" for i in range(20)), "q0 q1 q2"
+    window, less = " ".join(f"p{i}" for i in range(6, 14)), " ".join(f"p{i}" for i in range(6, 13))
+    docs = make([f"x {a} y", f"x {window} y", f"x {less} y", f"x {b} y", "x q0 q1 y", a + " " + b, None, f"z {less} z"])
+    bench = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()) == [2, 4, 6, 7]
+    unnamed = spark.createDataFrame([(None, a)], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontam.decontaminate(docs, unnamed).collect()) == [2, 3, 4, 6, 7]
+
+
+def test_pipeline_stage_drops_a_document_with_one_item(make, spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(f"p{i}" for i in range(12))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.decontaminated(spark, make([f"before {item} after", "clean"]), str(tmp_path))
+    assert [r["doc_id"] for r in out.collect()] == [1]
