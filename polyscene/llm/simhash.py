@@ -42,18 +42,25 @@ _LANE = np.uint64(0x0101010101010101)
 _LAST = (1 << 63) - 1
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """64 bits; a bit is set if more than half of the shingle hashes set it."""
+def shingles(text: bytes | None, shingle: int) -> np.ndarray:
+    """The hash of every run of that many words, or of all words if there are fewer."""
     words = text.lower().split() if text else []  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     norm = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
     cut = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
     xx = xxhash.xxh64_intdigest
-    h = np.array([xx(norm[a:b], SEED) for a, b in cut], np.uint64)
+    return np.array([xx(norm[a:b], SEED) for a, b in cut], np.uint64)
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """64 bits; a bit is set if more than half of the shingle hashes set it."""
+    h = shingles(text, shingle)
+    if not len(h):
+        return 0
     count = np.zeros(64, np.int64)
     for j in range(8):  # byte lanes, summed before any of them can overflow
         lanes = np.add.reduceat((h >> np.uint64(j)) & _LANE, np.arange(0, len(h), 255))
@@ -285,6 +292,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         now = new.select("key", "label")
 
 
+def named(rows: DataFrame, groups: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """doc_id, key, component_id of every row (doc_id, key). groups: key, id, n; found: as from components."""
+    named = groups.join(found, "key", "left").select("key", F.coalesce("least", "id").alias("least"))
+    # A key with more than a hundredth of the rows is joined in 64 parts; there are under 100 of them.
+    hot = [r["key"] for r in groups.filter(F.col("n") > max(1000, total // 100)).select("key").collect()]
+    salted = F.col("key").isin(hot) if hot else F.lit(False)
+    rows = rows.withColumn("salt", F.when(salted, F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(F.lit(0)).cast("int"))
+    many = F.when(salted, F.lit(63)).otherwise(F.lit(0))
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), many)))
+    return rows.join(named, ["key", "salt"]).select("doc_id", "key", F.when(F.col("least") < _LAST, F.col("least")).alias("component_id"))
+
+
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, fp, component_id of every row."""
     spark = docs.sparkSession
@@ -293,15 +312,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     n, total = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     fps = groups.select(F.col("key").alias("fp"))
     found = components(groups.select("key", "id"), links(fps, n))
-    named = groups.join(found, "key", "left").select("key", F.coalesce("least", "id").alias("least"))
-    # A fingerprint with more than a hundredth of the rows is joined in 64 parts; there are under 100 of them.
-    hot = [r["key"] for r in groups.filter(F.col("n") > max(1000, total // 100)).select("key").collect()]
-    salted = F.col("fp").isin(hot) if hot else F.lit(False)
-    rows = rows.withColumn("salt", F.when(salted, F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(F.lit(0)).cast("int"))
-    many = F.when(F.col("key").isin(hot), F.lit(63)).otherwise(F.lit(0)) if hot else F.lit(0)
-    named = named.withColumn("s", F.explode(F.sequence(F.lit(0), many)))
-    out = rows.join(named, (rows["fp"] == named["key"]) & (rows["salt"] == named["s"]))
-    return out.select("doc_id", "fp", F.when(F.col("least") < _LAST, F.col("least")).alias("component_id"))
+    return named(rows.withColumnRenamed("fp", "key"), groups, found, total).withColumnRenamed("key", "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -312,9 +323,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the least doc_id; rows with a null doc_id stay.
 
+    Components are those of jaccard.classes (five-word shingles, similarity of 0.8 or more), not op8's.
     The ids that go have no bound, so they are merged with the documents at every size.
     """
-    ids = stored(classes(docs).select("doc_id", "component_id"), "classes")
+    from . import jaccard
+
+    ids = stored(jaccard.classes(docs), "classes")
     gone = ids.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
     again = ids.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
