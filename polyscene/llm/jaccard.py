@@ -1,17 +1,26 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
-
-Texts are reduced to distinct sets of shingle hashes first, so groups of exact copies
-cost one row. Take any order of all hashes: two sets of similarity SIMILAR or more share
-one of the first |x| - ceil(SIMILAR |x|) + 1 hashes of each. Sets that share such a hash
-are candidates, and the similarity of candidates is computed exactly, so no pair is
-missed. Hashes that are common in a bounded sample come last in the order; this only
-balances the work.
-
-The sets behind one hash are first compared with one of them, the smallest, then those
-in other components with one that the group's hash picks, and last all pairs that still
-lie in different components; pairs whose sizes or parities rule the similarity out are not
-compared. So a large group of near copies takes about a comparison a
-member and hash, and the components are those of all links.
+"""The near-duplicate stage: SimHash links first, then every pair of Jaccard similarity SIMILAR or more.
+
+Texts are reduced to distinct sets of shingle hashes, so groups of exact copies cost one
+row. Links come from four sources, each checked by the exact similarity of the two sets:
+
+1. fingerprints of the shingles that op8's vantage-point trees link (4 bits), and sets of
+   one fingerprint. At a similarity of 0.8, fingerprints lie about 9 bits apart, so this
+   finds the closer copies alone; hence
+2. prefixes: in any order of all hashes, two sets of similarity SIMILAR or more share one
+   of the first |x| - ceil(SIMILAR |x|) + 1 hashes of each. The sets behind one hash are
+   compared with the smallest of them,
+3. those in other components with one that the hash picks, and
+4. all pairs that still lie in different components.
+
+So no pair is missed, a large group of near copies takes about a comparison a member, and
+the components are those of all links. Pairs whose sizes or parities rule the similarity
+out are not compared: parities of a set on fixed places, and finer ones on about twice as
+many places as it has hashes. Of 2 and 3 only each set's two best pairs are checked.
+
+Hashes that are common in a bounded sample come last in the order of hashes; this only
+balances the work. No group is collected whole: stars are joins, and a hash with many
+sets is cut into blocks. Texts are not shuffled: a bitmap of bounded size picks those
+whose sets are asked for.
 
 Defined results: null and empty texts are alike, and like no other; a text of fewer
 words than a shingle is one shingle; ids as in simhash.
@@ -26,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, stored
-from .simhash import _LAST, SEED, components, named, shingles
+from .simhash import _LAST, SEED, components, named, shingles, voted
+from .simhash import links as tree_links
 
 #: Words in a shingle.
 SHINGLE = 5
@@ -34,12 +44,18 @@ SHINGLE = 5
 SIMILAR = 4, 5
 #: Texts to learn common hashes from, characters of each that are read, and sets that make a hash common.
 SAMPLE, SAMPLE_CHARS, COMMON = 8192, 16_384, 3
-#: Parities of a set.
+#: Parities of a set in its groups.
 PLACES = 512
+#: Keys that a task remembers, to leave out repeated prefixes.
+MET = 1 << 18
+#: Sets in a block of a group, and the binary logarithm of the bits in a bitmap of ids.
+BLOCK, BITMAP = 2048, 26
 
 
-def own_hashes(text: bytes | None) -> np.ndarray:
-    return np.unique(shingles(text, SHINGLE))
+def own_hashes(text: bytes | None) -> tuple[np.ndarray, int]:
+    """The distinct shingle hashes of a text, in order, and its fingerprint, in which repeats count."""
+    every = shingles(text, SHINGLE)
+    return np.unique(every), voted(every)
 
 
 def key_of(own: np.ndarray) -> int:
@@ -51,7 +67,7 @@ def common(docs: DataFrame, text: str) -> np.ndarray:
     texts = docs.select(F.col(text).cast("string").alias("text"))
     few = texts.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, docs.count() // SAMPLE))) == 0)
     few = few.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().limit(2 * SAMPLE)
-    got = map_texts(few, {}, [("own", "binary", pa.binary())], lambda: lambda texts: [[own_hashes(t).tobytes() for t in texts]], "text")
+    got = map_texts(few, {}, [("own", "binary", pa.binary())], lambda: lambda texts: [[own_hashes(t)[0].tobytes() for t in texts]], "text")
     held = {r["own"] for r in got.toLocalIterator()}
     value, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in held)]), return_counts=True)
     return value[n >= COMMON]
@@ -67,29 +83,53 @@ def prefix(own: np.ndarray, late: np.ndarray) -> np.ndarray:
     return own[: len(own) + (-SIMILAR[0] * len(own) // SIMILAR[1]) + 1]
 
 
+def parities(own: np.ndarray, places: int) -> np.ndarray:
+    """Bit i: whether an odd number of hashes leave i on division by places (a power of two)."""
+    return np.packbits(np.bincount((own & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1 > 0)
+
+
+def fine(own: np.ndarray) -> bytes:
+    """Parities on about twice as many places as the set has hashes."""
+    return parities(own, max(PLACES, 1 << int(2 * len(own)).bit_length())).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """In how many hashes two sets differ at least; the longer parities are folded to the length of the shorter."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0) if len(b) > len(a) else b
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def reduced(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, key, size, odd, first: a hash of each text's set, its size, parities and prefix.
+    """doc_id, key, fp, size, odd, fine, first: a hash of each text's set, its fingerprint, size, parities and prefix.
 
-    odd has the parity of the hashes that fall on each of PLACES places: two sets differ in as many hashes at least.
+    first is null where the task has met the key before.
     """
     last = docs.sparkSession.sparkContext.broadcast(common(docs, text))
 
     def make():
-        late = last.value
+        late, met = last.value, set()
 
         def work(texts):
-            own = [own_hashes(t) for t in texts]
-            odd = [np.packbits(np.bincount((x % np.uint64(PLACES)).astype(np.int64), minlength=PLACES) & 1 > 0).tobytes() for x in own]
-            return [[key_of(x) for x in own], [len(x) for x in own], odd, [prefix(x, late).tobytes() for x in own]]
+            sets, fps = zip(*(own_hashes(t) for t in texts), strict=True) if texts else ((), ())
+            keys, first = [key_of(x) for x in sets], []
+            for k, x in zip(keys, sets, strict=True):
+                first.append(None if k in met else prefix(x, late).tobytes())
+                met.add(k)
+            if len(met) > MET:
+                met.clear()
+            odd = [parities(x, PLACES).tobytes() for x in sets]
+            return [keys, np.array(fps, np.uint64).view(np.int64), [len(x) for x in sets], odd, [fine(x) for x in sets], first]
 
         return work
 
-    fields = [("key", "bigint", pa.int64()), ("size", "int", pa.int32()), ("odd", "binary", pa.binary()), ("first", "binary", pa.binary())]
+    fields = [("key", "bigint", pa.int64()), ("fp", "bigint", pa.int64()), ("size", "int", pa.int32())]
+    fields += [(c, "binary", pa.binary()) for c in ("odd", "fine", "first")]
     return map_texts(docs, {"doc_id": F.col(doc_id)}, fields, make, text)
 
 
 def tokens(rows: DataFrame) -> DataFrame:
-    """token, key: a row for each hash of a prefix."""
+    """token, key: a row for each hash of the prefix of each different set."""
 
     def run(batches):
         for b in batches:
@@ -98,20 +138,71 @@ def tokens(rows: DataFrame) -> DataFrame:
                 key = np.repeat(b.column(0).to_numpy(), [len(x) for x in first])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(key)], ["token", "key"])
 
-    return rows.select("key", "first").mapInArrow(run, "token bigint, key bigint")
+    once = rows.filter(F.col("first").isNotNull()).groupBy("key").agg(F.first("first").alias("first"))
+    return once.mapInArrow(run, "token bigint, key bigint").repartition("token")
+
+
+def sharing(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, key, size, odd: the sets behind each shared hash; of hashes with the same sets one is kept."""
+    every = tokens(rows)
+    sign = [F.bit_xor(F.xxhash64("key")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("t")]
+    groups = every.groupBy("token").agg(F.count("*").alias("n"), *sign).filter("n > 1")
+    kept = groups.groupBy("n", "s", "t").agg(F.min("token").alias("token")).select("token")
+    flat = stored(every.join(kept.hint("shuffle_hash"), "token").select(F.col("token").alias("id"), "key"), "sharing")
+    return stored(flat.join(nodes.select("key", "size", "odd"), "key"), "sharing")
+
+
+def filtered(docs: DataFrame, ids: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """id, text: the rows with these ids and a few others, told by a bitmap of BITMAP bits at most; no shuffle of texts."""
+    bits = 1 << min(BITMAP, max(6, int(32 * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("x")).toPandas()
+    held = np.zeros(bits >> 6, np.int64)
+    held[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64)
+    mask = docs.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches):
+        held = mask.value
+        for b in batches:
+            at = b.column(2).to_numpy()
+            use = (held[at >> 6] >> (at & 63)) & 1 > 0
+            if use.any():
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(use)) for c in b.columns[:2]], ["id", "text"])
+
+    src = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("id"), F.col(text).cast("string").alias("text"))
+    return src.select("id", "text", slot.alias("slot")).mapInArrow(run, "id bigint, text string")
 
 
 def sets(docs: DataFrame, seen: DataFrame, text: str, doc_id: str) -> DataFrame:
     """key, own: the sets of `seen` (key, id), from the texts that have these ids; ids that rows repeat are told apart by key."""
-    ids = seen.select(F.col("id").alias("_id")).distinct()
-    few = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("_id"), F.col(text).alias("text")).join(ids.hint("merge"), "_id", "left_semi")
 
     def work(texts):
-        own = [own_hashes(t) for t in texts]
+        own = [own_hashes(t)[0] for t in texts]
         return [[key_of(x) for x in own], [x.tobytes() for x in own]]
 
+    few = filtered(docs, seen.select("id").distinct(), text, doc_id)
     out = map_texts(few, {}, [("key", "bigint", pa.int64()), ("own", "binary", pa.binary())], lambda: work, "text")
-    return out.join(seen.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return out.join(seen.select("key").hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"])
+
+
+def _enough(both, x, y):
+    return SIMILAR[1] * both >= SIMILAR[0] * (x + y - both)
+
+
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, far: the pairs that their fine parities don't rule out, and in how many hashes they differ at least."""
+
+    def run(batches):
+        for b in batches:
+            x, y, p, q = (b.column(i).to_pylist() for i in range(2, 6))
+            far = np.array([differing(*z) for z in zip(p, q, strict=True)], np.int64)
+            x, y = np.array(x, np.int64), np.array(y, np.int64)
+            keep = pa.array(_enough(np.minimum(np.minimum(x, y), (x + y - far) // 2), x, y), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(far).filter(keep)], ["a", "b", "far"])
+
+    x = nodes.select(F.col("key").alias("a"), F.col("size").alias("x"), F.col("fine").alias("p"))
+    y = nodes.select(F.col("key").alias("b"), F.col("size").alias("y"), F.col("fine").alias("q"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(run, "a bigint, b bigint, far bigint")
 
 
 def alike(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -122,8 +213,7 @@ def alike(pairs: DataFrame, held: DataFrame) -> DataFrame:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(SIMILAR[1] * both >= SIMILAR[0] * (len(x) + len(y) - both))
+                keep.append(bool(_enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x = held.select(F.col("key").alias("a"), F.col("own").alias("x"))
@@ -131,84 +221,113 @@ def alike(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _may(i: int, size, part, odd) -> np.ndarray:
-    """Which sets of other components may be similar to the i-th by their sizes and parities."""
+def best(found: DataFrame) -> DataFrame:
+    """Of each set's likely pairs the one that differs least and the one with the least partner."""
+    ends = found.select(F.explode(F.array(*[F.struct(F.col(x).alias("key"), F.col(y).alias("other"), "far") for x, y in ("ab", "ba")])).alias("e")).select("e.*")
+    two = ends.groupBy("key").agg(F.array(F.min(F.struct("far", "other"))["other"], F.min("other")).alias("others"))
+    other = two.select("key", F.explode("others").alias("other"))
+    return other.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
+def _may(size, part, odd, i_size, i_part, i_odd) -> np.ndarray:
+    """Which sets may be similar to another in a different component, by sizes and parities."""
     # |x & y| is at most the smaller size, and half of what the sizes leave after the differences
-    apart = np.bitwise_count(odd ^ odd[i]).sum(1, dtype=np.int64)
-    both = np.minimum(np.minimum(size, size[i]), (size + size[i] - apart) // 2)
-    return (part != part[i]) & (SIMILAR[1] * both >= SIMILAR[0] * (size + size[i] - both))
+    apart = np.bitwise_count(odd ^ i_odd).sum(1, dtype=np.int64)
+    both = np.minimum(np.minimum(size, i_size), (size + i_size - apart) // 2)
+    return (part != i_part) & _enough(both, size, i_size)
 
 
-def _groups(batches):
-    for batch in batches:
-        for group in batch.column(0).to_pylist():
-            size, key, part = (np.array([m[k] for m in group], np.int64) for k in ("size", "key", "part"))
-            yield size, key, part, np.frombuffer(b"".join(m["odd"] for m in group), np.uint64).reshape(len(key), -1)
+def _bits(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1).view(np.uint64)
 
 
-def _partners(batches):
-    """The keys of a group that have any partner to be compared with."""
-    for size, key, part, odd in _groups(batches):
-        use = [i for i in range(len(key)) if _may(i, size, part, odd).any()]
-        if use:
-            yield pa.RecordBatch.from_arrays([pa.array(key[use])], ["key"])
+def _spokes(batches):
+    for b in batches:
+        if not len(b):
+            continue
+        key, size, part, odd, key2, size2, part2, odd2 = (b.column(i) if i % 4 == 3 else b.column(i).to_numpy().astype(np.int64) for i in range(8))
+        use = _may(size, part, _bits(odd), size2, part2, _bits(odd2))
+        if use.any():
+            yield pa.RecordBatch.from_arrays([pa.array(f(key[use], key2[use])) for f in (np.minimum, np.maximum)], ["a", "b"])
 
 
-def _pairs(step: int):
-    """Pairs to compare in a group: with its smallest set, with one that its keys pick, or all; from different components."""
+def stars(flat: DataFrame, first: list) -> DataFrame:
+    """a, b: in every group that lies in several components, each set with the one set that comes first."""
+    four = ["key", "size", "part", "odd"]
+    hub = F.min(F.struct(*first, *[F.col(c).alias(f"hub_{c}") for c in four])).alias("hub")
+    hubs = flat.groupBy("id").agg(hub, F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
+    both = flat.join(hubs.select("id", *[f"hub.hub_{c}" for c in four]), "id").filter("part <> hub_part")
+    return both.select(*four, *[f"hub_{c}" for c in four]).mapInArrow(_spokes, "a bigint, b bigint").distinct()
 
-    def out(held):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["a", "b"])
 
-    def run(batches):
-        held, n = [], 0
-        for size, key, part, odd in _groups(batches):
-            for i in ([0], [int(key.sum() % len(key))], range(len(key)))[step]:
-                use = _may(i, size, part, odd)
-                if step == 2:
-                    use[: i + 1] = False
+def _blocks(batches):
+    """Pairs of sets in a block of a group, or between two blocks."""
+    for batch in batches:
+        lo, hi = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for x, y, group in zip(lo, hi, batch.column(2), strict=True):
+            group = group.values
+            size, key, part, block = (group.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("size", "key", "part", "block"))
+            odd, held, n = _bits(group.field("odd")), [], 0
+            for i in range(len(key)):
+                use = _may(size, part, odd, size[i], part[i], odd[i])
+                use[: i + 1] = False
+                if x != y:
+                    use &= block != block[i]
                 held.append((np.minimum(key[use], key[i]), np.maximum(key[use], key[i])))
-                n += int(use.sum())
-                if n > 1 << 16:
-                    yield out(held)
+                n += len(held[-1][0])
+                if held and (n > 1 << 16 or i + 1 == len(key)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["a", "b"])
                     held, n = [], 0
-        if n:
-            yield out(held)
 
-    return run
+
+def every(flat: DataFrame) -> DataFrame:
+    """a, b: all pairs within groups that lie in several components; a group of many sets is cut into blocks of about BLOCK."""
+    groups = flat.groupBy("id").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
+    rows = flat.join(groups.select("id", F.ceil(F.col("n") / BLOCK).alias("blocks")), "id")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    one = F.collect_list(F.struct("size", "key", "part", "block", "odd")).alias("members")  # of two blocks at most
+    pairs = rows.groupBy("id", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(one)
+    return pairs.select("x", "y", "members").mapInArrow(_blocks, "a bigint, b bigint").distinct()
 
 
-def links(flat: DataFrame, held: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: similar sets whose connected components are those of all similar sets. flat: id of a group, key, size, odd; nodes: key."""
+def close(nodes: DataFrame) -> DataFrame:
+    """a, b: pairs of sets whose fingerprints the vantage-point trees link, and of those with one fingerprint."""
+    heads = nodes.groupBy("fp").agg(F.min("key").alias("head"))
+    same = nodes.join(heads, "fp").filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    fps = stored(heads, "heads")
+    found = tree_links(fps.select("fp"), fps.count())
+    x, y = (fps.select(F.col("fp").alias(k), F.col("head").alias(h)) for k, h in (("a", "x"), ("b", "y")))
+    across = found.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.union(across)
+
+
+def links(docs: DataFrame, flat: DataFrame, nodes: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """a, b: similar sets whose connected components are those of all similar sets. flat: id of a group, key, size, odd."""
     own, edges = nodes.select("key", F.col("key").alias("id")), None
     for step in range(3):
         now = flat.withColumn("part", F.col("key"))
         if edges is not None:
             found = components(own, edges).select("key", F.col("least").alias("part"))
             now = flat.join(found, "key", "left").withColumn("part", F.coalesce("part", "key"))
-        pairs = stored(members(now).mapInArrow(_pairs(step), "a bigint, b bigint").distinct(), "pairs")
-        new = stored(alike(pairs, held), "alike")
+        pairs = (lambda: stars(now, ["size"]), lambda: stars(now, [F.xxhash64("id", "key")]), lambda: every(now))[step]()
+        pairs = likely(pairs, nodes)
+        if step == 0:
+            pairs = best(pairs).union(likely(close(nodes), nodes).select("a", "b")).distinct()
+        elif step == 1:
+            pairs = best(pairs)
+        pairs = stored(pairs.select("a", "b"), "pairs")
+        seen = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        seen = stored(nodes.select("key", "id").join(seen, "key"), "seen")
+        new = stored(alike(pairs, stored(sets(docs, seen, text, doc_id), "held")), "alike")
         edges = new if edges is None else edges.union(new)
     return edges
 
 
-def members(flat: DataFrame) -> DataFrame:
-    """members: the sets of each group that still lies in several components, the smallest first."""
-    one = F.struct("size", "key", "part", "odd")
-    out = flat.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("members"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-    return out.filter("lo < hi").select("members")
-
-
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, component_id of every row."""
     rows = stored(reduced(docs, text, doc_id), "reduced")
     least = F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).alias("id")
-    nodes = stored(rows.groupBy("key").agg(least, F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "odd")]), "nodes")
+    nodes = stored(rows.groupBy("key").agg(least, F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("fp", "size", "odd", "fine")]), "nodes")
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared = tokens(rows).groupBy("token").agg(F.array_sort(F.collect_set("key")).alias("keys")).filter(F.size("keys") > 1).select("keys").distinct()
-    groups = stored(shared.withColumn("id", F.monotonically_increasing_id()), "sharing")
-    flat = stored(groups.select("id", F.explode("keys").alias("key")).join(nodes.select("key", "size", "odd"), "key"), "sharing")
-    seen = members(flat.withColumn("part", F.col("key"))).mapInArrow(_partners, "key bigint").distinct()
-    held = stored(sets(docs, stored(nodes.select("key", "id").join(seen, "key", "left_semi"), "seen"), text, doc_id), "held")
-    found = components(nodes.select("key", "id"), links(flat, held, nodes))
-    return named(rows.select("doc_id", "key"), nodes, found, total).select("doc_id", "component_id")
+    edges = links(docs, sharing(rows, nodes), nodes, text, doc_id)
+    return named(rows.select("doc_id", "key"), nodes, components(nodes.select("key", "id"), edges), total).select("doc_id", "component_id")

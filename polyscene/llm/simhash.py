@@ -38,6 +38,8 @@ BANDS = 3
 SAMPLE, LEAF = 65_536, 256
 #: Stored fingerprints of a leaf that one task compares.
 SHARD = 2048
+#: Parts that a hot key is joined in, and the rows from which on a key may be one.
+SALTS, HOT_FLOOR = 64, 64
 _LANE = np.uint64(0x0101010101010101)
 _LAST = (1 << 63) - 1
 
@@ -56,9 +58,8 @@ def shingles(text: bytes | None, shingle: int) -> np.ndarray:
     return np.array([xx(norm[a:b], SEED) for a, b in cut], np.uint64)
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """64 bits; a bit is set if more than half of the shingle hashes set it."""
-    h = shingles(text, shingle)
+def voted(h: np.ndarray) -> int:
+    """64 bits; a bit is set if more than half of the hashes set it."""
     if not len(h):
         return 0
     count = np.zeros(64, np.int64)
@@ -68,6 +69,11 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * count > len(h)).tolist()))
 
 
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The vote of the shingle hashes."""
+    return voted(shingles(text, shingle))
+
+
 def fingerprints(docs: DataFrame, keep: dict[str, Column], text: str = "text") -> DataFrame:
     """Columns `keep`, then fp: the fingerprint as a signed 64-bit integer."""
 
@@ -275,17 +281,39 @@ def links(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
     return shards.mapInArrow(_links, "a bigint, b bigint").distinct()
 
 
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> list:
+    """Keys that hold more than a 256th of all rows (and HOT_FLOOR at least): under 256 of them."""
+    return [r[0] for r in counts.filter(F.col(n) > max(HOT_FLOOR, total // 256)).select(key).collect()]
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """key, least: for every key that has edges, the least `id` in its component. nodes: key, id; edges: a, b."""
+    """key, least: for every key that has edges, the least `id` in its component. nodes: key, id; edges: a, b.
+
+    A key with very many links, as the least member of a large group has, is joined in SALTS parts.
+    """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "links")
-    touched = both.select(F.col("a").alias("key")).distinct()
+    degrees = both.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("n"))
+    hot = hot_keys(degrees, "key", "n", both.count())
+
+    def salted(key: str, other: Column) -> Column:
+        return F.when(F.col(key).isin(hot), other).otherwise(F.lit(0)) if hot else F.lit(0)
+
+    both = both.withColumn("salt", salted("a", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")))
     label = F.struct("id", "key").alias("label")
-    now = stored(nodes.join(touched, "key").select("key", label), "labels")
+    now = stored(nodes.join(degrees.select("key"), "key").select("key", label), "labels")
     while True:
-        near = both.join(now, both["a"] == now["key"]).groupBy("b").agg(F.min("label").alias("near"))
+        spread = now.withColumn("salt", F.explode(F.sequence(F.lit(0), salted("key", F.lit(SALTS - 1)))))
+        near = both.join(spread, (both["a"] == spread["key"]) & (both["salt"] == spread["salt"])).groupBy("b").agg(F.min("label").alias("near"))
         step = now.join(near, now["key"] == near["b"], "left").select("key", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        up = now.select(F.col("key").alias("k"), F.col("label").alias("up"))
-        jump = step.join(up, F.col("label.key") == F.col("k"), "left").select("key", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
+        # many keys may share one label, so the labels of labels are looked up for distinct ones
+        asked = step.select(F.col("label.key").alias("k")).distinct()
+        up = asked.join(now.select(F.col("key").alias("k"), F.col("label").alias("up")), "k")
+        heads = hot_keys(step.groupBy(F.col("label.key").alias("k")).agg(F.count("*").alias("n")), "k", "n", both.count()) if hot else []
+        part = F.when(F.col("label.key").isin(heads), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)) if heads else F.lit(0)
+        many = F.when(F.col("k").isin(heads), F.lit(SALTS - 1)).otherwise(F.lit(0)) if heads else F.lit(0)
+        up = up.withColumn("part", F.explode(F.sequence(F.lit(0), many)))
+        step = step.withColumn("part", part)
+        jump = step.join(up, (F.col("label.key") == F.col("k")) & (step["part"] == up["part"]), "left").select("key", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
         new = stored(jump, "labels")
         if new.filter(F.col("label") < F.col("old")).isEmpty():
             return new.select("key", F.col("label.id").alias("least"))

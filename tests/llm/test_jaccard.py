@@ -56,9 +56,13 @@ def near_copies():
     return [" ".join(t) for t in texts] + [None, "", "one two", "One two", "one two three"]
 
 
-@pytest.mark.parametrize("common", [3, 1 << 30])
-def test_components_match_brute_force(make, monkeypatch, common):
-    monkeypatch.setattr(jaccard, "COMMON", common)
+@pytest.mark.parametrize("common, block, bitmap", [(3, 2048, 26), (1 << 30, 7, 6)])
+def test_components_match_brute_force(make, monkeypatch, common, block, bitmap):
+    """Also with groups cut into small blocks and a bitmap that all ids share."""
+    for k, v in (("COMMON", common), ("BLOCK", block), ("BITMAP", bitmap)):
+        monkeypatch.setattr(jaccard, k, v)
+    if block < 10:
+        monkeypatch.setattr(simhash, "HOT_FLOOR", 3)
     texts = near_copies()
     got = {r["doc_id"]: r["component_id"] for r in jaccard.classes(make(texts)).collect()}
     assert got == brute(texts)
