@@ -6,6 +6,7 @@ name, so extra columns, whatever they are called, pass through or are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -17,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text handled at once inside a Python worker.
 SLICE_BYTES = 4 << 20
@@ -96,6 +98,15 @@ def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
+def released() -> None:
+    """Hand memory that a Python worker no longer uses back to the system, as workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_texts(
     df: DataFrame,
     keep: dict[str, Column],
@@ -113,7 +124,7 @@ def map_texts(
     src = df.select(*[c.alias(f"k{i}") for i, c in enumerate(keep.values())], F.col(text).cast("string").alias("_text"))
     n, kinds = len(keep), [f[2] for f in fields]
     names = [f"k{i}" for i in range(n)] + [f"f{i}" for i in range(len(fields))]
-    types = [x.dataType.simpleString() for x in src.schema.fields[:n]] + [f[1] for f in fields]
+    types = [x.dataType for x in src.schema.fields[:n]] + [T._parse_datatype_string(f[1]) for f in fields]
 
     def run(batches):
         work = make()
@@ -125,11 +136,20 @@ def map_texts(
                     for x, kind in zip(work(texts_of(text.slice(a, b - a))), kinds, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(n)] + new, names)
+        del work
+        released()
 
-    out = src.mapInArrow(run, ", ".join(f"{x} {t}" for x, t in zip(names, types, strict=True)))
+    out = src.mapInArrow(run, T.StructType([T.StructField(x, t) for x, t in zip(names, types, strict=True)]))
     return out.select(*[F.col(x).alias(a) for x, a in zip(names, [*keep, *(f[0] for f in fields)], strict=True)])
 
 
+def salted_join(big: DataFrame, small: DataFrame, on: str, by: str, how: str = "inner", parts: int = 16) -> DataFrame:
+    """big joined with small (one row a key), the rows of a key dealt over parts by another column."""
+    every = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = big.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    return dealt.join(every, [on, "_part"], how).drop("_part")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like these that df does not use."""
     used, out = {c.lower() for c in df.columns}, []

@@ -30,11 +30,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored
+from .common import map_texts, released, slices, stored, texts_of
 from .simhash import _LAST, SEED, components, named, shingles, voted
 from .simhash import links as tree_links
 
@@ -152,36 +153,36 @@ def sharing(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(flat.join(nodes.select("key", "size", "odd"), "key"), "sharing")
 
 
-def filtered(docs: DataFrame, ids: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """id, text: the rows with these ids and a few others, told by a bitmap of BITMAP bits at most; no shuffle of texts."""
+def bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits that are set for hashes of the ids, 1 << BITMAP at most, and their number. ids: id."""
     bits = 1 << min(BITMAP, max(6, int(32 * ids.count()).bit_length()))
     slot = F.pmod(F.xxhash64("id"), F.lit(bits))
     words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("x")).toPandas()
     held = np.zeros(bits >> 6, np.int64)
     held[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64)
-    mask = docs.sparkSession.sparkContext.broadcast(held)
-
-    def run(batches):
-        held = mask.value
-        for b in batches:
-            at = b.column(2).to_numpy()
-            use = (held[at >> 6] >> (at & 63)) & 1 > 0
-            if use.any():
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(use)) for c in b.columns[:2]], ["id", "text"])
-
-    src = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("id"), F.col(text).cast("string").alias("text"))
-    return src.select("id", "text", slot.alias("slot")).mapInArrow(run, "id bigint, text string")
+    return held, bits
 
 
 def sets(docs: DataFrame, seen: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """key, own: the sets of `seen` (key, id), from the texts that have these ids; ids that rows repeat are told apart by key."""
+    """key, own: the sets of `seen` (key, id), from the texts that have these ids; ids that rows repeat are told apart by key.
 
-    def work(texts):
-        own = [own_hashes(t)[0] for t in texts]
-        return [[key_of(x) for x in own], [x.tobytes() for x in own]]
+    A bitmap of the ids picks these texts and a few others, which go by their key; so texts are not shuffled.
+    """
+    held, bits = bitmap(seen.select("id").distinct())
+    mask = docs.sparkSession.sparkContext.broadcast(held)
 
-    few = filtered(docs, seen.select("id").distinct(), text, doc_id)
-    out = map_texts(few, {}, [("key", "bigint", pa.int64()), ("own", "binary", pa.binary())], lambda: work, "text")
+    def run(batches):
+        held = mask.value
+        for b in batches:
+            at = b.column(1).to_numpy()
+            few = b.column(0).filter(pa.array((held[at >> 6] >> (at & 63)) & 1 > 0))
+            for i, j in slices(pc.fill_null(pc.binary_length(few), 0).to_pylist()):
+                own = [own_hashes(t)[0] for t in texts_of(few.slice(i, j - i))]
+                yield pa.RecordBatch.from_arrays([pa.array([key_of(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["key", "own"])
+        released()
+
+    slot = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))), F.lit(bits))
+    out = docs.select(F.col(text).cast("string").alias("text"), slot.alias("slot")).mapInArrow(run, "key bigint, own binary")
     return out.join(seen.select("key").hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"])
 
 

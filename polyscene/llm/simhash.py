@@ -359,7 +359,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     ids = stored(jaccard.classes(docs), "classes")
     gone = ids.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
     again = ids.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    every = [F.col(f"`{c}`") for c in docs.columns]
     if again.isEmpty():
-        return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+        return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(every)
     once = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(gone.union(again).hint("merge"), "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    return docs.join(gone.union(again).hint("merge"), "doc_id", "left_anti").select(every).unionByName(once.select(every))
