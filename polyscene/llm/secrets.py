@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import salted_join, stored
 from .spans import kinds_of, listed, matches
 
 #: Fixed patterns, rewritten to be linear-time; the same leftmost non-overlapping matches.
@@ -80,7 +80,7 @@ def find(docs: DataFrame, repository: str = "doc_id", owner: str = "source") ->
     example = (F.col("owners") >= OWNERS) | (F.col("repositories") >= REPOSITORIES)
     live = F.col("random") & ~example
     span = F.struct("start", F.col("rank"), "end", F.lit("owned").alias("kind"))
-    told = cand.join(ownership(cand), "hash").groupBy("row").agg(
+    told = salted_join(cand, ownership(cand), "hash", "row").groupBy("row").agg(
         F.collect_set(F.when((F.col("rank") == len(BASE)) & live, span)).alias("more"),  # within one text
         F.count_if((F.col("rank") < len(BASE)) & live).alias("n_live"),
         F.count_if((F.col("rank") < len(BASE)) & example).alias("n_example"),

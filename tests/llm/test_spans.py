@@ -63,6 +63,38 @@ def test_context_finds_unseen_identifiers(make):
     assert got[12] == "context:18:28" and got[13] == ""
 
 
+def test_what_a_pattern_finds_induces_the_next(make):
+    """Seeds make `agent` sure; it finds four badges; those make `badge holder` sure, which finds a fifth, and so does a right context."""
+    seeds = [f"please call agent +1202555{i:04d} today" for i in range(12)]
+    badges = [f"{k}7-ZX-442{k}" for k in range(5)]
+    texts = seeds + [f"she is agent {b} today" for b in badges[:4]] + [f"the badge holder {b}." for b in badges]
+    texts += ["lone 99-QQ-1234 stays", "lone 99-QQ-1235 stays", "lone 99-QQ-1236 stays"]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(make(texts)).collect()}
+    assert all(got[12 + k] == "context:13:23" for k in range(4))
+    assert all(got[16 + k] == "context:17:28" for k in range(5))
+    assert all(got[21 + k] == "" for k in range(3))
+
+
+def test_far_words_and_many_matches(make):
+    seeds = [f"agent +1202555{i:04d}" for i in range(4)]
+    many = " ".join(f"u{i}@b.co" for i in range(6000))
+    texts = [*seeds, "agent " + ". " * 300 + "77-ZX-9999", many, many + " agent 77-ZX-9999 x"]
+    docs = make(texts)
+    got = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    assert got[4]["spans"] == "context:606:616" and got[5]["n_email"] == 6000
+    assert got[6]["spans"].endswith(f"context:{len(many) + 7}:{len(many) + 17}")
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert out[5] == " ".join(["[EMAIL]"] * 6000) and out[6] == out[5] + " agent [CONTEXT] x"
+
+
+def test_ties_repeated_rows_and_odd_columns(spark):
+    rows = [(1, f"agent +1202555{i:04d}", i) for i in range(4)] + [(2, "agent 77-ZX-9999", 0)] * 2 + [(None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int").withColumn("token", F.lit(1)).withColumn("pattern", F.lit("x"))
+    got = [(r["doc_id"], r["spans"]) for r in pii.find(docs).collect()]
+    assert got.count((2, "context:6:16")) == 2 and len(got) == 7 and (None, "") in got
+    assert pii.redact(docs).columns == docs.columns and pii.redact(docs).filter("text = 'agent [CONTEXT]'").count() == 2
+
+
 def test_redaction_keeps_rows_and_columns(make, empty):
     docs = make(["mail a@b.co now", "nothing", None, "1.2.3.4 and a@b.co"]).withColumn("base", F.lit(7))
     out = pii.redact(docs)
