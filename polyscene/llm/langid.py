@@ -8,10 +8,12 @@ largest value for n-grams that the list lacks.
 Training counts the n-grams of all training rows, first within each task. Only the lists (PROFILE n-grams a language) reach the driver.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so
-is every text if no training row has a language. Equal counts rank in order of
-first appearance in a text and in n-gram order in a profile; n-grams in no profile are not ranked; a text that has letters but
-no n-gram of any profile gets the first language with score 0; equal distances go
-to the smaller language name. A null doc_id counts as a training row.
+is every text if no training row has a language. Equal counts rank in n-gram order,
+in texts and in profiles; all n-grams of a text are ranked, and those that a profile
+lacks count as far away as can be, so a text that has letters but no n-gram of any
+profile gets the first language with score 0; equal distances go to the smaller
+language name. Repeated rows count, and are predicted, each. A null doc_id counts as
+a training row.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from .common import held_out, map_texts, ship, texts_of
 
 #: n-grams in a profile and n-grams of a text that are ranked.
 PROFILE = 400
-#: Languages that a model may have; more is taken for a wrong column.
-MOST_LANGUAGES = 4096
 #: Distinct n-grams held in a training task before they are handed on.
 HELD = 300_000
 
 _BITS = 20
+#: Stands for a word's edge; no letter has this code point.
+EDGE = 1
 _ALPHA: np.ndarray | None = None
 
 
@@ -43,24 +45,23 @@ def _letters() -> np.ndarray:
 
 
 def grams(text: bytes | None) -> np.ndarray:
-    """All 1- to 3-grams of the lower-cased words, as integers of 21 bits a character; 0 stands for a word's edge."""
+    """All 1- to 3-grams of the lower-cased words, as integers of 21 bits a character; EDGE stands for a word's edge."""
     c = np.frombuffer((text or b"").decode().lower().encode("utf-32-le"), "<u4").astype(np.int64)
-    c = np.where(_letters()[c], c, 0)
-    c = np.concatenate([[0], c, [0]])
+    c = np.where(_letters()[c], c, EDGE)
+    c = np.concatenate([[EDGE], c, [EDGE]])
     keep = np.ones(len(c), bool)
-    keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
+    keep[1:] = (c[1:] != EDGE) | (c[:-1] != EDGE)
     c = c[keep]
     if len(c) < 3:
         return np.zeros(0, np.int64)
     two = (c[:-1] << 21) | c[1:]
     three = (two[:-1] << 21) | c[2:]
-    return np.concatenate([c[c != 0], two, three[c[1:-1] != 0]])
+    return np.concatenate([c[c != EDGE], two, three[c[1:-1] != EDGE]])
 
 
 def spell(gram: int) -> str:
-    """The n-gram as text, _ for a word's edge: as many characters as its largest part shows, 3 at most."""
-    parts = [gram >> 42 & 0x1FFFFF, gram >> 21 & 0x1FFFFF, gram & 0x1FFFFF]
-    return "".join(chr(p) if p else "_" for p in parts).lstrip("_") or "_"
+    """The n-gram as text, _ for a word's edge."""
+    return "".join("_" if p == EDGE else chr(p) for k in (42, 21, 0) if (p := gram >> k & 0x1FFFFF))
 
 
 def _slots(keys: np.ndarray) -> np.ndarray:
@@ -142,15 +143,13 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", where: Column |
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     got = counts.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= PROFILE)
     model: dict[str, list[int]] = {}
-    for r in got.limit(PROFILE * MOST_LANGUAGES + 1).collect():
+    for r in got.collect():
         model.setdefault(r["lang"], []).append((r["r"], r["gram"]))
-    if len(model) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     return {k: [g for _, g in sorted(v)] for k, v in sorted(model.items())}
 
 
 def predictor(model: dict[str, list[int]]):
-    """A function from texts to (languages, scores). A text's n-grams are ranked among those of all profiles."""
+    """A function from texts to (languages, scores)."""
     langs, table = list(model), Table()
     outside: dict[int, int] = {}
     keys = np.unique(np.array([g for v in model.values() for g in v], np.int64))
@@ -166,7 +165,8 @@ def predictor(model: dict[str, list[int]]):
                 n[k == x] = i
         return n
 
-    ranks, known = np.full((size, max(len(langs), 1)), PROFILE, np.int64), np.zeros((size, max(len(langs), 1)), bool)
+    # the last row is of n-grams that no profile holds
+    ranks, known = np.full((size + 1, max(len(langs), 1)), PROFILE, np.int64), np.zeros((size + 1, max(len(langs), 1)), bool)
     for j, v in enumerate(model.values()):
         i = numbers(np.array(v, np.int64))
         ranks[i, j], known[i, j] = np.arange(len(v)), True
@@ -175,11 +175,9 @@ def predictor(model: dict[str, list[int]]):
         k = grams(t)
         if not langs or not len(k):
             return "und", 0.0
-        n = numbers(k)
-        n, where, count = np.unique(n[n >= 0], return_index=True, return_counts=True)
-        if not len(n):
-            return langs[0], 0.0
-        at = n[np.lexsort([where, -count])][:PROFILE]
+        own, count = np.unique(k, return_counts=True)
+        at = numbers(own[np.argsort(-count, kind="stable")[:PROFILE]])
+        at = np.where(at < 0, size, at)
         far = np.where(known[at], np.abs(ranks[at] - np.arange(len(at))[:, None]), PROFILE).sum(0)
         best = int(far.argmin())
         return langs[best], 1.0 - float(far[best]) / (PROFILE * len(at))

@@ -55,8 +55,8 @@ SIGNATURES = [
     ("isc", "name", "isc", r"(?<![a-z0-9])isc licen[cs]e(?![a-z])"),
     ("ntp", "text", "suitability of this software", r"makes? no representations about the suitability of this software for any purpose"),
     # BSD
-    ("bsd-4-clause", "text", "advertising materials", r"redistribution and use in source and binary forms%all advertising materials mentioning features or use of this software must display the following acknowledge?ment%neither the name%endorse or promote products"),
-    ("bsd-3-clause", "text", "redistribution and use", r"redistribution and use in source and binary forms%(?:neither the names? of|the names? of the (?:author|contributor)s? may not|my name,? \S+,? may not)%(?:endorse or promote|endorse and promote) products"),
+    ("bsd-4-clause", "text", "advertising materials", r"redistribution and use in source and binary forms%all advertising materials mentioning features or use of this software must display the following acknowledge?ment%neither the name%endorse or promote products(?: derived from this software)?"),
+    ("bsd-3-clause", "text", "redistribution and use", r"redistribution and use in source and binary forms%(?:neither the names? of|the names? of the (?:author|contributor)s? may not|my name,? \S+,? may not)%(?:endorse or promote|endorse and promote) products(?: derived from this software)?"),
     ("bsd-2-clause", "text", "redistribution and use", r"redistribution and use in source and binary forms,? with or without modification,? are permitted provided that the following conditions are met%redistributions in binary form must reproduce the above copyright notice"),
     ("bsd-3-clause", "text", "endorse or promote", r"neither the names? of .{1,200}? may be used to endorse or promote products derived from this software"),
     ("bsd-2-clause", "text", "redistributions of source", r"redistributions of source code must retain the above copyright notice,? this list of conditions and the following disclaimer"),

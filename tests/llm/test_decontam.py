@@ -59,12 +59,51 @@ def test_longest_match(make, spark):
     assert [r["longest_match"] for r in got] == [25, 0]
 
 
+def test_locations_and_longest_match_by_brute_force(case, messy, make):
+    """Every maximal match is verbatim, and no longer one starts where it starts."""
+    items, bench = case
+    long = {str(i): words(t) for i, t in items if i is not None and t}
+    got = decontam.scan(make(messy), bench, {"doc_id": F.col("doc_id")}, locate=True).orderBy("doc_id").collect()
+    every = [words(t) for _, t in items if t]
+    for r, t in zip(got, messy, strict=True):
+        w, best = words(t), 0
+        for i in range(len(w)):
+            for x in every:
+                for j in range(len(x)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(x) and w[i + n] == x[j + n]:
+                        n += 1
+                    best = max(best, n if n >= 8 or n == len(x) else 0)
+        assert r["longest_match"] == best == max((m["length"] for m in r["matches"]), default=0)
+        for m in r["matches"]:
+            if m["item"] in long:
+                a, b = m["start"], m["item_start"]
+                assert m["length"] >= 8 or w[a : a + m["length"]] in every
+                assert any(w[a : a + m["length"]] == x[b : b + m["length"]] for x in every)
+
+
+def test_a_window_of_many_items_and_documents(make, spark):
+    shared = " ".join(f"t{i}" for i in range(8))
+    bench = spark.createDataFrame([(i, f"u{i} {shared} v{i}") for i in range(300)], "item_id long, text string")
+    got = decontam.scan(make([f"x{i} {shared} y{i}" for i in range(400)]), bench, {"doc_id": F.col("doc_id")}).collect()
+    assert {(r["n_items"], r["n_hit"], r["longest_match"]) for r in got} == {(300, 8, 8)}
+
+
+def test_suffix_array():
+    import numpy as np
+
+    rng = random.Random(1)
+    flat = [rng.randint(0, 2) for _ in range(200)] + [-1] + [1] * 30
+    assert decontam.suffixes(np.array(flat)).tolist() == sorted(range(len(flat)), key=lambda i: flat[i:])
+    assert decontam.suffixes(np.zeros(0, np.int32)).tolist() == []
+
+
 def test_filter_keeps_columns_and_clean_rows(make, spark, empty):
     a, b = " ".join(f"p{i}" for i in range(9)), " ".join(f"q{i}" for i in range(9))
-    docs = make([a + " " + b, a, "clean", None]).withColumn("contaminated", F.lit("x"))
+    docs = make([a + " " + b, a, "clean", None]).withColumn("contaminated", F.lit("x")).withColumn("a.b", F.lit(1))
     bench = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
     out = decontam.decontaminate(docs, bench)
-    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2, 3]
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [2, 3]
     assert decontam.decontaminate(empty, bench).count() == 0
     assert decontam.decontaminate(docs, bench.limit(0)).count() == 4
 

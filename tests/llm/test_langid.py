@@ -67,3 +67,39 @@ def test_empty_and_untrained(make, empty):
     assert (got["lang_pred"], got["score"]) == ("und", 0.0)
     clash = make(["abc abc"]).withColumn("score", F.lit("x")).withColumn("k0", F.lit(1))
     assert langid.identify(clash).columns == ["doc_id", "held_out", "lang_pred", "score"]
+
+
+def test_distances_match_brute_force(make):
+    """The ranks of a text's own n-grams against each profile's, by plain counting."""
+    import itertools
+    from collections import Counter
+
+    def plain(t):
+        padded = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        one = Counter()
+        line = "_" + "_".join(padded) + "_" if padded else ""
+        for n in (1, 2, 3):
+            for i in range(len(line) - n + 1):
+                g = line[i : i + n]
+                if g != "_" and (n < 3 or g[1] != "_"):
+                    one[g] += 1
+        return one
+
+    def order(counts):
+        code = lambda g: tuple([0] * (3 - len(g)) + [1 if c == "_" else ord(c) for c in g])
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))][: langid.PROFILE]
+
+    texts = ["the cat and the hat", "le chat et la souris", "the the the", "zzz qqq", "the cat and the hat", "ab ab cd cd", None, "42"]
+    langs = ["en", "fr", "en", "fr", "en", "fr", "en", "fr"]
+    docs = make(texts, langs)
+    model = langid.fit(docs)
+    profiles = {k: order(sum((plain(t) for t, x in zip(texts, langs, strict=True) if x == k), Counter())) for k in ("en", "fr")}
+    got = {r["doc_id"]: r for r in langid.predict(docs, model, {"doc_id": F.col("doc_id")}).collect()}
+    for i, t in enumerate(texts):
+        own = order(plain(t))
+        if not own:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        far = {k: sum(abs(p.index(g) - r) if g in p else langid.PROFILE for r, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(itertools.chain(far), key=lambda k: (far[k], k))
+        assert got[i]["lang_pred"] == best and abs(got[i]["score"] - (1 - far[best] / (langid.PROFILE * len(own)))) < 1e-12
