@@ -89,18 +89,21 @@ SECTIONS = "scene_and_context objects_and_attributes spatial_and_layout motion_a
 
 # Routing of evidence to the sections of a narrative.
 ROUTES = ["scene_overview", "visible_objects_and_layout", "motion_and_event_cues", "audio_cues"]
+# Fixed values.
 ROUTE_WEIGHTS = {
     "scene_overview": (1.0, 1.0, 0.7, 0.7, 0.8),
     "visible_objects_and_layout": (1.2, 1.1, 0.8, 0.2, 1.0),
     "motion_and_event_cues": (0.8, 0.9, 1.3, 0.5, 0.6),
     "audio_cues": (0.1, 0.1, 0.1, 1.5, 0.1),
 }
+# Fixed values.
 ROUTE_HINTS = {
     "scene_overview": "object_recognition scene_sequence environmental_scene depth_object_recognition".split(),
     "visible_objects_and_layout": "object_recognition spatial_reasoning counting depth_spatial_reasoning depth_counting".split(),
     "motion_and_event_cues": "dynamic_recognition dynamic_counting scene_sequence action event_".split(),
     "audio_cues": "sound_ speech_ music_ audio_ environmental_scene action_from_sound".split(),
 }
+# Fixed values.
 ROUTE_KEYWORDS = {
     "scene_overview": "kitchen indoor outdoor counter workspace room office environment setting preparation cooking food domestic".split(),
     "visible_objects_and_layout": "board cutting knife peeler carrot bowl laptop stovetop countertop counter power strip left right center layout object objects spatial position".split(),
@@ -132,6 +135,7 @@ def section_groups() -> list[tuple[str, str]]:
 
 
 # Gates and thresholds.
+RELAXED_SCORE = 1.6
 MIN_SCORE, EXEMPT_SCORE, REVIEW_SCORE, HIGH_SCORE = 1.8, 1.7, 2.0, 2.2
 MIN_SUPPORT, STRICT_SUPPORT, SUPPORTING = 0.08, 0.12, 0.3
 COSINE_FLOOR, COSINE_CEILING = 0.4, 0.9

@@ -50,21 +50,32 @@ def smoothed(trace: DataFrame, key: list[str], width: int) -> DataFrame:
 
 
 def lag_correlations(reference: DataFrame, targets: DataFrame, key: list[str], lags: int) -> DataFrame:
-    """key, lag, n, correlation of target.idx = reference.idx + lag; null with under 3 values or a flat side."""
+    """key, lag, n, correlation of target.idx = reference.idx + lag; null with under 3 values or a flat side.
+
+    reference holds one trace a sample: it has idx, value and those columns of the key that tell samples and sides apart,
+    and a target meets the reference of its own sample alone.
+    """
+    own = [k for k in key if k in reference.columns]
     moved = targets.withColumn("lag", F.explode(F.sequence(F.lit(-lags), F.lit(lags)))).withColumn("at", F.col("idx") - F.col("lag"))
-    ref = reference.select(F.col("idx").alias("at"), F.col("value").alias("ref"))
-    both = moved.join(ref, "at")
+    ref = reference.select(*own, F.col("idx").alias("at"), F.col("value").alias("ref"))
+    both = moved.join(ref, [*own, "at"])
     flat = (F.count("*") < 3) | (F.stddev_pop("ref") < FLAT) | (F.stddev_pop("value") < FLAT)
     return both.groupBy(*key, "lag").agg(F.count("*").alias("n"), F.when(~flat, F.corr("ref", "value")).alias("correlation")).filter("correlation is not null")
 
 
-def scored_lags(table: DataFrame, key: list[str], fps: float, prior: tuple[float, float, float, float], longest: Column) -> DataFrame:
-    """table with offset, overlap_ratio and score: correlation, a little for overlap, less for distance from the expected offset."""
-    _, expected, scale, weight = prior
-    offset = F.col("lag") / F.lit(fps)
-    ratio = F.col("n") / longest
+def scored_lags(table: DataFrame, fps: float, shorter: Column, modality: Column | None = None, priors: dict | None = None) -> DataFrame:
+    """table with offset_seconds, overlap_ratio and score: correlation, a little for overlap, less for distance from the expected offset.
+
+    shorter: the length of the shorter of the two traces. Each modality has its own prior; lags beyond its most
+    seconds go. Without a modality column, or for one without a prior, only correlation and overlap count.
+    """
+    known = dims.PRIORS if priors is None else priors
+    pick = lambda i, default: dims.choose(modality, {m: p[i] for m, p in known.items()}, default) if modality is not None else F.lit(default)
+    most, expected, scale, weight = pick(0, 1e9), pick(1, 0.0), pick(2, 5.0), pick(3, 0.0)
+    offset, ratio = F.col("lag") / F.lit(fps), F.col("n") / F.greatest(shorter, F.lit(1))
     far = F.least(F.lit(1.0), F.abs(offset - expected) / scale)
-    return table.withColumn("offset_seconds", offset).withColumn("overlap_ratio", ratio).withColumn("score", F.col("correlation") + 0.12 * ratio - weight * far)
+    out = table.withColumn("offset_seconds", offset).withColumn("overlap_ratio", ratio).withColumn("score", F.col("correlation") + 0.12 * ratio - weight * far)
+    return out.filter(F.abs("offset_seconds") <= most)
 
 
 def confidence(correlation: Column, margin: Column) -> Column:
@@ -97,6 +108,100 @@ def overlap(reference: Column, target: Column, offset: Column) -> list[Column]:
     return [F.round(x, 6).alias(n) for x, n in ((r, "reference_start"), (r + long, "reference_end"), (t, "target_start"), (t + long, "target_end"))]
 
 
+def shared_window(samples: DataFrame, targets: DataFrame, key: list[str]) -> DataFrame:
+    """key, window_start, window_end of the reference that all targets cover. samples: key, duration; targets: key, offset_seconds, duration."""
+    reach = targets.groupBy(*key).agg(F.max(-F.col("offset_seconds")).alias("_from"), F.min(F.col("duration") - F.col("offset_seconds")).alias("_to"))
+    rows = samples.join(reach, key, "left")
+    start, end = F.greatest(F.lit(0.0), "_from"), F.least("duration", "_to")
+    return rows.select(*key, F.round(start, 6).alias("window_start"), F.round(F.greatest(start, end), 6).alias("window_end"))
+
+
+def plotted(trace: DataFrame, key: list[str]) -> DataFrame:
+    """Values between p1 and p99 as 0 to 1, clipped; between the least and the largest if those are equal; else 0."""
+    bounds = trace.groupBy(*key).agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("_p"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    rows = trace.join(bounds, key)
+    wide = F.col("_p")[1] > F.col("_p")[0]
+    low, high = F.when(wide, F.col("_p")[0]).otherwise(F.col("_lo")), F.when(wide, F.col("_p")[1]).otherwise(F.col("_hi"))
+    scaled = F.when(high > low, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("value") - low) / (high - low)))).otherwise(0.0)
+    return rows.select(*trace.columns[: trace.columns.index("value")], scaled.alias("value"), *trace.columns[trace.columns.index("value") + 1 :])
+
+
+# Messages about traces that cannot be aligned, or were aligned with doubt.
+FLAT_TRACE = "Motion energy trace is too short or too flat for reliable alignment."
+NO_FPS = "Could not determine FPS for one or both videos."
+NO_OVERLAP = "No valid cross-correlation overlap was available."
+BY_PRIOR = "Selected offset uses modality prior because the raw highest-correlation lag was less plausible."
+
+
+def alignment(videos: DataFrame, picked: DataFrame, key: list[str], modalities: list[str]) -> DataFrame:
+    """A row for every sample and target modality: offset, label, windows, how it was selected, and warnings.
+
+    videos: key, modality, file, opened, fps, duration, flat (the reference's modality is rgb); picked: as from
+    selected_offsets, by key and modality. Absent, unopened, rateless and flat videos have no offset.
+    """
+    ref = videos.filter("modality = 'rgb'").select(*key, F.col("opened").alias("r_opened"), F.col("fps").alias("r_fps"), F.col("duration").alias("r_duration"), F.col("flat").alias("r_flat"))
+    grid = videos.select(*key).distinct().withColumn("modality", F.explode(F.array(*map(F.lit, modalities))))
+    rows = grid.join(videos, [*key, "modality"], "left").join(ref, key, "left").join(picked, [*key, "modality"], "left")
+    fps_off = F.abs(F.col("fps") - F.col("r_fps")) > 0.01
+    state = (
+        F.when(F.col("file").isNull(), "missing")
+        .when(F.col("r_fps").isNull() | ~F.coalesce("r_opened", F.lit(False)), "no_reference")
+        .when(~F.coalesce("opened", F.lit(False)), "unopened")
+        .when(~F.coalesce((F.col("fps") > 0) & (F.col("r_fps") > 0), F.lit(False)), "no_fps")
+        .when(F.coalesce("flat", F.lit(True)) | F.coalesce("r_flat", F.lit(True)), "flat")
+        .when(F.col("lag").isNull(), "no_overlap")
+        .otherwise("aligned")
+    )
+    rows = rows.withColumn("state", state)
+    done = F.col("state") == "aligned"
+    offset = F.when(done, F.col("offset_seconds"))
+    beyond = (F.col("selected_by") == "modality_prior") & (F.abs(F.col("lag") - F.col("raw_best_lag")) / F.least("fps", "r_fps") > 0.5)
+    warnings = F.array_compact(F.array(
+        F.when(F.col("state") == "missing", F.concat(F.lit("No "), F.upper("modality"), F.lit(" video for this sample."))),
+        F.when(F.col("state") == "no_reference", F.lit("No usable RGB reference video for this sample.")),
+        F.when(F.col("state") == "unopened", F.concat(F.lit("Could not open "), F.col("modality"), F.lit(" video: "), F.col("file"))),
+        F.when(F.col("state") == "no_fps", F.lit(NO_FPS)),
+        F.when(F.col("state").isin("aligned", "flat", "no_overlap") & fps_off, F.format_string("FPS differs between videos: RGB=%.3f, %s=%.3f. Offset is estimated using the lower FPS as the lag unit.", "r_fps", "modality", "fps")),
+        F.when(F.col("state") == "flat", F.lit(FLAT_TRACE)),
+        F.when(F.col("state") == "no_overlap", F.lit(NO_OVERLAP)),
+        F.when(done & beyond, F.lit(BY_PRIOR)),
+    ))
+    windows = [F.when(done, c).alias(n) for c, n in zip(overlap(F.col("r_duration"), F.col("duration"), F.col("offset_seconds")), ("reference_start", "reference_end", "target_start", "target_end"), strict=True)]
+    return rows.select(
+        *key, "modality", "file", "duration", offset.alias("offset_seconds"), F.when(done, F.col("correlation")).alias("correlation"),
+        F.when(done, F.col("confidence_label")).otherwise("low").alias("confidence_label"),
+        F.when(done, F.col("selected_by")).when(F.col("state") == "missing", F.lit("missing")).otherwise("unavailable").alias("selected_by"), *windows, warnings.alias("warnings"),
+    )
+
+
+def exports(samples: DataFrame, aligned: DataFrame, key: list[str], needed: tuple[str, ...] = ("event", "depth", "ir")) -> DataFrame:
+    """key, status (exported or skipped), reason, start, length: the window that reference and all needed targets share.
+
+    samples: key, file, duration, exists of the reference; aligned: key, modality, offset_seconds, duration, file, exists.
+    """
+    short = aligned.filter(F.col("modality").isin(*needed))
+    fields = F.struct("offset_seconds", "duration", "file", "exists")
+    rows = samples.join(short.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("modality", fields))).alias("t")), key, "left")
+    get = lambda m: F.try_element_at("t", F.lit(m))
+    problems = [
+        F.when(~F.coalesce("exists", F.lit(False)), F.concat(F.lit("RGB reference file does not exist: "), F.coalesce("file", F.lit("")))),
+        F.when(~F.coalesce(F.col("duration") > 0, F.lit(False)), F.lit("RGB reference_duration_seconds must be positive.")),
+    ]
+    for m in needed:
+        x, name = get(m), m.upper()
+        problems += [
+            F.when(x.isNull(), F.lit(f"Missing {name} alignment.")),
+            F.when(x["offset_seconds"].isNull() | x["duration"].isNull(), F.lit(f"{name} alignment must include offset_seconds and duration_seconds.")),
+            F.when(~F.coalesce(x["exists"], F.lit(False)), F.concat(F.lit(f"{name} file does not exist: "), F.coalesce(x["file"], F.lit("")))),
+        ]
+    start = F.greatest(F.lit(0.0), *[-get(m)["offset_seconds"] for m in needed])
+    end = F.least(F.col("duration"), *[get(m)["duration"] - get(m)["offset_seconds"] for m in needed])
+    problems.append(F.when(~F.coalesce(end - start > 0, F.lit(False)), F.lit("No positive RGB/EVENT/DEPTH/IR overlap window is available.")))
+    reason = F.coalesce(*problems)
+    fine = reason.isNull()
+    return rows.select(*key, F.when(fine, "exported").otherwise("skipped").alias("status"), reason.alias("reason"), F.when(fine, F.round(start, 6)).alias("start"), F.when(fine, F.round(end - start, 6)).alias("length"))
+
+
 def consensus(rows: DataFrame, key: list[str], candidates: DataFrame) -> DataFrame:
     """Offsets far from the infrared anchor with low confidence give way to the best near candidate, or to the anchor.
 

@@ -106,62 +106,96 @@ def clause(modality: Column, kind: Column, entity: Column, value: Column) -> Col
     )
 
 
-def layout_question(caption: Column) -> tuple[Column, Column]:
-    """Question and answer that a caption's layout wording gives."""
-    side = r"(?i)To the (right|left) of the ([^.]+?) (?:is|sits|stands|lies|are)\s+(?:a|an|the) ([^.]+?)(?:[.,]|$)"
-    located = r"(?i)The ([^.]+?) is located to the (right|left) of the ([^.]+?)(?:[.,]|$)"
-    outlets, resting = r"(?i)with ([0-9]+) outlets", r"(?i)Resting on the cutting board are ([^.]+?)(?:[.,]|$)"
-    get = lambda p, k: F.trim(F.regexp_extract(caption, p, k))
-    what = lambda d, r: F.concat(F.lit("What is to the "), d, F.lit(" of the "), r, F.lit("?"))
-    strip = F.lower(caption).contains("power strip") & caption.rlike(outlets)
-    items = F.filter(F.transform(F.split(get(resting, 1), ",| and "), lambda x: F.trim(x)), lambda x: x != "")
-    rests = caption.rlike(resting) & (F.size(items) > 0)
-    question = F.when(caption.rlike(side), what(get(side, 1), get(side, 2))).when(caption.rlike(located), what(get(located, 2), get(located, 3))).when(strip, F.lit("How many outlets are on the power strip?")).when(rests, F.lit("What is on the cutting board?")).otherwise("What object is explicitly mentioned in the layout?")
-    answer = F.when(caption.rlike(side), get(side, 3)).when(caption.rlike(located), get(located, 1)).when(strip, get(outlets, 1)).when(rests, F.get(items, F.lit(0))).otherwise(caption)
-    return question, text.trim_answer(answer)
+# What a section's own rules add: (where to look, what for, how much), and the share and limit of keywords.
+# Looked at are the category (anywhere in it), the question (its beginning), what is said (anywhere in it), or tokens (none of them).
+ROUTE_RULES = {
+    "scene_overview": [
+        ("category", "overview setting environment context".split(), 0.6),
+        ("said", ["setting", "environment", "scene context", "overall scene"], 0.4),
+        ("question", ["where", "how many", "what action", "what tool", "what object", "is ", "are ", "was "], -0.45),
+        ("category", "layout spatial count object motion event audio sound action dynamic".split(), -0.3),
+    ],
+    "visible_objects_and_layout": [
+        ("category", "layout spatial count object".split(), 0.55),
+        ("question", ["where", "how many", "which object", "what object", "what item", "what brand", "what logo"], 0.45),
+        ("category", "scene overview audio sound motion event".split(), -0.15),
+    ],
+    "motion_and_event_cues": [
+        ("category", "dynamic action scene_sequence event_action event_dynamic event_scene motion".split(), 0.7),
+        ("question", ["what action", "what tool do", "what am i doing", "what do i", "what does", "when"], 0.45),
+        ("said", ["peel", "slice", "pick up", "put down", "grasp", "lift", "enter", "move"], 0.25),
+        ("tokens", "move motion moving enter lift reach pick grasp peel contact activity interaction hands".split(), -0.2),
+    ],
+    "audio_cues": [
+        ("category", "audio sound speech music noise".split(), 0.75),
+        ("tokens", "audio sound speech music noise silence scraping chopping rhythmic".split(), -0.3),
+    ],
+}
+KEYWORD_SHARE = {"scene_overview": (0.05, 0.25), "visible_objects_and_layout": (0.08, 0.35), "motion_and_event_cues": (0.08, 0.35), "audio_cues": (0.1, 0.4)}
+# Least score of a sentence, and how many a section takes; strict, relaxed.
+LEAST = {False: 0.45, True: 0.2}
+LIMITS = {
+    False: {"scene_overview": 2, "visible_objects_and_layout": 3, "motion_and_event_cues": 2, "audio_cues": 2},
+    True: {"scene_overview": 4, "visible_objects_and_layout": 6, "motion_and_event_cues": 4, "audio_cues": 4},
+}
+
+
+def words_of_interest() -> list[str]:
+    """Every token that a route looks for."""
+    own = [w for rules in ROUTE_RULES.values() for kind, words, _ in rules if kind == "tokens" for w in words]
+    return sorted({*own, *(w for words in dims.ROUTE_KEYWORDS.values() for w in words)})
 
 
 def route_score(section: str, modality: Column, category: Column, tokens: Column, reliability: Column, support: Column) -> Column:
-    """How well evidence fits a section: modality, reliability, support, category and keywords."""
+    """How well evidence fits a section: modality, reliability, support, category and keywords; without the section's own rules."""
     base = F.lit(0.3)
-    for m, w in zip(dims.FUSION_ORDER, dims.ROUTE_WEIGHTS[section], strict=True):
+    for m, w in zip(dims.FUSION_ORDER, dims.ROUTE_WEIGHTS.get(section, ()), strict=section in dims.ROUTES):
         base = F.when(modality == m, F.lit(w)).otherwise(base)
-    hints = dims.ROUTE_HINTS[section]
-    bonus = F.when(category.rlike("^(?:" + "|".join(hints) + ")"), 0.35).when(category.rlike("|".join(hints)), 0.25).otherwise(0.0)
-    hits = F.size(F.array_intersect(tokens, F.array(*map(F.lit, dims.ROUTE_KEYWORDS[section]))))
+    hints = dims.ROUTE_HINTS.get(section, [])
+    bonus = F.when(category.rlike("^(?:" + "|".join(hints) + ")"), 0.35).when(category.rlike("|".join(hints)), 0.25).otherwise(0.0) if hints else F.lit(0.0)
     outlier = F.when((reliability < 0.5) & (support < dims.MIN_SUPPORT), 1.0).otherwise(0.0)
-    return base + reliability * 0.6 + support * 1.2 + bonus + F.least(F.lit(0.45), hits * 0.08) - outlier + _route_bonus(section, category, tokens, hits)
-
-
-def _route_bonus(section: str, category: Column, tokens: Column, hits: Column) -> Column:
-    """What the section's own rules add for captions without a question."""
-    key = F.lower(category)
-    has = lambda *w: F.size(F.array_intersect(tokens, F.array(*map(F.lit, w)))) > 0
-    add = lambda c, x: F.when(c, x).otherwise(0.0)
-    if section == "scene_overview":
-        return add(key.rlike("overview|setting|environment|context"), 0.6) + F.least(F.lit(0.25), hits * 0.05) - add(key.rlike("layout|spatial|count|object|motion|event|audio|sound|action|dynamic"), 0.3)
-    if section == "visible_objects_and_layout":
-        return add(key.rlike("layout|spatial|count|object"), 0.55) + F.least(F.lit(0.35), hits * 0.08) - add(key.rlike("scene|overview|audio|sound|motion|event"), 0.15)
-    if section == "motion_and_event_cues":
-        active = has("move", "motion", "moving", "enter", "lift", "reach", "pick", "grasp", "peel", "contact", "activity", "interaction", "hands")
-        return add(key.rlike("dynamic|action|scene_sequence|event_scene|motion"), 0.7) + F.least(F.lit(0.35), hits * 0.08) - add(~active, 0.2)
-    heard = has("audio", "sound", "speech", "music", "noise", "silence", "scraping", "chopping", "rhythmic")
-    return add(key.rlike("audio|sound|speech|music|noise"), 0.75) + F.least(F.lit(0.4), hits * 0.1) - add(~heard, 0.3)
-
-
-def routed(evidence: DataFrame, least: float = 0.45) -> DataFrame:
-    """evidence with section and section_score: the best of four; ties go to the later name, close calls to the modality's own."""
-    def ranked(*columns: str) -> Column:
-        return F.struct(*columns)
-
-    scored = evidence
-    for s in dims.ROUTES:
-        scored = scored.withColumn(f"_{s}", F.round(route_score(s, *[F.col(c) for c in ("modality", "category", "tokens", "reliability", "support_score")]), 9))
-    order = F.sort_array(F.array(*[F.struct(F.col(f"_{s}").alias("score"), F.lit(s).alias("section")) for s in dims.ROUTES]), asc=False)
-    scored = scored.withColumn("_order", order).withColumn("section_score", F.col("_order")[0]["score"])
-    own = F.when(F.col("modality") == "audio", F.lit("audio_cues")).when(F.col("modality") == "event", F.lit("motion_and_event_cues")).otherwise("visible_objects_and_layout")
-    close = F.round(F.col("_order")[0]["score"] - F.col("_order")[1]["score"], 9) < 0.02
-    return scored.filter(F.col("section_score") > least).select(*evidence.columns, "section_score", F.when(close, own).otherwise(F.col("_order")[0]["section"]).alias("section"))
+    return base + reliability * 0.6 + support * 1.2 + bonus + F.least(F.lit(0.45), _hits(section, tokens) * 0.08) - outlier
+
+
+def _hits(section: str, tokens: Column) -> Column:
+    words = dims.ROUTE_KEYWORDS.get(section, [])
+    return F.size(F.array_intersect(tokens, F.array(*map(F.lit, words)))) if words else F.lit(0)
+
+
+def route_bonus(section: str, category: Column, question: Column, answer: Column, tokens: Column) -> Column:
+    """What the section's own rules add."""
+    q, said, key = F.lower(F.trim(question)), F.lower(F.concat_ws(" ", question, answer)), F.lower(category)
+    holds = {
+        "category": lambda words: key.rlike("|".join(words)),
+        "said": lambda words: said.rlike("|".join(words)),
+        "question": lambda words: q.rlike("^(?:" + "|".join(words) + ")"),
+        "tokens": lambda words: ~F.arrays_overlap(tokens, F.array(*map(F.lit, words))),
+    }
+    share, most = KEYWORD_SHARE[section]
+    out = F.least(F.lit(most), _hits(section, tokens) * share)
+    for kind, words, amount in ROUTE_RULES[section]:
+        out = out + F.when(holds[kind](words), amount).otherwise(0.0)
+    return out
+
+
+def routed(evidence: DataFrame, relaxed: bool = False) -> DataFrame:
+    """evidence with section and section_score: the best of four; ties go to the later name, close calls to a known modality's own.
+
+    evidence: modality, category, tokens, reliability, support_score, and question and answer if there are any. In
+    relaxed mode the least score is lower and close calls stay with the best.
+    """
+    said = [F.coalesce(F.col(c), F.lit("")) if c in evidence.columns else F.lit("") for c in ("question", "answer")]
+    # sections only look for few words, so the rest of the tokens is left behind once
+    scored = evidence.withColumn("_words", F.array_intersect("tokens", F.array(*map(F.lit, words_of_interest()))))
+    plain = lambda s: route_score(s, F.col("modality"), F.col("category"), F.col("_words"), F.col("reliability"), F.col("support_score"))
+    own_rules = lambda s: route_bonus(s, F.col("category"), *said, F.col("_words"))
+    scores = [F.struct(F.round(plain(s) + own_rules(s), 9).alias("score"), F.lit(s).alias("section")) for s in dims.ROUTES]
+    scored = scored.withColumn("_order", F.sort_array(F.array(*scores), asc=False)).withColumn("section_score", F.col("_order")[0]["score"])
+    best = F.col("_order")[0]["section"]
+    if not relaxed:
+        own = F.when(F.col("modality") == "audio", F.lit("audio_cues")).when(F.col("modality") == "event", F.lit("motion_and_event_cues")).when(F.col("modality").isin("rgb", "ir", "depth"), F.lit("visible_objects_and_layout")).otherwise(best)
+        best = F.when(F.round(F.col("_order")[0]["score"] - F.col("_order")[1]["score"], 9) < 0.02, own).otherwise(best)
+    return scored.filter(F.col("section_score") > LEAST[relaxed]).select(*evidence.columns, "section_score", best.alias("section"))
 
 
 def joined(sentences: Column) -> Column:
@@ -173,26 +207,20 @@ def joined(sentences: Column) -> Column:
 PREFERRED = {"audio_cues": ["audio"], "motion_and_event_cues": ["event", "rgb", "ir"], "visible_objects_and_layout": ["rgb", "ir", "depth"]}
 
 
-def sentence_score(section: str, modality: Column, category: Column, tokens: Column, reliability: Column, support: Column) -> Column:
-    """The route's score without the section's own rules."""
-    hits = F.size(F.array_intersect(tokens, F.array(*map(F.lit, dims.ROUTE_KEYWORDS[section]))))
-    return route_score(section, modality, category, tokens, reliability, support) - _route_bonus(section, category, tokens, hits)
-
-
-def selected_sentences(evidence: DataFrame, section: str, most: int, least: float = 0.45, relaxed: bool = False) -> DataFrame:
+def selected_sentences(evidence: DataFrame, section: str, most: int, relaxed: bool = False) -> DataFrame:
     """sample_id, rank, id: a section's sentences by score, near-copies dropped, its preferred modalities if there are any.
 
     evidence: sample_id, evidence_id, modality, category, tokens, reliability, support_score.
     """
     from .selection import distinct_greedy
 
-    hits = F.size(F.array_intersect("tokens", F.array(*map(F.lit, dims.ROUTE_KEYWORDS[section]))))
-    rows = evidence.withColumn("_score", F.round(sentence_score(section, *[F.col(c) for c in ("modality", "category", "tokens", "reliability", "support_score")]), 9))
-    if not relaxed:
+    hits = _hits(section, F.col("tokens"))
+    rows = evidence.withColumn("_score", F.round(route_score(section, *[F.col(c) for c in ("modality", "category", "tokens", "reliability", "support_score")]), 9))
+    if not relaxed and section in dims.ROUTES:
         named = {"visible_objects_and_layout": "spatial|count|object", "motion_and_event_cues": "dynamic|action|scene_sequence|event_scene"}.get(section)
         rows = rows.filter((hits > 0) | F.col("category").rlike(named) if named else hits > 0)
     one = F.struct((-F.col("_score")).alias("far"), F.col("evidence_id").alias("id"), F.col("modality"), F.col("tokens"))
-    lists = rows.filter(F.col("_score") > least).groupBy("sample_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    lists = rows.filter(F.col("_score") > LEAST[relaxed]).groupBy("sample_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
     lists = lists.withColumn("kept", distinct_greedy(F.col("all"), 0.7))
     if section in PREFERRED:
         wanted = F.filter("kept", lambda x: x["modality"].isin(PREFERRED[section]))
@@ -203,18 +231,62 @@ def selected_sentences(evidence: DataFrame, section: str, most: int, least: floa
     return lists.select("sample_id", F.posexplode(F.slice("kept", 1, most)).alias("pos", "k")).select("sample_id", (F.col("pos") + 1).alias("rank"), F.col("k.id").alias("evidence_id"))
 
 
-def cross_modal_details(evidence: DataFrame) -> DataFrame:
-    """sample_id, details: up to two lines on what reliable modalities agree about. evidence: as above, with sentence."""
-    reliable = evidence.groupBy("sample_id").agg(F.collect_set(F.when(F.col("reliability") >= 0.5, F.col("modality"))).alias("m"))
-    both = lambda *p: F.reduce(F.array(*[F.array_contains("m", a) & F.array_contains("m", b) for a, b in p]), F.lit(False), lambda x, y: x | y)
-    rules = [
-        ("visible_objects_and_layout", both(("rgb", "ir")), "RGB and IR cues agree on the visual layout: "),
-        ("motion_and_event_cues", both(("event", "rgb"), ("event", "ir")), "Event evidence is consistent with the observed motion: "),
-        ("audio_cues", both(("audio", "rgb"), ("audio", "ir"), ("audio", "event")), "Audio evidence matches the rest of the sample: "),
-    ]
-    out, lines = reliable, []
-    for k, (section, holds, intro) in enumerate(rules):
-        first = selected_sentences(evidence, section, 1).join(evidence.select("sample_id", "evidence_id", "sentence"), ["sample_id", "evidence_id"]).select("sample_id", F.col("sentence").alias(f"s{k}"))
+# Lines on agreement: section, the pairs of modalities of which one must be reliable, the line's beginning.
+AGREEMENT = [
+    ("visible_objects_and_layout", [("rgb", "ir")], "RGB and IR cues agree on the visual layout: "),
+    ("motion_and_event_cues", [("event", "rgb"), ("event", "ir")], "Event evidence is consistent with the observed motion: "),
+    ("audio_cues", [("audio", "rgb"), ("audio", "ir"), ("audio", "event")], "Audio evidence matches the rest of the sample: "),
+]
+
+
+def cross_modal_details(evidence: DataFrame, relaxed: bool = False) -> DataFrame:
+    """sample_id, details: up to two lines on what reliable modalities agree about, else the two best sentences of all.
+
+    evidence: as for selected_sentences, with sentence.
+    """
+    said = evidence.select("sample_id", "evidence_id", "sentence")
+    out = evidence.groupBy("sample_id").agg(F.collect_set(F.when(F.col("reliability") >= 0.5, F.col("modality"))).alias("m"))
+    lines = []
+    for k, (section, pairs, intro) in enumerate(AGREEMENT):
+        first = selected_sentences(evidence, section, 1, relaxed).join(said, ["sample_id", "evidence_id"]).select("sample_id", F.col("sentence").alias(f"s{k}"))
         out = out.join(first, "sample_id", "left")
-        lines.append(F.when(holds & F.col(f"s{k}").isNotNull(), F.concat(F.lit(intro), F.regexp_replace(F.col(f"s{k}"), r"\.+$", ""), F.lit("."))))
-    return out.select("sample_id", F.array_join(F.slice(F.array_compact(F.array(*lines)), 1, 2), " ").alias("details"))
+        agree = F.exists(F.array(*[F.array(*map(F.lit, p)) for p in pairs]), lambda p: F.size(F.array_intersect(p, F.col("m"))) == 2)
+        lines.append(F.when(agree & F.col(f"s{k}").isNotNull(), joined(F.array(f"s{k}"))))
+        lines[-1] = F.concat(F.lit(intro), lines[-1])
+    two = selected_sentences(evidence, "cross_modal_details", 2, relaxed).join(said, ["sample_id", "evidence_id"])
+    two = two.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("rank", "sentence"))).alias("two"))  # of two rows
+    found = F.slice(F.array_compact(F.array(*lines)), 1, 2)
+    rest = F.coalesce(joined(F.transform("two", lambda x: x["sentence"])), F.lit(""))
+    return out.join(two, "sample_id", "left").select("sample_id", F.when(F.size(found) > 0, F.array_join(found, " ")).otherwise(rest).alias("details"))
+
+
+def section_captions(evidence: DataFrame, relaxed: bool = False) -> DataFrame:
+    """sample_id and a caption for each section of the narrative, for agreement, and for the whole. evidence: as for routed, with sentence.
+
+    A section's evidence goes by score, near copies dropped at 0.7 and again at 0.65, as many as its limit; the whole
+    is the first sentence of each, near copies dropped at 0.55, four at most.
+    """
+    from .selection import distinct_greedy
+
+    def alike(score: str) -> Column:
+        return F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("far"), F.col("evidence_id").alias("id"), F.col("sentence"), F.col("tokens"))))
+
+    placed = routed(evidence, relaxed)
+    lists = placed.groupBy("sample_id", "section").agg(alike("section_score").alias("all"))  # within one sample
+    lists = lists.withColumn("kept", distinct_greedy(distinct_greedy(F.col("all"), 0.7), 0.65))
+    most = dims.choose(F.col("section"), LIMITS[relaxed], 2)
+    lists = lists.select("sample_id", "section", joined(F.transform(F.slice("kept", 1, most), lambda x: x["sentence"])).alias("caption"))
+    wide = lists.groupBy("sample_id").pivot("section", dims.ROUTES).agg(F.first("caption"))
+    out = evidence.select("sample_id").distinct().join(wide, "sample_id", "left").join(cross_modal_details(evidence, relaxed).withColumnRenamed("details", "cross_modal_details"), "sample_id", "left")
+    names = [*dims.ROUTES, "cross_modal_details"]
+    out = out.select("sample_id", *[F.coalesce(c, F.lit("")).alias(c) for c in names])
+    return out.withColumn("final_unified_caption", unified([F.col(c) for c in names]))
+
+
+def unified(captions: list[Column]) -> Column:
+    """The first sentences of captions, near copies dropped, four at most."""
+    from .selection import distinct_greedy
+
+    first = F.array_compact(F.array(*[F.try_element_at(text.sentences(c), F.lit(1)) for c in captions]))
+    told = F.transform(first, lambda s: F.struct(s.alias("said"), text.tokens(s).alias("tokens")))
+    return text.clean(F.array_join(F.transform(distinct_greedy(told, 0.55, 4), lambda x: x["said"]), " "))

@@ -33,7 +33,7 @@ def modality_summary(rows: DataFrame) -> DataFrame:
     n = lambda o: F.count_if(F.col("outcome") == o).alias(f"{o}_count")
     out = rows.groupBy("modality").agg(F.count("*").alias("candidate_count"), n("selected"), n("review"), n("dropped"), F.avg("support_score").alias("s"), F.avg("lexical_score").alias("l"), F.avg("supporting_count").alias("c"))
     look = (F.round("s", 9) < dims.STRICT_SUPPORT) | (F.col("c") < 0.5)
-    return out.select("modality", "candidate_count", "selected_count", "review_count", "dropped_count", F.round("s", 3).alias("avg_support"), F.round("l", 3).alias("avg_lexical"), F.round("c", 3).alias("avg_supporting"), look.alias("needs_review"))
+    return out.select("modality", "candidate_count", "selected_count", "review_count", "dropped_count", F.round(F.round("s", 9), 3).alias("avg_support"), F.round(F.round("l", 9), 3).alias("avg_lexical"), F.round(F.round("c", 9), 3).alias("avg_supporting"), look.alias("needs_review"))
 
 
 def grouped_by_section(rows: DataFrame, sections: str = "sections") -> DataFrame:

@@ -62,10 +62,35 @@ def merged(segments: Column, shortest: float = SHORTEST) -> Column:
     return F.aggregate(segments.cast(kind), F.array().cast(kind), step)
 
 
+# The one segment of a recording without usable ones.
+WHOLE_LABEL, WHOLE_NOTES = "semantic task", "Fallback segment created because automatic task slicing did not return usable boundaries."
+
+
+def normalized(raw: Column, duration: Column, modalities: Column, shortest: float = SHORTEST) -> Column:
+    """Clamped and merged segments; without a usable one, one of the whole recording with all its modalities."""
+    kind = f"array<{SEGMENT}>"
+    own = F.transform(clamped(raw, duration), lambda s: s.withField("evidence", F.when(F.size(s["evidence"]) > 0, s["evidence"]).otherwise(modalities)))
+    end = F.round(F.when(duration > 0, duration).otherwise(0.0), 3)
+    whole = F.array(F.struct(F.lit(WHOLE_LABEL).alias("label"), F.lit(0.0).alias("start"), end.alias("end"), F.lit(0.0).alias("confidence"), modalities.alias("evidence"), F.lit(WHOLE_NOTES).alias("notes")))
+    return F.when(F.size(own) > 0, merged(own.cast(kind), shortest)).otherwise(whole.cast(kind))
+
+
+def manifests(samples: DataFrame) -> DataFrame:
+    """samples with status and segments: `suggested` if a model gave segments without an error, else `fallback`.
+
+    samples: prefix, duration, modalities, raw (array of segments, null without), error.
+    """
+    given = F.col("error").isNull() & (F.coalesce(F.size("raw"), F.lit(0)) > 0)
+    none = F.array().cast(f"array<{SEGMENT}>")
+    found = normalized(F.coalesce(F.when(F.col("error").isNull(), F.col("raw")), none), F.col("duration"), F.col("modalities"))
+    return samples.withColumn("status", F.when(given, F.lit("suggested")).otherwise("fallback")).withColumn("segments", found).drop("raw")
+
+
 def numbered(rows: DataFrame, prefix: str, segments: str) -> DataFrame:
     """One row a segment with its id and time stamps."""
     out = rows.select(*[c for c in rows.columns if c != segments], F.posexplode(segments).alias("pos", "s"))
-    seg = F.concat(F.col(prefix), F.lit("_seg_"), F.lpad((F.col("pos") + 1).cast("string"), 3, "0"))
+    n = (F.col("pos") + 1).cast("string")
+    seg = F.concat(F.col(prefix).cast("string"), F.lit("_seg_"), F.lpad(n, F.greatest(F.length(n), F.lit(3)), F.lit("0")))
     return out.select("*", seg.alias("segment_id"), "s.label", "s.start", "s.end", "s.confidence", text.timestamp(F.col("s.start")).alias("start_timestamp"), text.timestamp(F.col("s.end")).alias("end_timestamp")).drop("pos", "s")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dims, text
 from .support import modality_weight
 
+# Groups of categories, and reasons of high and medium priority.
 COUNTING = [c for c in dims.CATEGORY_NAMES if c.endswith("counting")]
 SPATIAL = [c for c in dims.CATEGORY_NAMES if c.endswith(("spatial_reasoning", "navigation"))]
 AUDIO = [c for c in dims.CATEGORY_NAMES if c.startswith("audio_")]
@@ -16,8 +17,12 @@ HIGH = "possible_numeric_conflict possible_direction_conflict possible_negation_
 MEDIUM = "strict_category_low_lexical unparsed_numbered_block multi_clause_answer long_answer long_question semantic_high_lexical_low generic_answer unsupported_modality_match".split()
 
 
-def gated(rows: DataFrame) -> DataFrame:
-    """rows with score, keep, reason, gate. rows: category, modality, reliability, support_score, has_qa, qa_index."""
+def gated(rows: DataFrame, relaxed: bool = False) -> DataFrame:
+    """rows with score, keep, reason, gate. rows: category, modality, reliability, support_score, has_qa, qa_index.
+
+    Relaxed mode asks for a lower score.
+    """
+    least = dims.RELAXED_SCORE if relaxed else dims.MIN_SCORE
     out = dims.with_category(rows)
     outlier = (F.col("reliability") < 0.5) & (F.col("support_score") < dims.MIN_SUPPORT)
     main = F.element_at("sections", 1)
@@ -30,9 +35,9 @@ def gated(rows: DataFrame) -> DataFrame:
     gate, s, support = F.col("gate"), F.round("score", 9), F.round("support_score", 9)  # so that equal sums compare equal
     reason = (
         F.when(F.col("outlier"), F.lit("outlier"))
-        .when(gate == "support_exempt", F.when(s >= min(dims.EXEMPT_SCORE, dims.MIN_SCORE), F.lit("passed_support_exempt_gate")).otherwise("score_gate"))
+        .when(gate == "support_exempt", F.when(s >= min(dims.EXEMPT_SCORE, least), F.lit("passed_support_exempt_gate")).otherwise("score_gate"))
         .when(gate == "review_recommended", F.when(s >= dims.REVIEW_SCORE, F.lit("passed_review_gate")).otherwise("score_gate"))
-        .when(s < dims.MIN_SCORE, F.lit("score_gate"))
+        .when(s < least, F.lit("score_gate"))
         .when(gate == "support_soft", F.when((support >= dims.MIN_SUPPORT) | (s >= dims.HIGH_SCORE), F.lit("passed_support_soft_gate")).otherwise("low_cross_modal_support"))
         .when(support < dims.STRICT_SUPPORT, F.lit("low_cross_modal_support"))
         .otherwise("passed_support_required_gate")
@@ -115,10 +120,11 @@ def deduplicated(items: DataFrame, keys: list[str], exact: bool = True, above: f
     items: keys, id, score, question, answer, tokens (and vector for cosine_from). Greedy by score, then id, within
     the keys: a kept item alone can make later ones duplicates. The fold's state is the kept items of one sample.
     """
+    meaning, none = cosine_from is not None, F.lit("")  # what no stage asks for is not carried
     vector = F.col("vector") if cosine_from is not None else F.lit(None).cast("array<double>")
     one = F.struct(
-        (-F.col("score")).alias("far"), F.col("id").alias("id"), F.lower(text.clean(F.col("question"))).alias("q"), F.lower(text.clean(F.col("answer"))).alias("a"), text.token_keys(F.col("tokens")).alias("tokens"),
-        F.concat_ws(" ", "question", "answer").alias("said"), vector.cast("array<double>").alias("vector"),
+        (-F.col("score")).alias("far"), F.col("id").alias("id"), (F.lower(text.clean(F.col("question"))) if exact else none).alias("q"), (F.lower(text.clean(F.col("answer"))) if exact or meaning else none).alias("a"),
+        (text.token_keys(F.col("tokens")) if above is not None else F.array().cast("array<bigint>")).alias("tokens"), (F.concat_ws(" ", "question", "answer") if meaning else none).alias("said"), vector.cast("array<double>").alias("vector"),
     )
     ordered = items.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("all"))
 

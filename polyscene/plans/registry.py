@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims, text
-from ..operators import align, export, narrative, reports, resume, segments, selection, support
+from ..operators import align, export, fields, narrative, reports, resume, segments, selection, support
 from ..operators import evidence as ev
 from ..sources import files
 from . import adapters as ad
+from . import fusion
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -245,11 +246,11 @@ def _fold(above: float, order: str) -> str:
     return f"list_reduce(list_prepend([]::STRUCT(evidence_id BIGINT, tokens VARCHAR[])[], list([{{'evidence_id': evidence_id, 'tokens': tokens}}] ORDER BY {order})), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: {j} > {above})) > 0 THEN acc ELSE list_concat(acc, x) END)"
 
 
-@query(f"WITH {EV}, f AS (SELECT sample_id, unnest({_fold(0.2, 'evidence_id')}) AS k FROM tok GROUP BY sample_id) SELECT sample_id, k.evidence_id AS evidence_id FROM f")
+@query(f"WITH {EV}, f AS (SELECT sample_id, unnest({_fold(0.85, 'evidence_id')}) AS k FROM tok GROUP BY sample_id) SELECT sample_id, k.evidence_id AS evidence_id FROM f")
 def dedup_lexical(spark, d):
     rows = ad.with_tokens(ad.evidence(spark, d))
     items = rows.select("sample_id", F.col("evidence_id").alias("id"), F.lit(1.0).alias("score"), F.lit("").alias("question"), F.lit("").alias("answer"), "tokens")
-    kept = selection.deduplicated(items, ["sample_id"], exact=False, above=0.2).filter("outcome = 'kept'")
+    kept = selection.deduplicated(items, ["sample_id"], exact=False, above=0.85).filter("outcome = 'kept'")
     return kept.select("sample_id", F.col("id").alias("evidence_id"))
 
 
@@ -350,7 +351,7 @@ def fused_pairs(spark, d):
 # --- reports -----------------------------------------------------------------
 
 
-@query(f"WITH {PAIRS}, {_RELATED}, {_GATED}, o AS (SELECT *, CASE WHEN NOT starts_with(reason, 'passed_') THEN 'dropped' WHEN gate = 'review_recommended' THEN 'review' ELSE 'selected' END AS outcome, CASE WHEN supporting = '' THEN 0 ELSE len(string_split(supporting, ',')) END AS c FROM gated) SELECT modality, count(*) AS candidate_count, count(*) FILTER (WHERE outcome = 'selected') AS selected_count, count(*) FILTER (WHERE outcome = 'review') AS review_count, count(*) FILTER (WHERE outcome = 'dropped') AS dropped_count, round(avg(support_score), 3) AS avg_support, round(avg(lexical_score), 3) AS avg_lexical, round(avg(c), 3) AS avg_supporting, round(avg(support_score), 9) < 0.12 OR avg(c) < 0.5 AS needs_review FROM o GROUP BY 1")
+@query(f"WITH {PAIRS}, {_RELATED}, {_GATED}, o AS (SELECT *, CASE WHEN NOT starts_with(reason, 'passed_') THEN 'dropped' WHEN gate = 'review_recommended' THEN 'review' ELSE 'selected' END AS outcome, CASE WHEN supporting = '' THEN 0 ELSE len(string_split(supporting, ',')) END AS c FROM gated) SELECT modality, count(*) AS candidate_count, count(*) FILTER (WHERE outcome = 'selected') AS selected_count, count(*) FILTER (WHERE outcome = 'review') AS review_count, count(*) FILTER (WHERE outcome = 'dropped') AS dropped_count, round(round(avg(support_score), 9), 3) AS avg_support, round(round(avg(lexical_score), 9), 3) AS avg_lexical, round(round(avg(c), 9), 3) AS avg_supporting, round(avg(support_score), 9) < 0.12 OR avg(c) < 0.5 AS needs_review FROM o GROUP BY 1")
 def modality_support_summary(spark, d):
     return reports.modality_summary(_outcomes(spark, d))
 
@@ -411,7 +412,7 @@ _LAGS = f"{TRACES}, {_STD}, {_SMOOTH}, lags AS (SELECT t.modality, lag, count(*)
 
 def lag_rows(spark: SparkSession, d: str) -> DataFrame:
     trace = align.smoothed(align.standardized(ad.traces(spark, d), ["modality"]), ["modality"], _WIDTH)
-    return align.lag_correlations(trace.filter(F.col("modality") == REFERENCE), trace.filter(F.col("modality") != REFERENCE), ["modality"], LAGS)
+    return align.lag_correlations(trace.filter(F.col("modality") == REFERENCE).drop("modality"), trace.filter(F.col("modality") != REFERENCE), ["modality"], LAGS)
 
 
 @query(f"WITH {_LAGS} SELECT modality, lag, n, round(correlation, 6) AS correlation FROM lags WHERE correlation IS NOT NULL")
@@ -419,14 +420,18 @@ def lag_correlation(spark, d):
     return lag_rows(spark, d).select("modality", F.col("lag").cast("long").alias("lag"), "n", six("correlation").alias("correlation"))
 
 
-_PRIOR = (30.0, 0.0, 8.0, 0.08)
-_SCORED = f"longest AS (SELECT modality, max(n) AS longest FROM lags GROUP BY 1), sc AS (SELECT lags.modality, lag, round(correlation, 6) AS correlation, lag::DOUBLE AS offset_seconds, round(correlation + 0.12::DOUBLE * (n::DOUBLE / longest) - {_PRIOR[3]}::DOUBLE * least(1.0::DOUBLE, abs(lag::DOUBLE - {_PRIOR[1]}) / {_PRIOR[2]}), 6) AS score FROM lags JOIN longest USING (modality) WHERE correlation IS NOT NULL)"
+#: Every event type stands for the modality with the widest lag search.
+_PRIOR = dims.PRIORS["event"]
+_SCORED = f"sizes AS (SELECT modality, count(*) AS size FROM sm GROUP BY 1), shorter AS (SELECT t.modality, least(t.size, r.size) AS shorter FROM sizes t, sizes r WHERE r.modality = '{REFERENCE}'), sc AS (SELECT lags.modality, lag, round(correlation, 6) AS correlation, lag::DOUBLE AS offset_seconds, round(correlation + 0.12::DOUBLE * (n::DOUBLE / shorter) - {_PRIOR[3]}::DOUBLE * least(1.0::DOUBLE, abs(lag::DOUBLE - {_PRIOR[1]}) / {_PRIOR[2]}), 6) AS score FROM lags JOIN shorter USING (modality) WHERE correlation IS NOT NULL AND abs(lag) <= {_PRIOR[0]})"
 
 
 def scored_lag_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = lag_rows(spark, d)
-    longest = rows.groupBy("modality").agg(F.max("n").alias("longest"))
-    return align.scored_lags(rows.join(longest, "modality"), ["modality"], 1.0, _PRIOR, F.col("longest"))
+    sizes = ad.traces(spark, d).groupBy("modality").agg(F.count("*").alias("size"))
+    ref = sizes.filter(F.col("modality") == REFERENCE).select(F.col("size").alias("ref"))
+    both = sizes.join(F.broadcast(ref)).select("modality", F.least("size", "ref").alias("shorter"))  # one row
+    names = [r["modality"] for r in ad.table(spark, d, "events").select(F.col("event_type").alias("modality")).distinct().collect()]  # event types
+    return align.scored_lags(rows.join(both, "modality"), 1.0, F.col("shorter"), F.col("modality"), {m: _PRIOR for m in names})
 
 
 _PICK = "pk AS (SELECT modality, max(CASE WHEN s = 1 THEN lag END) AS lag, max(CASE WHEN s = 1 THEN correlation END) AS correlation, max(CASE WHEN c = 1 THEN lag END) AS raw_best_lag, max(CASE WHEN c = 2 THEN correlation END) AS second FROM (SELECT *, row_number() OVER (PARTITION BY modality ORDER BY score DESC, lag) AS s, row_number() OVER (PARTITION BY modality ORDER BY correlation DESC, lag) AS c FROM sc) GROUP BY 1), sel AS (SELECT *, CASE WHEN lag = raw_best_lag AND second IS NOT NULL THEN round(correlation - second, 6) ELSE 0.0::DOUBLE END AS peak_margin FROM pk)"
@@ -470,20 +475,26 @@ def consensus_fallback(spark, d):
 # --- intervals ---------------------------------------------------------------
 
 
-def _segmented(spark: SparkSession, d: str) -> DataFrame:
+def _segmented(spark: SparkSession, d: str, late: float = 0.0) -> DataFrame:
     rows = ad.recordings(spark, d)
-    one = F.struct("ord", "label", "start", F.col("end"), "confidence")
+    end = (F.col("end") + F.when(F.col("ord") % 3 == 0, late).otherwise(0.0)).alias("end")
+    one = F.struct("ord", "label", "start", end, "confidence")
     lists = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(one)).alias("all"), F.max("end").alias("duration"))
     raw = F.transform("all", lambda x: F.struct(x["label"].alias("label"), x["start"].alias("start"), x["end"].alias("end"), x["confidence"].alias("confidence"), F.lit(None).cast("array<string>").alias("evidence"), F.lit(None).cast("string").alias("notes")))
     return lists.select("user_id", segments.clamped(raw, F.col("duration")).alias("segments"))
 
 
-@query(f"WITH {RECORDINGS}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ord) AS pos FROM recordings WHERE \"end\" > start) SELECT 'u' || user_id || '_seg_' || lpad(pos::VARCHAR, greatest(3, length(pos::VARCHAR))::INT, '0') AS segment_id, label, round(start, 3) AS start, round(\"end\", 3) AS \"end\", confidence FROM k")
+_CLAMP = "list_reduce(list_prepend({'e': 0.0::DOUBLE, 'out': []::STRUCT(label VARCHAR, s DOUBLE, e DOUBLE, c DOUBLE)[], 'x': NULL::STRUCT(label VARCHAR, s DOUBLE, e DOUBLE, c DOUBLE)}, list({'e': 0.0::DOUBLE, 'out': []::STRUCT(label VARCHAR, s DOUBLE, e DOUBLE, c DOUBLE)[], 'x': {'label': label, 's': start::DOUBLE, 'e': late::DOUBLE, 'c': confidence::DOUBLE}} ORDER BY ord)), lambda acc, y: CASE WHEN least(y.x.e, limit_) > least(greatest(acc.e, y.x.s), limit_) THEN {'e': least(y.x.e, limit_), 'out': list_append(acc.out, {'label': y.x.label, 's': least(greatest(acc.e, y.x.s), limit_), 'e': least(y.x.e, limit_), 'c': y.x.c}), 'x': NULL::STRUCT(label VARCHAR, s DOUBLE, e DOUBLE, c DOUBLE)} ELSE acc END).out"
+
+
+@query(
+    f"WITH {RECORDINGS}, late AS (SELECT *, \"end\" + (CASE WHEN ord % 3 = 0 THEN 5 ELSE 0 END) AS late, max(\"end\") OVER (PARTITION BY user_id) AS limit_ FROM recordings), o AS (SELECT user_id, {_CLAMP} AS out FROM late GROUP BY user_id, limit_), u AS (SELECT user_id, unnest(out) AS x, generate_subscripts(out, 1) AS pos FROM o) "
+    "SELECT 'u' || user_id || '_seg_' || lpad(pos::VARCHAR, greatest(3, length(pos::VARCHAR))::INT, '0') AS segment_id, x.label AS label, round(x.s, 3) AS start, round(x.e, 3) AS \"end\", x.c AS confidence FROM u"
+)
 def segment_clamp(spark, d):
-    rows = _segmented(spark, d).select("user_id", F.posexplode("segments").alias("pos", "s"))
-    n = (F.col("pos") + 1).cast("string")
-    seg = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("_seg_"), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n))
-    return rows.select(seg.alias("segment_id"), "s.label", "s.start", "s.end", "s.confidence")
+    """Every third interval ends five hours late, into those after it."""
+    rows = _segmented(spark, d, 5.0).withColumn("prefix", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    return segments.numbered(rows, "prefix", "segments").select("segment_id", "label", "start", "end", "confidence")
 
 
 _MERGE = "list_reduce(list([{'s': start, 'e': \"end\"}] ORDER BY ord), lambda acc, x: CASE WHEN acc[-1].e - acc[-1].s < 15 OR x[1].e - x[1].s < 15 THEN list_concat(acc[:-2], [{'s': acc[-1].s, 'e': x[1].e}]) ELSE list_concat(acc, x) END)"
@@ -553,7 +564,7 @@ def metadata_coalesce(spark, d):
     return docs.join(out, "doc_id", "left").select("doc_id", "quality", F.coalesce("toxic", F.lit(0).cast("bigint")).alias("toxic"))
 
 
-_SIDES = "sides AS (SELECT c_custkey // 2 AS pair, CASE WHEN c_custkey % 2 = 0 THEN 'day' ELSE 'night' END AS side, c_name AS path FROM customer WHERE c_acctbal > 0)"
+_SIDES = "sides AS (SELECT c_custkey // 2 AS pair, CASE WHEN c_custkey % 2 = 0 THEN 'day' ELSE 'night' END AS side, CASE WHEN c_acctbal > 0 THEN c_name END AS path FROM customer)"
 
 
 @query(f"WITH {_SIDES} SELECT pair, coalesce(max(path) FILTER (WHERE side = 'night'), max(path) FILTER (WHERE side = 'day')) AS path FROM sides GROUP BY 1")
@@ -563,8 +574,8 @@ def prefer_night(spark, d):
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    c = ad.table(spark, d, "customer").filter("c_acctbal > 0")
-    rows = c.select(F.floor(F.col("c_custkey") / 2).alias("pair"), F.when(F.col("c_custkey") % 2 == 0, "day").otherwise("night").alias("side"), F.col("c_name").alias("path"))
+    c = ad.table(spark, d, "customer")
+    rows = c.select(F.floor(F.col("c_custkey") / 2).alias("pair"), F.when(F.col("c_custkey") % 2 == 0, "day").otherwise("night").alias("side"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("path"))
     return rows.groupBy("pair").pivot("side", ["day", "night"]).agg(F.min("path"))
 
 
@@ -611,12 +622,12 @@ def trim_answer(spark, d):
     return ad.questions(spark, d).select("conv_id", "turn", text.trim_answer(F.col("answer")).alias("answer"))
 
 
-@query("SELECT p_partkey, 'What is to the ' || (CASE WHEN p_size % 2 = 0 THEN 'left' ELSE 'right' END) || ' of the ' || lower(p_brand) || '?' AS question, lower(p_type) AS answer FROM part WHERE NOT regexp_matches(p_type || p_brand, '[.,]') AND len(string_split(p_type, ' ')) <= 8 AND NOT regexp_matches(lower(p_type), '^(a|an|the) | (and|or|while|as|because|which) ')")
+@query("SELECT p_partkey, 'What is to the ' || (CASE WHEN p_size % 2 = 0 THEN 'left' ELSE 'right' END) || ' of the ' || lower(p_brand) || '?' AS question, lower(p_type) AS answer FROM part")
 def layout_qa(spark, d):
-    p = ad.table(spark, d, "part").filter(~F.concat("p_type", "p_brand").rlike("[.,]") & (F.size(F.split("p_type", " ")) <= 8) & ~F.lower("p_type").rlike("^(a|an|the) | (and|or|while|as|because|which) "))
+    p = ad.table(spark, d, "part")
     side = F.when(F.col("p_size") % 2 == 0, "left").otherwise("right")
     caption = F.concat(F.lit("Seen here. To the "), side, F.lit(" of the "), F.lower("p_brand"), F.lit(" sits a "), F.lower("p_type"), F.lit(", on a shelf."))
-    question, answer = narrative.layout_question(caption)
+    question, answer = fields.caption_question("visible_objects_and_layout", caption)
     return p.select("p_partkey", question.alias("question"), answer.alias("answer"))
 
 

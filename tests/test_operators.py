@@ -78,6 +78,62 @@ def test_clamp_orders_and_cuts(spark):
     assert [(x["label"], x["start"], x["end"], x["confidence"]) for x in got] == [("a", 0.0, 5.0, 1.0), ("task segment 2", 5.0, 9.0, 0.5), ("d", 20.0, 30.0, 0.0)]
 
 
+def test_lags_stay_within_a_sample(spark):
+    rows = [(s, m, i, float((i * 7 + (s == "b") * i * i) % 11)) for s in "ab" for m in ("rgb", "ir") for i in range(60)]
+    t = spark.createDataFrame(rows, "sample string, modality string, idx long, value double")
+    out = align.lag_correlations(t.filter("modality = 'rgb'").drop("modality"), t.filter("modality = 'ir'"), ["sample", "modality"], 2)
+    assert {(r["sample"], r["n"], round(r["correlation"], 9)) for r in out.filter("lag = 0").collect()} == {("a", 60, 1.0), ("b", 60, 1.0)}
+
+
+def test_many_segments_have_ids_of_their_own(spark):
+    one = [("x", float(i), i + 1.0, 0.5, [], "") for i in range(1002)]
+    df = spark.createDataFrame([("p", one)], f"p string, s array<{segments.SEGMENT}>")
+    ids = [r["segment_id"] for r in segments.numbered(df, "p", "s").collect()]
+    assert len(set(ids)) == 1002 and {"p_seg_001", "p_seg_1002"} <= set(ids)
+
+
+def test_recordings_without_segments_are_one(spark):
+    kind = f"prefix string, duration double, modalities array<string>, raw array<{segments.SEGMENT}>, error string"
+    good = [("Cut", 0.0, 20.0, 0.9, None, "n")]
+    rows = [("a", 60.0, ["rgb"], good, None), ("b", 60.0, ["rgb", "audio"], good, "boom"), ("c", None, ["ir"], None, None), ("d", 9.0, ["ir"], [("x", 5.0, 5.0, 0.1, None, None)], None)]
+    got = {r["prefix"]: (r["status"], [(s["label"], s["start"], s["end"], s["confidence"], s["evidence"]) for s in r["segments"]]) for r in segments.manifests(spark.createDataFrame(rows, kind)).collect()}
+    assert got["a"] == ("suggested", [("cut", 0.0, 20.0, 0.9, ["rgb"])])
+    assert got["b"] == ("fallback", [("semantic task", 0.0, 60.0, 0.0, ["rgb", "audio"])])
+    assert got["c"] == ("fallback", [("semantic task", 0.0, 0.0, 0.0, ["ir"])]) and got["d"] == ("suggested", [("semantic task", 0.0, 9.0, 0.0, ["ir"])])
+
+
+def test_alignment_says_why_a_video_is_left_out(spark):
+    videos = spark.createDataFrame(
+        [("s", "rgb", "r.mp4", True, 10.0, 60.0, False), ("s", "ir", "i.mp4", True, 10.0, 50.0, False), ("s", "event", "e.mp4", False, 0.0, 0.0, True), ("s", "depth", "d.mp4", True, 5.0, 40.0, True), ("t", "ir", "i.mp4", True, 10.0, 9.0, False)],
+        "sample string, modality string, file string, opened boolean, fps double, duration double, flat boolean",
+    )
+    picked = spark.createDataFrame([("s", "ir", -20, 0.9, -2.0, 10, 0.0, "modality_prior", "high")], "sample string, modality string, lag int, correlation double, offset_seconds double, raw_best_lag int, peak_margin double, selected_by string, confidence_label string")
+    got = {(r["sample"], r["modality"]): r for r in align.alignment(videos, picked, ["sample"], ["ir", "event", "depth"]).collect()}
+    assert len(got) == 6
+    ir = got["s", "ir"]
+    assert (ir["offset_seconds"], ir["reference_start"], ir["reference_end"], ir["target_start"], ir["target_end"]) == (-2.0, 2.0, 52.0, 0.0, 50.0) and ir["warnings"] == [align.BY_PRIOR]
+    assert got["s", "event"]["selected_by"] == "unavailable" and got["s", "event"]["warnings"] == ["Could not open event video: e.mp4"]
+    assert got["s", "depth"]["warnings"][-1] == align.FLAT_TRACE and len(got["s", "depth"]["warnings"]) == 2
+    assert got["t", "event"]["selected_by"] == "missing" and got["t", "ir"]["offset_seconds"] is None
+
+
+def test_exports_need_every_target(spark):
+    samples = spark.createDataFrame([("a", "r", 60.0, True), ("b", "r", 60.0, True), ("c", "r", 60.0, False), ("d", "r", 5.0, True)], "k string, file string, duration double, exists boolean")
+    full = [(k, m, o, 50.0, "f", True) for k in "acd" for m, o in (("event", -3.0), ("depth", 2.0), ("ir", 0.0))]
+    aligned = spark.createDataFrame([*full, ("b", "event", 0.0, 50.0, "f", True)], "k string, modality string, offset_seconds double, duration double, file string, exists boolean")
+    got = {r["k"]: (r["status"], r["reason"], r["start"], r["length"]) for r in align.exports(samples, aligned, ["k"]).collect()}
+    assert got["a"] == ("exported", None, 3.0, 45.0) and got["d"] == ("exported", None, 3.0, 2.0)
+    assert got["b"][1] == "Missing DEPTH alignment." and got["c"][1] == "RGB reference file does not exist: r"
+    window = align.shared_window(samples, aligned, ["k"]).filter("k = 'a'").first()
+    assert (window["window_start"], window["window_end"]) == (3.0, 48.0)
+
+
+def test_plot_scale(spark):
+    t = spark.createDataFrame([("a", i, float(i)) for i in range(101)] + [("b", i, 5.0) for i in range(3)], "k string, idx int, value double")
+    got = {(r["k"], r["idx"]): r["value"] for r in align.plotted(t, ["k"]).collect()}
+    assert got["a", 0] == 0.0 and got["a", 100] == 1.0 and abs(got["a", 50] - 0.5) < 1e-9 and got["b", 1] == 0.0
+
+
 def test_points_in_half_open_intervals(spark):
     points = spark.createDataFrame([(1, 0.0), (1, 4.9), (1, 5.0), (1, 25.0), (2, 1.0)], "k int, at double")
     spans = spark.createDataFrame([(1, 0.0, 5.0), (1, 5.0, 26.0)], "k int, start double, end double")
@@ -90,8 +146,8 @@ def test_known_lag_is_found(spark):
     a = rng.normal(size=200)
     rows = [("ref", i, float(v)) for i, v in enumerate(a)] + [("ir", i + 4, float(v)) for i, v in enumerate(a)]
     t = spark.createDataFrame(rows, "modality string, idx long, value double")
-    lags = align.lag_correlations(t.filter("modality = 'ref'"), t.filter("modality = 'ir'"), ["modality"], 8).cache()
-    best = align.selected_offsets(align.scored_lags(lags, ["modality"], 1.0, (8.0, 0.0, 8.0, 0.0), F.lit(200)), ["modality"]).first()
+    lags = align.lag_correlations(t.filter("modality = 'ref'").drop("modality"), t.filter("modality = 'ir'"), ["modality"], 8).cache()
+    best = align.selected_offsets(align.scored_lags(lags, 1.0, F.lit(200), F.col("modality"), {"ir": (8.0, 0.0, 8.0, 0.0)}), ["modality"]).first()
     assert best["lag"] == 4 and best["confidence_label"] == "high"
     packed = spark.createDataFrame([("ir", a.tolist(), [0.0] * 4 + a.tolist())], "key string, reference array<double>, target array<double>")
     top = align.lag_table(packed, 8).orderBy(F.desc("correlation")).first()
