@@ -44,7 +44,7 @@ SHINGLE = 5
 #: Least similarity of near-duplicates, as a fraction.
 SIMILAR = 4, 5
 #: Texts to learn common hashes from, characters of each that are read, and sets that make a hash common.
-SAMPLE, SAMPLE_CHARS, COMMON = 8192, 16_384, 3
+SAMPLE, SAMPLE_CHARS, COMMON = 32_768, 16_384, 3
 #: Parities of a set in its groups.
 PLACES = 512
 #: Keys that a task remembers, to leave out repeated prefixes.
@@ -63,15 +63,27 @@ def key_of(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)
 
 
+def _spread(own: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
+    """token, key: a row for each hash of each set."""
+    token = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(np.array(keys, np.int64), [len(x) for x in own]))], ["token", "key"])
+
+
 def common(docs: DataFrame, text: str) -> np.ndarray:
-    """The hashes that are common in a sample of the sets, in order."""
+    """The hashes that are common in a sample of the sets, in order; Spark counts them."""
     texts = docs.select(F.col(text).cast("string").alias("text"))
     few = texts.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, docs.count() // SAMPLE))) == 0)
     few = few.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().limit(2 * SAMPLE)
-    got = map_texts(few, {}, [("own", "binary", pa.binary())], lambda: lambda texts: [[own_hashes(t)[0].tobytes() for t in texts]], "text")
-    held = {r["own"] for r in got.toLocalIterator()}
-    value, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in held)]), return_counts=True)
-    return value[n >= COMMON]
+
+    def run(batches):
+        for b in batches:
+            own = [own_hashes(t)[0] for t in texts_of(b.column(0))]
+            yield _spread(own, [key_of(x) for x in own])
+
+    rows = few.mapInArrow(run, "token bigint, key bigint")
+    # of texts that differ in their blanks or case alone, one counts
+    counts = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).filter((F.col("n") >= COMMON) & (F.col("a") < F.col("b")))
+    return np.sort(counts.select("token").toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def prefix(own: np.ndarray, late: np.ndarray) -> np.ndarray:
@@ -135,9 +147,7 @@ def tokens(rows: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             if len(b):
-                first = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
-                key = np.repeat(b.column(0).to_numpy(), [len(x) for x in first])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(key)], ["token", "key"])
+                yield _spread([np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()], b.column(0).to_pylist())
 
     once = rows.filter(F.col("first").isNotNull()).groupBy("key").agg(F.first("first").alias("first"))
     return once.mapInArrow(run, "token bigint, key bigint").repartition("token")
@@ -157,9 +167,9 @@ def bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
     """Bits that are set for hashes of the ids, 1 << BITMAP at most, and their number. ids: id."""
     bits = 1 << min(BITMAP, max(6, int(32 * ids.count()).bit_length()))
     slot = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("x")).toPandas()
+    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("x")).toArrow()
     held = np.zeros(bits >> 6, np.int64)
-    held[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64)
+    held[words.column("w").to_numpy().astype(np.int64)] = words.column("x").to_numpy()
     return held, bits
 
 
@@ -262,31 +272,33 @@ def stars(flat: DataFrame, first: list) -> DataFrame:
 
 
 def _blocks(batches):
-    """Pairs of sets in a block of a group, or between two blocks."""
+    """Likely pairs of sets in a block of a group, or between two blocks, by the finer parities too."""
     for batch in batches:
         lo, hi = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for x, y, group in zip(lo, hi, batch.column(2), strict=True):
             group = group.values
             size, key, part, block = (group.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("size", "key", "part", "block"))
-            odd, held, n = _bits(group.field("odd")), [], 0
+            odd, finer, held = _bits(group.field("odd")), group.field("fine").to_pylist(), []
             for i in range(len(key)):
                 use = _may(size, part, odd, size[i], part[i], odd[i])
                 use[: i + 1] = False
                 if x != y:
                     use &= block != block[i]
-                held.append((np.minimum(key[use], key[i]), np.maximum(key[use], key[i])))
-                n += len(held[-1][0])
-                if held and (n > 1 << 16 or i + 1 == len(key)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["a", "b"])
-                    held, n = [], 0
+                for j in np.flatnonzero(use).tolist():
+                    far = differing(finer[i], finer[j])
+                    if _enough(min(size[i], size[j], (size[i] + size[j] - far) // 2), size[i], size[j]):
+                        held.append((min(key[i], key[j]), max(key[i], key[j])))
+                if held and (len(held) > 1 << 16 or i + 1 == len(key)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*held)], ["a", "b"])
+                    held = []
 
 
-def every(flat: DataFrame) -> DataFrame:
-    """a, b: all pairs within groups that lie in several components; a group of many sets is cut into blocks of about BLOCK."""
+def every(flat: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: likely pairs within groups that lie in several components; a group of many sets is cut into blocks of about BLOCK."""
     groups = flat.groupBy("id").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
-    rows = flat.join(groups.select("id", F.ceil(F.col("n") / BLOCK).alias("blocks")), "id")
+    rows = flat.join(groups.select("id", F.ceil(F.col("n") / BLOCK).alias("blocks")), "id").join(nodes.select("key", "fine"), "key")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    one = F.collect_list(F.struct("size", "key", "part", "block", "odd")).alias("members")  # of two blocks at most
+    one = F.collect_list(F.struct("size", "key", "part", "block", "odd", "fine")).alias("members")  # of two blocks at most
     pairs = rows.groupBy("id", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(one)
     return pairs.select("x", "y", "members").mapInArrow(_blocks, "a bigint, b bigint").distinct()
 
@@ -310,8 +322,8 @@ def links(docs: DataFrame, flat: DataFrame, nodes: DataFrame, text: str, doc_id:
         if edges is not None:
             found = components(own, edges).select("key", F.col("least").alias("part"))
             now = flat.join(found, "key", "left").withColumn("part", F.coalesce("part", "key"))
-        pairs = (lambda: stars(now, ["size"]), lambda: stars(now, [F.xxhash64("id", "key")]), lambda: every(now))[step]()
-        pairs = likely(pairs, nodes)
+        pairs = (lambda: stars(now, ["size"]), lambda: stars(now, [F.xxhash64("id", "key")]), lambda: every(now, nodes))[step]()
+        pairs = likely(pairs, nodes) if step < 2 else pairs
         if step == 0:
             pairs = best(pairs).union(likely(close(nodes), nodes).select("a", "b")).distinct()
         elif step == 1:

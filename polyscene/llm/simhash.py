@@ -135,7 +135,7 @@ class Tree:
 
 
 def grow_forest(fps: DataFrame, n: int) -> list[Tree]:
-    got = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    got = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow().column("fp").to_numpy().view(np.uint64)
     return [Tree(got, m, max(1, n // LEAF), i) for i, m in enumerate(band_masks())]
 
 
