@@ -64,6 +64,23 @@ QUESTIONS = (
     f"qa AS (SELECT conv_id, turn, {CLEAN.format('text')} AS question, {CLEAN.format(chr(39).join(['coalesce(CASE WHEN next_role = ', 'assistant', ' THEN next END, ', '', ')']))} AS answer, {quoted(dims.CATEGORY_NAMES)}[conv_id % 33 + 1] AS category FROM turns WHERE role = 'user')"
 )
 
+def qa_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions and answers as evidence of samples of four conversations; answers are cut to six words, to their first sentence, or not at all, by conversation."""
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    conv, turn, answer = F.col("conv_id"), F.col("turn"), F.col("answer")
+    first = F.regexp_extract(answer, r"^[^.!?]*", 0)
+    short = F.trim(F.when(conv % 3 == 0, F.array_join(F.slice(F.split(answer, " "), 1, 6), " ")).when(conv % 3 == 1, first).otherwise(answer))
+    rows = questions(spark, sf_dir).withColumn("answer", short)
+    rows = rows.select(F.floor(conv / 4).alias("sample_id"), (conv * 1000 + turn).alias("evidence_id"), pick(dims.FUSION_ORDER, conv + turn).alias("modality"), pick(dims.CATEGORY_NAMES, conv * 7 + turn).alias("category"), "question", "answer", F.when(conv % 2 == 0, turn).alias("qa_index"))
+    return with_tokens(rows.withColumn("caption", F.col("question")).withColumn("sentence", F.col("question")).withColumn("_said", F.concat_ws(" ", "question", "answer")), "_said").drop("_said")
+
+
+QA_EVIDENCE = (
+    f"{QUESTIONS}, short AS (SELECT conv_id, turn, question, trim(CASE conv_id % 3 WHEN 0 THEN array_to_string(string_split(answer, ' ')[1:6], ' ') WHEN 1 THEN regexp_extract(answer, '^[^.!?]*') ELSE answer END) AS answer FROM qa), "
+    f"evidence AS (SELECT conv_id // 4 AS sample_id, conv_id * 1000 + turn AS evidence_id, {quoted(dims.FUSION_ORDER)}[(conv_id + turn) % 5 + 1] AS modality, {quoted(dims.CATEGORY_NAMES)}[(conv_id * 7 + turn) % 33 + 1] AS category, question, answer, CASE WHEN conv_id % 2 = 0 THEN turn END AS qa_index FROM short), "
+    f"tok AS (SELECT *, {TOKENS.format(chr(39).join(['question || ', ' ', ' || answer']))} AS tokens FROM evidence)"
+)
+
 #: The hour that traces count from.
 START = "2024-01-01"
 

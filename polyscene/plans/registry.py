@@ -208,6 +208,11 @@ _REASONS = [
     _reason("regexp_matches(lower(answer), 'not sure|unclear|cannot tell|can''t tell|unknown|maybe|possibly')", "uncertain_answer"),
     _reason(f"answer <> '' AND question <> '' AND (lower(answer) = lower(question) OR (contains(lower(question), lower(answer)) AND {_COUNT.format('answer')} >= 5))", "answer_repeats_question"),
 ]
+#: number and item of texts with two or more markers such as `1.`.
+_ITEMS = (
+    "(CASE WHEN len(regexp_extract_all({0}, '(^| )([0-9]+)\\. *', 2)) >= 2 THEN list_filter(list_transform(range(1, len(regexp_extract_all({0}, '(^| )([0-9]+)\\. *', 2)) + 1), lambda i: "
+    "{{'n': try_cast(regexp_extract_all({0}, '(^| )([0-9]+)\\. *', 2)[i] AS INT), 't': trim(string_split(regexp_replace({0}, '(^| )[0-9]+\\. *', chr(1), 'g'), chr(1))[i + 1], ' .;')}}), lambda x: x.t <> '') ELSE [] END)"
+)
 _REVIEW = f"{QA}, {_CAT}, rr AS (SELECT conv_id, turn, list_filter([{', '.join(_REASONS)}], lambda x: x IS NOT NULL) AS reasons FROM qa JOIN cat USING (category))"
 
 
@@ -261,6 +266,79 @@ def dedup_semantic(spark, d):
     return selection.deduplicated(items.withColumn("question", F.lit("what is shown")), ["sample_id"], exact=False, above=None, cosine_from=0.3).select("sample_id", F.col("id").alias("vec_id"), "outcome", "duplicate_of")
 
 
+# --- the fusion run ------------------------------------------------------------
+
+QAEV, QAPAIRS = ad.QA_EVIDENCE, f"{ad.QA_EVIDENCE}, {ad.PAIRS}"
+_DIRS = f"list_sort(list_distinct(list_filter(regexp_extract_all(lower({{0}}), '[a-z]+'), lambda t: list_contains({ad.quoted(text.DIRECTIONS)}, t))))"
+def _polar(c: str) -> str:
+    return f"list_filter([CASE WHEN {_WORD.format(c, 'no|false|not|none|absent|invisible|without')} THEN 'negative' END, CASE WHEN {_WORD.format(c, 'yes|true|visible|present')} THEN 'positive' END], lambda x: x IS NOT NULL)"
+
+
+_CLASHES = [("nums", "numeric"), ("dirs", "direction"), ("pol", "negation")]
+
+
+def _sets(column: str, prefix: str) -> str:
+    return ", ".join(f"{f} AS {prefix}{n}" for f, n in ((_NUM.format(column), "nums"), (_DIRS.format(column), "dirs"), (_polar(column), "pol")))
+
+
+def _clash(a: str, b: str, prefix: str, n: str) -> str:
+    return f"(len({a}.{prefix}{n}) > 0 AND len({b}.{prefix}{n}) > 0 AND {a}.{prefix}{n} <> {b}.{prefix}{n})"
+
+
+def _size(names: str) -> str:
+    return f"(CASE WHEN {names} = '' THEN 0 ELSE len(string_split({names}, ',')) END)"
+
+
+_FUSION = (
+    f"{_CAT}, {_PROF}, says AS (SELECT evidence_id, {TOKENS.format('question')} AS qtok, {_sets('s', 's_')}, {_sets('answer', 'a_')} FROM (SELECT evidence_id, question, answer, question || ' ' || answer AS s FROM evidence)), "
+    "bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id, other_modality ORDER BY score DESC, other_evidence_id) AS n FROM pairs WHERE score > 0) WHERE n = 1), "
+    f"related AS (SELECT bm.evidence_id, bm.other_modality, round(bm.score, 3) AS score, CASE WHEN bm.score >= 0.7 AND ({' OR '.join(_clash('x', 'y', 's_', n) for n, _ in _CLASHES)}) AND {JACCARD.format('x.qtok', 'y.qtok')} >= 0.45 THEN 'conflict' WHEN direct THEN 'direct_support' WHEN complementary THEN 'complementary_support' ELSE 'weak_or_irrelevant' END AS relation "
+    "FROM bm JOIN evidence e ON e.evidence_id = bm.evidence_id JOIN cat ON cat.category = e.category JOIN prof ON prof.profile = cat.profile AND prof.modality = bm.other_modality JOIN says x ON x.evidence_id = bm.evidence_id JOIN says y ON y.evidence_id = bm.other_evidence_id), "
+    "lex AS (SELECT evidence_id, score AS lexical, CASE WHEN score > 0 THEN other_evidence_id END AS match_id FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY score DESC, other_evidence_id) AS n FROM pairs) WHERE n = 1), "
+    f"sup AS (SELECT evidence_id, greatest(coalesce(max(score) FILTER (WHERE relation = 'direct_support'), 0.0::DOUBLE), 0.5::DOUBLE * coalesce(max(score) FILTER (WHERE relation = 'complementary_support'), 0.0::DOUBLE)) AS support, {_listed('direct_support', dims.SUPPORTING)} AS supporting, {_listed('complementary_support', dims.SUPPORTING)} AS complementary, {_listed('conflict', dims.MIN_SUPPORT)} AS conflicting, {_listed('weak_or_irrelevant', dims.MIN_SUPPORT)} AS weak FROM related GROUP BY 1), "
+    f"{_WORDS}, scored AS (SELECT e.*, cat.gate, cat.section, cat.needs_lexical, coalesce(lexical, 0.0::DOUBLE) AS lexical_score, match_id, coalesce(support, 0.0::DOUBLE) AS support_score, coalesce(supporting, '') AS supporting, coalesce(sup.complementary, '') AS complementary, coalesce(conflicting, '') AS conflicting, coalesce(weak, '') AS weak, "
+    f"reliability, reliability < 0.5 AND coalesce(support, 0.0::DOUBLE) < {dims.MIN_SUPPORT} AS outlier, weight + reliability * 0.6::DOUBLE + coalesce(support, 0.0::DOUBLE) * 1.2::DOUBLE - (CASE WHEN reliability < 0.5 AND coalesce(support, 0.0::DOUBLE) < {dims.MIN_SUPPORT} THEN 1.0 ELSE 0.0 END)::DOUBLE + (CASE WHEN qa_index IS NOT NULL THEN 0.1 ELSE 0.0 END)::DOUBLE + (CASE WHEN question <> '' AND answer <> '' THEN 0.15 ELSE 0.0 END)::DOUBLE AS raw "
+    "FROM evidence e LEFT JOIN lex USING (evidence_id) LEFT JOIN sup USING (evidence_id) JOIN cat USING (category) JOIN prof ON prof.profile = cat.profile AND prof.modality = e.modality JOIN rel ON rel.sample_id = e.sample_id AND rel.modality = e.modality), "
+    + _GATED[_GATED.index("gated AS ("):]
+    + ", why AS (SELECT g.*, list_filter(["
+    + ", ".join([
+        *_REASONS[:4],
+        _reason(f"len({_ITEMS.format('g.question')}) > 0 OR len({_ITEMS.format('g.answer')}) > 0", "unparsed_numbered_block"),
+        _REASONS[4],
+        _reason("needs_lexical AND lexical_score < 0.04", "strict_category_low_lexical"),
+        _reason(f"{_size('conflicting')} > 0", "conflicting_support_detected"),
+        _reason(f"gate = 'support_required' AND {_size('supporting')} < 1 AND {_size('complementary')} > 0", "only_complementary_support"),
+        _reason(f"{_size('weak')} > 0 AND {_size('supporting')} < 1", "unsupported_modality_match"),
+        _reason(f"gate = 'support_required' AND {_size('supporting')} < 1", "no_supporting_modality"),
+        *_REASONS[5:],
+        *[_reason(f"match_id IS NOT NULL AND {_clash('x', 'y', 'a_', n)}", f"possible_{name}_conflict") for n, name in _CLASHES],
+    ])
+    + "], lambda x: x IS NOT NULL) AS found FROM gated g JOIN says x ON x.evidence_id = g.evidence_id LEFT JOIN says y ON y.evidence_id = g.match_id), "
+    "kept AS (SELECT *, starts_with(reason, 'passed_') AS keep, CASE WHEN starts_with(reason, 'passed_') THEN found ELSE [] END AS reasons FROM why), "
+    f"clean AS (SELECT k.sample_id, k.evidence_id, round(raw, 9) AS score, lower(question) AS q, lower(answer) AS a, tokens FROM kept k JOIN (SELECT evidence_id, tokens FROM tok) t USING (evidence_id) WHERE keep AND len(reasons) = 0), "
+    f"folds AS (SELECT sample_id, list_reduce(list_prepend([]::STRUCT(id BIGINT, q VARCHAR, a VARCHAR, tokens VARCHAR[])[], list([{{'id': evidence_id, 'q': q, 'a': a, 'tokens': tokens}}] ORDER BY score DESC, evidence_id)), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: (x[1].q <> '' AND x[1].a <> '' AND k.q = x[1].q AND k.a = x[1].a) OR {JACCARD.format('x[1].tokens', 'k.tokens')} > 0.85)) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM clean GROUP BY 1), "
+    "winners AS (SELECT sample_id, unnest(kept).id AS evidence_id FROM folds), twins AS (SELECT c.evidence_id, bool_or(w.score > c.score OR (w.score = c.score AND w.evidence_id < c.evidence_id)) FILTER (WHERE w.q = c.q AND w.a = c.a AND c.q <> '' AND c.a <> '') AS equal FROM clean c LEFT JOIN (SELECT clean.* FROM clean JOIN winners USING (sample_id, evidence_id)) w ON w.sample_id = c.sample_id WHERE c.evidence_id NOT IN (SELECT evidence_id FROM winners) GROUP BY 1), "
+    "fused AS (SELECT k.*, CASE WHEN NOT keep OR twins.evidence_id IS NOT NULL THEN 'dropped' WHEN len(reasons) > 0 THEN 'review' ELSE 'selected' END AS outcome, CASE WHEN NOT keep THEN reason WHEN twins.evidence_id IS NOT NULL THEN CASE WHEN equal THEN 'duplicate_exact_qa' ELSE 'duplicate_similar_qa' END END AS drop_reason, "
+    f"CASE WHEN len(reasons) = 0 THEN 'none' WHEN len(list_filter(reasons, lambda r: list_contains({ad.quoted(selection.HIGH)}, r) OR starts_with(r, 'category_mismatch_'))) > 0 THEN 'high' WHEN len(list_intersect(reasons, {ad.quoted(selection.MEDIUM)})) > 0 THEN 'medium' ELSE 'low' END AS priority FROM kept k LEFT JOIN twins USING (evidence_id))"
+)
+
+
+@query(f"WITH {QAPAIRS}, {_FUSION} SELECT evidence_id, outcome, coalesce(drop_reason, '') AS drop_reason, array_to_string(reasons, ',') AS review_reasons, priority, round(raw, 6) AS score, support_score, supporting, complementary, conflicting, weak FROM fused")
+def fusion_outcomes(spark, d):
+    rows, _ = fusion.judged(ad.qa_evidence(spark, d))
+    return rows.select("evidence_id", "outcome", F.coalesce("drop_reason", F.lit("")).alias("drop_reason"), F.array_join("review_reasons", ",").alias("review_reasons"), "priority", six("score").alias("score"), "support_score", "supporting", "complementary", "conflicting", "weak")
+
+
+@query(f"WITH {QAPAIRS}, {_FUSION} SELECT 'outcome' AS dimension, outcome AS value, count(*) AS n FROM fused GROUP BY 2 UNION ALL SELECT 'drop_reason', drop_reason, count(*) FROM fused WHERE drop_reason IS NOT NULL GROUP BY 2 UNION ALL SELECT 'priority', priority, count(*) FROM fused WHERE outcome = 'review' GROUP BY 2 UNION ALL SELECT 'review_reason', r, count(*) FROM (SELECT unnest(reasons) AS r FROM fused WHERE outcome = 'review') GROUP BY 2")
+def fusion_diagnostics(spark, d):
+    return fusion.fuse(ad.qa_evidence(spark, d)).diagnostics()
+
+
+@query(f"WITH {QAPAIRS}, {_FUSION} SELECT sample_id, evidence_id, row_number() OVER (PARTITION BY sample_id ORDER BY round(raw, 9) DESC, evidence_id) AS position FROM fused WHERE outcome = 'review'")
+def review_queue(spark, d):
+    return fusion.fuse(ad.qa_evidence(spark, d)).review.select("sample_id", "evidence_id", F.col("position").cast("long").alias("position"))
+
+
 # --- sections and reasoning --------------------------------------------------
 
 _SECTION_ROWS = ", ".join(f"('{s}')" for s in dims.SECTIONS)
