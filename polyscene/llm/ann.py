@@ -5,7 +5,11 @@ Its loss weighs the part of the residual along the vector more than the part acr
 it, as only the first moves large inner products; codes and centres are found by
 coordinate descent on that loss. A query's table has its inner products with all
 centres; scanning adds up table entries by code, two codes at a byte. The best RERANK
-of each block are scored again on the original vectors in double precision.
+of each block are scored again on the original vectors in double precision; then so is
+every other row that may be among the nearest: a table sum is off by at most the query's
+length times that of the row's residual, so a row goes only if its sum with that bound
+stays below the nearest found so far. Nothing is cut off by number, and dense groups of
+near-equal vectors are scored whole; what is found is exact.
 
 The quantiser is fitted on SAMPLE vectors; every vector is indexed. Equal vectors are
 one index row with their smallest ids, as many as can be asked for, so copies cost
@@ -31,7 +35,7 @@ from .common import ship, stored
 NEAREST, EVERY = 20, 20
 #: Vectors that the quantiser is fitted on; vectors in an index block; queries in a broadcast.
 SAMPLE, BLOCK, QUERIES = 8192, 4096, 4096
-#: Vectors of a block that are scored exactly for a query.
+#: Vectors of a block that are scored exactly first, to know what the others must reach.
 RERANK = 96
 #: Inner products from this share of the norms on matter; sets the weight of the parallel part.
 THRESHOLD = 0.2
@@ -162,19 +166,21 @@ def grouped(rows: DataFrame, most: int) -> DataFrame:
 
 
 def indexed(rows: DataFrame, model, d: int) -> DataFrame:
-    """n, vecs, codes, ids, ends: blocks of up to BLOCK different vectors."""
+    """n, vecs, codes, ids, ends, rests: blocks of up to BLOCK different vectors; rests are the lengths of their residuals."""
 
     def run(batches):
         held: list[tuple[bytes, list[int]]] = []
 
         def out():
             x = np.frombuffer(b"".join(v for v, _ in held)).reshape(-1, d)
-            codes = packed(model.value.encode(x))
+            q = model.value
+            plain = q.encode(x)
+            rest = np.linalg.norm((q.halves(x) - q.centres[np.arange(plain.shape[1]), plain]).reshape(len(x), -1), axis=1)
             ids = np.array([i for _, own in held for i in own], np.int64)
             ends = np.cumsum([len(own) for _, own in held]).astype(np.int64)
-            cols = [pa.array([len(held)], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in (x, np.ascontiguousarray(codes.T), ids, ends))]
+            cols = [pa.array([len(held)], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in (x, np.ascontiguousarray(packed(plain).T), ids, ends, rest))]
             held.clear()
-            return pa.RecordBatch.from_arrays(cols, ["n", "vecs", "codes", "ids", "ends"])
+            return pa.RecordBatch.from_arrays(cols, ["n", "vecs", "codes", "ids", "ends", "rests"])
 
         for b in batches:
             for v, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -184,11 +190,13 @@ def indexed(rows: DataFrame, model, d: int) -> DataFrame:
         if held:
             yield out()
 
-    return rows.mapInArrow(run, "n int, vecs binary, codes binary, ids binary, ends binary")
+    return rows.mapInArrow(run, "n int, vecs binary, codes binary, ids binary, ends binary, rests binary")
 
 
-def scanned(x: np.ndarray, codes: np.ndarray, q: np.ndarray, tables: np.ndarray, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query the rows with the best table sums, and their exact inner products."""
+def scanned(x: np.ndarray, codes: np.ndarray, rests: np.ndarray, q: np.ndarray, tables: np.ndarray, rerank: int, nearest: int, reached) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query the rows that may be among its nearest, and their exact inner products. reached(i): a score that query i has `nearest` times already."""
+    sizes = np.linalg.norm(q, axis=1)
+    slack = 1e-5 * (1 + np.linalg.norm(x, axis=1).max(initial=0.0))  # of single-precision sums
     for a in range(0, len(q), 64):
         t = tables[:, :, a : a + 64]
         s = np.zeros((len(x), t.shape[2]), np.float32)
@@ -198,7 +206,15 @@ def scanned(x: np.ndarray, codes: np.ndarray, q: np.ndarray, tables: np.ndarray,
         k = min(rerank, len(x))
         best = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(x) else np.tile(np.arange(len(x)), (len(s), 1))
         for i, rows in enumerate(best):
-            yield rows, x[rows] @ q[a + i]
+            own = q[a + i]
+            score = x[rows] @ own
+            if k < len(x):
+                least = np.partition(score, len(score) - nearest)[len(score) - nearest] if len(score) >= nearest else -np.inf
+                may = s[i] + sizes[a + i] * (rests + slack) >= max(least, reached(a + i))
+                may[rows] = False
+                more = np.flatnonzero(may)
+                rows, score = np.concatenate([rows, more]), np.concatenate([score, x[more] @ own])
+            yield a + i, rows, score
 
 
 def searched(index: DataFrame, model, queries, d: int, nearest: int, rerank: int) -> DataFrame:
@@ -210,12 +226,13 @@ def searched(index: DataFrame, model, queries, d: int, nearest: int, rerank: int
         best: list[list[tuple[float, int]]] = [[] for _ in qids]
         any_ = False
         for batch in batches:
-            for n, vecs, codes, ids, ends in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for n, vecs, codes, ids, ends, rests in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 any_ = True
                 x, code = np.frombuffer(vecs).reshape(n, d), np.frombuffer(codes, np.uint8).reshape(-1, n)
                 ids, ends = np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
-                for i, (rows, score) in enumerate(scanned(x, code, q, tables, rerank)):
+                reached = lambda i: -best[i][-1][0] if len(best[i]) == nearest else -np.inf
+                for i, rows, score in scanned(x, code, np.frombuffer(rests), q, tables, rerank, nearest + 1, reached):
                     top = np.lexsort([ids[starts[rows]], -score])[: nearest + 1]
                     own, far = best[i], -score[top]
                     if len(own) == nearest and far[0] > own[-1][0]:

@@ -87,7 +87,7 @@ class Splitter:
 
     def parts(self, text: str):
         """(is special, words or the special token)"""
-        if self.added is None or "<" not in text:
+        if self.added is None or not self.added.search(text):
             yield False, self.plain(text)
             return
         for k, x in enumerate(self.added.split(text)):

@@ -9,7 +9,8 @@ points lead to, and also visits each later leaf that the triangle bound
 |d(v, x) - d(v, y)| <= radius doesn't exclude: the shards that it overlaps. Within a
 leaf all 64 bits are compared exactly, so the result is exact, whatever the trees.
 
-The trees come from a bounded sample, and only balance the work. A leaf that holds
+The trees come from a sample of SAMPLE fingerprints, and only balance the work; leaves
+stop getting more numerous at about 50 million different fingerprints. A leaf that holds
 more than SHARD fingerprints is dealt out over several tasks. A leaf returns a
 spanning forest of its links, not the pairs, and components are found from those in
 Spark by least labels with pointer jumping, each round stored in the shared folder.
@@ -35,7 +36,7 @@ SHINGLE, SEED = 4, 42
 DISTANCE = 4
 BANDS = 3
 #: Fingerprints to fit the trees, and how many each leaf should hold.
-SAMPLE, LEAF = 65_536, 256
+SAMPLE, LEAF = 1 << 20, 256
 #: Stored fingerprints of a leaf that one task compares.
 SHARD = 2048
 #: Parts that a hot key is joined in, and the rows from which on a key may be one.

@@ -37,6 +37,20 @@ def test_recall_scores_and_order(spark, cloud, monkeypatch):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def test_dense_groups_are_found_whole(spark, monkeypatch):
+    """A third of the vectors nearly share one code; a block's first reranking holds few of them."""
+    monkeypatch.setattr(ann, "BLOCK", 300)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 16))
+    x[:300] = x[0] + 0.003 * rng.normal(size=(300, 16))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    got = {}
+    for r in ann.search(table(spark, x).selectExpr("*", "1 as id", "2 as vec"), rerank=24).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    plain = x.astype(float)
+    assert all(got[q] == {v for v, _ in brute(plain, range(900), q, 20)} for q in range(0, 900, 20))
+
+
 def test_copies_ties_and_unusable_rows(spark):
     rows = [(i, [1.0, 0.0], 0) for i in range(60)] + [(100, [0.5, 0.5], 0), (100, [0.5, 0.5], 0), (120, None, 0), (140, [0.0, 0.0], 0), (160, [float("nan"), 1.0], 0), (180, [1.0, None], 0), (200, [1.0], 0), (None, [1.0, 1.0], 0)]
     got = {}
