@@ -167,6 +167,7 @@ def grouped(rows: DataFrame, most: int) -> DataFrame:
 
 def indexed(rows: DataFrame, model, d: int) -> DataFrame:
     """n, vecs, codes, ids, ends, rests: blocks of up to BLOCK different vectors; rests are the lengths of their residuals."""
+    most = BLOCK
 
     def run(batches):
         held: list[tuple[bytes, list[int]]] = []
@@ -185,7 +186,7 @@ def indexed(rows: DataFrame, model, d: int) -> DataFrame:
         for b in batches:
             for v, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held.append((v, own))
-                if len(held) == BLOCK:
+                if len(held) == most:
                     yield out()
         if held:
             yield out()

@@ -1,17 +1,20 @@
 """Byte-level BPE through a distinct-word table, and decoding through an id-to-piece table.
 
-1. Texts are split into words (the tokenizer's own split) in Spark tasks; each task
-   sums its distinct words, and one shuffle of distinct words gives the corpus counts.
-2. Each distinct word of the table is encoded once. The table holds the TABLE most
-   frequent words, so its broadcast is bounded whatever the corpus; a rarer word is
-   encoded once in each task that meets it, by the same code. No word is left out.
-3. Ids come back by position: a text's ids are its words' ids in order.
-4. Decoding looks ids up in the id-to-piece table (one row an id, so bounded) and
-   joins the bytes.
+1. Tasks split texts into words (the tokenizer's own split) once. Of each slice of texts
+   (SLICE_TEXT bytes, or SLICE_WORDS different words) they keep the texts as numbers of
+   its words, by position, and a row a different word: slice, number, word. Both are
+   stored in the shared folder.
+2. The word rows of all slices meet by word, and each distinct word of the corpus is
+   encoded once, whatever their number; no table of words is broadcast.
+3. The ids return to their slices, and meet the texts' numbers there: a join by slice and
+   number, that is by the position of every word. Slices bound what a task holds.
+4. Decoding joins ids to the id-to-piece table, which has a row an id, so it is bounded
+   by the vocabulary, and is broadcast.
 
 Defined results: a null text is empty; the special token's string in a text is that
 token, as in the library; a text with a character that the two Unicode tables at
-hand class differently is split by the library itself.
+hand class differently is split by the library itself; repeated rows are encoded each;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,19 +22,19 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_texts, ship, texts_of
+from .common import SLICE_BYTES, released, ship, slices, stored, texts_of
 
-#: Words in the broadcast table.
-TABLE = 250_000
-#: Distinct words held in a task, before they are handed on or forgotten.
-HELD = 150_000
+#: Bytes of text, and different words, from which on a slice ends.
+SLICE_TEXT, SLICE_WORDS = 32 << 20, 500_000
 #: The split of byte-level pre-tokenizers in terms of the re module; where a character's class differs
 #: between re and the library, odd_characters() finds it and the library splits the text.
 SPLIT = r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]+|_+)+|\s+(?!\S)|\s+"
@@ -100,104 +103,156 @@ class Splitter:
         return struct.pack(f"<{len(got := self.model.tokenize(shown))}I", *[t.id for t in got])
 
 
-def distinct_words(docs: DataFrame, source: str, odd: str, text: str = "text") -> DataFrame:
-    """word, n: how often each word stands in the texts."""
-    ship(docs.sparkSession)
+def pieces_of(source: str) -> list[bytes]:
+    """The bytes of each id."""
+    from tokenizers import Tokenizer
 
-    def run(batches):
-        split, seen = Splitter(source, odd), Counter()
+    tok, back = Tokenizer.from_str(source), {c: b for b, c in byte_letters().items()}
+    out = [b""] * (max(tok.get_vocab(True).values(), default=-1) + 1)
+    for piece, k in tok.get_vocab(True).items():
+        out[k] = bytes(back[c] for c in piece) if all(c in back for c in piece) else piece.encode()
+    return out
 
-        def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-            seen.clear()
-            return batch
 
-        for batch in batches:
-            for t in texts_of(batch.column(0)):
-                for special, words in split.parts(t.decode()):
-                    if not special:
-                        seen.update(words)
-                if len(seen) > HELD:
-                    yield out()
-        yield out()
+def planes(numbers: list[int]) -> bytes:
+    """Numbers as the number of bytes each takes, then all lowest bytes, all second ones and so on: small numbers shrink well."""
+    x = np.array(numbers, "<u4")
+    wide = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([wide]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T[:wide]).tobytes()
 
-    words = docs.filter(F.col(text).isNotNull()).select(F.col(text)).mapInArrow(run, "word string, n bigint")
-    return words.groupBy("word").agg(F.sum("n").alias("n"))
 
+def unplaned(body: bytes) -> np.ndarray:
+    own = np.frombuffer(body, np.uint8, offset=1).reshape(body[0], -1)
+    out = np.zeros((own.shape[1], 4), np.uint8)
+    out[:, : body[0]] = own.T
+    return out.view("<u4").ravel().astype(np.int64)
 
-def word_table(words: DataFrame, source: str, odd: str, most: int = TABLE) -> dict[str, bytes]:
-    """The ids of each of the most frequent words, each encoded once."""
-    top = words.orderBy(F.desc("n"), "word").limit(most).select("word").repartition(8, "word")
 
-    def run(batches):
-        split = Splitter(source, odd)
-        for batch in batches:
-            got = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.string()), pa.array([split.encode(w) for w in got], pa.binary())], ["word", "ids"])
+class Pieces:
+    """Numbered runs of values, looked up many at a time."""
 
-    got = top.mapInArrow(run, "word string, ids binary").toArrow()
-    return dict(zip(got.column("word").to_pylist(), got.column("ids").to_pylist(), strict=True))
+    def __init__(self, runs: list[bytes], kind):
+        self.lengths = np.fromiter(map(len, runs), np.int64, len(runs)) // np.dtype(kind).itemsize
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(runs), kind)
 
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """The runs of these numbers, one after the other."""
+        n = self.lengths[numbers]
+        at = np.repeat(self.starts[numbers] - (np.cumsum(n) - n), n)
+        return self.flat[at + np.arange(len(at))]
 
-def pieces_of(source: str) -> list[bytes]:
-    """The bytes of each id."""
-    from tokenizers import Tokenizer
 
-    tok, back = Tokenizer.from_str(source), {c: b for b, c in byte_letters().items()}
-    out = [b""] * (max(tok.get_vocab(True).values(), default=-1) + 1)
-    for piece, k in tok.get_vocab(True).items():
-        out[k] = bytes(back[c] for c in piece) if all(c in back for c in piece) else piece.encode()
-    return out
+def decode(ids: np.ndarray, pieces: Pieces) -> str:
+    return pieces.of(ids).tobytes().decode("utf-8", "replace")
+
 
+def cut(docs: DataFrame, keep: dict[str, Column], source: str, odd: str, text: str) -> DataFrame:
+    """slice, number, word, special of each different word of a slice; slice, k0, k1..., body of each text, the other columns null."""
+    src = docs.select(*[c.alias(f"k{i}") for i, c in enumerate(keep.values())], F.col(text).cast("string").alias("_text"))
+    n = len(keep)
+    words = [T.StructField("slice", T.LongType()), T.StructField("number", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("special", T.BooleanType())]
+    schema = T.StructType([*words, *src.schema.fields[:n], T.StructField("body", T.BinaryType())])
+    names, most_text, most_words = schema.names, SLICE_TEXT, SLICE_WORDS
 
-class Encoder:
-    def __init__(self, source: str, odd: str, table: dict[str, bytes]):
-        self.split, self.table, self.rare = Splitter(source, odd), table, {}
+    def run(batches):
+        split, base, table, held, own = Splitter(source, odd), TaskContext.get().partitionId() << 32, {}, 0, None
+
+        def listed():
+            found = list(table)
+            special = [isinstance(w, tuple) for w in found]
+            cols = [pa.array([base] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array([w[0] if s else w for w, s in zip(found, special)], pa.string()), pa.array(special, pa.bool_())]
+            return pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(found), t) for t in own), pa.nulls(len(found), pa.binary())], names)
 
-    def ids(self, text: str) -> bytes:
-        out, table, rare = [], self.table, self.rare
-        for special, words in self.split.parts(text):
-            if special:
-                out.append(np.uint32(self.split.special[words]).astype("<u4").tobytes())
-                continue
-            for w in words:
-                x = table.get(w)
-                if x is None:
-                    x = rare.get(w)
-                    if x is None:
-                        if len(rare) >= HELD:
-                            rare.clear()
-                        x = rare[w] = self.split.encode(w)
-                out.append(x)
-        return b"".join(out)
+        for batch in batches:
+            own = [batch.schema.field(i).type for i in range(n)]
+            column = batch.column(n)
+            for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), min(SLICE_BYTES, most_text)):
+                bodies = []
+                for t in texts_of(column.slice(a, b - a)):
+                    numbers: list[int] = []
+                    for special, got in split.parts((t or b"").decode()):
+                        numbers += [table.setdefault((got,), len(table))] if special else [table.setdefault(w, len(table)) for w in got]
+                    bodies.append(planes(numbers))
+                    held += len(t or b"")
+                many = b - a
+                cols = [pa.array([base] * many, pa.int64()), *(pa.nulls(many, t) for t in (pa.int32(), pa.string(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*cols, *(batch.column(i).slice(a, many) for i in range(n)), pa.array(bodies, pa.binary())], names)
+                if held >= most_text or len(table) >= most_words:
+                    yield listed()
+                    base, held = base + 1, 0
+                    table.clear()
+        if table:
+            yield listed()
+        released()
+
+    return src.mapInArrow(run, schema)
+
+
+def encoded(words: DataFrame, source: str, odd: str) -> DataFrame:
+    """slice, number, ids: each different word of all slices encoded once. words: slice, number, word, special."""
 
+    def run(batches):
+        split, word, ids = Splitter(source, odd), None, b""
+        for b in batches:
+            out = []
+            for w, special in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if (w, special) != word:
+                    word = w, special
+                    ids = struct.pack("<I", split.special[w]) if special else split.encode(w)
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["slice", "number", "ids"])
 
-def decode(ids: bytes, pieces: list[bytes]) -> str:
-    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+    met = words.repartition("word").sortWithinPartitions("word", "special")
+    return met.mapInArrow(run, "slice bigint, number int, ids binary")
 
 
-def tokenize(docs: DataFrame, path: str, keep: dict[str, Column], text: str = "text", most: int = TABLE, real: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, keep: dict[str, Column], text: str = "text", real: bool = False) -> DataFrame:
     """Columns `keep`, then n_tokens, ids_sha256, decoded_sha256; with `real`, token_ids and decoded instead of the digests."""
     with open(path, encoding="utf-8") as f:
         source = f.read()
-    odd = odd_characters(source)
-    sc = docs.sparkSession.sparkContext
-    table = sc.broadcast((source, odd, word_table(distinct_words(docs, source, odd, text), source, odd, most), pieces_of(source)))
-
-    def make():
-        source, odd, words, pieces = table.value
-        enc = Encoder(source, odd, words)
-
-        def work(texts):
-            ids = [enc.ids((t or b"").decode()) for t in texts]
-            back = (decode(x, pieces) for x in ids)
-            if real:
-                flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-                return [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32()), flat), list(back)]
-            return [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(x.encode()).hexdigest() for x in back]]
-
-        return work
-
-    plain = [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
-    full = [("token_ids", "array<int>", pa.list_(pa.int32())), ("decoded", "string", pa.string())]
-    return map_texts(docs, keep, full if real else plain, make, text)
+    odd, spark, n = odd_characters(source), docs.sparkSession, len(keep)
+    ship(spark)
+    pieces = spark.sparkContext.broadcast(pieces_of(source))
+    rows = stored(cut(docs, keep, source, odd, text), "words")
+    kept = [f"k{i}" for i in range(n)]
+    ids = encoded(rows.filter("number is not null").select("slice", "number", "word", "special"), source, odd)
+    texts = rows.filter("body is not null").select("slice", *kept, "body")
+    every = ids.unionByName(texts, allowMissingColumns=True).select("slice", "number", "ids", *kept, "body")
+    met = every.repartition("slice").sortWithinPartitions("slice", F.col("body").isNotNull())
+    last = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())] if real else [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    schema = T.StructType([*(rows.schema[k] for k in kept), *last])
+
+    def run(batches):
+        piece = Pieces(pieces.value, np.uint8)
+        now, held, table = None, [], None
+        for batch in batches:
+            at, body = batch.column(0).to_numpy(), batch.column(3 + n)
+            text_ = np.array(body.is_valid())
+            breaks = np.flatnonzero((at[1:] != at[:-1]) | (text_[1:] != text_[:-1])) + 1 if len(at) else []
+            for a, b in zip([0, *breaks], [*breaks, len(at)]):
+                if a == b:
+                    continue
+                if at[a] != now:
+                    now, held, table = at[a], [], None
+                if not text_[a]:
+                    held.append((batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False), batch.column(2).slice(a, b - a).to_pylist()))
+                    continue
+                if table is None:
+                    order = np.argsort(np.concatenate([np.zeros(0, np.int64), *(x for x, _ in held)]))
+                    runs = [x for _, y in held for x in y]
+                    table, held = Pieces([runs[i] for i in order.tolist()], "<u4"), []
+                for i, j in slices(pc.binary_length(body.slice(a, b - a)).to_pylist()):
+                    own = body.slice(a + i, j - i).to_pylist()
+                    got = [table.of(unplaned(x)) for x in own]
+                    back = [decode(x, piece) for x in got]
+                    if real:
+                        flat = pa.array(np.concatenate([np.zeros(0, "<u4"), *got]).astype(np.int32))
+                        new = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), flat), pa.array(back, pa.string())]
+                    else:
+                        new = [pa.array([len(x) for x in got], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in got]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back])]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(3 + k).slice(a + i, j - i) for k in range(n)), *new], schema.names)
+        released()
+
+    out = met.mapInArrow(run, schema)
+    return out.select(*[F.col(k).alias(a) for k, a in zip(kept, keep, strict=True)], *[F.col(x.name) for x in last])

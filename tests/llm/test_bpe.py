@@ -32,9 +32,13 @@ def expected(path, texts):
     return out
 
 
-@pytest.mark.parametrize("most", [0, 5, 1000])
-def test_digests_match_the_library(make, path, texts, most):
-    got = bpe.tokenize(make(texts), path, {"doc_id": F.col("doc_id")}, most=most).orderBy("doc_id").collect()
+@pytest.mark.parametrize("size, words", [(1, 1), (900, 1 << 20), (1 << 20, 30), (32 << 20, 500_000)])
+def test_digests_match_the_library(make, path, texts, monkeypatch, size, words):
+    """Whatever the slices: one of a text each, some of each, or one of all."""
+    monkeypatch.setattr(bpe, "SLICE_TEXT", size)
+    monkeypatch.setattr(bpe, "SLICE_WORDS", words)
+    docs = make(texts).withColumn("body", F.lit(1)).withColumn("slice", F.lit(2)).withColumn("a.b", F.lit(3))
+    got = bpe.tokenize(docs, path, {"doc_id": F.col("doc_id")}).orderBy("doc_id").collect()
     for r, (ids, back) in zip(got, expected(path, texts), strict=True):
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()), texts[r["doc_id"]]
         assert r["decoded_sha256"] == hashlib.sha256(back.encode()).hexdigest()
@@ -47,11 +51,23 @@ def test_real_outputs_round_trip(make, path, texts, empty):
     assert bpe.tokenize(empty, path, {"doc_id": F.col("doc_id")}).count() == 0
 
 
-def test_words_are_counted_whole(make, path):
+def test_each_distinct_word_is_encoded_once(make, path, spark, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_TEXT", 1)
     with open(path, encoding="utf-8") as f:
         source = f.read()
-    words = bpe.distinct_words(make(["a b a", " b", None]), source, bpe.odd_characters(source))
-    assert {r["word"]: r["n"] for r in words.collect()} == {"a": 1, " b": 2, " a": 1}
+    rows = bpe.cut(make(["a b a", " b", None, "a b a"]).coalesce(1), {"doc_id": F.col("doc_id")}, source, bpe.odd_characters(source), "text").cache()
+    words = rows.filter("number is not null")
+    assert sorted(r["word"] for r in words.select("word").distinct().collect()) == [" a", " b", "a"] and words.count() > 3
+    ids = bpe.encoded(words.select("slice", "number", "word", "special"), source, "")
+    assert ids.count() == words.count() and ids.select("ids").distinct().count() == 3
+
+
+def test_repeated_rows_and_planes(spark, path):
+    docs = spark.createDataFrame([(1, "x y"), (1, "x y"), (None, "x y"), (2, None)], "doc_id long, text string")
+    got = bpe.tokenize(docs, path, {"doc_id": F.col("doc_id")}).collect()
+    assert len(got) == 4 and len({r["ids_sha256"] for r in got if r["n_tokens"]}) == 1
+    for x in ([], [0], [3, 256, 1], [1 << 20, 5]):
+        assert bpe.unplaned(bpe.planes(x)).tolist() == x
 
 
 def test_invalid_bytes_decode_as_the_library_does(path):
@@ -63,4 +79,4 @@ def test_invalid_bytes_decode_as_the_library_does(path):
     rng = random.Random(4)
     for _ in range(200):
         ids = [rng.randrange(len(pieces)) for _ in range(rng.randint(0, 12))]
-        assert bpe.decode(np.array(ids, "<u4").tobytes(), pieces) == t.decode(ids, skip_special_tokens=False)
+        assert bpe.decode(np.array(ids, np.int64), bpe.Pieces(pieces, np.uint8)) == t.decode(ids, skip_special_tokens=False)
