@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic rows are the positives; rows of the training fold, whatever their
+Confirmed toxic rows are the positives; all rows of the training fold, whatever their
 label, are the unlabelled set. A linear model on the presence of words minimises
 
     prior * R_pos(+) + max(0, R_unl(-) - prior * R_pos(-))
@@ -10,14 +10,19 @@ negative: while it does, the step goes the other way. The prior is the share of
 toxic rows among all labelled rows of the training fold. Scores are then scaled
 to probabilities on labelled training rows.
 
-Only the samples reach the driver: at most POSITIVES, UNLABELLED and LABELLED rows,
-drawn by a hash of doc_id. Features are words and word beginnings, each that stands
-once, twice or four times in a text; Spark counts them over the samples and keeps those
-that positives hold more often than unlabelled rows.
+Features are words and word beginnings, each that stands once, twice or four times in a
+text. Those of the positives are counted over all training texts, and kept if positives
+hold them surely more often; there is no limit to their number. The weights start from
+a fit on WARM unlabelled rows; then PASSES over all of them follow: each task sums its
+rows' part of risk and gradient, and the sums alone reach the driver.
+
+The bounded samples are of labelled rows, POSITIVES and LABELLED of them, and of the
+warm start; all are drawn by a hash of doc_id.
 
 Defined results: null and empty texts have no words and get the score of no words;
 several labels of a document count as toxic if one is; without a toxic training row
-all scores are 0. A null doc_id counts as a training row without a label.
+all scores are 0; repeated rows count, and are scored, each; equal z-scores order
+features by name. A null doc_id counts as a training row without a label.
 """
 
 from __future__ import annotations
@@ -30,16 +35,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, held_out, map_texts, ship, stored, texts_of
+from .common import WORD_TABLE, fresh, held_out, map_texts, released, ship, stored, texts_of
 
-POSITIVES, UNLABELLED, LABELLED = 3000, 6000, 6000
-#: Features that the model may weigh, and the least z-score of one.
-FEATURES, LEAST_Z = 512, 3.5
+#: Labelled rows that the model is fitted and scaled on: toxic and clean; and unlabelled rows of the warm start.
+POSITIVES, LABELLED, WARM = 3000, 6000, 6000
+#: Least z-score of a feature, and positives that hold it at least.
+LEAST_Z, LEAST_P = 3.5, 3
 #: Lengths of word beginnings, in characters, and the counts that make features of their own.
 BEGINNINGS, COUNTS = range(4, 9), (1, 2, 4)
-#: Features held in a counting task before they are handed on.
-HELD = 500_000
 STEPS, RATE, RIDGE = 400, 0.05, 1e-3
+#: Passes over all unlabelled rows, and their rate.
+PASSES, SLOW = 8, 0.01
 THRESHOLD = 0.3
 
 
@@ -67,46 +73,62 @@ def _picked(rows: DataFrame, n: int, kind: int) -> DataFrame:
 
 
 def samples(docs: DataFrame, labels: DataFrame, label: str) -> tuple[float, DataFrame | None]:
-    """The class prior, and stored texts with their kinds: 0 unlabelled, 1 toxic, 2 labelled clean."""
+    """The class prior, and stored texts with their kinds: 0 of the warm start, 1 toxic, 2 labelled clean."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     n, pos = known.agg(F.count("*"), F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0))).first()
     if not pos:
         return 0.0, None
-    train = docs.filter(F.col("doc_id").isNotNull() & ~held_out())
-    ids = _picked(train, UNLABELLED, 0).union(_picked(known.filter("y = 1"), POSITIVES, 1)).union(_picked(known.filter("y <> 1"), LABELLED, 2))
+    train = training(docs)
+    ids = _picked(train, WARM, 0).union(_picked(known.filter("y = 1"), POSITIVES, 1)).union(_picked(known.filter("y <> 1"), LABELLED, 2))
     ids = ids.groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))  # bounded by the three limits
-    rows = train.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = train.join(F.broadcast(ids), "doc_id")
     return pos / n, stored(rows.select("kinds", "text"), "sample")
 
 
-def _counted(batches):
-    seen: dict[str, list[int]] = {}
+def training(docs: DataFrame) -> DataFrame:
+    """doc_id, text of the training fold."""
+    return docs.filter(~held_out()).select("doc_id", F.col("text").cast("string").alias("text"))
+
+
+def candidates(rows: DataFrame) -> dict[str, int]:
+    """Features that LEAST_P positives of the sample hold, with how many."""
 
-    def out():
-        rows = list(seen)
-        cols = [pa.array(rows, pa.string()), *(pa.array([seen[f][i] for f in rows], pa.int64()) for i in (0, 1))]
-        seen.clear()
-        return pa.RecordBatch.from_arrays(cols, ["feature", "u", "p"])
+    def run(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for t in texts_of(batch.column(0)):
+                seen.update(features(t))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "p"])
+
+    sums = rows.filter(F.array_contains("kinds", 1)).select("text").mapInArrow(run, "feature string, p bigint").groupBy("feature").agg(F.sum("p").alias("p"))
+    got = sums.filter(F.col("p") >= LEAST_P).orderBy("feature").toArrow()
+    return dict(zip(got.column("feature").to_pylist(), got.column("p").to_pylist(), strict=True))
 
-    for batch in batches:
-        for kinds, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-            own = [k for k in kinds if k < 2]
-            for f in features(t) if own else ():
-                n = seen.setdefault(f, [0, 0])
-                for k in own:
-                    n[k] += 1
-            if len(seen) > HELD:
-                yield out()
-    yield out()
 
+def chosen(train: DataFrame, found: dict[str, int], n: int) -> list[str]:
+    """Candidates that n positives hold surely more often than all training rows, the surest first."""
+    index = {f: j for j, f in enumerate(found)}
+    table = train.sparkSession.sparkContext.broadcast(index)
 
-def chosen(rows: DataFrame, n: int, k: int) -> list[str]:
-    """Features that n positives hold more often than k unlabelled rows, the surest first."""
-    sums = rows.mapInArrow(_counted, "feature string, u bigint, p bigint").groupBy("feature").agg(F.sum("u").alias("u"), F.sum("p").alias("p"))
-    a, b, both = F.col("p") / n, F.col("u") / k, (F.col("p") + F.col("u")) / (n + k)
-    z = (a - b) / F.sqrt(both * (1 - both) * (1 / n + 1 / k) + 1e-12)
-    top = sums.filter("p >= 3").withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(FEATURES)
-    return [r["feature"] for r in top.select("feature").collect()]
+    def run(batches):
+        own, sums, rows = _selected(table.value), np.zeros(len(table.value) + 1, np.int64), 0
+        for batch in batches:
+            for t in texts_of(batch.column(0)):
+                sums[own(t)] += 1
+                rows += 1
+        sums[-1] = rows
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+        released()
+
+    every = np.zeros(len(index) + 1, np.int64)
+    for r in train.select("text").mapInArrow(run, "sums binary").toLocalIterator():  # a row a task
+        every += np.frombuffer(r["sums"], np.int64)
+    k = max(1, int(every[-1]))
+    p, u = np.fromiter(found.values(), np.float64, len(found)), every[:-1].astype(np.float64)
+    a, b, both = p / n, u / k, (p + u) / (n + k)
+    z = (a - b) / np.sqrt(both * (1 - both) * (1 / n + 1 / k) + 1e-12)
+    sure = sorted((-z[j], f) for f, j in index.items() if z[j] >= LEAST_Z)
+    return [f for _, f in sure]
 
 
 def _selected(index: dict[str, int]):
@@ -116,12 +138,21 @@ def _selected(index: dict[str, int]):
     return lambda t: [index[f] for f in features(t, shape) if f in index]
 
 
-def _matrix(rows: list[list[int]], width: int) -> np.ndarray:
-    x = np.zeros((len(rows), width + 1), np.float32)
-    x[:, -1] = 1
-    for i, own in enumerate(rows):
-        x[i, own] = 1
-    return x
+class Rows:
+    """Rows of feature numbers, with a last feature that each row has."""
+
+    def __init__(self, rows: list[list[int]], width: int):
+        self.n, self.width = len(rows), width + 1
+        self.at = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.own = np.array([j for r in rows for j in r], np.int64)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, w[self.own], self.n) + w[-1]
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        out = np.bincount(self.own, v[self.at], self.width)
+        out[-1] += v.sum()
+        return out
 
 
 def _soft(z: np.ndarray) -> np.ndarray:
@@ -132,23 +163,63 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def nnpu(p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
-    """Weights that minimise the non-negative risk with the logistic loss; the last column is the bias."""
-    w = np.zeros(p.shape[1], np.float64)
-    w[-1] = np.log(prior / (1 - prior)) if 0 < prior < 1 else 0
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    ridge = np.full(len(w), RIDGE)
-    ridge[-1] = 0
-    for t in range(1, STEPS + 1):
-        now = w.astype(np.float32)
-        gp, gu = p @ now, u @ now
-        clean = _soft(gu).mean() - prior * _soft(gp).mean()
-        d_clean = u.T @ _sigmoid(gu) / len(u) - prior * (p.T @ _sigmoid(gp)) / len(p)
-        d_toxic = -prior * (p.T @ _sigmoid(-gp)) / len(p)
-        grad = d_toxic + d_clean + ridge * w if clean >= 0 else -d_clean
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+class Descent:
+    """Adam on the non-negative risk with the logistic loss; the last weight is the bias."""
+
+    def __init__(self, p: Rows, prior: float):
+        self.p, self.prior, self.t = p, prior, 0
+        self.w = np.zeros(p.width)
+        self.w[-1] = np.log(prior / (1 - prior)) if 0 < prior < 1 else 0
+        self.m, self.v = np.zeros_like(self.w), np.zeros_like(self.w)
+
+    def step(self, loss: float, grad: np.ndarray, rate: float) -> None:
+        """loss, grad: mean over unlabelled rows of the loss of calling them clean, and its gradient."""
+        g, ridge = self.p.dot(self.w), np.full(len(self.w), RIDGE)
+        ridge[-1] = 0
+        clean = loss - self.prior * _soft(g).mean()
+        d_clean = grad - self.prior * self.p.back(_sigmoid(g)) / self.p.n
+        d_toxic = -self.prior * self.p.back(_sigmoid(-g)) / self.p.n
+        d = d_toxic + d_clean + ridge * self.w if clean >= 0 else -d_clean
+        self.t += 1
+        self.m, self.v = 0.9 * self.m + 0.1 * d, 0.999 * self.v + 0.001 * d**2
+        self.w = self.w - rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
+
+
+def unlabelled_risk(u: Rows, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """Sums over rows of the loss of calling them clean, and of its gradient."""
+    g = u.dot(w)
+    return float(_soft(g).sum()), u.back(_sigmoid(g))
+
+
+def nnpu(p: Rows, u: Rows, prior: float) -> Descent:
+    """The warm start: the risk's descent on rows at hand."""
+    out = Descent(p, prior)
+    for _ in range(STEPS):
+        loss, grad = unlabelled_risk(u, out.w)
+        out.step(loss / u.n, grad / u.n, RATE)
+    return out
+
+
+def passed(owned: DataFrame, descent: Descent) -> None:
+    """PASSES steps over all unlabelled rows. owned: own (feature numbers)."""
+    sc, width = owned.sparkSession.sparkContext, descent.p.width
+    for _ in range(PASSES):
+        now = sc.broadcast(descent.w)
+
+        def run(batches):
+            loss, grad, n = 0.0, np.zeros(width), 0
+            for b in batches:
+                rows = Rows(b.column(0).to_pylist(), width - 1)
+                x, g = unlabelled_risk(rows, now.value)
+                loss, grad, n = loss + x, grad + g, n + rows.n
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([grad.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["loss", "grad", "n"])
+
+        got = owned.mapInArrow(run, "loss double, grad binary, n bigint").collect()  # a row a task
+        got.sort(key=lambda r: (r["n"], r["loss"]))
+        n = sum(r["n"] for r in got)
+        if n:
+            descent.step(sum(r["loss"] for r in got) / n, sum(np.frombuffer(r["grad"]) for r in got) / n, SLOW)
+        now.unpersist()
 
 
 def calibrate(g: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -170,28 +241,37 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[dict[
     prior, rows = samples(docs, labels, label)
     if rows is None:
         return None
-    n, k = (rows.filter(F.array_contains("kinds", i)).count() for i in (1, 0))
+    n = rows.filter(F.array_contains("kinds", 1)).count()
     if not n:
         return None
-    index = {f: j for j, f in enumerate(chosen(rows, n, max(1, k)))}
+    train = training(docs)
+    index = {f: j for j, f in enumerate(chosen(train, candidates(rows), n))}
+    table = docs.sparkSession.sparkContext.broadcast(index)
 
-    def run(batches):
-        own = _selected(index)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own(t) for t in texts_of(b.column(1))], pa.list_(pa.int32()))], ["kinds", "own"])
+    def numbered(texts: DataFrame, *keep: str) -> DataFrame:
+        def run(batches):
+            own = _selected(table.value)
+            for b in batches:
+                found = pa.array([sorted(own(t)) for t in texts_of(b.column(len(keep)))], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], found], [*keep, "own"])
+            released()
+
+        return texts.select(*keep, "text").mapInArrow(run, ", ".join([*(f"{k} array<int>" for k in keep), "own array<int>"]))
 
     by: dict[int, list] = {0: [], 1: [], 2: []}
-    for r in rows.mapInArrow(run, "kinds array<int>, own array<int>").collect():  # a row a sampled text
+    for r in numbered(rows, "kinds").toLocalIterator():  # a row a sampled text
         for kind in r["kinds"]:
             by[kind].append(list(r["own"]))
     for own in by.values():
         own.sort()
-    p, u, clean = (_matrix(by[i], len(index)) for i in (1, 0, 2))
-    w = nnpu(p, u if len(u) else p, min(max(prior, 1e-6), 1 - 1e-6))
-    a, b = 1.0, 0.0
-    if len(clean):
-        g, y = np.concatenate([p @ w, clean @ w]), np.concatenate([np.ones(len(p)), np.zeros(len(clean))])
-        a, b = calibrate(g, y, np.concatenate([np.full(len(p), prior / len(p)), np.full(len(clean), (1 - prior) / len(clean))]))
+    p, u, clean = (Rows(by[i], len(index)) for i in (1, 0, 2))
+    descent = nnpu(p, u if u.n else p, min(max(prior, 1e-6), 1 - 1e-6))
+    passed(stored(numbered(train), "unlabelled"), descent)
+    w, a, b = descent.w, 1.0, 0.0
+    if clean.n:
+        g, y = np.concatenate([p.dot(w), clean.dot(w)]), np.concatenate([np.ones(p.n), np.zeros(clean.n)])
+        a, b = calibrate(g, y, np.concatenate([np.full(p.n, prior / p.n), np.full(clean.n, (1 - prior) / clean.n)]))
+    released()
     return {f: float(a * w[j]) for f, j in index.items()}, float(a * w[-1] + b)
 
 
@@ -201,7 +281,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float] | None, keep: d
     def make():
         if model is None:
             return lambda texts: [[0.0] * len(texts), [0] * len(texts)]
-        weights, bias = np.array([*model[0].values()]), model[1]
+        weights, bias = np.array([*model[0].values()], np.float64), model[1]
         own = _selected({f: j for j, f in enumerate(model[0])})
 
         def work(texts):
@@ -221,5 +301,6 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score stays below THRESHOLD, with all their columns."""
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("text"))
-    return score(kept, fit(docs, labels), {"_row": F.col("_row")}).filter("predicted = 0").select("_row.*")
+    row = fresh(docs, "_row")[0]
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col("text").alias("text"))
+    return score(kept, fit(docs, labels), {row: F.col(row)}).filter("predicted = 0").select(f"{row}.*")

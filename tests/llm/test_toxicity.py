@@ -42,9 +42,63 @@ def test_without_labels(make, spark, empty):
     assert toxicity.score_documents(make(["a"]), orphan).count() == 1
 
 
-def test_risk_does_not_go_negative():
+def cloud(n, share, rng):
+    return [sorted(np.flatnonzero(rng.random(6) < share).tolist()) for _ in range(n)]
+
+
+def dense(rows):
+    x = np.zeros((len(rows), 7))
+    x[:, -1] = 1
+    for i, own in enumerate(rows):
+        x[i, own] = 1
+    return x
+
+
+def test_risk_and_gradient_by_brute_force():
     rng = np.random.default_rng(2)
-    p = np.c_[rng.random((40, 6)) < 0.7, np.ones(40)].astype(np.float32)
-    u = np.c_[rng.random((200, 6)) < 0.3, np.ones(200)].astype(np.float32)
-    w = toxicity.nnpu(p, u, 0.2)
-    assert (p @ w).mean() > (u @ w).mean() and np.isfinite(w).all()
+    p, u = cloud(40, 0.7, rng), cloud(200, 0.3, rng)
+    w, x = rng.normal(size=7), dense(u)
+    loss, grad = toxicity.unlabelled_risk(toxicity.Rows(u, 6), w)
+    assert abs(loss - np.log1p(np.exp(x @ w)).sum()) < 1e-9 and np.allclose(grad, x.T @ (1 / (1 + np.exp(-x @ w))))
+    prior, h = 0.2, 1e-6
+
+    def risk(w):
+        g, gp = x @ w, dense(p) @ w
+        clean = np.log1p(np.exp(g)).mean() - prior * np.log1p(np.exp(gp)).mean()
+        return prior * np.log1p(np.exp(-gp)).mean() + max(0.0, clean) + toxicity.RIDGE / 2 * (w[:-1] ** 2).sum()
+
+    one = toxicity.Descent(toxicity.Rows(p, 6), prior)
+    slope = np.array([(risk(one.w + h * e) - risk(one.w - h * e)) / (2 * h) for e in np.eye(7)])
+    before = one.w.copy()
+    loss, grad = toxicity.unlabelled_risk(toxicity.Rows(u, 6), one.w)
+    one.step(loss / len(u), grad / len(u), 0.1)
+    assert np.allclose(one.m, 0.1 * slope, atol=1e-6)
+    fitted = toxicity.nnpu(toxicity.Rows(p, 6), toxicity.Rows(u, 6), prior)
+    assert risk(fitted.w) < risk(before) and np.isfinite(fitted.w).all()
+    assert (dense(p) @ fitted.w).mean() > (x @ fitted.w).mean()
+
+
+def test_passes_use_every_row(spark):
+    rng = np.random.default_rng(4)
+    p, u = toxicity.Rows(cloud(30, 0.7, rng), 6), cloud(90, 0.3, rng)
+    mine, theirs = toxicity.Descent(p, 0.3), toxicity.Descent(p, 0.3)
+    toxicity.passed(spark.createDataFrame([(r,) for r in u], "own array<int>").repartition(3), mine)
+    for _ in range(toxicity.PASSES):
+        loss, grad = toxicity.unlabelled_risk(toxicity.Rows(u, 6), theirs.w)
+        theirs.step(loss / 90, grad / 90, toxicity.SLOW)
+    assert np.allclose(mine.w, theirs.w)
+
+
+def test_features_are_counted_over_all_training_rows(spark):
+    rows = [(i, "vile text" if i % 3 else "plain text text") for i in range(60)] + [(0, "plain text text")] * 2
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {"vile#1": 30, "text#1": 30, "never#1": 30, "none#1": 3}
+    assert toxicity.chosen(train, found, 30) == ["never#1", "vile#1", "none#1"] or toxicity.chosen(train, found, 30)[:2] == ["never#1", "vile#1"]
+
+
+def test_repeated_rows_ties_and_odd_columns(make, spark):
+    docs, labels, bad, n = case(make, spark, 200)
+    twice = docs.union(docs.filter("doc_id = 8")).withColumn("a.b", F.lit(1)).withColumn("own", F.lit(2))
+    got = [(r["doc_id"], r["score"]) for r in toxicity.score_documents(twice, labels).collect()]
+    assert len(got) == docs.count() + 1 and len({s for i, s in got if i == 8}) == 1
+    assert toxicity.clean(twice, labels).columns == twice.columns
