@@ -207,8 +207,26 @@ def encoded(words: DataFrame, source: str, odd: str) -> DataFrame:
     return met.mapInArrow(run, "slice bigint, number int, ids binary")
 
 
-def tokenize(docs: DataFrame, path: str, keep: dict[str, Column], text: str = "text", real: bool = False) -> DataFrame:
-    """Columns `keep`, then n_tokens, ids_sha256, decoded_sha256; with `real`, token_ids and decoded instead of the digests."""
+#: What a text can be turned into.
+OUTPUTS = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), "token_ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
+DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def made(name: str, ids: list[np.ndarray], back: list[str]) -> pa.Array:
+    if name == "n_tokens":
+        return pa.array([len(x) for x in ids], pa.int64())
+    if name == "ids_sha256":
+        return pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string())
+    if name == "decoded_sha256":
+        return pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string())
+    if name == "decoded":
+        return pa.array(back, pa.string())
+    flat = pa.array(np.concatenate([np.zeros(0, "<u4"), *ids]).astype(np.int32))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), flat)
+
+
+def tokenize(docs: DataFrame, path: str, keep: dict[str, Column], text: str = "text", outputs: tuple[str, ...] = DIGESTS) -> DataFrame:
+    """Columns `keep`, then those of `outputs`."""
     with open(path, encoding="utf-8") as f:
         source = f.read()
     odd, spark, n = odd_characters(source), docs.sparkSession, len(keep)
@@ -220,7 +238,7 @@ def tokenize(docs: DataFrame, path: str, keep: dict[str, Column], text: str = "t
     texts = rows.filter("body is not null").select("slice", *kept, "body")
     every = ids.unionByName(texts, allowMissingColumns=True).select("slice", "number", "ids", *kept, "body")
     met = every.repartition("slice").sortWithinPartitions("slice", F.col("body").isNotNull())
-    last = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())] if real else [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    last = [T.StructField(x, OUTPUTS[x]) for x in outputs]
     schema = T.StructType([*(rows.schema[k] for k in kept), *last])
 
     def run(batches):
@@ -246,11 +264,7 @@ def tokenize(docs: DataFrame, path: str, keep: dict[str, Column], text: str = "t
                     own = body.slice(a + i, j - i).to_pylist()
                     got = [table.of(unplaned(x)) for x in own]
                     back = [decode(x, piece) for x in got]
-                    if real:
-                        flat = pa.array(np.concatenate([np.zeros(0, "<u4"), *got]).astype(np.int32))
-                        new = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), flat), pa.array(back, pa.string())]
-                    else:
-                        new = [pa.array([len(x) for x in got], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in got]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back])]
+                    new = [made(x, got, back) for x in outputs]
                     yield pa.RecordBatch.from_arrays([*(batch.column(3 + k).slice(a + i, j - i) for k in range(n)), *new], schema.names)
         released()
 

@@ -45,7 +45,7 @@ def test_digests_match_the_library(make, path, texts, monkeypatch, size, words):
 
 
 def test_real_outputs_round_trip(make, path, texts, empty):
-    got = bpe.tokenize(make(texts), path, {"doc_id": F.col("doc_id")}, real=True).orderBy("doc_id").collect()
+    got = bpe.tokenize(make(texts), path, {"doc_id": F.col("doc_id")}, outputs=("token_ids", "decoded")).orderBy("doc_id").collect()
     assert [list(r["token_ids"]) for r in got] == [ids for ids, _ in expected(path, texts)]
     assert [r["decoded"] for r in got] == [t or "" for t in texts]
     assert bpe.tokenize(empty, path, {"doc_id": F.col("doc_id")}).count() == 0
