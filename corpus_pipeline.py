@@ -31,8 +31,8 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as token ids, with digests of the ids and of the decoded text."""
-    return bpe.tokenize(docs, vocabulary(), {"doc_id": F.col("doc_id")})
+    """Every document as token ids, with their number and digests of the ids and of the decoded text."""
+    return bpe.tokenize(docs, vocabulary(), {"doc_id": F.col("doc_id")}, outputs=(*bpe.DIGESTS, "token_ids"))
 
 
 STAGES = [
