@@ -8,14 +8,14 @@ row. Links come from four sources, each checked by the exact similarity of the t
    finds the closer copies alone; hence
 2. prefixes: in any order of all hashes, two sets of similarity SIMILAR or more share one
    of the first |x| - ceil(SIMILAR |x|) + 1 hashes of each. The sets behind one hash are
-   compared with the smallest of them,
-3. those in other components with one that the hash picks, and
-4. all pairs that still lie in different components.
+   compared with the smallest of them, and each set's two best pairs are checked,
+3. a spanning forest of the likely pairs behind one hash that lie in different components,
+4. all likely pairs that still do.
 
-So no pair is missed, a large group of near copies takes about a comparison a member, and
-the components are those of all links. Pairs whose sizes or parities rule the similarity
-out are not compared: parities of a set on fixed places, and finer ones on about twice as
-many places as it has hashes. Of 2 and 3 only each set's two best pairs are checked.
+So no pair is missed, a large group of near copies takes about a check a member, and the
+components are those of all links. Pairs are likely unless their sizes or parities rule
+the similarity out: parities of a set on fixed places, and finer ones on six to
+twelve times as many places as it has hashes.
 
 Hashes that are common in a bounded sample come last in the order of hashes; this only
 balances the work. No group is collected whole: stars are joins, and a hash with many
@@ -45,12 +45,12 @@ SHINGLE = 5
 SIMILAR = 4, 5
 #: Texts to learn common hashes from, characters of each that are read, and sets that make a hash common.
 SAMPLE, SAMPLE_CHARS, COMMON = 32_768, 16_384, 3
-#: Parities of a set in its groups.
-PLACES = 512
+#: Parities of a set in its groups, and the least number of finer ones.
+PLACES, FINE_PLACES = 512, 2048
 #: Keys that a task remembers, to leave out repeated prefixes.
 MET = 1 << 18
 #: Sets in a block of a group, and the binary logarithm of the bits in a bitmap of ids.
-BLOCK, BITMAP = 2048, 26
+BLOCK, BITMAP = 1024, 26
 
 
 def own_hashes(text: bytes | None) -> tuple[np.ndarray, int]:
@@ -102,8 +102,8 @@ def parities(own: np.ndarray, places: int) -> np.ndarray:
 
 
 def fine(own: np.ndarray) -> bytes:
-    """Parities on about twice as many places as the set has hashes."""
-    return parities(own, max(PLACES, 1 << int(2 * len(own)).bit_length())).tobytes()
+    """Parities on six to twelve times as many places as the set has hashes."""
+    return parities(own, max(FINE_PLACES, 1 << int(6 * len(own)).bit_length())).tobytes()
 
 
 def differing(x: bytes, y: bytes) -> int:
@@ -116,7 +116,7 @@ def differing(x: bytes, y: bytes) -> int:
 def reduced(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """doc_id, key, fp, size, odd, fine, first: a hash of each text's set, its fingerprint, size, parities and prefix.
 
-    first is null where the task has met the key before.
+    first and fine are null where the task has met the key before.
     """
     last = docs.sparkSession.sparkContext.broadcast(common(docs, text))
 
@@ -125,14 +125,15 @@ def reduced(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
         def work(texts):
             sets, fps = zip(*(own_hashes(t) for t in texts), strict=True) if texts else ((), ())
-            keys, first = [key_of(x) for x in sets], []
+            keys, first, finer = [key_of(x) for x in sets], [], []
             for k, x in zip(keys, sets, strict=True):
                 first.append(None if k in met else prefix(x, late).tobytes())
+                finer.append(None if k in met else fine(x))
                 met.add(k)
             if len(met) > MET:
                 met.clear()
             odd = [parities(x, PLACES).tobytes() for x in sets]
-            return [keys, np.array(fps, np.uint64).view(np.int64), [len(x) for x in sets], odd, [fine(x) for x in sets], first]
+            return [keys, np.array(fps, np.uint64).view(np.int64), [len(x) for x in sets], odd, finer, first]
 
         return work
 
@@ -200,8 +201,8 @@ def _enough(both, x, y):
     return SIMILAR[1] * both >= SIMILAR[0] * (x + y - both)
 
 
-def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b, far: the pairs that their fine parities don't rule out, and in how many hashes they differ at least."""
+def likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """a, b, far: the pairs of known sets that their fine parities don't rule out, and in how many hashes they differ at least."""
 
     def run(batches):
         for b in batches:
@@ -211,8 +212,8 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             keep = pa.array(_enough(np.minimum(np.minimum(x, y), (x + y - far) // 2), x, y), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(far).filter(keep)], ["a", "b", "far"])
 
-    x = nodes.select(F.col("key").alias("a"), F.col("size").alias("x"), F.col("fine").alias("p"))
-    y = nodes.select(F.col("key").alias("b"), F.col("size").alias("y"), F.col("fine").alias("q"))
+    x = known.select(F.col("key").alias("a"), F.col("size").alias("x"), F.col("fine").alias("p"))
+    y = known.select(F.col("key").alias("b"), F.col("size").alias("y"), F.col("fine").alias("q"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(run, "a bigint, b bigint, far bigint")
 
 
@@ -262,45 +263,63 @@ def _spokes(batches):
             yield pa.RecordBatch.from_arrays([pa.array(f(key[use], key2[use])) for f in (np.minimum, np.maximum)], ["a", "b"])
 
 
-def stars(flat: DataFrame, first: list) -> DataFrame:
-    """a, b: in every group that lies in several components, each set with the one set that comes first."""
+def stars(flat: DataFrame) -> DataFrame:
+    """a, b: in every group, each set with the smallest one."""
     four = ["key", "size", "part", "odd"]
-    hub = F.min(F.struct(*first, *[F.col(c).alias(f"hub_{c}") for c in four])).alias("hub")
+    hub = F.min(F.struct("size", *[F.col(c).alias(f"hub_{c}") for c in four])).alias("hub")
     hubs = flat.groupBy("id").agg(hub, F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
     both = flat.join(hubs.select("id", *[f"hub.hub_{c}" for c in four]), "id").filter("part <> hub_part")
     return both.select(*four, *[f"hub_{c}" for c in four]).mapInArrow(_spokes, "a bigint, b bigint").distinct()
 
 
-def _blocks(batches):
-    """Likely pairs of sets in a block of a group, or between two blocks, by the finer parities too."""
-    for batch in batches:
-        lo, hi = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for x, y, group in zip(lo, hi, batch.column(2), strict=True):
-            group = group.values
-            size, key, part, block = (group.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("size", "key", "part", "block"))
-            odd, finer, held = _bits(group.field("odd")), group.field("fine").to_pylist(), []
-            for i in range(len(key)):
-                use = _may(size, part, odd, size[i], part[i], odd[i])
-                use[: i + 1] = False
-                if x != y:
-                    use &= block != block[i]
-                for j in np.flatnonzero(use).tolist():
-                    far = differing(finer[i], finer[j])
-                    if _enough(min(size[i], size[j], (size[i] + size[j] - far) // 2), size[i], size[j]):
-                        held.append((min(key[i], key[j]), max(key[i], key[j])))
-                if held and (len(held) > 1 << 16 or i + 1 == len(key)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*held)], ["a", "b"])
-                    held = []
-
-
-def every(flat: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: likely pairs within groups that lie in several components; a group of many sets is cut into blocks of about BLOCK."""
+def _blocks(forest: bool):
+    """Likely pairs of sets in a block of a group, or between two blocks; or a spanning forest of them."""
+
+    def pairs(x, y, group):
+        size, key, part, block = (group.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("size", "key", "part", "block"))
+        odd, finer = _bits(group.field("odd")), group.field("fine").to_pylist()
+        for i in range(len(key)):
+            use = _may(size, part, odd, size[i], part[i], odd[i])
+            use[: i + 1] = False
+            if x != y:
+                use &= block != block[i]
+            for j in np.flatnonzero(use).tolist():
+                if forest and part[j] == part[i]:
+                    continue
+                far = differing(finer[i], finer[j])
+                if _enough(min(size[i], size[j], (size[i] + size[j] - far) // 2), size[i], size[j]):
+                    yield min(key[i], key[j]), max(key[i], key[j])
+                    if forest:
+                        part[part == part[j]] = part[i]
+
+    def run(batches):
+        held = []
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*held)], ["a", "b"])
+
+        for batch in batches:
+            lo, hi = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for x, y, group in zip(lo, hi, batch.column(2), strict=True):
+                for pair in pairs(x, y, group.values):
+                    held.append(pair)
+                    if len(held) == 1 << 16:
+                        yield out()
+                        held = []
+        if held:
+            yield out()
+
+    return run
+
+
+def every(flat: DataFrame, known: DataFrame, forest: bool) -> DataFrame:
+    """a, b: likely pairs, or a spanning forest of them, within groups that lie in several components; a group of many sets is cut into blocks of about BLOCK."""
     groups = flat.groupBy("id").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
-    rows = flat.join(groups.select("id", F.ceil(F.col("n") / BLOCK).alias("blocks")), "id").join(nodes.select("key", "fine"), "key")
+    rows = flat.join(groups.select("id", F.ceil(F.col("n") / BLOCK).alias("blocks")), "id").join(known.select("key", "fine"), "key")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     one = F.collect_list(F.struct("size", "key", "part", "block", "odd", "fine")).alias("members")  # of two blocks at most
     pairs = rows.groupBy("id", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(one)
-    return pairs.select("x", "y", "members").mapInArrow(_blocks, "a bigint, b bigint").distinct()
+    return pairs.select("x", "y", "members").mapInArrow(_blocks(forest), "a bigint, b bigint").distinct()
 
 
 def close(nodes: DataFrame) -> DataFrame:
@@ -314,20 +333,17 @@ def close(nodes: DataFrame) -> DataFrame:
     return same.union(across)
 
 
-def links(docs: DataFrame, flat: DataFrame, nodes: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """a, b: similar sets whose connected components are those of all similar sets. flat: id of a group, key, size, odd."""
+def links(docs: DataFrame, flat: DataFrame, known: DataFrame, nodes: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """a, b: similar sets whose connected components are those of all similar sets. flat: id of a group, key, size, odd; known: key, size, fine of those; nodes: key, id, fp."""
     own, edges = nodes.select("key", F.col("key").alias("id")), None
     for step in range(3):
         now = flat.withColumn("part", F.col("key"))
         if edges is not None:
             found = components(own, edges).select("key", F.col("least").alias("part"))
             now = flat.join(found, "key", "left").withColumn("part", F.coalesce("part", "key"))
-        pairs = (lambda: stars(now, ["size"]), lambda: stars(now, [F.xxhash64("id", "key")]), lambda: every(now, nodes))[step]()
-        pairs = likely(pairs, nodes) if step < 2 else pairs
+        pairs = (lambda: stars(now), lambda: every(now, known, True), lambda: every(now, known, False))[step]()
         if step == 0:
-            pairs = best(pairs).union(likely(close(nodes), nodes).select("a", "b")).distinct()
-        elif step == 1:
-            pairs = best(pairs)
+            pairs = best(likely(pairs, known)).union(likely(close(nodes), known).select("a", "b")).distinct()
         pairs = stored(pairs.select("a", "b"), "pairs")
         seen = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         seen = stored(nodes.select("key", "id").join(seen, "key"), "seen")
@@ -340,7 +356,10 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     """doc_id, component_id of every row."""
     rows = stored(reduced(docs, text, doc_id), "reduced")
     least = F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).alias("id")
-    nodes = stored(rows.groupBy("key").agg(least, F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("fp", "size", "odd", "fine")]), "nodes")
+    nodes = stored(rows.groupBy("key").agg(least, F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("fp", "size", "odd")]), "nodes")
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    edges = links(docs, sharing(rows, nodes), nodes, text, doc_id)
+    flat = sharing(rows, nodes)
+    finer = rows.filter(F.col("fine").isNotNull()).select("key", "size", "fine")
+    known = stored(finer.join(flat.select("key").distinct().hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"]), "known")
+    edges = links(docs, flat, known, nodes, text, doc_id)
     return named(rows.select("doc_id", "key"), nodes, components(nodes.select("key", "id"), edges), total).select("doc_id", "component_id")
