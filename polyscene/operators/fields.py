@@ -91,26 +91,28 @@ def _first(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:
     return out
 
 
-def setting(caption: Column) -> Column:
-    """The setting that a caption names; '' without one."""
-    named = [(caption.rlike(f"(?i){p}"), text.trim_answer(_group(caption, p, 1))) for p in SETTINGS]
-    placed = [(F.lower(caption).contains(word), F.lit(place)) for word, place in PLACES.items()]
-    return _first([*named, *placed], F.lit(""))
+def _once(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def caption_question(section: str, caption: Column) -> tuple[Column, Column]:
     """Question and answer that a caption's wording gives in a section of the narrative; of unknown sections as of the whole."""
-    section = section if section in PLAIN else "final_unified_caption"
-    short = text.trim_answer(caption)
+    both = _captioned(section if section in PLAIN else "final_unified_caption", caption)
+    return both["question"], both["answer"]
+
+
+def _captioned(section: str, caption: Column) -> Column:
+    named = [(caption.rlike(f"(?i){p}"), F.lit(None).cast("string"), _group(caption, p, 1)) for p in SETTINGS]
+    named += [(F.lower(caption).contains(word), F.lit(None).cast("string"), F.lit(place)) for word, place in PLACES.items()]
     rules = [(caption.rlike(f"(?i){p}"), _filled(q, caption, p), _filled(a, caption, p)) for p, q, a in WORDINGS.get(section, [])]
-    question = _first([(c, q) for c, q, _ in rules], F.lit(PLAIN[section]))
-    answer = _first([(c, text.trim_answer(a)) for c, _, a in rules], short)
     if section in ("scene_overview", "final_unified_caption"):
-        named = setting(caption)
-        answer = F.when(named != "", named).otherwise(answer)
-        if section == "final_unified_caption":
-            question = F.when(named != "", F.lit(UNIFIED_SETTING)).otherwise(question)
-    return text.clean(question), F.when(answer != "", answer).otherwise(short)
+        asked = UNIFIED_SETTING if section == "final_unified_caption" else PLAIN[section]
+        rules = [(c, F.lit(asked), a) for c, _, a in named] + rules
+    # the first wording that fits; what it names is trimmed once
+    found = _first([(c, F.struct(q.alias("q"), a.alias("a"))) for c, q, a in rules], F.struct(F.lit(PLAIN[section]).alias("q"), caption.alias("a")))
+    trimmed = lambda x: _once(F.struct(x["q"].alias("q"), text.trim_answer(x["a"]).alias("a")), lambda y: F.struct(text.clean(y["q"]).alias("question"), F.when(y["a"] != "", y["a"]).otherwise(text.trim_answer(caption)).alias("answer")))
+    return _once(found, trimmed)
 
 
 def fact_question(section: str, kind: Column, entity: Column, value: Column, source_answer: Column) -> tuple[Column, Column]:
@@ -127,8 +129,7 @@ def fact_question(section: str, kind: Column, entity: Column, value: Column, sou
 
 def field_question(section: str, caption: Column, fact: Column | None = None) -> Column:
     """question, answer, qa_source of a section's caption. fact: the section's best fact (fact_type, entity, value, answer), or null."""
-    q, a = caption_question(section, caption)
-    made = F.struct(q.alias("question"), a.alias("answer"), F.lit("generated_from_caption").alias("qa_source"))
+    made = _captioned(section if section in PLAIN else "final_unified_caption", caption).withField("qa_source", F.lit("generated_from_caption"))
     blank = F.struct(F.lit("").alias("question"), F.lit("").alias("answer"), F.lit("generated_from_caption").alias("qa_source"))
     if fact is not None:
         fq, fa = fact_question(section, *[fact[c] for c in ("fact_type", "entity", "value", "answer")])

@@ -50,10 +50,18 @@ def case(column: str, table: dict, default: str) -> str:
 # --- evidence ---------------------------------------------------------------
 
 
-@query(f"WITH {EV} SELECT evidence_id, sample_id, modality, category, length(caption) AS caption_chars, len(tokens) AS n_tokens, md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM tok")
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a result file holds them: a row a clip and modality with its annotations by category."""
+    rows = ad.evidence(spark, d)
+    one = F.struct("category", F.struct(F.col("caption"), F.lit("").alias("question"), F.lit(None).cast("string").alias("answer")).alias("a"))
+    lists = rows.groupBy("sample_id", "modality").agg(F.map_from_entries(F.array_sort(F.collect_list(one))).alias("annotations"))  # four a clip and modality
+    return lists.select("modality", F.concat(F.lit("Day\\Scene-"), F.col("sample_id").cast("string"), F.lit("_night_"), F.col("modality"), F.lit(".mp4")).alias("pair_key"), "annotations")
+
+
+@query(f"WITH {EV} SELECT 'scene_' || sample_id AS sample_id, modality, category, length(caption) AS caption_chars, len(tokens) AS n_tokens, md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM tok WHERE caption <> ''")
 def evidence_explode(spark, d):
-    rows = ad.with_tokens(ad.evidence(spark, d))
-    return rows.select("evidence_id", "sample_id", "modality", "category", F.length("caption").cast("long").alias("caption_chars"), F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+    rows = ev.explode_annotations(_results(spark, d))
+    return rows.select("sample_id", "modality", "category", F.length("caption").cast("long").alias("caption_chars"), F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
 _RAW = "concat('dataset\\', source, '_split\\Day_', lang, '-', doc_id % 7, CASE doc_id % 3 WHEN 0 THEN '_night_' WHEN 1 THEN '_day_' ELSE '_' END, ['rgb','ir','event','audio','depth'][doc_id % 5 + 1], CASE WHEN doc_id % 2 = 0 THEN '.mp4' ELSE '' END)"
@@ -259,11 +267,23 @@ def dedup_lexical(spark, d):
     return kept.select("sample_id", F.col("id").alias("evidence_id"))
 
 
-@query()
+_TWIN = "list_filter(acc.kept, lambda k: list_dot_product(x.item.v, k.v) >= 0.9 AND k.label = x.item.label)"
+
+
+@query(
+    "WITH v AS (SELECT vec_id // 20 AS sample_id, vec_id, 'label ' || label % 2 AS label, (CASE WHEN vec_id % 4 = 3 THEN (SELECT e.embedding FROM embeddings e WHERE e.vec_id = o.vec_id - 1) ELSE embedding END)::DOUBLE[] AS v FROM embeddings o), "
+    "f AS (SELECT sample_id, list_reduce(list_prepend({'kept': []::STRUCT(id BIGINT, label VARCHAR, v DOUBLE[])[], 'done': []::STRUCT(id BIGINT, twin BIGINT)[], 'item': NULL::STRUCT(id BIGINT, label VARCHAR, v DOUBLE[])}, list({'kept': []::STRUCT(id BIGINT, label VARCHAR, v DOUBLE[])[], 'done': []::STRUCT(id BIGINT, twin BIGINT)[], 'item': {'id': vec_id, 'label': label, 'v': v}} ORDER BY vec_id)), "
+    f"lambda acc, x: {{'kept': CASE WHEN len({_TWIN}) > 0 THEN acc.kept ELSE list_append(acc.kept, x.item) END, 'done': list_append(acc.done, {{'id': x.item.id, 'twin': CASE WHEN len({_TWIN}) > 0 THEN list_sort(list_transform({_TWIN}, lambda k: {{'far': round(-list_dot_product(x.item.v, k.v), 9), 'id': k.id}}))[1].id END}}), 'item': NULL::STRUCT(id BIGINT, label VARCHAR, v DOUBLE[])}}).done AS done FROM v GROUP BY 1), "
+    "u AS (SELECT sample_id, unnest(done) AS x FROM f) SELECT sample_id, x.id AS vec_id, CASE WHEN x.twin IS NULL THEN 'kept' ELSE 'duplicate_semantic_qa' END AS outcome, coalesce(x.twin, -1) AS duplicate_of FROM u"
+)
 def dedup_semantic(spark, d):
+    """Every fourth vector is the one before it, so that there are twins; their answers agree or not."""
     v = ad.table(spark, d, "embeddings")
-    items = v.select(F.floor(F.col("vec_id") / 20).alias("sample_id"), F.col("vec_id").alias("id"), F.lit(1.0).alias("score"), F.concat(F.lit("what is shown "), F.col("vec_id").cast("string")).alias("question"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("answer"), F.array().cast("array<string>").alias("tokens"), F.col("embedding").cast("array<double>").alias("vector"))
-    return selection.deduplicated(items.withColumn("question", F.lit("what is shown")), ["sample_id"], exact=False, above=None, cosine_from=0.3).select("sample_id", F.col("id").alias("vec_id"), "outcome", "duplicate_of")
+    before = v.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("before"))
+    v = v.join(before, "vec_id", "left").withColumn("embedding", F.when(F.col("vec_id") % 4 == 3, F.col("before")).otherwise(F.col("embedding")))
+    answer = F.concat(F.lit("label "), (F.col("label") % 2).cast("string"))
+    items = v.select(F.floor(F.col("vec_id") / 20).alias("sample_id"), F.col("vec_id").alias("id"), F.lit(1.0).alias("score"), F.lit("what is shown").alias("question"), answer.alias("answer"), F.array().cast("array<string>").alias("tokens"), F.col("embedding").cast("array<double>").alias("vector"))
+    return selection.deduplicated(items, ["sample_id"], exact=False, above=None, cosine_from=0.9).select("sample_id", F.col("id").alias("vec_id"), "outcome", F.coalesce("duplicate_of", F.lit(-1).cast("long")).alias("duplicate_of"))
 
 
 # --- the fusion run ------------------------------------------------------------
@@ -296,7 +316,7 @@ _FUSION = (
     "FROM bm JOIN evidence e ON e.evidence_id = bm.evidence_id JOIN cat ON cat.category = e.category JOIN prof ON prof.profile = cat.profile AND prof.modality = bm.other_modality JOIN says x ON x.evidence_id = bm.evidence_id JOIN says y ON y.evidence_id = bm.other_evidence_id), "
     "lex AS (SELECT evidence_id, score AS lexical, CASE WHEN score > 0 THEN other_evidence_id END AS match_id FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY score DESC, other_evidence_id) AS n FROM pairs) WHERE n = 1), "
     f"sup AS (SELECT evidence_id, greatest(coalesce(max(score) FILTER (WHERE relation = 'direct_support'), 0.0::DOUBLE), 0.5::DOUBLE * coalesce(max(score) FILTER (WHERE relation = 'complementary_support'), 0.0::DOUBLE)) AS support, {_listed('direct_support', dims.SUPPORTING)} AS supporting, {_listed('complementary_support', dims.SUPPORTING)} AS complementary, {_listed('conflict', dims.MIN_SUPPORT)} AS conflicting, {_listed('weak_or_irrelevant', dims.MIN_SUPPORT)} AS weak FROM related GROUP BY 1), "
-    f"{_WORDS}, scored AS (SELECT e.*, cat.gate, cat.section, cat.needs_lexical, coalesce(lexical, 0.0::DOUBLE) AS lexical_score, match_id, coalesce(support, 0.0::DOUBLE) AS support_score, coalesce(supporting, '') AS supporting, coalesce(sup.complementary, '') AS complementary, coalesce(conflicting, '') AS conflicting, coalesce(weak, '') AS weak, "
+    f"{_WORDS}, scored AS (SELECT e.*, cat.gate, cat.section, cat.sections AS cat_sections, cat.needs_lexical, coalesce(lexical, 0.0::DOUBLE) AS lexical_score, match_id, coalesce(support, 0.0::DOUBLE) AS support_score, coalesce(supporting, '') AS supporting, coalesce(sup.complementary, '') AS complementary, coalesce(conflicting, '') AS conflicting, coalesce(weak, '') AS weak, "
     f"reliability, reliability < 0.5 AND coalesce(support, 0.0::DOUBLE) < {dims.MIN_SUPPORT} AS outlier, weight + reliability * 0.6::DOUBLE + coalesce(support, 0.0::DOUBLE) * 1.2::DOUBLE - (CASE WHEN reliability < 0.5 AND coalesce(support, 0.0::DOUBLE) < {dims.MIN_SUPPORT} THEN 1.0 ELSE 0.0 END)::DOUBLE + (CASE WHEN qa_index IS NOT NULL THEN 0.1 ELSE 0.0 END)::DOUBLE + (CASE WHEN question <> '' AND answer <> '' THEN 0.15 ELSE 0.0 END)::DOUBLE AS raw "
     "FROM evidence e LEFT JOIN lex USING (evidence_id) LEFT JOIN sup USING (evidence_id) JOIN cat USING (category) JOIN prof ON prof.profile = cat.profile AND prof.modality = e.modality JOIN rel ON rel.sample_id = e.sample_id AND rel.modality = e.modality), "
     + _GATED[_GATED.index("gated AS ("):]
@@ -415,30 +435,32 @@ def split_qa_pairs(spark, d):
     return rows.select("conv_id", "turn", F.size("p").cast("long").alias("n_pairs"), side("question").alias("questions_md5"), side("answer").alias("answers_md5"))
 
 
-@query(f"WITH {QA}, n AS (SELECT conv_id, turn, regexp_replace(question, '[0-9]', '', 'g') AS q, regexp_replace(answer, '[0-9]', '', 'g') AS a FROM qa) SELECT conv_id, turn, 2::BIGINT AS n_pairs, md5('7|' || trim(q, ' .;') || '|' || trim(a, ' .;')) AS first_md5 FROM n WHERE trim(q, ' .;') <> '' AND trim(a, ' .;') <> '' AND NOT regexp_matches(q || a, '^\\.|[ ]\\.')")
+#: A third of the questions as they are, a third numbered alike on both sides, a third with one number that differs.
+_LISTED = "CASE conv_id % 3 WHEN 0 THEN {0} WHEN 1 THEN '1. ' || {0} || ' 2. next ' || turn ELSE '4. ' || {0} || ' {1}. last' END"
+_PAIRED = (
+    "CASE WHEN len(q) = 0 OR len(a) = 0 THEN whole WHEN len(matched) > 0 THEN matched WHEN len(q) = len(a) THEN list_transform(range(1, len(q) + 1), lambda i: {'n': q[i].n, 'q': q[i].t, 'a': a[i].t}) ELSE whole END"
+)
+
+
+@query(
+    f"WITH {QA}, n AS (SELECT conv_id, turn, {CLEAN.format(_LISTED.format('question', '9'))} AS qx, {CLEAN.format(_LISTED.format('answer', '8'))} AS ax FROM qa), i AS (SELECT *, {_ITEMS.format('qx')} AS q, {_ITEMS.format('ax')} AS a, CASE WHEN qx <> '' AND ax <> '' THEN [{{'n': NULL::INT, 'q': qx, 'a': ax}}] ELSE [] END AS whole FROM n), "
+    "m AS (SELECT *, list_filter(list_transform(q, lambda x: {'n': x.n, 'q': x.t, 'a': list_filter(a, lambda y: y.n = x.n)[-1].t}), lambda x: x.a IS NOT NULL) AS matched FROM i), "
+    f"p AS (SELECT conv_id, turn, {_PAIRED} AS p FROM m) SELECT conv_id, turn, len(p) AS n_pairs, md5(coalesce(array_to_string(list_transform(p, lambda x: coalesce(x.n::VARCHAR, '') || '|' || x.q || '|' || x.a), '#'), '')) AS pairs_md5 FROM p"
+)
 def fused_pairs(spark, d):
-    bare = lambda c: F.regexp_replace(c, "[0-9]", "")
-    rows = ad.questions(spark, d).select("conv_id", "turn", bare("question").alias("q"), bare("answer").alias("a"))
-    rows = rows.filter((text.stripped(F.col("q"), " .;") != "") & (text.stripped(F.col("a"), " .;") != "") & ~F.concat("q", "a").rlike(r"^\.|[ ]\."))
-    numbered = lambda c, n: F.concat(F.lit(f"{n[0]}. "), c, F.lit(f" {n[1]}. x"))
-    rows = rows.withColumn("p", text.fused_pairs(numbered(F.col("q"), (7, 9)), numbered(F.col("a"), (7, 9))))
-    first = F.col("p")[0]
-    return rows.select("conv_id", "turn", F.size("p").cast("long").alias("n_pairs"), F.md5(F.concat_ws("|", first["number"], text.clean(first["question"]), text.clean(first["answer"]))).alias("first_md5"))
+    third = F.col("conv_id") % 3
+    listed = lambda c, n: text.clean(F.when(third == 0, F.col(c)).when(third == 1, F.concat(F.lit("1. "), c, F.lit(" 2. next "), F.col("turn").cast("string"))).otherwise(F.concat(F.lit("4. "), c, F.lit(f" {n}. last"))))
+    rows = ad.questions(spark, d).select("conv_id", "turn", text.fused_pairs(listed("question", 9), listed("answer", 8)).alias("p"))
+    said = F.transform("p", lambda x: F.concat_ws("|", F.coalesce(x["number"].cast("string"), F.lit("")), x["question"], x["answer"]))
+    return rows.select("conv_id", "turn", F.size("p").cast("long").alias("n_pairs"), F.md5(F.array_join(said, "#")).alias("pairs_md5"))
 
 
 # --- reports -----------------------------------------------------------------
 
 
-@query(f"WITH {PAIRS}, {_RELATED}, {_GATED}, o AS (SELECT *, CASE WHEN NOT starts_with(reason, 'passed_') THEN 'dropped' WHEN gate = 'review_recommended' THEN 'review' ELSE 'selected' END AS outcome, CASE WHEN supporting = '' THEN 0 ELSE len(string_split(supporting, ',')) END AS c FROM gated) SELECT modality, count(*) AS candidate_count, count(*) FILTER (WHERE outcome = 'selected') AS selected_count, count(*) FILTER (WHERE outcome = 'review') AS review_count, count(*) FILTER (WHERE outcome = 'dropped') AS dropped_count, round(round(avg(support_score), 9), 3) AS avg_support, round(round(avg(lexical_score), 9), 3) AS avg_lexical, round(round(avg(c), 9), 3) AS avg_supporting, round(avg(support_score), 9) < 0.12 OR avg(c) < 0.5 AS needs_review FROM o GROUP BY 1")
+@query(f"WITH {QAPAIRS}, {_FUSION} SELECT modality, count(*) AS candidate_count, count(*) FILTER (WHERE outcome = 'selected') AS selected_count, count(*) FILTER (WHERE outcome = 'review') AS review_count, count(*) FILTER (WHERE outcome = 'dropped') AS dropped_count, round(round(avg(support_score), 9), 3) AS avg_support, round(round(avg(lexical_score), 9), 3) AS avg_lexical, round(round(avg({_size('supporting')}), 9), 3) AS avg_supporting, round(avg(support_score), 9) < 0.12 OR avg({_size('supporting')}) < 0.5 AS needs_review FROM fused GROUP BY 1")
 def modality_support_summary(spark, d):
-    return reports.modality_summary(_outcomes(spark, d))
-
-
-def _outcomes(spark: SparkSession, d: str) -> DataFrame:
-    rows = gated_rows(spark, d)
-    outcome = F.when(~F.col("keep"), F.lit("dropped")).when(F.col("gate") == "review_recommended", F.lit("review")).otherwise("selected")
-    n = F.when(F.col("supporting") == "", 0).otherwise(F.size(F.split("supporting", ",")))
-    return rows.select("*", outcome.alias("outcome"), n.alias("supporting_count"))
+    return reports.modality_summary(fusion.judged(ad.qa_evidence(spark, d))[0])
 
 
 _DIMS = ["section", "category", "modality", "gate", "reason", "outlier"]
@@ -454,12 +476,11 @@ def dropped_topn(spark, d):
     return reports.examples(gated_rows(spark, d).filter("not keep"), "reason", "evidence_id").select("reason", F.col("rank").cast("long").alias("rank"), "evidence_id")
 
 
-@query(f"WITH {PAIRS}, {_RELATED}, {_GATED} SELECT evidence_id, section, 'review' AS queue FROM gated WHERE reason = 'passed_review_gate' UNION ALL SELECT evidence_id, section, 'selected' AS queue FROM gated WHERE starts_with(reason, 'passed_') AND reason <> 'passed_review_gate'")
+@query(f"WITH {QAPAIRS}, {_FUSION} SELECT evidence_id, section, outcome AS queue FROM fused WHERE outcome <> 'dropped'")
 def rows_union(spark, d):
-    rows = gated_rows(spark, d).filter("keep")
-    review = F.col("reason") == "passed_review_gate"
-    one = lambda c, q: rows.filter(c).select("evidence_id", "section", F.lit(q).alias("queue"))
-    return one(~review, "selected").unionByName(one(review, "review"))
+    both = fusion.fuse(ad.qa_evidence(spark, d))
+    one = lambda df, q: df.select("evidence_id", "section", F.lit(q).alias("queue"))
+    return one(both.selected, "selected").unionByName(one(both.review, "review"))
 
 
 # --- traces ------------------------------------------------------------------
@@ -717,36 +738,61 @@ def final_caption(spark, d):
     return lists.select("sample_id", F.array_join(F.transform(kept, lambda x: x["evidence_id"].cast("string")), ",").alias("evidence_ids"))
 
 
-@query(f"WITH {QA} SELECT conv_id, turn, trim(question) <> '' OR trim(answer) <> '' AS complete FROM qa")
+@query(f"WITH {QA} SELECT conv_id, turn, trim(question) <> '' OR trim(answer) <> '' AS trial, trim(question) <> '' AND turn % 3 > 0 OR (trim(answer) <> '' AND turn % 3 > 0) AS complete FROM qa")
 def complete_annotations(spark, d):
-    return ad.questions(spark, d).select("conv_id", "turn", resume.has_text(F.col("question"), F.col("answer")).alias("complete"))
+    """Texts of every third turn give way to placeholders, if they have any."""
+    demo = lambda c, k: F.when((F.col("turn") % 3 == 0) & (F.trim(c) != ""), F.lit(resume.PLACEHOLDERS[k])).otherwise(F.col(c))
+    one = F.struct(F.lit(" ").alias("caption"), demo("question", 1).alias("question"), demo("answer", 2).alias("answer"))
+    rows = ad.questions(spark, d).select("conv_id", "turn", F.create_map(F.lit("counting"), one).alias("x"))
+    return rows.select("conv_id", "turn", resume.complete(F.col("x"), trial=True).alias("trial"), resume.complete(F.col("x")).alias("complete"))
 
 
 # --- exports -------------------------------------------------------------------
 
-_SPLIT = f"sp AS (SELECT *, {_SENT.format('answer')} AS a, trim(question) AS q1, trim(answer) AS a1 FROM qa), pr AS (SELECT *, CASE WHEN q1 = '' THEN []::VARCHAR[] ELSE [q1] END AS q, CASE WHEN a1 = '' THEN []::VARCHAR[] ELSE [a1] END AS aa FROM sp), ex AS (SELECT *, unnest(range(1, greatest(len(q), len(aa)) + 1)) AS pair_index FROM pr)"
+#: A fifth of the questions and answers numbered, a fifth with further questions, the rest as they are.
+_UNITS = "un AS (SELECT conv_id, turn, category, CASE conv_id % 5 WHEN 0 THEN '1. ' || question || ' 2) and why?' WHEN 1 THEN question || ' And then? Why?' ELSE question END AS question, CASE conv_id % 5 WHEN 0 THEN '1. ' || answer || ' 2) so it is' ELSE answer END AS answer FROM qa)"
+_MARKED = "string_split(regexp_replace(' ' || trim({0}), '[ \\t\\n\\r\\f][0-9]+[.)][ \\t\\n\\r\\f]+', chr(1), 'g'), chr(1))"
+_TRIMMED = "list_filter(list_transform({0}, lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _numbered_list(c: str) -> str:
+    marked = _MARKED.format(c)
+    return f"(CASE WHEN trim({c}) = '' THEN [] WHEN len({marked}) < 2 THEN [trim({c})] ELSE {_TRIMMED.format(f'{marked}[2:]')} END)"
+
+
+def _several(c: str, parts: str) -> str:
+    return f"(CASE WHEN trim({c}) = '' THEN [] WHEN len({_numbered_list(c)}) > 1 THEN {_numbered_list(c)} WHEN len({parts}) > 1 THEN {parts} ELSE [trim({c})] END)"
+
+
+_ASKED = "list_transform(" + _TRIMMED.format("string_split(question, '?')") + ", lambda x: x || '?')"
+_EXPORTED = (
+    f"{_UNITS}, qs AS (SELECT *, {_several('question', _ASKED)} AS q FROM un), qas AS (SELECT *, CASE WHEN len(q) > 1 THEN {_several('answer', _SENT.format('trim(answer)'))} ELSE {_numbered_list('answer')} END AS a FROM qs), "
+    "ex AS (SELECT *, unnest(range(1, greatest(len(q), len(a)) + 1)) AS pair_index FROM qas)"
+)
 
 
 def _unit_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = ad.questions(spark, d).filter(~F.concat_ws(" ", "question", "answer").rlike(r"[0-9?]"))
+    fifth, rows = F.col("conv_id") % 5, ad.questions(spark, d)
     modality = F.element_at(F.array(*map(F.lit, dims.REASONING_ORDER)), (F.col("turn") % 5 + 1).cast("int"))
-    return rows.select(F.floor(F.col("conv_id") / 4).alias("sample_id"), "conv_id", "turn", modality.alias("modality"), F.col("category").alias("section"), F.col("question").alias("caption"), "question", "answer")
+    question = F.when(fifth == 0, F.concat(F.lit("1. "), "question", F.lit(" 2) and why?"))).when(fifth == 1, F.concat("question", F.lit(" And then? Why?"))).otherwise(F.col("question"))
+    answer = F.when(fifth == 0, F.concat(F.lit("1. "), "answer", F.lit(" 2) so it is"))).otherwise(F.col("answer"))
+    return rows.select(F.floor(F.col("conv_id") / 4).alias("sample_id"), "conv_id", "turn", modality.alias("modality"), F.col("category").alias("section"), question.alias("caption"), question.alias("question"), answer.alias("answer"))
 
 
-@query(f"WITH {QA}, known(section, reasoning_group) AS (VALUES {_GROUP_ROWS}), u AS (SELECT conv_id // 4 AS sample_id, conv_id, turn, category AS section, question, answer FROM qa WHERE NOT regexp_matches(question || ' ' || answer, '[0-9?]') AND question <> ''), g AS (SELECT u.*, coalesce(reasoning_group, 'ungrouped') AS reasoning_group FROM u LEFT JOIN known USING (section)) SELECT sample_id, reasoning_group, row_number() OVER (PARTITION BY sample_id, reasoning_group ORDER BY conv_id, turn) - 1 AS source_unit_index, 1::BIGINT AS pair_index, md5(question) AS question_md5, md5(answer) AS answer_md5 FROM g")
+@query(f"WITH {QA}, {_EXPORTED}, known(section, reasoning_group) AS (VALUES {_GROUP_ROWS}), g AS (SELECT un.conv_id // 4 AS sample_id, un.conv_id, un.turn, coalesce(reasoning_group, 'ungrouped') AS reasoning_group FROM un LEFT JOIN known ON section = category WHERE trim(un.question) <> ''), k AS (SELECT *, row_number() OVER (PARTITION BY sample_id, reasoning_group ORDER BY conv_id, turn) - 1 AS source_unit_index FROM g) SELECT k.sample_id, reasoning_group, source_unit_index, pair_index, md5(coalesce(q[pair_index], '')) AS question_md5, md5(coalesce(a[pair_index], '')) AS answer_md5 FROM k JOIN ex USING (conv_id, turn)")
 def grouped_export(spark, d):
     out = export.grouped_pairs(_unit_rows(spark, d), ["conv_id", "turn"])
     return out.select("sample_id", "reasoning_group", F.col("source_unit_index").cast("long").alias("source_unit_index"), F.col("pair_index").cast("long").alias("pair_index"), F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
 
 
-@query(f"WITH {QA}, known(section, reasoning_group) AS (VALUES {_GROUP_ROWS}), u AS (SELECT conv_id // 4 AS sample_id, {ad.quoted(dims.REASONING_ORDER)}[turn % 5 + 1] AS modality, category AS section FROM qa WHERE question <> '' AND NOT regexp_matches(question || ' ' || answer, '[0-9?]')), c AS (SELECT sample_id, coalesce(reasoning_group, 'ungrouped') AS reasoning_group, modality, count(*) AS n FROM u LEFT JOIN known USING (section) GROUP BY 1, 2, 3), grid AS (SELECT sample_id, g AS reasoning_group, m AS modality FROM (SELECT DISTINCT sample_id FROM u), (SELECT unnest({ad.quoted(dims.GROUPS)}) AS g), (SELECT unnest({ad.quoted(dims.REASONING_ORDER)}) AS m)) SELECT sample_id, reasoning_group, modality, coalesce(n, 0) AS n FROM grid LEFT JOIN c USING (sample_id, reasoning_group, modality)")
+@query(f"WITH {QA}, {_EXPORTED}, known(section, reasoning_group) AS (VALUES {_GROUP_ROWS}), u AS (SELECT conv_id // 4 AS sample_id, {ad.quoted(dims.REASONING_ORDER)}[turn % 5 + 1] AS modality, category AS section FROM ex WHERE trim(question) <> ''), c AS (SELECT sample_id, coalesce(reasoning_group, 'ungrouped') AS reasoning_group, modality, count(*) AS n FROM u LEFT JOIN known USING (section) GROUP BY 1, 2, 3), grid AS (SELECT sample_id, g AS reasoning_group, m AS modality FROM (SELECT DISTINCT conv_id // 4 AS sample_id FROM un), (SELECT unnest({ad.quoted(dims.GROUPS)}) AS g), (SELECT unnest({ad.quoted(dims.REASONING_ORDER)}) AS m)) SELECT sample_id, reasoning_group, modality, coalesce(n, 0) AS n FROM grid LEFT JOIN c USING (sample_id, reasoning_group, modality)")
 def export_cells(spark, d):
-    units = _unit_rows(spark, d).filter("caption <> ''")
+    units = _unit_rows(spark, d)
     counts = export.grouped_pairs(units, ["conv_id", "turn"]).groupBy("sample_id", "reasoning_group", "modality").agg(F.count("*").alias("n"))
     return export.every_cell(counts, units)
 
 
-@query(f"WITH {QA} SELECT conv_id::VARCHAR AS segment_id, 'clip' || conv_id AS file_name, coalesce(l.quality::VARCHAR, '') AS task_label, 1::BIGINT AS pair_index, category AS section, md5(question) AS question_md5 FROM qa LEFT JOIN labels l ON l.doc_id = qa.conv_id WHERE NOT regexp_matches(question || ' ' || answer, '[0-9?]') AND (question <> '' OR answer <> '')")
+@query(f"WITH {QA}, {_EXPORTED} SELECT conv_id::VARCHAR AS segment_id, 'clip' || conv_id AS file_name, coalesce(l.quality::VARCHAR, '') AS task_label, pair_index, category AS section, md5(coalesce(q[pair_index], '')) AS question_md5 FROM ex LEFT JOIN labels l ON l.doc_id = ex.conv_id")
 def segment_report_rows(spark, d):
     rows = _unit_rows(spark, d).withColumn("segment_id", F.col("conv_id"))
     meta = ad.table(spark, d, "labels").select(F.col("doc_id").alias("segment_id"), F.col("quality").cast("string").alias("task_label"))
@@ -780,11 +826,23 @@ def cross_modal_details(spark, d):
     return narrative.cross_modal_details(rows)
 
 
-@query()
+@query(
+    f"WITH {QAPAIRS}, {_FUSION} SELECT sample_id::VARCHAR AS sample_key, outcome AS status, section, array_to_string(cat_sections, ',') AS sections, category, modality AS source_modality, coalesce(qa_index::VARCHAR, '') AS qa_index, round(raw, 3) AS fusion_score, round(support_score, 3) AS support_score, {_size('supporting')}::VARCHAR AS supporting_modality_count, supporting AS supporting_modalities, "
+    "conflicting AS conflicting_modalities, reason AS selection_reason, gate AS reliability_gate, priority AS review_priority, array_to_string(reasons, ',') AS review_reasons, CASE WHEN support_score >= 0.45 THEN 'strong' WHEN support_score >= 0.12 THEN 'moderate' WHEN support_score >= 0.08 THEN 'weak' ELSE 'very_weak' END AS support_level, md5(question) AS question_md5 FROM fused WHERE outcome <> 'dropped' AND question <> '' AND answer <> ''"
+)
 def fused_report_rows(spark, d):
-    rows = gated_rows(spark, d).filter("keep").select(F.col("sample_id").cast("string").alias("sample_key"), "section", "category", F.col("category").alias("annotation_key"), F.col("modality").alias("source_modality"), F.col("score").alias("fusion_score"), "support_score", F.col("lexical_score").alias("lexical_support_score"), F.col("supporting").alias("supporting_modalities"), F.col("reliability").alias("modality_reliability"), F.col("reason").alias("selection_reason"), F.col("gate").alias("reliability_gate"), "sections")
-    review = F.col("reliability_gate") == "review_recommended"
-    return export.fused_rows(rows.filter(~review), rows.filter(review))
+    """The report's rows with questions and answers of their own."""
+    both = fusion.fuse(ad.qa_evidence(spark, d))
+
+    def shaped(df: DataFrame) -> DataFrame:
+        return df.filter("question <> '' and answer <> ''").select(
+            F.col("sample_id").cast("string").alias("sample_key"), "section", "sections", "category", F.col("modality").alias("source_modality"), F.coalesce(F.col("qa_index").cast("string"), F.lit("")).alias("qa_index"), F.round("score", 3).alias("fusion_score"), F.round("support_score", 3).alias("support_score"), F.col("supporting_count").alias("supporting_modality_count"), F.col("supporting").alias("supporting_modalities"),
+            F.col("conflicting").alias("conflicting_modalities"), F.col("reason").alias("selection_reason"), F.col("gate").alias("reliability_gate"), F.col("priority").alias("review_priority"), "review_reasons", F.col("explanation.support_level").alias("support_level"), F.col("qa.question").alias("question"), F.col("qa.answer").alias("answer"),
+        )
+
+    rows = export.fused_rows(shaped(both.selected), shaped(both.review))
+    names = "sample_key status section sections category source_modality qa_index supporting_modality_count supporting_modalities conflicting_modalities selection_reason reliability_gate review_priority review_reasons support_level".split()
+    return rows.select(*names, *[F.col(c).cast("double").alias(c) for c in ("fusion_score", "support_score")], F.md5("question").alias("question_md5"))
 
 
 # --- samples -------------------------------------------------------------------
