@@ -808,22 +808,81 @@ def frame_sampling(spark, d):
 
 
 def _plain_score(section: str) -> str:
-    base = case("modality", {m: f"{w}::DOUBLE" for m, w in zip(dims.FUSION_ORDER, dims.ROUTE_WEIGHTS[section], strict=True)}, "0.3::DOUBLE")
-    hints = "|".join(dims.ROUTE_HINTS[section])
-    return f"round({base} + 0.6::DOUBLE + (CASE WHEN regexp_matches(category, '^({hints})') THEN 0.35 WHEN regexp_matches(category, '{hints}') THEN 0.25 ELSE 0.0 END)::DOUBLE + least(0.45::DOUBLE, len(list_intersect(tokens, {ad.quoted(dims.ROUTE_KEYWORDS[section])}))::DOUBLE * 0.08::DOUBLE), 9)"
+    """A section's score in SQL; sections without weights of their own have the least."""
+    known = section in dims.ROUTES
+    base = case("modality", {m: f"{w}::DOUBLE" for m, w in zip(dims.FUSION_ORDER, dims.ROUTE_WEIGHTS[section], strict=True)}, "0.3::DOUBLE") if known else "0.3::DOUBLE"
+    hints = "|".join(dims.ROUTE_HINTS[section]) if known else ""
+    bonus = f"(CASE WHEN regexp_matches(category, '^({hints})') THEN 0.35 WHEN regexp_matches(category, '{hints}') THEN 0.25 ELSE 0.0 END)::DOUBLE" if known else "0.0::DOUBLE"
+    outlier = f"(CASE WHEN reliability < 0.5 AND support_score < {dims.MIN_SUPPORT} THEN 1.0 ELSE 0.0 END)::DOUBLE"
+    return f"round({base} + reliability * 0.6::DOUBLE + support_score * 1.2::DOUBLE + {bonus} + least(0.45::DOUBLE, {_keywords(section)} * 0.08::DOUBLE) - {outlier}, 9)"
 
 
-@query(f"WITH {EV}, sc AS (SELECT sample_id, evidence_id, modality, tokens, {_plain_score('motion_and_event_cues')} AS score FROM tok WHERE len(list_intersect(tokens, {ad.quoted(dims.ROUTE_KEYWORDS['motion_and_event_cues'])})) > 0 OR regexp_matches(category, 'dynamic|action|scene_sequence|event_scene')), fo AS (SELECT sample_id, {_fold(0.7, 'score DESC, evidence_id')} AS kept FROM sc WHERE score > 0.45 GROUP BY sample_id), ids AS (SELECT sample_id, unnest(list_transform(kept, lambda x: x.evidence_id)) AS evidence_id, generate_subscripts(kept, 1) AS pos FROM fo), pref AS (SELECT ids.*, modality IN ('event', 'rgb', 'ir') AS p FROM ids JOIN evidence USING (sample_id, evidence_id)), used AS (SELECT *, bool_or(p) OVER (PARTITION BY sample_id) AS any_ FROM pref), rk AS (SELECT sample_id, evidence_id, row_number() OVER (PARTITION BY sample_id ORDER BY pos) AS rank FROM used WHERE p OR NOT any_) SELECT * FROM rk WHERE rank <= 2")
+def _keywords(section: str) -> str:
+    return f"len(list_intersect(tokens, {ad.quoted(dims.ROUTE_KEYWORDS[section])}))::DOUBLE" if section in dims.ROUTES else "0::DOUBLE"
+
+
+_NAMED = {"visible_objects_and_layout": "spatial|count|object", "motion_and_event_cues": "dynamic|action|scene_sequence|event_scene"}
+
+
+def _chosen(source: str, section: str, p: str) -> str:
+    """CTEs that end in {p}rk(sample_id, evidence_id, rank): a section's sentences in order."""
+    named = f" OR regexp_matches(category, '{_NAMED[section]}')" if section in _NAMED else ""
+    gate = f"{_keywords(section)} > 0{named}" if section in dims.ROUTES else "true"
+    heard = " AND sample_id IN (SELECT sample_id FROM evidence WHERE modality = 'audio')" if section == "audio_cues" else ""
+    wanted = f"modality IN ({', '.join(repr(m) for m in narrative.PREFERRED[section])})" if section in narrative.PREFERRED else "true"
+    return (
+        f"{p}sc AS (SELECT sample_id, evidence_id, modality, tokens, {_plain_score(section)} AS score FROM {source} WHERE ({gate}){heard}), {p}fo AS (SELECT sample_id, {_fold(0.7, 'score DESC, evidence_id')} AS kept FROM {p}sc WHERE score > 0.45 GROUP BY sample_id), "
+        f"{p}ids AS (SELECT sample_id, unnest(list_transform(kept, lambda x: x.evidence_id)) AS evidence_id, generate_subscripts(kept, 1) AS pos FROM {p}fo), {p}pref AS (SELECT i.*, {wanted} AS p FROM {p}ids i JOIN evidence USING (sample_id, evidence_id)), {p}used AS (SELECT *, bool_or(p) OVER (PARTITION BY sample_id) AS any_ FROM {p}pref), "
+        f"{p}rk AS (SELECT sample_id, evidence_id, row_number() OVER (PARTITION BY sample_id ORDER BY pos) AS rank FROM {p}used WHERE p OR NOT any_)"
+    )
+
+
+@query(f"WITH {EV}, plain AS (SELECT *, 1.0::DOUBLE AS reliability, 0.0::DOUBLE AS support_score FROM tok), {_chosen('plain', 'motion_and_event_cues', 'm')} SELECT sample_id, evidence_id, rank FROM mrk WHERE rank <= 2")
 def select_sentences(spark, d):
     rows = ad.with_tokens(ad.evidence(spark, d)).withColumn("reliability", F.lit(1.0)).withColumn("support_score", F.lit(0.0))
     return narrative.selected_sentences(rows, "motion_and_event_cues", 2).select("sample_id", "evidence_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+def _ended(c: str) -> str:
+    return f"regexp_replace({c}, '\\.+$', '') || '.'"
+
+
+_AGREED = [
+    f"CASE WHEN ({' OR '.join(f'(list_contains(m, {x!r}) AND list_contains(m, {y!r}))' for x, y in pairs)}) AND c{k}.caption IS NOT NULL THEN '{intro}' || {_ended(f'c{k}.caption')} END"
+    for k, (_, pairs, intro) in enumerate(narrative.AGREEMENT)
+]
+_LINES = ", ".join(_chosen("weighed", section, f"s{k}") for k, (section, _, _) in enumerate(narrative.AGREEMENT))
+
+
+@query(
+    f"WITH {EV}, {_WORDS}, weighed AS (SELECT tok.*, reliability, 0.0::DOUBLE AS support_score FROM tok JOIN rel USING (sample_id, modality)), {_LINES}, {_chosen('weighed', 'cross_modal_details', 'x')}, "
+    "reliable AS (SELECT sample_id, list(DISTINCT modality) FILTER (WHERE reliability >= 0.5) AS m FROM weighed GROUP BY 1), "
+    + ", ".join(f"c{k} AS (SELECT sample_id, caption FROM s{k}rk JOIN evidence USING (sample_id, evidence_id) WHERE rank = 1)" for k in range(3))
+    + f", rest AS (SELECT sample_id, string_agg({_ended('caption')}, ' ' ORDER BY rank) AS rest FROM xrk JOIN evidence USING (sample_id, evidence_id) WHERE rank <= 2 GROUP BY 1), "
+    f"l AS (SELECT reliable.sample_id, list_filter([{', '.join(_AGREED)}], lambda x: x IS NOT NULL) AS lines, coalesce(rest, '') AS rest FROM reliable LEFT JOIN c0 USING (sample_id) LEFT JOIN c1 USING (sample_id) LEFT JOIN c2 USING (sample_id) LEFT JOIN rest USING (sample_id)) "
+    "SELECT sample_id, length(d) AS n_chars, md5(d) AS details_md5 FROM (SELECT sample_id, CASE WHEN len(lines) > 0 THEN array_to_string(lines[1:2], ' ') ELSE rest END AS d FROM l)"
+)
 def cross_modal_details(spark, d):
     rows = ad.with_tokens(ad.evidence(spark, d)).withColumn("support_score", F.lit(0.0)).withColumn("sentence", F.col("caption"))
     rows = rows.join(support.reliability(rows), ["sample_id", "modality"])
-    return narrative.cross_modal_details(rows)
+    return narrative.cross_modal_details(rows).select("sample_id", F.length("details").cast("long").alias("n_chars"), F.md5("details").alias("details_md5"))
+
+
+#: Every section's evidence by route, near copies dropped twice; the first two or three of each.
+_MOST = case("section", narrative.LIMITS[False], "2")
+
+
+@query(
+    f"WITH {EV}, r AS (SELECT sample_id, evidence_id, modality, tokens, {_routes()} AS o FROM tok), placed AS (SELECT sample_id, evidence_id, tokens, o[1].score AS score, CASE WHEN round(o[1].score - o[2].score, 9) < 0.02 THEN CASE modality WHEN 'audio' THEN 'audio_cues' WHEN 'event' THEN 'motion_and_event_cues' ELSE 'visible_objects_and_layout' END ELSE o[1].section END AS section FROM r WHERE o[1].score > 0.45), "
+    f"one AS (SELECT sample_id, section, {_fold(0.7, 'score DESC, evidence_id')} AS kept FROM placed GROUP BY 1, 2), ids AS (SELECT sample_id, section, unnest(kept) AS k, generate_subscripts(kept, 1) AS pos FROM one), flat AS (SELECT sample_id, section, k.evidence_id AS evidence_id, k.tokens AS tokens, pos FROM ids), "
+    f"two AS (SELECT sample_id, section, {_fold(0.65, 'pos')} AS kept FROM flat GROUP BY 1, 2), last AS (SELECT sample_id, section, unnest(list_transform(kept, lambda x: x.evidence_id)) AS evidence_id, generate_subscripts(kept, 1) AS pos FROM two) "
+    f"SELECT sample_id, section, md5(string_agg({_ended('caption')}, ' ' ORDER BY pos)) AS caption_md5 FROM last JOIN evidence USING (sample_id, evidence_id) WHERE pos <= {_MOST} GROUP BY 1, 2"
+)
+def section_captions(spark, d):
+    rows = ad.with_tokens(ad.evidence(spark, d)).withColumn("reliability", F.lit(1.0)).withColumn("support_score", F.lit(0.0)).withColumn("sentence", F.col("caption"))
+    wide = narrative.section_captions(rows)
+    long = wide.select("sample_id", F.explode(F.array(*[F.struct(F.lit(c).alias("section"), F.col(c).alias("caption")) for c in dims.ROUTES])).alias("s")).select("sample_id", "s.*")
+    return long.filter("caption <> ''").select("sample_id", "section", F.md5("caption").alias("caption_md5"))
 
 
 @query(
