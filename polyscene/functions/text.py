@@ -183,6 +183,12 @@ def json_object(c: Column) -> Column:
     return F.when(found != "", found)
 
 
+def json_list(c: Column) -> Column:
+    """From the first [ to the last ]; null without."""
+    found = F.regexp_extract(without_fence(c), r"(?s)\[.*\]", 0)
+    return F.when(found != "", found)
+
+
 def base_name(c: Column) -> Column:
     return F.element_at(F.split(F.replace(c, F.lit("\\"), F.lit("/")), "/"), -1)
 

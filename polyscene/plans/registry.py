@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims, text
-from ..operators import align, export, fields, narrative, reports, resume, segments, selection, support
+from ..operators import align, export, fields, narrative, reports, resume, runs, segments, selection, support
 from ..operators import evidence as ev
 from ..sources import files
 from . import adapters as ad
@@ -801,6 +801,22 @@ def segment_report_rows(spark, d):
     return out.select(F.col("segment_id").cast("string").alias("segment_id"), "file_name", F.coalesce("task_label", F.lit("")).alias("task_label"), F.col("pair_index").cast("long").alias("pair_index"), "section", F.md5("question").alias("question_md5"))
 
 
+@query(f"WITH {QA}, {_EXPORTED} SELECT conv_id // 4 AS sample_id, count(*) AS n_pairs FROM ex GROUP BY 1")
+def pair_totals(spark, d):
+    return runs.pair_totals(export.split_units(_unit_rows(spark, d), ["sample_id"]))
+
+
+@query(f"WITH {QA}, {_UNITS} SELECT {ad.quoted(dims.REASONING_ORDER)}[turn % 5 + 1] AS modality, count(DISTINCT conv_id // 4) AS n_samples, count(*) AS n_units, round(count(*) / count(DISTINCT conv_id // 4), 3) AS units_per_sample FROM un GROUP BY 1")
+def unit_counts(spark, d):
+    return runs.unit_counts(_unit_rows(spark, d))
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events WHERE event_id % 10 = 0")
+def every_nth_frame(spark, d):
+    e = ad.table(spark, d, "events").withColumn("idx", F.col("event_id"))
+    return runs.every_nth(e, F.lit(30.0), 3.0).select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
 @query("WITH n AS (SELECT p_partkey, (p_size * 7)::BIGINT AS c FROM part), x AS (SELECT p_partkey, c, list_sort(list_distinct([least(c - 1, round_even((c - 1) * i / 4.0, 0)::BIGINT) for i in [0, 1, 2, 3, 4]])) AS f FROM n) SELECT p_partkey, array_to_string(f, ',') AS frames FROM x")
 def frame_sampling(spark, d):
     p = ad.table(spark, d, "part").select("p_partkey", (F.col("p_size") * 7).cast("long").alias("c"))
