@@ -35,9 +35,9 @@ def clean(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Distinct lower-case ASCII words of two characters or more that are no stopwords."""
-    found = F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    kept = F.array_except(F.filter(found, lambda t: F.length(t) > 1), _words(*dict.fromkeys(STOPWORDS)))
-    return F.coalesce(F.array_sort(kept), F.array().cast("array<string>"))
+    # runs of two or more; no lambda, so that the whole expression is compiled
+    found = F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    return F.coalesce(F.sort_array(F.array_except(found, _words(*dict.fromkeys(STOPWORDS)))), F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

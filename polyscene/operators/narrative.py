@@ -185,12 +185,17 @@ def routed(evidence: DataFrame, relaxed: bool = False) -> DataFrame:
     relaxed mode the least score is lower and close calls stay with the best.
     """
     said = [F.coalesce(F.col(c), F.lit("")) if c in evidence.columns else F.lit("") for c in ("question", "answer")]
-    # sections only look for few words, so the rest of the tokens is left behind once
-    scored = evidence.withColumn("_words", F.array_intersect("tokens", F.array(*map(F.lit, words_of_interest()))))
-    plain = lambda s: route_score(s, F.col("modality"), F.col("category"), F.col("_words"), F.col("reliability"), F.col("support_score"))
-    own_rules = lambda s: route_bonus(s, F.col("category"), *said, F.col("_words"))
-    scores = [F.struct(F.round(plain(s) + own_rules(s), 9).alias("score"), F.lit(s).alias("section")) for s in dims.ROUTES]
-    scored = scored.withColumn("_order", F.sort_array(F.array(*scores), asc=False)).withColumn("section_score", F.col("_order")[0]["score"])
+    args = [F.col(c) for c in ("modality", "category", "reliability", "support_score")]
+
+    def ranked(words: Column) -> Column:
+        m, c, r, v = args
+        scores = [F.struct(F.round(route_score(s, m, c, words, r, v) + route_bonus(s, c, *said, words), 9).alias("score"), F.lit(s).alias("section")) for s in dims.ROUTES]
+        return F.sort_array(F.array(*scores), asc=False)
+
+    # sections look for few words, so the rest of the tokens is left behind once; one row out of each, and no filter moves below
+    words = F.array_intersect("tokens", F.array(*map(F.lit, words_of_interest())))
+    scored = evidence.select("*", F.explode(F.transform(F.array(words), ranked)).alias("_order"))
+    scored = scored.withColumn("section_score", F.col("_order")[0]["score"])
     best = F.col("_order")[0]["section"]
     if not relaxed:
         own = F.when(F.col("modality") == "audio", F.lit("audio_cues")).when(F.col("modality") == "event", F.lit("motion_and_event_cues")).when(F.col("modality").isin("rgb", "ir", "depth"), F.lit("visible_objects_and_layout")).otherwise(best)
