@@ -11,10 +11,10 @@ toxic rows among all labelled rows of the training fold. Scores are then scaled
 to probabilities on labelled training rows.
 
 Features are words and word beginnings, each that stands once, twice or four times in a
-text. Those of the positives are counted over all training texts, and kept if positives
-hold them surely more often; there is no limit to their number. The weights start from
-a fit on WARM unlabelled rows; then PASSES over all of them follow: each task sums its
-rows' part of risk and gradient, and the sums alone reach the driver.
+text. Those that positives hold surely more often than WARM unlabelled rows are counted
+over all training texts, and kept if that holds there too; there is no limit to their
+number. The weights start from a fit on the WARM rows; then PASSES over all rows follow:
+each task sums its rows' part of risk and gradient, and the sums alone reach the driver.
 
 The bounded samples are of labelled rows, POSITIVES and LABELLED of them, and of the
 warm start; all are drawn by a hash of doc_id.
@@ -41,6 +41,8 @@ from .common import WORD_TABLE, fresh, held_out, map_texts, released, ship, stor
 POSITIVES, LABELLED, WARM = 3000, 6000, 6000
 #: Least z-score of a feature, and positives that hold it at least.
 LEAST_Z, LEAST_P = 3.5, 3
+#: Features held in a counting task before they are handed on.
+HELD = 500_000
 #: Lengths of word beginnings, in characters, and the counts that make features of their own.
 BEGINNINGS, COUNTS = range(4, 9), (1, 2, 4)
 STEPS, RATE, RIDGE = 400, 0.05, 1e-3
@@ -90,45 +92,54 @@ def training(docs: DataFrame) -> DataFrame:
     return docs.filter(~held_out()).select("doc_id", F.col("text").cast("string").alias("text"))
 
 
-def candidates(rows: DataFrame) -> dict[str, int]:
-    """Features that LEAST_P positives of the sample hold, with how many."""
-
-    def run(batches):
-        seen: Counter = Counter()
-        for batch in batches:
-            for t in texts_of(batch.column(0)):
-                seen.update(features(t))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "p"])
-
-    sums = rows.filter(F.array_contains("kinds", 1)).select("text").mapInArrow(run, "feature string, p bigint").groupBy("feature").agg(F.sum("p").alias("p"))
-    got = sums.filter(F.col("p") >= LEAST_P).orderBy("feature").toArrow()
+def _counted(batches):
+    seen: dict[str, list[int]] = {}
+
+    def out():
+        rows = list(seen)
+        cols = [pa.array(rows, pa.string()), *(pa.array([seen[f][i] for f in rows], pa.int64()) for i in (0, 1))]
+        seen.clear()
+        return pa.RecordBatch.from_arrays(cols, ["feature", "u", "p"])
+
+    for batch in batches:
+        for kinds, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+            own = [k for k in kinds if k < 2]
+            for f in features(t) if own else ():
+                n = seen.setdefault(f, [0, 0])
+                for k in own:
+                    n[k] += 1
+            if len(seen) > HELD:
+                yield out()
+    yield out()
+
+
+def candidates(rows: DataFrame, n: int, k: int) -> dict[str, int]:
+    """Features that n positives hold surely more often than the k rows of the warm start, with how many positives."""
+    sums = rows.mapInArrow(_counted, "feature string, u bigint, p bigint").groupBy("feature").agg(F.sum("u").alias("u"), F.sum("p").alias("p"))
+    a, b, both = F.col("p") / n, F.col("u") / k, (F.col("p") + F.col("u")) / (n + k)
+    z = (a - b) / F.sqrt(both * (1 - both) * (1 / n + 1 / k) + 1e-12)
+    got = sums.filter(F.col("p") >= LEAST_P).filter(z >= LEAST_Z).orderBy("feature").select("feature", "p").toArrow()
     return dict(zip(got.column("feature").to_pylist(), got.column("p").to_pylist(), strict=True))
 
 
-def chosen(train: DataFrame, found: dict[str, int], n: int) -> list[str]:
-    """Candidates that n positives hold surely more often than all training rows, the surest first."""
-    index = {f: j for j, f in enumerate(found)}
-    table = train.sparkSession.sparkContext.broadcast(index)
+def counted(owned: DataFrame, width: int) -> tuple[np.ndarray, int]:
+    """In how many rows each feature stands, and how many rows there are. owned: own (feature numbers)."""
 
     def run(batches):
-        own, sums, rows = _selected(table.value), np.zeros(len(table.value) + 1, np.int64), 0
-        for batch in batches:
-            for t in texts_of(batch.column(0)):
-                sums[own(t)] += 1
-                rows += 1
-        sums[-1] = rows
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
-        released()
-
-    every = np.zeros(len(index) + 1, np.int64)
-    for r in train.select("text").mapInArrow(run, "sums binary").toLocalIterator():  # a row a task
-        every += np.frombuffer(r["sums"], np.int64)
-    k = max(1, int(every[-1]))
-    p, u = np.fromiter(found.values(), np.float64, len(found)), every[:-1].astype(np.float64)
-    a, b, both = p / n, u / k, (p + u) / (n + k)
-    z = (a - b) / np.sqrt(both * (1 - both) * (1 / n + 1 / k) + 1e-12)
-    sure = sorted((-z[j], f) for f, j in index.items() if z[j] >= LEAST_Z)
-    return [f for _, f in sure]
+        sums, n = np.zeros(width, np.int64), 0
+        for b in batches:
+            rows = Rows(b.column(0), width)
+            sums, n = sums + np.bincount(rows.own, minlength=width), n + rows.n
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["sums", "n"])
+
+    got = owned.mapInArrow(run, "sums binary, n bigint").collect()  # a row a task
+    return sum((np.frombuffer(r["sums"], np.int64) for r in got), np.zeros(width, np.int64)), sum(r["n"] for r in got)
+
+
+def surely(p: np.ndarray, n: int, u: np.ndarray, k: int) -> np.ndarray:
+    """Which features n positives hold surely more often than k rows."""
+    a, b, both = p / n, u / max(1, k), (p + u) / (n + k)
+    return (a - b) / np.sqrt(both * (1 - both) * (1 / n + 1 / max(1, k)) + 1e-12) >= LEAST_Z
 
 
 def _selected(index: dict[str, int]):
@@ -141,10 +152,11 @@ def _selected(index: dict[str, int]):
 class Rows:
     """Rows of feature numbers, with a last feature that each row has."""
 
-    def __init__(self, rows: list[list[int]], width: int):
-        self.n, self.width = len(rows), width + 1
-        self.at = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.own = np.array([j for r in rows for j in r], np.int64)
+    def __init__(self, rows: list[list[int]] | pa.ListArray, width: int):
+        lists = rows if isinstance(rows, pa.ListArray) else pa.array(rows, pa.list_(pa.int32()))
+        self.n, self.width = len(lists), width + 1
+        self.at = np.repeat(np.arange(self.n), lists.value_lengths().to_numpy(zero_copy_only=False))
+        self.own = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.at, w[self.own], self.n) + w[-1]
@@ -168,6 +180,7 @@ class Descent:
 
     def __init__(self, p: Rows, prior: float):
         self.p, self.prior, self.t = p, prior, 0
+        self.free = np.ones(p.width)  # 0 for features that stay out
         self.w = np.zeros(p.width)
         self.w[-1] = np.log(prior / (1 - prior)) if 0 < prior < 1 else 0
         self.m, self.v = np.zeros_like(self.w), np.zeros_like(self.w)
@@ -180,7 +193,7 @@ class Descent:
         d_clean = grad - self.prior * self.p.back(_sigmoid(g)) / self.p.n
         d_toxic = -self.prior * self.p.back(_sigmoid(-g)) / self.p.n
         d = d_toxic + d_clean + ridge * self.w if clean >= 0 else -d_clean
-        self.t += 1
+        d, self.t = d * self.free, self.t + 1
         self.m, self.v = 0.9 * self.m + 0.1 * d, 0.999 * self.v + 0.001 * d**2
         self.w = self.w - rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
@@ -191,9 +204,11 @@ def unlabelled_risk(u: Rows, w: np.ndarray) -> tuple[float, np.ndarray]:
     return float(_soft(g).sum()), u.back(_sigmoid(g))
 
 
-def nnpu(p: Rows, u: Rows, prior: float) -> Descent:
+def nnpu(p: Rows, u: Rows, prior: float, free: np.ndarray | None = None) -> Descent:
     """The warm start: the risk's descent on rows at hand."""
     out = Descent(p, prior)
+    if free is not None:
+        out.free[:-1] = free
     for _ in range(STEPS):
         loss, grad = unlabelled_risk(u, out.w)
         out.step(loss / u.n, grad / u.n, RATE)
@@ -209,7 +224,7 @@ def passed(owned: DataFrame, descent: Descent) -> None:
         def run(batches):
             loss, grad, n = 0.0, np.zeros(width), 0
             for b in batches:
-                rows = Rows(b.column(0).to_pylist(), width - 1)
+                rows = Rows(b.column(0), width - 1)
                 x, g = unlabelled_risk(rows, now.value)
                 loss, grad, n = loss + x, grad + g, n + rows.n
             yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([grad.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["loss", "grad", "n"])
@@ -241,11 +256,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[dict[
     prior, rows = samples(docs, labels, label)
     if rows is None:
         return None
-    n = rows.filter(F.array_contains("kinds", 1)).count()
+    n, k = (rows.filter(F.array_contains("kinds", i)).count() for i in (1, 0))
     if not n:
         return None
-    train = training(docs)
-    index = {f: j for j, f in enumerate(chosen(train, candidates(rows), n))}
+    found = candidates(rows, n, max(1, k))
+    index = {f: j for j, f in enumerate(found)}
     table = docs.sparkSession.sparkContext.broadcast(index)
 
     def numbered(texts: DataFrame, *keep: str) -> DataFrame:
@@ -265,14 +280,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[dict[
     for own in by.values():
         own.sort()
     p, u, clean = (Rows(by[i], len(index)) for i in (1, 0, 2))
-    descent = nnpu(p, u if u.n else p, min(max(prior, 1e-6), 1 - 1e-6))
-    passed(stored(numbered(train), "unlabelled"), descent)
+    owned = stored(numbered(training(docs)), "unlabelled")
+    free = surely(np.fromiter(found.values(), np.float64, len(found)), n, *counted(owned, len(index)))
+    descent = nnpu(p, u if u.n else p, min(max(prior, 1e-6), 1 - 1e-6), free)
+    passed(owned, descent)
     w, a, b = descent.w, 1.0, 0.0
     if clean.n:
         g, y = np.concatenate([p.dot(w), clean.dot(w)]), np.concatenate([np.ones(p.n), np.zeros(clean.n)])
         a, b = calibrate(g, y, np.concatenate([np.full(p.n, prior / p.n), np.full(clean.n, (1 - prior) / clean.n)]))
     released()
-    return {f: float(a * w[j]) for f, j in index.items()}, float(a * w[-1] + b)
+    return {f: float(a * w[j]) for f, j in index.items() if free[j]}, float(a * w[-1] + b)
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], float] | None, keep: dict[str, Column], text: str = "text") -> DataFrame:

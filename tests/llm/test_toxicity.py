@@ -90,10 +90,10 @@ def test_passes_use_every_row(spark):
 
 
 def test_features_are_counted_over_all_training_rows(spark):
-    rows = [(i, "vile text" if i % 3 else "plain text text") for i in range(60)] + [(0, "plain text text")] * 2
-    train = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {"vile#1": 30, "text#1": 30, "never#1": 30, "none#1": 3}
-    assert toxicity.chosen(train, found, 30) == ["never#1", "vile#1", "none#1"] or toxicity.chosen(train, found, 30)[:2] == ["never#1", "vile#1"]
+    owned = spark.createDataFrame([([0, 1],), ([1],), ([],), ([1],)], "own array<int>").repartition(2)
+    sums, n = toxicity.counted(owned, 3)
+    assert sums.tolist() == [1, 3, 0] and n == 4
+    assert toxicity.surely(np.array([20, 10, 3]), 30, np.array([100, 330, 0]), 1000).tolist() == [True, False, True]
 
 
 def test_repeated_rows_ties_and_odd_columns(make, spark):
