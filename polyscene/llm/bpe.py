@@ -136,6 +136,15 @@ class Pieces:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(runs), kind)
 
+    @classmethod
+    def packed(cls, rows: list[tuple[bytes, bytes, bytes]]) -> Pieces:
+        """From rows of numbers, lengths and ids, as encoded() packs them."""
+        out = cls([], "<u4")
+        number, many, out.flat = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate(("<i4", "<u4", "<u4")))
+        order, many = np.argsort(number), many.astype(np.int64)
+        out.lengths, out.starts = many[order], (np.cumsum(many) - many)[order]
+        return out
+
     def of(self, numbers: np.ndarray) -> np.ndarray:
         """The runs of these numbers, one after the other."""
         n = self.lengths[numbers]
@@ -190,7 +199,7 @@ def cut(docs: DataFrame, keep: dict[str, Column], source: str, odd: str, text: s
 
 
 def encoded(words: DataFrame, source: str, odd: str) -> DataFrame:
-    """slice, number, ids: each different word of all slices encoded once. words: slice, number, word, special."""
+    """slice, number, many, ids: each different word of all slices encoded once; a row holds many words' numbers, how many ids each has, and the ids. words: slice, number, word, special."""
 
     def run(batches):
         split, word, ids = Splitter(source, odd), None, b""
@@ -201,10 +210,18 @@ def encoded(words: DataFrame, source: str, odd: str) -> DataFrame:
                     word = w, special
                     ids = struct.pack("<I", split.special[w]) if special else split.encode(w)
                 out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["slice", "number", "ids"])
+            at, number = b.column(0).to_numpy(), b.column(1).to_numpy().astype("<i4")
+            order = np.argsort(at, kind="stable")
+            packed = []
+            for own in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(at) else []:
+                runs = [out[i] for i in own.tolist()]
+                packed.append((int(at[own[0]]), number[own].tobytes(), np.array([len(x) // 4 for x in runs], "<u4").tobytes(), b"".join(runs)))
+            cols = list(zip(*packed)) or [(), (), (), ()]
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["slice", "number", "many", "ids"])
 
     met = words.repartition("word").sortWithinPartitions("word", "special")
-    return met.mapInArrow(run, "slice bigint, number int, ids binary")
+    return met.mapInArrow(run, "slice bigint, number binary, many binary, ids binary")
 
 
 #: What a text can be turned into.
@@ -236,7 +253,7 @@ def tokenize(docs: DataFrame, path: str, keep: dict[str, Column], text: str = "t
     kept = [f"k{i}" for i in range(n)]
     ids = encoded(rows.filter("number is not null").select("slice", "number", "word", "special"), source, odd)
     texts = rows.filter("body is not null").select("slice", *kept, "body")
-    every = ids.unionByName(texts, allowMissingColumns=True).select("slice", "number", "ids", *kept, "body")
+    every = ids.unionByName(texts, allowMissingColumns=True).select("slice", "number", "many", "ids", *kept, "body")
     met = every.repartition("slice").sortWithinPartitions("slice", F.col("body").isNotNull())
     last = [T.StructField(x, OUTPUTS[x]) for x in outputs]
     schema = T.StructType([*(rows.schema[k] for k in kept), *last])
@@ -245,7 +262,7 @@ def tokenize(docs: DataFrame, path: str, keep: dict[str, Column], text: str = "t
         piece = Pieces(pieces.value, np.uint8)
         now, held, table = None, [], None
         for batch in batches:
-            at, body = batch.column(0).to_numpy(), batch.column(3 + n)
+            at, body = batch.column(0).to_numpy(), batch.column(4 + n)
             text_ = np.array(body.is_valid())
             breaks = np.flatnonzero((at[1:] != at[:-1]) | (text_[1:] != text_[:-1])) + 1 if len(at) else []
             for a, b in zip([0, *breaks], [*breaks, len(at)]):
@@ -254,18 +271,16 @@ def tokenize(docs: DataFrame, path: str, keep: dict[str, Column], text: str = "t
                 if at[a] != now:
                     now, held, table = at[a], [], None
                 if not text_[a]:
-                    held.append((batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False), batch.column(2).slice(a, b - a).to_pylist()))
+                    held += zip(*(batch.column(c).slice(a, b - a).to_pylist() for c in (1, 2, 3)), strict=True)
                     continue
                 if table is None:
-                    order = np.argsort(np.concatenate([np.zeros(0, np.int64), *(x for x, _ in held)]))
-                    runs = [x for _, y in held for x in y]
-                    table, held = Pieces([runs[i] for i in order.tolist()], "<u4"), []
+                    table, held = Pieces.packed(held), []
                 for i, j in slices(pc.binary_length(body.slice(a, b - a)).to_pylist()):
                     own = body.slice(a + i, j - i).to_pylist()
                     got = [table.of(unplaned(x)) for x in own]
                     back = [decode(x, piece) for x in got]
                     new = [made(x, got, back) for x in outputs]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(3 + k).slice(a + i, j - i) for k in range(n)), *new], schema.names)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(4 + k).slice(a + i, j - i) for k in range(n)), *new], schema.names)
         released()
 
     out = met.mapInArrow(run, schema)

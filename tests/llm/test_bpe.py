@@ -59,7 +59,7 @@ def test_each_distinct_word_is_encoded_once(make, path, spark, monkeypatch):
     words = rows.filter("number is not null")
     assert sorted(r["word"] for r in words.select("word").distinct().collect()) == [" a", " b", "a"] and words.count() > 3
     ids = bpe.encoded(words.select("slice", "number", "word", "special"), source, "")
-    assert ids.count() == words.count() and ids.select("ids").distinct().count() == 3
+    assert sum(len(r["number"]) for r in ids.collect()) == 4 * words.count()
 
 
 def test_repeated_rows_and_planes(spark, path):
