@@ -2,10 +2,11 @@
 
 1. Tasks split texts into words (the tokenizer's own split) once. Of each slice of texts
    (SLICE_TEXT bytes, or SLICE_WORDS different words) they keep the texts as numbers of
-   its words, by position, and a row a different word: slice, number, word. Both are
-   stored in the shared folder.
+   its words, by position, packed by chunks of texts, and a row a different word: slice,
+   number, word. Both are stored in the shared folder.
 2. The word rows of all slices meet by word, and each distinct word of the corpus is
-   encoded once, whatever their number; no table of words is broadcast.
+   encoded once, whatever their number; no table of words is broadcast. The ids are
+   stored, packed by slice, and the shuffled words leave the disk.
 3. The ids return to their slices, and meet the texts' numbers there: a join by slice and
    number, that is by the position of every word. Slices bound what a task holds.
 4. Decoding joins ids to the id-to-piece table, which has a row an id, so it is bounded
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, released, ship, slices, stored, texts_of
+from .common import released, ship, slices, stored, texts_of
 
 #: Bytes of text, and different words, from which on a slice ends.
 SLICE_TEXT, SLICE_WORDS = 32 << 20, 500_000
+#: Bytes of text whose numbers are packed into a row, and words whose ids are packed by slice at once.
+CHUNK, PACK = 1 << 20, 1 << 18
 #: The split of byte-level pre-tokenizers in terms of the re module; where a character's class differs
 #: between re and the library, odd_characters() finds it and the library splits the text.
 SPLIT = r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]+|_+)+|\s+(?!\S)|\s+"
@@ -128,6 +132,20 @@ def unplaned(body: bytes) -> np.ndarray:
     return out.view("<u4").ravel().astype(np.int64)
 
 
+def packed(*runs) -> bytes:
+    """Runs of numbers, compressed."""
+    return zlib.compress(b"".join(struct.pack("<I", len(x)) + x for x in map(planes, runs)), 1)
+
+
+def unpacked(body: bytes) -> list[np.ndarray]:
+    body, at, out = zlib.decompress(body), 0, []
+    while at < len(body):
+        many = struct.unpack_from("<I", body, at)[0]
+        out.append(unplaned(body[at + 4 : at + 4 + many]))
+        at += 4 + many
+    return out
+
+
 class Pieces:
     """Numbered runs of values, looked up many at a time."""
 
@@ -137,11 +155,13 @@ class Pieces:
         self.flat = np.frombuffer(b"".join(runs), kind)
 
     @classmethod
-    def packed(cls, rows: list[tuple[bytes, bytes, bytes]]) -> Pieces:
-        """From rows of numbers, lengths and ids, as encoded() packs them."""
-        out = cls([], "<u4")
-        number, many, out.flat = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate(("<i4", "<u4", "<u4")))
-        order, many = np.argsort(number), many.astype(np.int64)
+    def packed(cls, rows: list[tuple[bytes, bytes]]) -> Pieces:
+        """From rows of numbers, and of lengths and ids, as encoded() packs them."""
+        out, runs = cls([], "<u4"), [unpacked(r[1]) for r in rows]
+        number = np.concatenate([np.zeros(0, np.int64), *(unplaned(b"\4" + r[0]) for r in rows)])
+        many = np.concatenate([np.zeros(0, np.int64), *(r[0] for r in runs)])
+        out.flat = np.concatenate([np.zeros(0, "<u4"), *(r[1].astype("<u4") for r in runs)])
+        order = np.argsort(number)
         out.lengths, out.starts = many[order], (np.cumsum(many) - many)[order]
         return out
 
@@ -157,11 +177,11 @@ def decode(ids: np.ndarray, pieces: Pieces) -> str:
 
 
 def cut(docs: DataFrame, keep: dict[str, Column], source: str, odd: str, text: str) -> DataFrame:
-    """slice, number, word, special of each different word of a slice; slice, k0, k1..., body of each text, the other columns null."""
+    """slice, number, word, special of each different word of a slice; slice, k0, k1..., body of each chunk of texts: arrays of the texts' values, and how many words each has and their numbers, packed. The other columns are null."""
     src = docs.select(*[c.alias(f"k{i}") for i, c in enumerate(keep.values())], F.col(text).cast("string").alias("_text"))
     n = len(keep)
     words = [T.StructField("slice", T.LongType()), T.StructField("number", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("special", T.BooleanType())]
-    schema = T.StructType([*words, *src.schema.fields[:n], T.StructField("body", T.BinaryType())])
+    schema = T.StructType([*words, *(T.StructField(x.name, T.ArrayType(x.dataType)) for x in src.schema.fields[:n]), T.StructField("body", T.BinaryType())])
     names, most_text, most_words = schema.names, SLICE_TEXT, SLICE_WORDS
 
     def run(batches):
@@ -171,22 +191,22 @@ def cut(docs: DataFrame, keep: dict[str, Column], source: str, odd: str, text: s
             found = list(table)
             special = [isinstance(w, tuple) for w in found]
             cols = [pa.array([base] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array([w[0] if s else w for w, s in zip(found, special)], pa.string()), pa.array(special, pa.bool_())]
-            return pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(found), t) for t in own), pa.nulls(len(found), pa.binary())], names)
+            return pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(found), pa.list_(t)) for t in own), pa.nulls(len(found), pa.binary())], names)
 
         for batch in batches:
             own = [batch.schema.field(i).type for i in range(n)]
             column = batch.column(n)
-            for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), min(SLICE_BYTES, most_text)):
-                bodies = []
+            for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), min(CHUNK, most_text)):
+                numbers: list[int] = []
+                ends = [0]
                 for t in texts_of(column.slice(a, b - a)):
-                    numbers: list[int] = []
                     for special, got in split.parts((t or b"").decode()):
                         numbers += [table.setdefault((got,), len(table))] if special else [table.setdefault(w, len(table)) for w in got]
-                    bodies.append(planes(numbers))
+                    ends.append(len(numbers))
                     held += len(t or b"")
-                many = b - a
-                cols = [pa.array([base] * many, pa.int64()), *(pa.nulls(many, t) for t in (pa.int32(), pa.string(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*cols, *(batch.column(i).slice(a, many) for i in range(n)), pa.array(bodies, pa.binary())], names)
+                cols = [pa.array([base], pa.int64()), *(pa.nulls(1, t) for t in (pa.int32(), pa.string(), pa.bool_()))]
+                values = [pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(i).slice(a, b - a)) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([*cols, *values, pa.array([packed(np.diff(ends), numbers)], pa.binary())], names)
                 if held >= most_text or len(table) >= most_words:
                     yield listed()
                     base, held = base + 1, 0
@@ -199,29 +219,40 @@ def cut(docs: DataFrame, keep: dict[str, Column], source: str, odd: str, text: s
 
 
 def encoded(words: DataFrame, source: str, odd: str) -> DataFrame:
-    """slice, number, many, ids: each different word of all slices encoded once; a row holds many words' numbers, how many ids each has, and the ids. words: slice, number, word, special."""
+    """slice, number, ids: each different word of all slices encoded once; a row holds many words' numbers, in order and by byte planes, and how many ids each has and the ids, packed. words: slice, number, word, special."""
+    most = PACK
 
     def run(batches):
         split, word, ids = Splitter(source, odd), None, b""
+        held, out = [], []
+
+        def rows():
+            at, number = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            order = np.lexsort((number, at))
+            cols = [], [], []
+            for own in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                runs = [out[i] for i in own.tolist()]
+                cols[0].append(int(at[own[0]]))
+                cols[1].append(number[own].view(np.uint8).reshape(-1, 4).T.tobytes())
+                cols[2].append(packed([len(x) // 4 for x in runs], np.frombuffer(b"".join(runs), "<u4")))
+            kinds = pa.int64(), pa.binary(), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["slice", "number", "ids"])
+
         for b in batches:
-            out = []
             for w, special in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if (w, special) != word:
                     word = w, special
                     ids = struct.pack("<I", split.special[w]) if special else split.encode(w)
                 out.append(ids)
-            at, number = b.column(0).to_numpy(), b.column(1).to_numpy().astype("<i4")
-            order = np.argsort(at, kind="stable")
-            packed = []
-            for own in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(at) else []:
-                runs = [out[i] for i in own.tolist()]
-                packed.append((int(at[own[0]]), number[own].tobytes(), np.array([len(x) // 4 for x in runs], "<u4").tobytes(), b"".join(runs)))
-            cols = list(zip(*packed)) or [(), (), (), ()]
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["slice", "number", "many", "ids"])
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy().astype("<i4")))
+            if len(out) >= most:
+                yield rows()
+                held, out = [], []
+        if out:
+            yield rows()
 
     met = words.repartition("word").sortWithinPartitions("word", "special")
-    return met.mapInArrow(run, "slice bigint, number binary, many binary, ids binary")
+    return met.mapInArrow(run, "slice bigint, number binary, ids binary")
 
 
 #: What a text can be turned into.
@@ -249,20 +280,21 @@ def tokenize(docs: DataFrame, path: str, keep: dict[str, Column], text: str = "t
     odd, spark, n = odd_characters(source), docs.sparkSession, len(keep)
     ship(spark)
     pieces = spark.sparkContext.broadcast(pieces_of(source))
-    rows = stored(cut(docs, keep, source, odd, text), "words")
+    rows = stored(cut(docs, keep, source, odd, text), "words", "zstd")
     kept = [f"k{i}" for i in range(n)]
-    ids = encoded(rows.filter("number is not null").select("slice", "number", "word", "special"), source, odd)
+    # stored, so that the shuffled words are off the disk before the texts' numbers are shuffled
+    ids = stored(encoded(rows.filter("number is not null").select("slice", "number", "word", "special"), source, odd), "ids", "zstd", cleanup=True)
     texts = rows.filter("body is not null").select("slice", *kept, "body")
-    every = ids.unionByName(texts, allowMissingColumns=True).select("slice", "number", "many", "ids", *kept, "body")
+    every = ids.unionByName(texts, allowMissingColumns=True).select("slice", "number", "ids", *kept, "body")
     met = every.repartition("slice").sortWithinPartitions("slice", F.col("body").isNotNull())
     last = [T.StructField(x, OUTPUTS[x]) for x in outputs]
-    schema = T.StructType([*(rows.schema[k] for k in kept), *last])
+    schema = T.StructType([*(T.StructField(k, rows.schema[k].dataType.elementType) for k in kept), *last])
 
     def run(batches):
         piece = Pieces(pieces.value, np.uint8)
         now, held, table = None, [], None
         for batch in batches:
-            at, body = batch.column(0).to_numpy(), batch.column(4 + n)
+            at, body = batch.column(0).to_numpy(), batch.column(3 + n)
             text_ = np.array(body.is_valid())
             breaks = np.flatnonzero((at[1:] != at[:-1]) | (text_[1:] != text_[:-1])) + 1 if len(at) else []
             for a, b in zip([0, *breaks], [*breaks, len(at)]):
@@ -271,16 +303,16 @@ def tokenize(docs: DataFrame, path: str, keep: dict[str, Column], text: str = "t
                 if at[a] != now:
                     now, held, table = at[a], [], None
                 if not text_[a]:
-                    held += zip(*(batch.column(c).slice(a, b - a).to_pylist() for c in (1, 2, 3)), strict=True)
+                    held += zip(*(batch.column(c).slice(a, b - a).to_pylist() for c in (1, 2)), strict=True)
                     continue
                 if table is None:
                     table, held = Pieces.packed(held), []
-                for i, j in slices(pc.binary_length(body.slice(a, b - a)).to_pylist()):
-                    own = body.slice(a + i, j - i).to_pylist()
-                    got = [table.of(unplaned(x)) for x in own]
+                for i in range(a, b):
+                    many, own = unpacked(body[i].as_py())
+                    got = [table.of(x) for x in np.split(own, np.cumsum(many)[:-1])]
                     back = [decode(x, piece) for x in got]
                     new = [made(x, got, back) for x in outputs]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(4 + k).slice(a + i, j - i) for k in range(n)), *new], schema.names)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(3 + k).slice(i, 1).flatten() for k in range(n)), *new], schema.names)
         released()
 
     out = met.mapInArrow(run, schema)

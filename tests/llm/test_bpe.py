@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -80,3 +81,30 @@ def test_invalid_bytes_decode_as_the_library_does(path):
     for _ in range(200):
         ids = [rng.randrange(len(pieces)) for _ in range(rng.randint(0, 12))]
         assert bpe.decode(np.array(ids, np.int64), bpe.Pieces(pieces, np.uint8)) == t.decode(ids, skip_special_tokens=False)
+
+
+def test_shuffled_words_leave_the_disk_and_numbers_are_packed(spark, path):
+    """Of a tokenization that is over, no shuffled word stays; a chunk's numbers take less than two bytes a word."""
+
+    def left():
+        env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+        files = env.blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    rng = random.Random(2)
+    words = [f"w{chr(97 + i % 26)}{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(words[min(int(rng.paretovariate(0.7)), 2999)] for _ in range(400))) for i in range(200)], "doc_id long, text string")
+    before = left()
+    bpe.stored(docs.repartition(3, "text"), "x", cleanup=True)
+    for _ in range(50):
+        if left() <= before:
+            break
+        time.sleep(0.1)
+    assert left() <= before
+    with open(path, encoding="utf-8") as f:
+        source = f.read()
+    odd = bpe.odd_characters(source)
+    split = bpe.Splitter(source, odd)
+    rows = bpe.cut(docs.coalesce(1), {"doc_id": F.col("doc_id")}, source, odd, "text")
+    held = [len(r["body"]) for r in rows.filter("body is not null").collect()]
+    assert sum(held) < 2 * sum(len(split.plain(r["text"])) for r in docs.collect())
