@@ -6,7 +6,7 @@
    number, word. Both are stored in the shared folder.
 2. The word rows of all slices meet by word, and each distinct word of the corpus is
    encoded once, whatever their number; no table of words is broadcast. The ids are
-   stored, packed by slice, and the shuffled words leave the disk.
+   stored, packed by slice, and the words and their shuffle leave the disk.
 3. The ids return to their slices, and meet the texts' numbers there: a join by slice and
    number, that is by the position of every word. Slices bound what a task holds.
 4. Decoding joins ids to the id-to-piece table, which has a row an id, so it is bounded
@@ -21,6 +21,7 @@ other columns, whatever their names, are not read.
 from __future__ import annotations
 
 import hashlib
+import lzma
 import re
 import struct
 import zlib
@@ -33,12 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import released, ship, slices, stored, texts_of
+from .common import dropped, released, ship, slices, stored, stored_apart, texts_of
 
 #: Bytes of text, and different words, from which on a slice ends.
 SLICE_TEXT, SLICE_WORDS = 32 << 20, 500_000
 #: Bytes of text whose numbers are packed into a row, and words whose ids are packed by slice at once.
 CHUNK, PACK = 1 << 20, 1 << 18
+#: Numbers from which on they are packed by lzma, and its settings for 32-bit words.
+LONG, LZMA = 1 << 14, [{"id": lzma.FILTER_LZMA2, "preset": 1, "lc": 1, "lp": 2, "pb": 2}]
 #: The split of byte-level pre-tokenizers in terms of the re module; where a character's class differs
 #: between re and the library, odd_characters() finds it and the library splits the text.
 SPLIT = r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]+|_+)+|\s+(?!\S)|\s+"
@@ -133,15 +136,20 @@ def unplaned(body: bytes) -> np.ndarray:
 
 
 def packed(*runs) -> bytes:
-    """Runs of numbers, compressed."""
-    return zlib.compress(b"".join(struct.pack("<I", len(x)) + x for x in map(planes, runs)), 1)
+    """Runs of numbers, compressed: long ones by lzma; short ones, of which there may be many, by zlib over byte planes."""
+    if sum(map(len, runs)) < LONG:
+        return b"\0" + zlib.compress(b"".join(struct.pack("<I", len(x)) + x for x in map(planes, runs)), 1)
+    body = b"".join(struct.pack("<I", len(x)) + np.asarray(x).astype("<u4").tobytes() for x in runs)
+    return b"\1" + lzma.compress(body, lzma.FORMAT_RAW, filters=LZMA)
 
 
 def unpacked(body: bytes) -> list[np.ndarray]:
-    body, at, out = zlib.decompress(body), 0, []
+    long, at, out = body[0] == 1, 0, []
+    body = lzma.decompress(body[1:], lzma.FORMAT_RAW, filters=LZMA) if long else zlib.decompress(body[1:])
     while at < len(body):
-        many = struct.unpack_from("<I", body, at)[0]
-        out.append(unplaned(body[at + 4 : at + 4 + many]))
+        many = struct.unpack_from("<I", body, at)[0] * (4 if long else 1)
+        own = body[at + 4 : at + 4 + many]
+        out.append(np.frombuffer(own, "<u4").astype(np.int64) if long else unplaned(own))
         at += 4 + many
     return out
 
@@ -280,15 +288,18 @@ def tokenize(docs: DataFrame, path: str, keep: dict[str, Column], text: str = "t
     odd, spark, n = odd_characters(source), docs.sparkSession, len(keep)
     ship(spark)
     pieces = spark.sparkContext.broadcast(pieces_of(source))
-    rows = stored(cut(docs, keep, source, odd, text), "words", "zstd")
+    rows = cut(docs, keep, source, odd, text)
+    rows = rows.withColumn("kind", F.when(F.col("body").isNull(), "word").otherwise("text"))
+    (words, place), (texts, _) = stored_apart(rows, "words", "kind", ("word", "text"), "zstd")
     kept = [f"k{i}" for i in range(n)]
-    # stored, so that the shuffled words are off the disk before the texts' numbers are shuffled
-    ids = stored(encoded(rows.filter("number is not null").select("slice", "number", "word", "special"), source, odd), "ids", "zstd", cleanup=True)
-    texts = rows.filter("body is not null").select("slice", *kept, "body")
+    # stored, so that the words and their shuffle are off the disk before the texts' numbers are shuffled
+    ids = stored(encoded(words.select("slice", "number", "word", "special"), source, odd), "ids", "zstd", cleanup=True)
+    dropped(spark, place)
+    texts = texts.select("slice", *kept, "body")
     every = ids.unionByName(texts, allowMissingColumns=True).select("slice", "number", "ids", *kept, "body")
     met = every.repartition("slice").sortWithinPartitions("slice", F.col("body").isNotNull())
     last = [T.StructField(x, OUTPUTS[x]) for x in outputs]
-    schema = T.StructType([*(T.StructField(k, rows.schema[k].dataType.elementType) for k in kept), *last])
+    schema = T.StructType([*(T.StructField(k, texts.schema[k].dataType.elementType) for k in kept), *last])
 
     def run(batches):
         piece = Pieces(pieces.value, np.uint8)

@@ -68,24 +68,50 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str, compression: str | None = None, cleanup: bool = False) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    cleanup: the shuffle files of the write, which nothing reads again, go when it is over.
-    """
+
+def _written(df: DataFrame, name: str, compression: str | None, cleanup: bool, by: str | None = None) -> str:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true" if cleanup else before)
     try:
-        df.write.parquet(path, compression=compression)
+        df.write.parquet(path, compression=compression, partitionBy=by)
     finally:
         spark.conf.set(CLEANUP, before)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
     released()
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str, compression: str | None = None, cleanup: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    cleanup: the shuffle files of the write, which nothing reads again, go when it is over.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, name, compression, cleanup))
+
+
+def stored_apart(df: DataFrame, name: str, by: str, kinds: tuple[str, ...], compression: str | None = None) -> list[tuple[DataFrame, str]]:
+    """As stored, in one pass: the rows of each of `kinds`, the values of column `by`, and the folder that holds them."""
+    spark, out = df.sparkSession, []
+    path = _written(df, name, compression, False, by)
+    for kind in kinds:
+        own = f"{path}/{by}={kind}"
+        fs, p = _hadoop(spark, own)
+        fs.mkdirs(p)  # of a kind without rows there is none
+        out.append((spark.read.schema(df.drop(by).schema).parquet(own), own))
+    return out
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a stored folder that nothing reads again."""
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import time
 
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polyscene.llm import bpe, queries
+from polyscene.llm import bpe, common, queries
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +109,15 @@ def test_shuffled_words_leave_the_disk_and_numbers_are_packed(spark, path):
     rows = bpe.cut(docs.coalesce(1), {"doc_id": F.col("doc_id")}, source, odd, "text")
     held = [len(r["body"]) for r in rows.filter("body is not null").collect()]
     assert sum(held) < 2 * sum(len(split.plain(r["text"])) for r in docs.collect())
+
+
+def test_words_are_dropped_once_their_ids_are_stored(spark, make, path, texts, monkeypatch):
+    """Of the rows of words nothing stays but their ids; short and long runs of numbers unpack."""
+    gone = []
+    monkeypatch.setattr(bpe, "dropped", lambda s, p: (gone.append(p), common.dropped(s, p)))
+    monkeypatch.setattr(bpe, "LONG", 40)
+    got = bpe.tokenize(make(texts), path, {"doc_id": F.col("doc_id")}, outputs=("token_ids",)).orderBy("doc_id").collect()
+    assert [list(r["token_ids"]) for r in got] == [ids for ids, _ in expected(path, texts)]
+    assert len(gone) == 1 and not os.path.exists(gone[0].removeprefix("file:"))
+    for runs in ([[], []], [[3], [1 << 20, 5, 7]], [list(range(30)), list(range(1 << 17, (1 << 17) + 30))]):
+        assert [x.tolist() for x in bpe.unpacked(bpe.packed(*runs))] == runs
