@@ -38,4 +38,48 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM d LEFT JOIN sums USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_decontamination": DECONTAMINATION, "op10_substring_dedup": SUBSTRING_DEDUP}
+
+def _codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Codebooks round by round; distances are exact, as all numbers are integers below 2^53."""
+    out = f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({1 << 10} * x::DOUBLE)) AS v FROM embeddings
+WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) t(p)),
+book0 AS MATERIALIZED (SELECT * FROM (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts) WHERE e < {entries})"""
+    near = "SELECT vec_id, label, p, x, min((list_dot_product(x, x) + list_dot_product(c, c) - 2 * list_dot_product(x, c))::HUGEINT * {n} + e) AS best FROM parts JOIN book{k} USING (p) GROUP BY ALL"
+    for k in range(rounds):
+        out += f""",
+near{k} AS MATERIALIZED ({near.format(n=entries, k=k)}),
+each{k} AS (SELECT p, best % {entries} AS e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM near{k}),
+mean{k} AS (SELECT p, e, list(v ORDER BY i) AS c FROM (SELECT p, e, i, floor(sum(v) / count(*)) AS v FROM each{k} GROUP BY ALL) GROUP BY ALL),
+book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m USING (p, e))"""
+    out += f""",
+last AS ({near.format(n=entries, k=rounds)}),
+rows AS (SELECT vec_id, label, string_agg(printf('%02x', (best % {entries})::INTEGER), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error FROM last GROUP BY ALL),
+sums AS (SELECT label, sum(error)::BIGINT AS label_error FROM rows GROUP BY 1),
+said AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda v: v::BIGINT::VARCHAR), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM rows JOIN sums ON rows.label IS NOT DISTINCT FROM sums.label, said
+"""
+    return out
+
+
+#: The mask of every document, every order of the filters, and what each step finds.
+FILTER_AUDIT = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d),
+m AS (SELECT doc_id, part, {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+'D': regexp_matches(t, '[#$%&*|]'), 'E': doc_id > min(doc_id) OVER (PARTITION BY t)} AS f FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY 1),
+cells AS (SELECT part, [f.A, f.B, f.C, f.D, f.E] AS f, coalesce(good, false) AS good, coalesce(bad, false) AS bad, count(*) AS n FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+k AS (SELECT range AS k FROM range(1, 6)),
+orders AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+named AS (SELECT array_to_string(list_transform(o, lambda x: substr('ABCDE', x::INTEGER, 1)), '') AS filter_order, o FROM orders),
+steps AS (SELECT part, filter_order, k::INTEGER AS step, o[k] AS filter, good, bad, n, coalesce(f[o[k]], false) AS fails,
+len(list_filter(o[:k - 1], lambda x: coalesce(f[x], false))) > 0 AS gone, len(list_filter(f, lambda x: coalesce(x, false))) AS many FROM cells, named, k),
+sums AS (SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND fails), 0)::BIGINT AS removed,
+coalesce(sum(n) FILTER (WHERE gone AND fails), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails AND many = 1), 0)::BIGINT AS unique_fails,
+coalesce(sum(n) FILTER (WHERE NOT gone AND fails AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (WHERE NOT gone AND fails AND bad), 0)::BIGINT AS toxic_lost FROM steps GROUP BY ALL)
+SELECT * EXCLUDE (filter), (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM sums
+"""
+
+ORACLES: dict[str, str] = {"op2_decontamination": DECONTAMINATION, "op10_substring_dedup": SUBSTRING_DEDUP, "op11_vector_codes": _codes(), "op12_filter_audit": FILTER_AUDIT}

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, langid, licenses, pii, rlz, secrets, simhash, toxicity
+from . import ann, audit, bpe, codes, decontam, langid, licenses, packing, pii, rlz, secrets, simhash, toxicity
 from .oracles import ORACLES as ORACLES
 
 #: The vocabulary file of the encoding query, by its public name.
 VOCABULARY = "byte_bpe_50k.json"
+#: That of the packing query.
+PACKED = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +67,33 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(PACKED))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_decontamination, op3_bpe, op4_pii, op5_nearest_neighbours, op6_licenses, op7_toxicity, op8_simhash, op9_secrets, op10_substring_dedup)
+    for f in (
+        op1_language_id,
+        op2_decontamination,
+        op3_bpe,
+        op4_pii,
+        op5_nearest_neighbours,
+        op6_licenses,
+        op7_toxicity,
+        op8_simhash,
+        op9_secrets,
+        op10_substring_dedup,
+        op11_vector_codes,
+        op12_filter_audit,
+        op13_packing,
+    )
 }
