@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import shipped
+
+# Tries of a call, seconds of a pause times the try, and of one after a quota error; what tells quota errors.
 TRIES, PAUSE, QUOTA_PAUSE = 3, 2.0, 30.0
 QUOTA_WORDS = ("quota", "rate limit", "rate_limit", "429", "resource_exhausted")
 
@@ -47,7 +50,21 @@ def answered(requests: DataFrame, client: Callable[[str], str] = offline, parall
             got = [called(client, r, sleep=pause) for r in f["request"]]
             yield pd.DataFrame({"key": f["key"], "answer": [g[0] for g in got], "error": [g[1] for g in got], "tries": [g[2] for g in got]})
 
-    return requests.select("key", "request").repartition(parallel, "key").mapInPandas(run, "key string, answer string, error string, tries int")
+    shipped(requests.sparkSession)
+    kind = requests.schema["key"].dataType.simpleString()
+    return requests.select("key", "request").repartition(parallel, "key").mapInPandas(run, f"key {kind}, answer string, error string, tries int")
+
+
+def asking(client: Callable[[str], str], key: str, request: Column, kind: str, name: str, parallel: int = 3, pause: Callable[[float], None] = time.sleep) -> Callable[[DataFrame], DataFrame]:
+    """A call for runs: from rows to key, `name` (the answer, JSON as `kind`; null if it isn't), error, tries."""
+
+    def call(rows: DataFrame) -> DataFrame:
+        got = answered(rows.select(F.col(key).alias("key"), request.alias("request")), client, parallel, pause)
+        made = F.from_json("answer", kind)
+        error = F.coalesce("error", F.when(made.isNull(), "not the JSON that was asked for"))
+        return got.select(F.col("key").alias(key), made.alias(name), error.alias("error"), "tries")
+
+    return call
 
 
 def embedded(rows: DataFrame, encoder: Callable[[list[str]], np.ndarray], column: str = "text", name: str = "vector") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dims
 
@@ -24,6 +25,38 @@ def pending(jobs: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return jobs.join(done.select(*key), key, "left_anti")
 
 
+def finished(done: DataFrame, trial: bool = False) -> DataFrame:
+    """Rows whose annotations are complete; a row that holds blanks, placeholders or an error's nothing is not finished."""
+    return done.filter(whole(done, "annotations", trial))
+
+
+def with_state(rows: DataFrame, trial: bool = False) -> DataFrame:
+    """rows with state: complete, else failed (with an error), else pending. rows: annotations, error."""
+    state = F.when(whole(rows, "annotations", trial), "complete").when(F.col("error").isNotNull(), "failed")
+    return rows.withColumn("state", state.otherwise("pending"))
+
+
+def taken_up(done: DataFrame) -> DataFrame:
+    """done with error and tries, which results of runs before had not: no error, one try."""
+    for name, value in (("error", F.lit(None).cast("string")), ("tries", F.lit(1))):
+        if name not in done.columns:
+            done = done.withColumn(name, value)
+    return done
+
+
+def recorded(asked: DataFrame, jobs: DataFrame, done: DataFrame, key: str, trial: bool = False) -> DataFrame:
+    """The rows of the jobs that were asked now, their tries of runs before added, those of done that were not, and each one's state.
+
+    asked: key, the columns of done, error and tries (of this run); jobs: the keys that were asked. Which rows of done
+    give way is read from jobs, so that asked, which may hold calls of a model, is in the plan once.
+    """
+    before, keys = taken_up(done), jobs.select(key)
+    tried = before.groupBy(key).agg(F.sum("tries").alias("_before"))
+    rows = asked.join(tried, key, "left")
+    rows = rows.withColumn("tries", (F.coalesce("tries", F.lit(0)) + F.coalesce("_before", F.lit(0))).cast("int")).drop("_before")
+    return with_state(rows.unionByName(before.join(keys, key, "left_anti"), allowMissingColumns=True), trial)
+
+
 def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of new, and those of old whose key new lacks. Both have the same columns, each key once."""
     return new.unionByName(old.join(new.select(*key), key, "left_anti"))
@@ -58,6 +91,29 @@ def complete(annotations: Column, trial: bool = False) -> Column:
     return (F.size(said) > 0) & real
 
 
+def _below(c: Column, kind: T.DataType, texts: bool) -> Column:
+    """The texts that stand anywhere in a value of that type, trimmed and not blank; or its other values that aren't null, as text."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, T.StructType):
+        parts = [_below(c[f.name], f.dataType, texts) for f in kind.fields]
+        return F.concat(none, *[F.coalesce(p, none) for p in parts])
+    if isinstance(kind, (T.MapType, T.ArrayType)):
+        values, inner = (F.map_values(c), kind.valueType) if isinstance(kind, T.MapType) else (c, kind.elementType)
+        return F.coalesce(F.flatten(F.transform(values, lambda x: _below(x, inner, texts))), none)
+    if isinstance(kind, T.StringType) != texts:
+        return none
+    value = F.trim(c) if texts else c.cast("string")
+    return F.when(F.coalesce(value != "", F.lit(False)) if texts else c.isNotNull(), F.array(value)).otherwise(none)
+
+
+def whole(rows: DataFrame, column: str, trial: bool = False) -> Column:
+    """Whether a column of any nesting holds a text or another value, and its texts are not all placeholders; a trial takes placeholders too."""
+    kind = rows.schema[column].dataType
+    said, other = _below(F.col(column), kind, True), _below(F.col(column), kind, False)
+    some = (F.size(said) > 0) | (F.size(other) > 0)
+    return some if trial else some & ~((F.size(said) > 0) & F.forall(said, lambda v: v.isin(PLACEHOLDERS)))
+
+
 def chosen_modalities(names: list[str] | None) -> list[str]:
     """Lower-case names, each once, in order; all of them for None or `all`; an error for an unknown or empty choice."""
     every = [m for m in dims.REASONING_ORDER]

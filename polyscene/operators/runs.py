@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims, text
+from . import resume
 
 QA = "struct<caption: string, question: string, answer: string>"
 TIMED = "struct<timestamp: string, caption: string, question: string, answer: string>"
@@ -73,30 +74,41 @@ def annotated(pairs: DataFrame, responses: DataFrame, categories: list[str], fal
     return rows.withColumn("annotations", full)
 
 
-def run_modality(modality: str, pairs: DataFrame, call: Callable[[DataFrame], DataFrame], categories: list[str], done: DataFrame | None = None, fallback: dict[str, str] | None = None) -> DataFrame:
-    """One plan for each modality's run: pairs that are not done, asked of the model, completed, and joined with what was done.
+def run_modality(modality: str, pairs: DataFrame, call: Callable[[DataFrame], DataFrame], categories: list[str], done: DataFrame | None = None, fallback: dict[str, str] | None = None, trial: bool = False) -> DataFrame:
+    """One plan for each modality's run: pairs without complete annotations, asked of the model, completed, and joined with what was done.
 
-    call: from pair rows to pair_key and annotations. The result has modality, pair_key, files and annotations.
+    call: from pair rows to pair_key, annotations and, if it reports them, error and tries. The result has modality,
+    pair_key, files, annotations, error, tries (of all runs) and state; a pair whose call failed, or gave blanks or
+    placeholders, is asked again by the next run. Rows of done that are not asked again stay.
     """
-    left = pairs if done is None else pairs.join(done.select("pair_key"), "pair_key", "left_anti")
-    fresh = annotated(left, call(left), categories, fallback).withColumn("modality", F.lit(modality))
-    return fresh if done is None else fresh.unionByName(done, allowMissingColumns=True)
+    left = pairs if done is None else resume.pending(pairs, resume.finished(done, trial), ["pair_key"])
+    asked = reported(call(left), "annotations")
+    rows = annotated(left, asked, categories, fallback).withColumn("modality", F.lit(modality))
+    rows = rows.withColumn("error", F.when(F.col("tries").isNull(), "no answer").otherwise(F.col("error")))
+    return resume.recorded(rows, left, rows.sparkSession.createDataFrame([], rows.schema) if done is None else done, "pair_key", trial)
 
 
-def run_segments(jobs: DataFrame, call: Callable[[DataFrame], DataFrame], done: DataFrame, order: str = "segment_id") -> DataFrame:
-    """Segments that are not done, one call a manifest, each segment's answer by its id, then by its job's key; joined with what was done.
+def reported(answers: DataFrame, column: str) -> DataFrame:
+    """answers with error and tries; without word of them one try, and no error where there is an answer."""
+    if "error" not in answers.columns:
+        answers = answers.withColumn("error", F.when(F.col(column).isNull(), "no answer"))
+    return answers if "tries" in answers.columns else answers.withColumn("tries", F.lit(1))
 
-    jobs: key, manifest, segment_id; call: from manifest, jobs to manifest and responses (map from id to annotations);
-    done: key, segment_id, annotations.
-    """
-    from . import resume
 
-    left = resume.pending(jobs, done, ["key"])
-    asked = call(resume.by_manifest(left, "manifest", order))
-    rows = left.join(asked.select("manifest", "responses"), "manifest", "left")
+def run_segments(jobs: DataFrame, call: Callable[[DataFrame], DataFrame], done: DataFrame, order: str = "segment_id", trial: bool = False) -> DataFrame:
+    """Segments without complete annotations, one call a manifest, each segment's answer by its id, then by its job's key; joined with what was done.
+
+    jobs: key, manifest, segment_id; call: from manifest, jobs to manifest, responses (map from id to annotations) and,
+    if it reports them, error and tries; done: key, segment_id, annotations, and what earlier runs recorded. The result
+    has key, segment_id, annotations, error, tries and state; what failed or came back blank is asked again.
+    """
+    left = resume.pending(jobs, resume.finished(done, trial), ["key"])
+    asked = reported(call(resume.by_manifest(left, "manifest", order)), "responses")
+    rows = left.join(asked.select("manifest", "responses", "error", "tries"), "manifest", "left")
     kind = asked.schema["responses"].dataType.valueType.simpleString()
     own = resume.response_of(F.coalesce("responses", F.from_json(F.lit("{}"), f"map<string, {kind}>")), F.col("segment_id"), F.col("key"), kind)
-    return resume.upserted(done.select("key", "segment_id", "annotations"), rows.select("key", "segment_id", own.alias("annotations")), ["key"])
+    error = F.when(F.col("responses").isNull(), F.coalesce("error", F.lit("no answer")))
+    return resume.recorded(rows.select("key", "segment_id", own.alias("annotations"), error.alias("error"), "tries"), left, done, "key", trial)
 
 
 def video_pairs(files: DataFrame, kind: str) -> DataFrame:
