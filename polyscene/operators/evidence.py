@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import dims, text
 
 
+def last_results(results: DataFrame, key: str = "pair_key") -> DataFrame:
+    """Of the results of one sample and modality the last: by position in the file if there is such a column, else by key."""
+    order = F.struct("position", key) if "position" in results.columns else F.struct(key)
+    rows = results.groupBy("modality", text.fusion_key(F.col(key)).alias("_sample")).agg(F.max_by(F.struct(*results.columns), order).alias("_last"))
+    return rows.select("_last.*")
+
+
 def explode_annotations(results: DataFrame, key: str = "pair_key", annotations: str = "annotations") -> DataFrame:
     """One row a numbered question of an annotation. results: modality, key, annotations map.
 

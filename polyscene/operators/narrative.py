@@ -1,111 +1,12 @@
-"""Facts, section routing and captions from evidence."""
+"""Section routing and captions from evidence."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims, text
 
-FACT_TYPES = "object_presence spatial_relation count action motion temporal sound audio_event audio_causality lighting verification scene environment cross_modal non_common".split()
-#: Fact types of a section of the narrative.
-SECTION_TYPES = {
-    "scene_overview": "scene environment object_presence lighting".split(),
-    "visible_objects_and_layout": "object_presence spatial_relation count non_common".split(),
-    "motion_and_event_cues": "action motion temporal verification".split(),
-    "audio_cues": "sound audio_event audio_causality".split(),
-    "cross_modal_details": ["cross_modal"],
-}
-PRIORITY_TYPES = {**SECTION_TYPES, "scene_overview": "scene environment lighting object_presence count".split()}
-
-
-def _holds(c: Column, *words: str) -> Column:
-    return c.rlike("|".join(words))
-
-
-def fact_type(section: Column, question: Column, answer: Column, caption: Column) -> Column:
-    """The first rule that fits: by the section's name, then by what the text says."""
-    said = F.lower(F.concat_ws(" ", section, question, answer, caption))
-    q, s = F.lower(F.trim(question)), F.lower(section)
-    heard = said.rlike("sound|audio|scraping|thwack")
-    return (
-        F.when(s.contains("audio_") | s.startswith("audio"), F.when(_holds(s, "chronological", "temporal"), F.lit("audio_event")).when(_holds(s, "source", "causality", "inferential"), F.lit("audio_causality")).otherwise("sound"))
-        .when(s.contains("object_recognition"), F.lit("object_presence"))
-        .when(_holds(s, "spatial_reasoning", "navigation"), F.lit("spatial_relation"))
-        .when(s.contains("counting"), F.lit("count"))
-        .when(_holds(s, "dynamic_recognition", "scene_sequence"), F.lit("motion"))
-        .when(s.contains("action"), F.lit("action"))
-        .when(_holds(s, "light_recongnition", "light_recognition", "light_change"), F.lit("lighting"))
-        .when(s.contains("text_recognition"), F.lit("object_presence"))
-        .when(s.contains("non_common"), F.lit("non_common"))
-        .when(heard, F.when(_holds(said, "cause", "result", "due to"), F.lit("audio_causality")).when(_holds(said, "characteristics", "texture", "tempo", "source", "identification"), F.lit("audio_event")).otherwise("sound"))
-        .when(_holds(said, "light", "illumination", "brightness", "shadow", "luminous"), F.lit("lighting"))
-        .when(q.rlike("^how (?:many|much)") | answer.rlike(f"{text.EDGE}[0-9]+{text.END}"), F.lit("count"))
-        .when(q.rlike("^(?:where|which side|in which direction)") | _holds(said, "to the left", "to the right", "on the", "in front", "behind", "above", "below"), F.lit("spatial_relation"))
-        .when(q.rlike("^what (?:action|is happening|occurs|does|do)"), F.lit("action"))
-        .when(_holds(said, "enter", "lift", "grasp", "pick up", "move", "motion", "moving", "sequence"), F.lit("motion"))
-        .when(q.rlike("^(?:when|at what frame)") | said.rlike(f"frame_|{text.EDGE}frame{text.END}"), F.lit("temporal"))
-        .when(text.yes_no(answer) | q.rlike("^(?:is|are|was|were|did|does|do) "), F.lit("verification"))
-        .when(_holds(said, "setting", "scene", "workspace", "kitchen", "room", "environment"), F.lit("scene"))
-        .when(_holds(said, "object", "device", "tool", "item", "carrot", "bowl", "knife", "peeler", "laptop", "hands"), F.lit("object_presence"))
-        .when(_holds(said, "match", "correspond", "consistent", "align", "reinforced", "cross modal"), F.lit("cross_modal"))
-        .when(_holds(said, "unsafe", "odd", "wrong", "uncommon", "non common", "impossible"), F.lit("non_common"))
-        .otherwise("environment")
-    )
-
-
-def fact_attribute(question: Column, kind: Column) -> Column:
-    out = dims.choose(kind, {"count": "count", "lighting": "illumination", "verification": "truth_value", "temporal": "time", "scene": "scene_type", "non_common": "anomaly", "cross_modal": "agreement"}, "fact")
-    place = F.when(F.lower(text.clean(question)).contains(" of the "), F.lit("relative_location")).otherwise("location")
-    return F.when(kind == "spatial_relation", place).when(kind.isin("sound", "audio_event", "audio_causality"), F.lit("audio")).when(kind.isin("action", "motion"), F.lit("motion")).otherwise(out)
-
-
-def fact_value(answer: Column, caption: Column, kind: Column) -> Column:
-    first, shown = text.first_fragment(answer), text.clean(caption)
-    number = F.regexp_extract(shown, f"{text.EDGE}([0-9]+){text.END}", 1)
-    said = F.when(kind == "verification", F.concat(F.upper(F.substring(first, 1, 1)), F.lower(F.substring(first, 2, 1 << 30)))).otherwise(first)
-    return F.when(first != "", said).when((kind == "count") & (number != ""), number).otherwise(shown)
-
-
-def fact_entity(question: Column, answer: Column, kind: Column) -> Column:
-    first, q = text.first_fragment(answer), text.clean(question)
-    asked = F.regexp_extract(q, r"(?i)how many\s+(.+?)(?:\s+(?:are|is|do|does|appear|visible|present|in|on)(?![\p{L}\p{N}_])|\?|$)", 1)
-    asked = text.clean(F.element_at(F.split(asked, r"(?i)(?<![\p{L}\p{N}_])(?:are|is|do|does|moves?|enters?|appears?|starts?|begins?|in|on|at|with|during|while|to)(?![\p{L}\p{N}_])"), 1))
-    directed = F.lower(first).rlike("left|right|above|below|in front|behind|center|middle")
-    return F.when(first == "", F.lit("")).when((kind == "count") & q.rlike(r"(?i)how many\s+."), asked).when(kind == "temporal", q).when((kind == "spatial_relation") & directed, q).otherwise(first)
-
-
-def fact_score(kind: Column, section: str, confidence: Column, reliability: Column, support: Column, entity: Column) -> Column:
-    typed = F.when(kind.isin(SECTION_TYPES[section]), 0.7).otherwise(0.0) + F.when(kind.isin(PRIORITY_TYPES[section]), 0.35).otherwise(0.0)
-    wide = F.when(F.size(F.split(text.clean(entity), " ")) > 1, 0.1).otherwise(0.0) if section == "cross_modal_details" else F.lit(0.0)
-    return confidence * 0.8 + reliability * 0.6 + support * 0.5 + typed + wide
-
-
-def top_facts(facts: DataFrame, section: str, most: int) -> DataFrame:
-    """Of each sample the best facts of a section: of its types if there are any, each once. facts: sample_id, id, modality, fact_type, entity, attribute, value, confidence, reliability, support."""
-    whole = Window.partitionBy("sample_id")
-    rows = facts.withColumn("own", F.col("fact_type").isin(SECTION_TYPES[section])).withColumn("any", F.max("own").over(whole)).filter("own or not any")
-    rows = rows.withColumn("score", fact_score(F.col("fact_type"), section, F.col("confidence"), F.col("reliability"), F.col("support"), F.col("entity"))).filter("score > 0")
-    once = Window.partitionBy("sample_id", "modality", "fact_type", "entity", "attribute", "value").orderBy("id")
-    rows = rows.withColumn("n", F.row_number().over(once)).filter("n = 1")
-    order = whole.orderBy(F.round("score", 9).desc(), F.desc("confidence"), F.desc("reliability"), "modality", "id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("own", "any", "n")
-
-
-def clause(modality: Column, kind: Column, entity: Column, value: Column) -> Column:
-    m, v = F.upper(modality), F.when(value != "", value).otherwise(entity)
-    named = (entity != "") & (value != "") & ~text.looks_like_question(entity)
-    verb = dims.choose(kind, {"object_presence": "grounds", "action": "captures", "motion": "captures", "sound": "captures", "audio_event": "captures", "audio_causality": "captures", "lighting": "describes", "verification": "confirms", "temporal": "anchors the event at", "non_common": "flags", "scene": "sets the scene as", "cross_modal": "links"}, "notes")
-    return (
-        F.when((kind == "spatial_relation") & named, F.concat_ws(" ", m, F.lit("places"), entity, value))
-        .when((kind == "spatial_relation") & (value != ""), F.concat_ws(" ", m, F.lit("places"), value))
-        .when((kind == "count") & named, F.concat_ws(" ", m, F.lit("counts"), value, entity))
-        .when(kind == "count", F.concat_ws(" ", m, F.lit("counts"), value))
-        .when((verb == "notes") & named & (F.lower(entity) != F.lower(value)), F.concat_ws(" ", m, F.lit("grounds"), entity, F.lit("as"), value))
-        .otherwise(F.concat_ws(" ", m, verb, v))
-    )
-
-
 # What a section's own rules add: (where to look, what for, how much), and the share and limit of keywords.
 # Looked at are the category (anywhere in it), the question (its beginning), what is said (anywhere in it), or tokens (none of them).
 ROUTE_RULES = {

@@ -121,6 +121,7 @@ def deduplicated(items: DataFrame, keys: list[str], exact: bool = True, above: f
     the keys: a kept item alone can make later ones duplicates. The fold's state is the kept items of one sample.
     """
     meaning, none = cosine_from is not None, F.lit("")  # what no stage asks for is not carried
+    of = items.schema["id"].dataType.simpleString()
     vector = F.col("vector") if cosine_from is not None else F.lit(None).cast("array<double>")
     one = F.struct(
         (-F.col("score")).alias("far"), F.col("id").alias("id"), (F.lower(text.clean(F.col("question"))) if exact else none).alias("q"), (F.lower(text.clean(F.col("answer"))) if exact or meaning else none).alias("a"),
@@ -135,21 +136,21 @@ def deduplicated(items: DataFrame, keys: list[str], exact: bool = True, above: f
 
     def meant(kept: Column, x: Column) -> Column:
         if cosine_from is None:
-            return F.lit(None).cast("bigint")
+            return F.lit(None).cast(of)
         dot = lambda k: F.aggregate(F.zip_with(x["vector"], k["vector"], lambda u, v: u * v), F.lit(0.0), lambda s, y: s + y)
         fits = F.filter(kept, lambda k: (dot(k) >= cosine_from) & ~duplicate_conflict(x["said"], k["said"]) & compatible(x["a"], k["a"]))
         best = F.try_element_at(F.array_sort(F.transform(fits, lambda k: F.struct((-dot(k)).alias("far"), k["far"].alias("f"), k["id"].alias("id")))), F.lit(1))
-        return F.when(F.size(fits) > 0, best["id"]).cast("bigint")
+        return F.when(F.size(fits) > 0, best["id"]).cast(of)
 
-    kind = "array<struct<far:double,id:bigint,q:string,a:string,tokens:array<bigint>,said:string,vector:array<double>>>"
-    done = "array<struct<id:bigint,outcome:string,duplicate_of:bigint>>"
+    kind = f"array<struct<far:double,id:{of},q:string,a:string,tokens:array<bigint>,said:string,vector:array<double>>>"
+    done = f"array<struct<id:{of},outcome:string,duplicate_of:{of}>>"
     zero = F.struct(F.array().cast(kind).alias("kept"), F.array().cast(done).alias("done"))
 
     def step(acc: Column, x: Column) -> Column:
         first = judge(acc["kept"], x)
         twin = F.when(first.isNull(), meant(acc["kept"], x))
         outcome = F.coalesce(first, F.when(twin.isNotNull(), F.lit("duplicate_semantic_qa")), F.lit("kept"))
-        row = F.struct(x["id"].cast("bigint").alias("id"), outcome.alias("outcome"), twin.alias("duplicate_of"))
+        row = F.struct(x["id"].cast(of).alias("id"), outcome.alias("outcome"), twin.alias("duplicate_of"))
         return F.struct(F.when(outcome == "kept", F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).cast(kind).alias("kept"), F.concat(acc["done"], F.array(row)).cast(done).alias("done"))
 
     folded = ordered.select(*keys, F.explode(F.aggregate(F.col("all").cast(kind), zero, step, lambda acc: acc["done"])).alias("d"))

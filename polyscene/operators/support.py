@@ -131,7 +131,7 @@ def support(evidence: DataFrame, scored: DataFrame) -> DataFrame:
         listed("weak_or_irrelevant", dims.MIN_SUPPORT).alias("weak"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("other_modality", F.struct(*fields))))).alias("by_modality"),
     )
-    first = lambda c: F.max_by("other_evidence_id", F.when(F.col(c) > 0, F.struct(c, -F.col("other_evidence_id"))))
+    first = lambda c: F.min_by("other_evidence_id", F.when(F.col(c) > 0, F.struct((-F.col(c)).alias("far"), "other_evidence_id")))
     whole = scored.groupBy("evidence_id").agg(
         F.max("lexical").alias("lexical_score"), F.max("semantic").alias("semantic_score"), F.max_by("cosine", F.when(F.col("semantic") > 0, F.col("semantic"))).alias("cosine"),
         first("lexical").alias("lexical_match"), first("semantic").alias("semantic_match"),

@@ -7,19 +7,24 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dims
 from ..operators import evidence as ev
+from ..operators import facts as stated
 from ..operators import fields, narrative, reports, selection, support
+from ..sources.store import stored
 
 SEMANTIC_DUPLICATE = 0.9
 
 
 @dataclass(frozen=True)
 class Fused:
-    """candidates: every evidence with score, gate, reasons and outcome (selected, review, dropped); sections: captions of each sample."""
+    """candidates: every evidence with score, gate, reasons and outcome (selected, review, dropped); sections: captions of each sample; facts: what its evidence states."""
 
     candidates: DataFrame
     sections: DataFrame
     reliability: DataFrame
+    facts: DataFrame
+    relaxed: bool = False
 
     @property
     def selected(self) -> DataFrame:
@@ -40,6 +45,14 @@ class Fused:
     def _queue(self, outcome: str) -> DataFrame:
         return self.candidates.filter(F.col("outcome") == outcome)
 
+    def scene_graph(self) -> DataFrame:
+        """The facts of each section's graph."""
+        return stated.graph(self.facts, self.relaxed)
+
+    def questions(self) -> DataFrame:
+        """What each section of a sample asks, from its best fact, else from its caption."""
+        return section_questions(self.sections, self.facts, self.reliability)
+
     def diagnostics(self) -> DataFrame:
         """dimension, value, n: outcomes, reasons for a drop, reasons for a review, and priorities."""
         rows = self.candidates
@@ -81,18 +94,48 @@ def judged(evidence: DataFrame, relaxed: bool = False) -> tuple[DataFrame, DataF
     return rows.withColumn("outcome", outcome).withColumn("drop_reason", drop).drop("twin", "tokens", "match_id", *vector), reliable
 
 
+def section_questions(sections: DataFrame, told: DataFrame, reliable: DataFrame) -> DataFrame:
+    """sample_id, section, caption, category, supporting, question, answer, qa_source, fact_type (null if from the caption).
+
+    A section without a caption asks nothing. sections: a caption column a section; told: facts; reliable: as judged gives.
+    """
+    names = list(stated.SECTION_TYPES)
+    best = stated.ranked(told, names).filter("rank = 1")
+    fact = F.struct("fact_type", "entity", "value", F.col("source_answer").alias("answer"))
+    wide = best.groupBy("sample_id").pivot("for_section", names).agg(F.first(fact))
+    wide = wide.select("sample_id", *[F.col(n).alias(f"_{n}") for n in names])
+    trust = reliable.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("modality", "reliability"))).alias("_trust"))  # a modality each
+    rows = sections.join(wide, "sample_id", "left").join(trust, "sample_id", "left")
+
+    def one(n: str):
+        there = F.coalesce(n, F.lit(""))
+        asked = fields.field_question(n, there, F.col(f"_{n}"))
+        kind = F.when(asked["qa_source"] == "semantic_fact", F.col(f"_{n}.fact_type"))
+        return F.struct(F.lit(n).alias("section"), there.alias("caption"), fields.primary_category(n, F.col("_trust")).alias("category"), *[asked[c].alias(c) for c in ("question", "answer", "qa_source")], kind.alias("fact_type"))
+
+    out = rows.select("sample_id", fields.supporting(F.col("_trust")).alias("supporting"), F.explode(F.array(*map(one, names))).alias("q"))
+    return out.select("sample_id", "supporting", "q.*")
+
+
 def fuse(evidence: DataFrame, relaxed: bool = False) -> Fused:
-    """All of it. evidence: as for judged."""
+    """All of it. evidence: as for judged. Evidence and what is judged of it are stored, as several steps read them."""
+    evidence = stored(evidence, "evidence")
     rows, reliable = judged(evidence, relaxed)
     text = evidence.select("evidence_id", "caption", "sentence", "tokens")
     asked = fields.evidence_question(F.col("section"), F.col("question"), F.col("answer"), F.col("caption"))
     full = rows.join(text.drop("tokens"), "evidence_id").withColumn("qa", asked).withColumn("explanation", support.explanation(rows))
-    told = rows.select("sample_id", "evidence_id", "modality", "category", "question", "answer", "reliability", "support_score").join(text, "evidence_id")
-    return Fused(full, narrative.section_captions(told, relaxed), reliable)
+    full = stored(full, "candidates")
+    told = full.select("sample_id", "evidence_id", "modality", "category", "question", "answer", "reliability", "support_score").join(text, "evidence_id")
+    return Fused(full, narrative.section_captions(told, relaxed), reliable, stated.facts(full), relaxed)
 
 
 def fuse_results(results: DataFrame, relaxed: bool = False) -> Fused:
-    """From rows of modality, pair_key and annotations, as result files hold them."""
-    rows = ev.explode_annotations(results)
-    order = F.concat_ws("|", "modality", "raw_key", F.lpad(F.col("annotation_ord").cast("string"), 9, "0"), F.lpad(F.col("qa_ord").cast("string"), 9, "0"))
-    return fuse(rows.withColumn("evidence_id", F.xxhash64(order)), relaxed)
+    """From rows of modality, pair_key and annotations, as result files hold them.
+
+    Of several results of a sample and modality the last counts, by `position` in the file, or, without it, by
+    pair_key. Evidence is numbered in the order of files, so that ties go to what stands first.
+    """
+    rows = ev.explode_annotations(ev.last_results(results))
+    rank = dims.choose(F.col("modality"), {m: k for k, m in enumerate(dims.FUSION_ORDER)}, 9)
+    place = [F.lpad(F.col(c).cast("string"), 9, "0") for c in ("annotation_ord", "qa_ord")]
+    return fuse(rows.withColumn("evidence_id", F.concat_ws("|", "sample_id", rank.cast("string"), "modality", *place)), relaxed)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims, text
-from ..operators import align, cascade, export, fields, models, narrative, reports, resume, runs, segments, selection, support
+from ..operators import align, cascade, export, facts, fields, models, narrative, reports, resume, runs, segments, selection, support
 from ..operators import evidence as ev
 from ..sources import files, store
 from . import adapters as ad
@@ -770,15 +770,15 @@ _FACT = (
 @query(f"WITH {QA} SELECT conv_id, turn, {_FACT} AS fact_type FROM qa")
 def fact_type(spark, d):
     rows = ad.questions(spark, d)
-    return rows.select("conv_id", "turn", narrative.fact_type(F.col("category"), F.col("question"), F.col("answer"), F.lit("")).alias("fact_type"))
+    return rows.select("conv_id", "turn", facts.fact_type(F.col("category"), F.col("question"), F.col("answer"), F.lit("")).alias("fact_type"))
 
 
 @query(f"WITH {EV}, k AS (SELECT sample_id, evidence_id, modality, {_FACT} AS fact_type, round((evidence_id % 10) / 10.0::DOUBLE, 1) AS c FROM evidence), o AS (SELECT *, fact_type IN ('scene', 'environment', 'object_presence', 'lighting') AS own FROM k), a AS (SELECT *, bool_or(own) OVER (PARTITION BY sample_id) AS any_ FROM o), s AS (SELECT *, c * 0.8::DOUBLE + 0.6::DOUBLE + (CASE WHEN own THEN 0.7 ELSE 0 END)::DOUBLE + (CASE WHEN fact_type IN ('scene', 'environment', 'lighting', 'object_presence', 'count') THEN 0.35 ELSE 0 END)::DOUBLE AS score FROM a WHERE own OR NOT any_), u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, modality, fact_type ORDER BY evidence_id) AS n FROM s) WHERE n = 1) SELECT sample_id, rank, evidence_id FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY round(score, 9) DESC, c DESC, modality, evidence_id) AS rank FROM u) WHERE rank <= 3")
 def fact_topk(spark, d):
     rows = ad.evidence(spark, d)
-    kind = narrative.fact_type(F.col("category"), F.lit(""), F.lit(""), F.lit(""))
-    facts = rows.select("sample_id", F.col("evidence_id").alias("id"), "modality", kind.alias("fact_type"), F.lit("").alias("entity"), F.lit("").alias("attribute"), F.lit("").alias("value"), F.round((F.col("evidence_id") % 10) / 10, 1).alias("confidence"), F.lit(1.0).alias("reliability"), F.lit(0.0).alias("support"))
-    return narrative.top_facts(facts, "scene_overview", 3).select("sample_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("evidence_id"))
+    kind = facts.fact_type(F.col("category"), F.lit(""), F.lit(""), F.lit(""))
+    told = rows.select("sample_id", F.col("evidence_id").alias("id"), "modality", kind.alias("fact_type"), F.lit("").alias("entity"), F.lit("").alias("attribute"), F.lit("").alias("value"), F.round((F.col("evidence_id") % 10) / 10, 1).alias("confidence"), F.lit(1.0).alias("reliability"), F.lit(0.0).alias("support"))
+    return facts.top(told, "scene_overview", 3).select("sample_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("evidence_id"))
 
 
 _T0 = "regexp_replace(" + CLEAN.format("trim(answer, ' .,:;')") + ", '^([aA]|[aA][nN]|[tT][hH][eE]) +', '')"

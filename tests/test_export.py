@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from polyscene.operators import export, models, narrative
+from polyscene.operators import export, facts, models, narrative
 from polyscene.sources import files
 
 UNIT = "sample_id string, modality string, section string, caption string, question string, answer string, n int"
@@ -91,12 +91,12 @@ def test_frames(spark, tmp_path):
 def test_facts_and_clauses(spark):
     kinds = [("audio_source", "", "", "", "audio_causality"), ("dynamic_counting", "", "", "", "count"), ("x", "How many cups?", "", "", "count"), ("x", "Where is it?", "", "", "spatial_relation"), ("x", "", "yes", "", "verification"), ("x", "", "", "a kitchen", "scene"), ("x", "", "", "", "environment")]
     df = spark.createDataFrame(kinds, "s string, q string, a string, c string, wanted string")
-    got = df.select(narrative.fact_type(*[F.col(x) for x in "sqac"]).alias("x"), "wanted").collect()
+    got = df.select(facts.fact_type(*[F.col(x) for x in "sqac"]).alias("x"), "wanted").collect()
     assert [r["x"] for r in got] == [r["wanted"] for r in got]
     one = spark.range(1)
-    c = lambda *x: one.select(narrative.clause(*map(F.lit, x)).alias("x")).first()["x"]
+    c = lambda *x: one.select(facts.clause(*map(F.lit, x)).alias("x")).first()["x"]
     assert c("rgb", "count", "cups", "3") == "RGB counts 3 cups" and c("ir", "scene", "", "a room") == "IR sets the scene as a room"
-    assert one.select(narrative.fact_entity(F.lit("How many red cups are there?"), F.lit("3"), F.lit("count")).alias("x")).first()["x"] == "red cups"
+    assert one.select(facts.entity(F.lit("How many red cups are there?"), F.lit("3"), F.lit("count")).alias("x")).first()["x"] == "red cups"
     assert one.select(narrative.joined(F.array(F.lit("a.."), F.lit("b"))).alias("x")).first()["x"] == "a. b."
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from polyscene.functions import dims
-from polyscene.operators import fields, narrative, support
+from polyscene.operators import evidence, facts, fields, narrative, support
 from polyscene.plans import fusion
 
 RESULTS = "modality string, pair_key string, annotations map<string, struct<caption: string, question: string, answer: string>>"
@@ -65,6 +65,52 @@ def test_counts_add_up(fused):
     assert sorted(place) == list(range(1, len(place) + 1))
 
 
+def test_the_last_result_of_a_sample_counts(spark):
+    one = lambda w: {"counting": {"caption": "", "question": f"How many {w}?", "answer": "2"}}
+    rows = [("rgb", "b/cut_carrot_day_rgb.mp4", one("late"), 1), ("rgb", "a/cut_carrot_rgb.mp4", one("early"), 0), ("ir", "a/cut_carrot_ir.mp4", one("other"), 0)]
+    df = spark.createDataFrame(rows, f"{RESULTS}, position long")
+    got = sorted(r["question"] for r in fusion.fuse_results(df).candidates.collect())
+    assert got == ["How many late?", "How many other?"]
+    assert {r["pair_key"] for r in evidence.last_results(df.drop("position")).collect()} == {"b/cut_carrot_day_rgb.mp4", "a/cut_carrot_ir.mp4"}
+
+
+def test_evidence_states_facts(spark, fused):
+    out, rows = fused
+    told = {(r["sample_id"], r["modality"], r["section"]): r for r in out.facts.collect()}
+    assert len(told) == len(rows)
+    count = told["cut", "rgb", "counting"]
+    assert [count[c] for c in ("fact_type", "entity", "attribute", "value", "confidence")] == ["count", f"carrots near the {WORDS}", "count", "3 carrots", 0.85]
+    assert count["support"] == rows["cut", "rgb", "counting"]["support_score"] and count["source_answer"] == "3 carrots"
+    place = told["other", "rgb", "navigation"]
+    assert [place[c] for c in ("fact_type", "entity", "attribute", "value")] == ["spatial_relation", "Where is the exit?", "location", "left"]
+    assert told["cut", "audio", "audio_hia"]["value"].startswith("A sound of steady")
+
+
+def test_graphs_take_the_best_facts(spark, fused):
+    out, _ = fused
+    graph = {}
+    for r in out.scene_graph().orderBy("rank").collect():
+        graph.setdefault((r["sample_id"], r["for_section"]), []).append((r["rank"], r["fact_type"], r["modality"], r["score"]))
+    assert {k: len(v) for k, v in graph.items() if k[0] == "cut"} == {("cut", "scene_overview"): 2, ("cut", "visible_objects_and_layout"): 3, ("cut", "motion_and_event_cues"): 2, ("cut", "audio_cues"): 1}
+    assert {t for _, t, _, _ in graph["cut", "visible_objects_and_layout"]} <= {"object_presence", "count", "non_common"}
+    assert all([x[3] for x in v] == sorted((x[3] for x in v), reverse=True) for v in graph.values())
+    asked = {(r["sample_id"], r["section"]): r for r in out.questions().collect()}
+    assert len(asked) == 12
+    heard = asked["cut", "audio_cues"]
+    if heard["caption"]:
+        assert heard["qa_source"] == "semantic_fact" and heard["fact_type"] == "sound" and heard["category"] == "audio" and heard["question"] == "What audio cue is grounded?"
+    assert all((r["question"] == "") == (r["caption"] == "") for r in asked.values())
+
+
+def test_equal_facts_are_one(spark):
+    rows = [("s", i, m, c, q, a, "cap", 0.5, 0.5) for i, (m, c, q, a) in enumerate([("rgb", "counting", "How many red cups are there?", "1. 3 2. 4"), ("rgb", "counting", "How many red cups do I see?", "3"), ("ir", "counting", "How many red cups do I see?", "3"), ("rgb", "note", "Is it on?", "YES"), ("rgb", "counting", "How many?", ""), (None, None, None, None)])]
+    ev = spark.createDataFrame(rows, "sample_id string, evidence_id int, modality string, category string, question string, answer string, caption string, support_score double, reliability double")
+    got = {r["id"]: r for r in facts.facts(ev).collect()}
+    assert sorted(got) == [0, 2, 3, 4, 5] and got[0]["entity"] == "red cups" and got[3]["value"] == "Yes" and got[4]["entity"] == "" and got[4]["value"] == "cap"
+    assert [r["id"] for r in facts.top(facts.facts(ev.filter("modality is not null")), "visible_objects_and_layout", 9).orderBy("rank").collect()] == [2, 0, 4]
+    assert facts.facts(ev.limit(0)).count() == 0
+
+
 def test_relaxed_mode_keeps_no_less(spark, fused):
     strict = {k for k, r in fused[1].items() if r["keep"]}
     relaxed = {(r["sample_id"], r["modality"], r["category"]) for r in fusion.fuse_results(results(spark), relaxed=True).candidates.filter("keep").collect()}
