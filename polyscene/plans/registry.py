@@ -781,6 +781,99 @@ def fact_topk(spark, d):
     return facts.top(told, "scene_overview", 3).select("sample_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("evidence_id"))
 
 
+#: Questions and answers that meet the rules about texts, one by one; a question and an answer of the table follow them.
+_WORDED = [
+    ("Is it the sound,", "because"), ("Which texture has the audio,", "x"), ("What scraping,", "so"), ("Which shadow,", "x"), ("How many are there,", "some"), ("So", "it has 3 of them"), ("Where,", "x"),
+    ("So, to the left,", "x"), ("What action,", "x"), ("So, grasp it,", "x"), ("At what frame,", "x"), ("So frame_12", "x"), ("So the frame", "x"), ("So is it", "yes"), ("Was it", "x"), ("So the kitchen", "x"),
+    ("So the laptop", "x"), ("So they match", "x"), ("So uncommon", "x"), ("So", "x"),
+]
+_WORD_EDGE, _WORD_END = "(^|[^\\p{L}\\p{N}_])", "($|[^\\p{L}\\p{N}_])"
+
+
+def _typed_by_rules() -> str:
+    """The rules on fact types as one CASE over lower-case columns section, q and said, and a."""
+    any_of = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+    tests = {
+        "named": lambda _: "(starts_with(section, 'audio') OR contains(section, 'audio_'))",
+        "section": lambda w: any_of("section", w),
+        "said": lambda w: any_of("said", w),
+        "cause": lambda w: any_of("said", w),
+        "asked": lambda w: "(" + " OR ".join(f"starts_with(q, '{x}')" for x in w) + ")",
+        "number": lambda _: f"regexp_matches(a, '{_WORD_EDGE}[0-9]+{_WORD_END}')",
+        "alone": lambda w: f"regexp_matches(said, '{_WORD_EDGE}{w[0]}{_WORD_END}')",
+        "yes_no": lambda _: f"lower({CLEAN.format('a')}) IN ('yes', 'no', 'true', 'false')",
+    }
+    cases = [" AND ".join(tests[t](w) for t, w in needed.items()) + f" THEN '{kind}'" for needed, kind in facts.TYPE_RULES]
+    return "CASE WHEN " + " WHEN ".join(cases) + f" ELSE '{facts.OTHER_TYPE}' END"
+
+
+_WORDED_SQL = "[" + ", ".join(f"{{'q': '{q}', 'a': '{a}'}}" for q, a in _WORDED) + f"][(conv_id * 7 + turn) % {len(_WORDED)} + 1]"
+
+
+@query(
+    f"WITH {QA}, w AS (SELECT conv_id, turn, {_WORDED_SQL} AS w, question, answer FROM qa), x AS (SELECT conv_id, turn, w.q || ' ' || question AS q0, CASE WHEN turn % 2 = 0 THEN w.a ELSE w.a || ' ' || answer END AS a FROM w), "
+    "y AS (SELECT conv_id, turn, 'note' AS section, lower(trim(q0)) AS q, a, lower('note ' || q0 || ' ' || a || ' ') AS said FROM x) "
+    f"SELECT conv_id, turn, {_typed_by_rules()} AS fact_type FROM y"
+)
+def fact_rules(spark, d):
+    """Types by what texts say: the section's name tells nothing."""
+    worded = F.element_at(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(a).alias("a")) for q, a in _WORDED]), ((F.col("conv_id") * 7 + F.col("turn")) % len(_WORDED) + 1).cast("int"))
+    rows = ad.questions(spark, d).withColumn("w", worded)
+    rows = rows.select("conv_id", "turn", F.concat_ws(" ", "w.q", "question").alias("q"), F.when(F.col("turn") % 2 == 0, F.col("w.a")).otherwise(F.concat_ws(" ", "w.a", "answer")).alias("a"))
+    return rows.select("conv_id", "turn", facts.fact_type(F.lit("note"), F.col("q"), F.col("a"), F.lit("")).alias("fact_type"))
+
+
+_STRIPPED = "regexp_replace({0}, '^[ .,:;]+|[ .,:;]+$', '', 'g')"
+_FACTS = (
+    f"fc AS (SELECT sample_id, evidence_id AS id, modality, category AS section, question AS q, answer AS a, {_FACT} AS fact_type, support_score AS support, reliability FROM scored), "
+    f"fr AS (SELECT *, coalesce(list_filter(list_transform(regexp_split_to_array({_STRIPPED.format('a')}, ' *[0-9]+\\. *'), lambda x: {_STRIPPED.format('x')}), lambda x: x <> '')[1], {_STRIPPED.format('a')}) AS frag, regexp_extract(q, '{_WORD_EDGE}([0-9]+){_WORD_END}', 2) AS number FROM fc), "
+    f"named AS (SELECT *, CASE WHEN frag = '' THEN '' WHEN fact_type = 'temporal' OR (fact_type = 'spatial_relation' AND regexp_matches(lower(frag), '{'|'.join(facts.PLACES)}')) THEN q ELSE frag END AS entity, "
+    f"CASE WHEN fact_type = 'spatial_relation' AND contains(lower(q), ' of the ') THEN 'relative_location' ELSE {case('fact_type', {k: chr(39) + v + chr(39) for k, v in facts.ATTRIBUTES.items()}, chr(39) + 'fact' + chr(39))} END AS attribute, "
+    "CASE WHEN frag <> '' THEN frag WHEN fact_type = 'count' AND number <> '' THEN number ELSE q END AS value FROM fr), "
+    "told AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, modality, section, fact_type, entity, attribute, value ORDER BY id) AS n FROM named) WHERE n = 1)"
+)
+
+
+@query(f"WITH {QAPAIRS}, {_FUSION}, {_FACTS} SELECT sample_id, id, modality, section, fact_type, attribute, md5(entity) AS entity_md5, md5(value) AS value_md5, round(support, 6) AS support, round(reliability, 6) AS reliability FROM told")
+def fused_facts(spark, d):
+    rows = fusion.fuse(ad.qa_evidence(spark, d)).facts
+    return rows.select("sample_id", "id", "modality", "section", "fact_type", "attribute", F.md5("entity").alias("entity_md5"), F.md5("value").alias("value_md5"), six("support").alias("support"), six("reliability").alias("reliability"))
+
+
+_OF_SECTION = "(VALUES " + ", ".join(f"('{n}', {ad.quoted(facts.SECTION_TYPES[n])}, {ad.quoted(facts.PREFERRED_TYPES[n])}, {facts.GRAPH_LIMITS[False].get(n, 0)})" for n in facts.SECTION_TYPES) + ") v(for_section, types, preferred, most)"
+_RANKED = (
+    f"each AS (SELECT told.*, for_section, most, list_contains(types, fact_type) AS own, list_contains(preferred, fact_type) AS wanted FROM told, {_OF_SECTION}), wide AS (SELECT *, bool_or(own) OVER (PARTITION BY sample_id, for_section) AS has FROM each), "
+    f"rated AS (SELECT *, {facts.CONFIDENCE}::DOUBLE * 0.8::DOUBLE + reliability * 0.6::DOUBLE + support * 0.5::DOUBLE + (CASE WHEN own THEN 0.7 ELSE 0 END)::DOUBLE + (CASE WHEN wanted THEN 0.35 ELSE 0 END)::DOUBLE + (CASE WHEN for_section = 'cross_modal_details' AND contains({CLEAN.format('entity')}, ' ') THEN 0.1 ELSE 0 END)::DOUBLE AS score FROM wide WHERE own OR NOT has), "
+    "once AS (SELECT *, row_number() OVER (PARTITION BY sample_id, for_section, modality, fact_type, entity, attribute, value ORDER BY id) AS k FROM rated), ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id, for_section ORDER BY round(score, 9) DESC, reliability DESC, modality, id) AS rank FROM once WHERE k = 1)"
+)
+
+
+@query(f"WITH {QAPAIRS}, {_FUSION}, {_FACTS}, {_RANKED} SELECT sample_id, for_section, rank, id, round(score, 6) AS score FROM ranked WHERE rank <= most")
+def scene_graph(spark, d):
+    rows = fusion.fuse(ad.qa_evidence(spark, d)).scene_graph()
+    return rows.select("sample_id", "for_section", F.col("rank").cast("long").alias("rank"), "id", six("score").alias("score"))
+
+
+#: Every sample has a caption in all sections but one, by its number.
+_CAPTIONED = "list_filter(" + ad.quoted(list(facts.SECTION_TYPES)) + ", lambda n: n <> " + ad.quoted(list(facts.SECTION_TYPES)) + "[sample_id % 6 + 1])"
+
+
+@query(
+    f"WITH {QAPAIRS}, {_FUSION}, {_FACTS}, {_RANKED}, best AS (SELECT * FROM ranked WHERE rank = 1 AND list_contains({_CAPTIONED}, for_section)), "
+    "asked AS (SELECT *, CASE WHEN for_section = 'visible_objects_and_layout' AND entity <> '' AND value <> '' AND fact_type = 'spatial_relation' THEN 'Where is ' || trim(entity) || ' located?' "
+    "WHEN for_section = 'visible_objects_and_layout' AND entity <> '' AND value <> '' AND fact_type = 'count' THEN 'How many ' || trim(entity) || ' are identified?' "
+    f"ELSE {case('for_section', {k: chr(39) + v + chr(39) for k, v in fields.FACT_QUESTIONS.items()}, chr(39) * 2)} END AS question FROM best) "
+    f"SELECT sample_id, for_section AS section, fact_type, md5({CLEAN.format('question')}) AS question_md5, md5({CLEAN.format('value')}) AS answer_md5 FROM asked"
+)
+def field_questions(spark, d):
+    """Questions of sections that have captions, from the fused run's facts."""
+    names = list(facts.SECTION_TYPES)
+    out = fusion.fuse(ad.qa_evidence(spark, d))
+    captions = out.sections.select("sample_id", *[F.when(F.col("sample_id") % 6 != k, F.lit("A caption.")).otherwise("").alias(n) for k, n in enumerate(names)])
+    rows = fusion.section_questions(captions, out.facts, out.reliability).filter("qa_source = 'semantic_fact'")
+    return rows.select("sample_id", "section", "fact_type", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
+
+
 _T0 = "regexp_replace(" + CLEAN.format("trim(answer, ' .,:;')") + ", '^([aA]|[aA][nN]|[tT][hH][eE]) +', '')"
 _SEP = "t"
 for _s in reversed(text.SEPARATORS):
