@@ -1,7 +1,7 @@
 """Documents packed into sequences: vector best-fit over three capacities.
 
-1. Tasks turn texts into ids, a text's white-space words looked up in a table of the words met so far, end them with
-   the closing id, and cut what is longer than a sequence into pieces. Pieces are stored in the shared folder, each
+1. Tasks turn texts into ids, a text's words looked up in a table of the words met so far, end them with the closing
+   id, and cut what is longer than a sequence into pieces. Pieces are stored in the shared folder, each
    with its task and its number among the task's pieces of its length.
 2. A piece's demands (tokens, one document, attention cost: tokens squared) follow from its length. So pieces are
    counted by length in Spark, and the counts, as many as a sequence has tokens at most, are packed on the driver:
@@ -27,6 +27,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,34 @@ from pyspark.sql import types as T
 
 from .common import released, ship, slices, stored, texts_of
 
-#: Bytes of a text that are split at once, and words that a task's table holds at most.
+#: Bytes of a text that are split at once, and words from which on a task's table starts anew.
 CHUNK, WORDS = 1 << 20, 500_000
 #: What tokens, documents and attention cost count for when sequences are compared.
 WEIGHTS = (1.0, 0.01, 0.01)
-#: ASCII white space: no token of the vocabulary crosses it, so words between are encoded alone.
+#: ASCII white space: no token of the vocabulary crosses it, so what stands between is encoded alone.
 GAP = re.compile(rb"[\x20\x09-\x0D]")
+#: Within ASCII the tokenizer's own split ends where letters, digits and other characters meet, but for letters after an
+#: apostrophe. What stands between white space and is not all ASCII is one word here.
+WORD = re.compile(rb"[^\x20\x09-\x0D\x80-\xFF]*+[\x80-\xFF][^\x20\x09-\x0D]*|[A-Za-z]+|'[A-Za-z]+|[0-9]|[^\x20\x09-\x0D0-9A-Za-z]+")
+#: How special tokens begin: texts that hold this are cut at white space alone.
+SPECIAL = b"<|"
+
+
+#: Words that are encoded as one text, and those of ASCII that may, as others of letters alone may.
+TOGETHER, PLAIN = 4096, re.compile(rb"[A-Za-z]+|[0-9]|(?!'[A-Za-z])[^\x20\x09-\x0D0-9A-Za-z\x80-\xFF]+")
+
+
+class Numbers(dict):
+    """A number for each word, the next one for a new word."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def room(x: np.ndarray, used: int, more: int) -> np.ndarray:
+    """x with room for more values after those used."""
+    return x if used + more <= len(x) else np.concatenate([x[:used], np.zeros(max(used, more), x.dtype)])
 
 
 class WordIds:
@@ -56,21 +79,50 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab(True)
+        self.last = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)  # pieces that end a word
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last[[k for piece, k in vocabulary.items() if suffix and piece.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.runs: list[np.ndarray] = []
-        self.known = 0
-
-    def learn(self, fresh: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)
-        self.runs += [np.array(g.ids, np.uint32) for g in got]
-        for w in fresh:
-            self.number[w] = len(self.number)
-        self.lengths = np.fromiter(map(len, self.runs), np.int64, len(self.runs))
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.concatenate([*self.runs, np.zeros(0, np.uint32)])
+        self.number = Numbers()
+        self.ends, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and how many each has.
+
+        No word gives nothing, so where as many words end as there are, each of them is one word of the tokenizer.
+        """
+        chunks = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        got = self.tokenizer.encode_batch([b" ".join(c).decode() for c in chunks], add_special_tokens=False)
+        out = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+        for c, g in zip(chunks, got, strict=True):
+            ids = np.array(g.ids, np.uint32)
+            many = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+            out.append((ids, many) if len(many) == len(c) and many.sum() == len(ids) else self.apart(c))
+        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+    def apart(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [g.ids for g in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def learn(self, fresh: list[bytes], known: int) -> None:
+        """Ids of new words, whose numbers begin at known."""
+        plain = np.fromiter((PLAIN.fullmatch(w) is not None if w.isascii() else w.decode().isalpha() for w in fresh), bool, len(fresh))
+        many, runs = np.zeros(len(fresh), np.int64), []
+        for mine, encode in ((plain, self.encoded), (~plain, self.apart)):
+            ids, many[mine] = encode([fresh[k] for k in np.flatnonzero(mine)])
+            runs.append(ids)
+        # back into the order of numbers
+        at, ends = np.where(plain, 0, len(runs[0])), np.cumsum(many)
+        for mine in (plain, ~plain):
+            at[mine] += np.cumsum(many[mine]) - many[mine]
+        new = np.concatenate(runs)[np.repeat(at - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)]
+        used = int(self.ends[known])
+        self.flat, self.ends = room(self.flat, used, len(new)), room(self.ends, known + 1, len(fresh))
+        self.flat[used : used + len(new)] = new
+        self.ends[known + 1 : known + 1 + len(fresh)] = used + ends
 
     def chunks(self, text: bytes) -> Iterator[bytes]:
         at = 0
@@ -82,19 +134,19 @@ class WordIds:
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
-        split = [t.split() for t in texts]
-        fresh = list(dict.fromkeys(w for words in split for w in words if w not in self.number))
-        if fresh and len(self.number) + len(fresh) > WORDS:
+        split = [t.split() if SPECIAL in t else WORD.findall(t) for t in texts]
+        if len(self.number) > WORDS:
             self.clear()
-            fresh = list(dict.fromkeys(w for words in split for w in words))
-        if fresh:
-            self.learn(fresh)
-        numbers = np.fromiter((self.number[w] for words in split for w in words), np.int64)
+        known = len(self.number)
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64)
+        if len(self.number) > known:
+            self.learn(list(islice(self.number, known, None)), known)
         if not len(numbers):
             return [np.zeros(0, np.uint32) for _ in texts]
-        many = self.lengths[numbers]
+        starts = self.ends[numbers]
+        many = self.ends[numbers + 1] - starts
         ends = np.cumsum(many)
-        flat = self.flat[np.repeat(self.starts[numbers] - (ends - many), many) + np.arange(ends[-1])]
+        flat = self.flat[np.repeat(starts - (ends - many), many) + np.arange(ends[-1])]
         bounds = np.concatenate([[0], ends])[np.cumsum([len(w) for w in split])]
         return np.split(flat, bounds[:-1])
 
@@ -257,7 +309,8 @@ def pack(docs: DataFrame, path: str, keep: dict[str, Column], most_tokens: int,
     plans = [planned(found, most_tokens, documents, cost, x) for x in ([by] if by else ["norm", "dot"])]
     runs = min(plans, key=lambda p: p[0])[1]
     own = ["piece", "start", "length", "ids_crc32", *(["token_ids"] if ids else [])]
-    ranked = cut.join(starts.select("task", "length", "before"), ["task", "length"])  # a key has rows of one task alone
+    # a key has rows of one task alone; the counts grow with the tasks, so they are not broadcast
+    ranked = cut.join(starts.select("task", "length", "before").hint("shuffle_merge"), ["task", "length"])
     rows = placed(ranked.select(*names, *own, (F.col("before") + F.col("nth")).alias("rank")), runs, len(keep))
     return rows.select(*[F.col(x).alias(a) for x, a in zip(names, keep, strict=True)], *own, "sequence_id", "offset")
 
