@@ -43,23 +43,23 @@ from .common import released, ship, slices, stored, texts_of
 CHUNK, WORDS = 1 << 20, 500_000
 #: What tokens, documents and attention cost count for when sequences are compared.
 WEIGHTS = (1.0, 0.01, 0.01)
-#: ASCII white space: no token of the vocabulary crosses it, so what stands between is encoded alone.
-GAP = re.compile(rb"[\x20\x09-\x0D]")
-#: Within ASCII the tokenizer's own split ends where letters, digits and other characters meet, but for letters after an
-#: apostrophe. What stands between white space and is not all ASCII is one word here.
-WORD = re.compile(rb"[^\x20\x09-\x0D\x80-\xFF]*+[\x80-\xFF][^\x20\x09-\x0D]*|[A-Za-z]+|'[A-Za-z]+|[0-9]|[^\x20\x09-\x0D0-9A-Za-z]+")
+#: ASCII white space, which no token of the vocabulary crosses, and what stands between.
+GAP, BETWEEN = re.compile(r"[\x20\x09-\x0D]"), re.compile(r"[^\x20\x09-\x0D]+")
+#: Letters of ASCII and Latin-1, other characters of ASCII but digits and white space, and what is neither of these two.
+LETTER, MARK, OTHER = r"A-Za-zÀ-ÖØ-öø-ÿ", r"[^\x20\x09-\x0D0-9A-Za-z\x80-\U0010FFFF]", r"\x80-¿×÷Ā-\U0010FFFF"
+#: The tokenizer's own split ends where such letters, digits and marks meet, but for letters after an apostrophe.
+#: What stands between white space and holds other characters is one word here.
+WORD = re.compile(rf"[^\x20\x09-\x0D{OTHER}]*+[{OTHER}][^\x20\x09-\x0D]*|[{LETTER}]+|'[{LETTER}]+|[0-9]|{MARK}+")
 #: How special tokens begin: texts that hold this are cut at white space alone.
-SPECIAL = b"<|"
-
-
-#: Words that are encoded as one text, and those of ASCII that may, as others of letters alone may.
-TOGETHER, PLAIN = 4096, re.compile(rb"[A-Za-z]+|[0-9]|(?!'[A-Za-z])[^\x20\x09-\x0D0-9A-Za-z\x80-\xFF]+")
+SPECIAL = "<|"
+#: Words that are encoded as one text, and those that may, as others of letters alone may.
+TOGETHER, PLAIN = 4096, re.compile(rf"[{LETTER}]+|[0-9]|(?!'[A-Za-z]){MARK}+")
 
 
 class Numbers(dict):
     """A number for each word, the next one for a new word."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         return n
 
@@ -89,13 +89,13 @@ class WordIds:
         self.number = Numbers()
         self.ends, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, one after the other, and how many each has.
 
         No word gives nothing, so where as many words end as there are, each of them is one word of the tokenizer.
         """
         chunks = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
-        got = self.tokenizer.encode_batch([b" ".join(c).decode() for c in chunks], add_special_tokens=False)
+        got = self.tokenizer.encode_batch([" ".join(c) for c in chunks], add_special_tokens=False)
         out = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
         for c, g in zip(chunks, got, strict=True):
             ids = np.array(g.ids, np.uint32)
@@ -103,13 +103,13 @@ class WordIds:
             out.append((ids, many) if len(many) == len(c) and many.sum() == len(ids) else self.apart(c))
         return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
-    def apart(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        got = [g.ids for g in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+    def apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [g.ids for g in self.tokenizer.encode_batch(words, add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
 
-    def learn(self, fresh: list[bytes], known: int) -> None:
+    def learn(self, fresh: list[str], known: int) -> None:
         """Ids of new words, whose numbers begin at known."""
-        plain = np.fromiter((PLAIN.fullmatch(w) is not None if w.isascii() else w.decode().isalpha() for w in fresh), bool, len(fresh))
+        plain = np.fromiter((PLAIN.fullmatch(w) is not None or w.isalpha() for w in fresh), bool, len(fresh))
         many, runs = np.zeros(len(fresh), np.int64), []
         for mine, encode in ((plain, self.encoded), (~plain, self.apart)):
             ids, many[mine] = encode([fresh[k] for k in np.flatnonzero(mine)])
@@ -124,7 +124,7 @@ class WordIds:
         self.flat[used : used + len(new)] = new
         self.ends[known + 1 : known + 1 + len(fresh)] = used + ends
 
-    def chunks(self, text: bytes) -> Iterator[bytes]:
+    def chunks(self, text: str) -> Iterator[str]:
         at = 0
         while at < len(text):
             gap = GAP.search(text, at + CHUNK)
@@ -132,9 +132,9 @@ class WordIds:
             yield text[at:end]
             at = end
 
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        split = [t.split() if SPECIAL in t else WORD.findall(t) for t in texts]
+        split = [(BETWEEN if SPECIAL in t else WORD).findall(t) for t in texts]
         if len(self.number) > WORDS:
             self.clear()
         known = len(self.number)
@@ -151,10 +151,21 @@ class WordIds:
         return np.split(flat, bounds[:-1])
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        texts = [t or b"" for t in texts]
-        if all(len(t) <= CHUNK for t in texts):
-            return self.ids(texts)
-        return [np.concatenate([np.zeros(0, np.uint32), *(self.ids([c])[0] for c in self.chunks(t))]) for t in texts]
+        said = [t.decode() if t else "" for t in texts]
+        if all(len(t) <= CHUNK for t in said):
+            return self.ids(said)
+        return [np.concatenate([np.zeros(0, np.uint32), *(self.ids([c])[0] for c in self.chunks(t))]) for t in said]
+
+
+_held: dict[str, WordIds] = {}
+
+
+def word_ids(source: str) -> WordIds:
+    """This worker's table, which its later tasks use as well."""
+    if source not in _held:
+        _held.clear()
+        _held[source] = WordIds(source)
+    return _held[source]
 
 
 def pieces(docs: DataFrame, path: str, keep: dict[str, Column], most: int, closing: int, text: str, ids: bool) -> DataFrame:
@@ -170,7 +181,7 @@ def pieces(docs: DataFrame, path: str, keep: dict[str, Column], most: int, closi
     schema = T.StructType([*src.schema.fields[:n], *(T.StructField(*x) for x in own)])
 
     def run(batches):
-        work, task, met = WordIds(source), TaskContext.get().partitionId(), {}
+        work, task, met = word_ids(source), TaskContext.get().partitionId(), {}
         for batch in batches:
             column = batch.column(n)
             for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), CHUNK):
