@@ -52,8 +52,10 @@ def reliability(evidence: DataFrame) -> DataFrame:
     bit = dims.choose(F.col("modality"), {m: 1 << i for i, m in enumerate(names)}, 0)
     rows = evidence.select("sample_id", bit.alias("bit"), F.explode_outer(text.token_keys(F.col("tokens"))).alias("token"))
     masks = rows.groupBy("sample_id", "token").agg(F.bit_or("bit").alias("mask"))
-    word, has = F.col("token").isNotNull(), lambda m: F.col("mask").bitwiseAND(1 << names.index(m)) > 0
-    n = lambda c: F.count_if(word & c)
+    # a sample has few masks, whatever the number of its words, so the many sums below are of few rows
+    masks = masks.groupBy("sample_id", "mask").agg(F.count("token").alias("words"))
+    has = lambda m: F.col("mask").bitwiseAND(1 << names.index(m)) > 0
+    n = lambda c: F.sum(F.when(c, F.col("words")).otherwise(0))
     two = [(x, y) for i, x in enumerate(names) for y in names[i + 1 :]]
     several = F.bit_count("mask") >= 2
     sums = masks.groupBy("sample_id").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..operators import evidence as ev
 from ..operators import facts as stated
-from ..operators import fields, narrative, reports, selection, support
+from ..operators import fields, matching, narrative, reports, selection, support
 from ..sources.store import stored
 
 SEMANTIC_DUPLICATE = 0.9
@@ -72,7 +72,7 @@ def judged(evidence: DataFrame, relaxed: bool = False) -> tuple[DataFrame, DataF
     deduplication; the rest is deduplicated within the sample: equal texts, then tokens, then meaning.
     """
     reliable = support.reliability(evidence)
-    scored = support.support(evidence, support.pairs(evidence)).join(reliable, ["sample_id", "modality"])
+    scored = support.support(evidence, support.pairs(evidence) if "vector" in evidence.columns else matching.best_pairs(evidence)).join(reliable, ["sample_id", "modality"])
     said = evidence.select("evidence_id", "question", "answer", "qa_index", "tokens", *(["vector"] if "vector" in evidence.columns else []))
     has_qa = ((F.col("question") != "") & (F.col("answer") != "")).alias("has_qa")
     rows = selection.gated(scored.join(said, "evidence_id").select("*", has_qa), relaxed)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims, text
-from ..operators import align, cascade, export, facts, fields, models, narrative, reports, resume, runs, segments, selection, support
+from ..operators import align, cascade, export, facts, fields, matching, models, narrative, reports, resume, runs, segments, selection, support
 from ..operators import evidence as ev
 from ..sources import files, store
 from . import adapters as ad
@@ -125,8 +125,8 @@ def jaccard_pairs(spark, d):
 
 @query(f"WITH {PAIRS} SELECT evidence_id, other_modality, other_evidence_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id, other_modality ORDER BY score DESC, other_evidence_id) AS n FROM pairs WHERE score > 0) WHERE n = 1")
 def best_match(spark, d):
-    p = support.pairs(ad.with_tokens(ad.evidence(spark, d)))
-    return support.best_match(p).select("evidence_id", "other_modality", "other_evidence_id", six("score").alias("score"))
+    p = matching.best_pairs(ad.with_tokens(ad.evidence(spark, d)))
+    return p.select("evidence_id", "other_modality", "other_evidence_id", six("score").alias("score"))
 
 
 _WORDS = "words AS (SELECT sample_id, modality, list_distinct(flatten(list(tokens))) AS w FROM tok GROUP BY 1, 2), anchors AS (SELECT sample_id, list(t) AS a FROM (SELECT sample_id, t FROM (SELECT sample_id, modality, unnest(tokens) AS t FROM tok) GROUP BY 1, 2 HAVING count(DISTINCT modality) >= 2) GROUP BY 1), over_ AS (SELECT a.sample_id, a.modality, coalesce(avg(CASE WHEN len(b.w) > 0 THEN " + JACCARD.format("a.w", "b.w") + " END), 0.0) AS o FROM words a JOIN words b ON a.sample_id = b.sample_id AND a.modality <> b.modality GROUP BY 1, 2), rel AS (SELECT w.sample_id, w.modality, CASE WHEN o IS NULL THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.15::DOUBLE + o * 2.5::DOUBLE + (CASE WHEN a IS NULL THEN 1.0::DOUBLE ELSE len(list_intersect(w.w, a))::DOUBLE / len(a) END) * 1.3::DOUBLE)) END AS reliability FROM words w LEFT JOIN over_ USING (sample_id, modality) LEFT JOIN anchors USING (sample_id))"
@@ -157,8 +157,8 @@ _RELATED = (
 
 @query(f"WITH {PAIRS}, {_RELATED} SELECT evidence_id, round(lexical_score, 6) AS lexical_score, round(support_score, 6) AS support_score, supporting, complementary, weak FROM supported")
 def support_relations(spark, d):
-    rows = ad.with_tokens(ad.evidence(spark, d))
-    out = support.support(rows, support.pairs(rows))
+    rows = tokenised(spark, d)
+    out = support.support(rows, matching.best_pairs(rows))
     return out.select("evidence_id", six("lexical_score").alias("lexical_score"), six("support_score").alias("support_score"), "supporting", "complementary", "weak")
 
 
@@ -180,9 +180,15 @@ _GATED = (
 )
 
 
+def tokenised(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence with its tokens, made once, as several steps read them."""
+    rows = ad.with_tokens(ad.evidence(spark, d)).select("sample_id", "evidence_id", "modality", "category", "tokens")
+    return store.stored(rows, "tokens")
+
+
 def gated_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = ad.with_tokens(ad.evidence(spark, d))
-    scored = support.support(rows, support.pairs(rows)).join(support.reliability(rows), ["sample_id", "modality"])
+    rows = tokenised(spark, d)
+    scored = support.support(rows, matching.best_pairs(rows)).join(support.reliability(rows), ["sample_id", "modality"])
     qa = F.when(F.col("evidence_id") % 2 == 0, F.col("evidence_id")).alias("qa_index")
     return selection.gated(scored.select("*", qa, (F.col("evidence_id") % 3 > 0).alias("has_qa")))
 
@@ -1123,6 +1129,6 @@ def combined_labels(spark, d):
 
 @query(f"WITH {PAIRS}, {_RELATED}, {_WORDS} SELECT sample_id, modality, round(max(reliability), 3) AS reliability, count(*) AS n, count(*) FILTER (WHERE support_score >= {dims.SUPPORTING}) AS supported FROM supported JOIN rel USING (sample_id, modality) GROUP BY 1, 2")
 def modality_reliability_max(spark, d):
-    rows = ad.with_tokens(ad.evidence(spark, d))
-    scored = support.support(rows, support.pairs(rows)).join(support.reliability(rows), ["sample_id", "modality"])
+    rows = tokenised(spark, d)
+    scored = support.support(rows, matching.best_pairs(rows)).join(support.reliability(rows), ["sample_id", "modality"])
     return scored.groupBy("sample_id", "modality").agg(F.round(F.max("reliability"), 3).alias("reliability"), F.count("*").alias("n"), F.count_if(F.col("support_score") >= dims.SUPPORTING).alias("supported"))
