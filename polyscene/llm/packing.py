@@ -17,7 +17,8 @@
 Defined results: a null text is empty, so it is the closing id alone; a text of only white space likewise; a special
 token's string in a text is that token; rows that repeat a doc_id are packed each; ties go to the sequence opened
 first, and equal lengths rank by task; an empty table gives no rows; other columns, whatever their names, are not read.
-Very long texts are encoded CHUNK bytes at a time; the ids of one text are held in memory.
+Very long texts are encoded CHUNK characters at a time; the ids of one text are held in memory. A vocabulary whose
+tokenizer keeps white space encodes whole texts by the library.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import types as T
 from .common import released, ship, slices, stored, texts_of
 
 #: Bytes of a text that are split at once, and words from which on a task's table starts anew.
-CHUNK, WORDS = 1 << 20, 500_000
+CHUNK, WORDS = 1 << 20, 1_000_000
 #: What tokens, documents and attention cost count for when sequences are compared.
 WEIGHTS = (1.0, 0.01, 0.01)
 #: ASCII white space, which no token of the vocabulary crosses, and what stands between.
@@ -79,6 +80,9 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        #: Whether the tokenizer drops white space and cuts words as WORD does; if not, it encodes whole texts itself.
+        self.by_words = not ids(" \n") and ids("Ab 12,c'd") == [i for w in ("Ab", "1", "2", ",", "c", "'d") for i in ids(w)]
         vocabulary = self.tokenizer.get_vocab(True)
         self.last = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)  # pieces that end a word
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -134,6 +138,8 @@ class WordIds:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
+        if not self.by_words:
+            return [np.array(g.ids, np.uint32) for g in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         split = [(BETWEEN if SPECIAL in t else WORD).findall(t) for t in texts]
         if len(self.number) > WORDS:
             self.clear()
@@ -152,7 +158,7 @@ class WordIds:
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         said = [t.decode() if t else "" for t in texts]
-        if all(len(t) <= CHUNK for t in said):
+        if not self.by_words or all(len(t) <= CHUNK for t in said):
             return self.ids(said)
         return [np.concatenate([np.zeros(0, np.uint32), *(self.ids([c])[0] for c in self.chunks(t))]) for t in said]
 

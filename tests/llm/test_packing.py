@@ -107,6 +107,15 @@ def test_long_texts_and_small_tables(spark, make, messy, library, monkeypatch):
     assert want > 1
 
 
+def test_another_vocabulary(spark, make, messy):
+    """One that keeps white space is left to the library."""
+    tok = Tokenizer.from_file(vocabulary())
+    tok.no_truncation()
+    ids = lambda t: tok.encode(t or "", add_special_tokens=False).ids
+    rows = packing.pack(make(messy[:20]), vocabulary(), {"doc_id": F.col("doc_id")}, 64, by="norm").collect()
+    checked(rows, messy[:20], ids, 64)
+
+
 def test_sequences_hold_their_tokens(spark, make, messy, library):
     packed = packing.pack(make(messy), vocabulary(PACKED), {"doc_id": F.col("doc_id")}, 64, ids=True)
     rows = packing.sequences(packed).collect()
