@@ -2,17 +2,20 @@
 
 Lags are generated on the target's side and joined on the shifted index; the lag range
 comes from a modality's prior, so rows grow by a constant factor. For native frame
-rates `lag_table` works on packed traces, one row a trace, in Arrow.
+rates `frame_lags` gives the same rows from packed traces, one a recording, by FFT.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dims
+from ..sources.store import shipped
 
 FLAT = 1e-6
 
@@ -221,23 +224,106 @@ def consensus(rows: DataFrame, key: list[str], candidates: DataFrame) -> DataFra
     return out.select(*key, "modality", offset.alias("offset_seconds"), label.alias("confidence_label"), F.when(F.col("rejected"), F.col("offset_seconds")).alias("rejected_offset_seconds"))
 
 
+#: Overlaps below so many frames, or variances below so much, are computed frame by frame.
+SHORT, STILL = 64, 1e-8
+
+
+def dense(idx: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values less their mean from the first to the last index, 0 where there is none; and where there is one."""
+    out, there = np.zeros(int(idx[-1] - idx[0]) + 1), np.zeros(int(idx[-1] - idx[0]) + 1, bool)
+    out[idx - idx[0]], there[idx - idx[0]] = value - value.mean(), True
+    return out, there
+
+
+def crossed(a: np.ndarray, b: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """The sum of a[i] * b[i + s] for each shift s, by FFT."""
+    size = 1 << int(len(a) + len(b)).bit_length()
+    whole = np.fft.irfft(np.conj(np.fft.rfft(a, size)) * np.fft.rfft(b, size), size)
+    return whole[shifts % size]
+
+
+def windowed(x: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Sums of x between places, from its prefix sums in extended precision."""
+    prefix = np.concatenate([[0], np.cumsum(x, dtype=np.longdouble)])
+    return prefix[to] - prefix[from_]
+
+
+def correlated(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], lags: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lag, n, correlation for index and value of reference and target, for the lags at which both vary.
+
+    All lags at once: products by FFT; means and deviations by prefix sums, or, where frames are missing, by FFT of
+    what is there. a and b: by index, each index once.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if not len(a[0]) or not len(b[0]):
+        return none
+    (x, here), (y, there) = dense(*a), dense(*b)
+    apart = int(b[0][0] - a[0][0])
+    shifts = np.arange(max(-lags - apart, 1 - len(x)), min(lags - apart, len(y) - 1) + 1)
+    if not len(shifts):
+        return none
+    if here.all() and there.all():
+        from_, to = np.maximum(0, -shifts), np.minimum(len(x), len(y) - shifts)
+        n = to - from_
+        sums = [windowed(x, from_, to), windowed(x * x, from_, to), windowed(y, from_ + shifts, to + shifts), windowed(y * y, from_ + shifts, to + shifts)]
+    else:
+        n = np.rint(crossed(here.astype(float), there.astype(float), shifts)).astype(np.int64)
+        sums = [crossed(x, there.astype(float), shifts), crossed(x * x, there.astype(float), shifts), crossed(here.astype(float), y, shifts), crossed(here.astype(float), y * y, shifts)]
+    many = np.maximum(n, 1)
+    mx, my = sums[0] / many, sums[2] / many
+    vx, vy = np.maximum(sums[1] / many - mx * mx, 0), np.maximum(sums[3] / many - my * my, 0)
+    cov = crossed(x, y, shifts) / many - mx * my
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.asarray(cov / np.sqrt(vx * vy), float)
+    fine = (n >= 3) & (np.sqrt(vx) >= FLAT) & (np.sqrt(vy) >= FLAT)
+    for k in np.flatnonzero((n >= 3) & ((n < SHORT) | (vx < STILL) | (vy < STILL))):
+        s = int(shifts[k])
+        lo, hi = max(0, -s), min(len(x), len(y) - s)
+        both = here[lo:hi] & there[lo + s : hi + s]
+        u, v = x[lo:hi][both], y[lo + s : hi + s][both]
+        fine[k] = u.std() >= FLAT and v.std() >= FLAT
+        out[k] = ((u - u.mean()) * (v - v.mean())).mean() / (u.std() * v.std()) if fine[k] else 0.0
+    return shifts[fine] + apart, n[fine], out[fine]
+
+
 def lag_table(traces: DataFrame, lags: int) -> DataFrame:
-    """key, lag, n, correlation for packed traces (key, reference and target arrays); the frame-rate form of lag_correlations."""
+    """key, lag, n, correlation for packed traces (key, reference and target arrays without gaps)."""
 
     def run(frames):
         for f in frames:
-            out = []
             for key, a, b in zip(f["key"], f["reference"], f["target"], strict=True):
-                a, b = np.asarray(a, float), np.asarray(b, float)
-                for lag in range(-lags, lags + 1):
-                    lo, hi = max(0, -lag), min(len(a), len(b) - lag)
-                    x, y = a[lo:hi], b[lo + lag : hi + lag]
-                    if hi - lo >= 3 and x.std() >= FLAT and y.std() >= FLAT:
-                        out.append((key, lag, hi - lo, float(((x - x.mean()) * (y - y.mean())).mean() / (x.std() * y.std()))))
-            yield pd.DataFrame(out, columns=["key", "lag", "n", "correlation"])
+                lag, n, c = correlated(*[(np.arange(len(x)), np.asarray(x, float)) for x in (a, b)], lags)
+                yield pd.DataFrame({"key": [key] * len(lag), "lag": lag, "n": n, "correlation": c})
 
+    shipped(traces.sparkSession)
     return traces.select("key", "reference", "target").mapInPandas(run, "key string, lag int, n bigint, correlation double")
 
 
+def frame_lags(reference: DataFrame, targets: DataFrame, key: list[str], lags: int) -> DataFrame:
+    """lag_correlations at frame rates: the same rows, from one packed trace a recording instead of a row a frame and lag.
+
+    A recording's frames are in memory at once, some 16 bytes each; frames may be missing, each is there once, and null
+    values are not there.
+    """
+    shipped(targets.sparkSession)
+    own = [k for k in key if k in reference.columns]
+    packed = lambda df, by, name: df.filter("idx is not null and value is not null").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value")))).alias(name))
+    left, right = packed(targets, key, "_target"), packed(reference.withColumn("_one", F.lit(1)), own or ["_one"], "_reference")
+    rows = left.join(right.drop("_one"), own) if own else left.withColumn("_one", F.lit(1)).join(right, "_one").drop("_one")
+    rows = rows.select(*key, *[F.col(f"{c}.{x}").alias(f"{c}_{x}") for c in ("_target", "_reference") for x in ("idx", "value")])
+    schema = T.StructType([*(rows.schema[k] for k in key), T.StructField("lag", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("correlation", T.DoubleType())])
+    width = len(key)
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                ti, tv, ri, rv = (b.column(width + c)[i].values.to_numpy(zero_copy_only=False) for c in range(4))
+                lag, n, c = correlated((ri, rv), (ti, tv), lags)
+                of = pa.array([i] * len(lag), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(of) for k in range(width)), pa.array(lag, pa.int32()), pa.array(n, pa.int64()), pa.array(c, pa.float64())], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def priors() -> dict[str, tuple[float, float, float, float]]:
     return dims.PRIORS

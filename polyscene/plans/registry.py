@@ -525,6 +525,14 @@ def lag_correlation(spark, d):
     return lag_rows(spark, d).select("modality", F.col("lag").cast("long").alias("lag"), "n", six("correlation").alias("correlation"))
 
 
+@query(f"WITH {_LAGS} SELECT modality, lag, n, round(correlation, 6) AS correlation FROM lags WHERE correlation IS NOT NULL")
+def frame_lag_correlation(spark, d):
+    """The same from packed traces, by FFT."""
+    trace = align.smoothed(align.standardized(ad.traces(spark, d), ["modality"]), ["modality"], _WIDTH)
+    rows = align.frame_lags(trace.filter(F.col("modality") == REFERENCE).drop("modality"), trace.filter(F.col("modality") != REFERENCE), ["modality"], LAGS)
+    return rows.select("modality", F.col("lag").cast("long").alias("lag"), "n", six("correlation").alias("correlation"))
+
+
 #: Every event type stands for the modality with the widest lag search.
 _PRIOR = dims.PRIORS["event"]
 _SCORED = f"sizes AS (SELECT modality, count(*) AS size FROM sm GROUP BY 1), shorter AS (SELECT t.modality, least(t.size, r.size) AS shorter FROM sizes t, sizes r WHERE r.modality = '{REFERENCE}'), sc AS (SELECT lags.modality, lag, round(correlation, 6) AS correlation, lag::DOUBLE AS offset_seconds, round(correlation + 0.12::DOUBLE * (n::DOUBLE / shorter) - {_PRIOR[3]}::DOUBLE * least(1.0::DOUBLE, abs(lag::DOUBLE - {_PRIOR[1]}) / {_PRIOR[2]}), 6) AS score FROM lags JOIN shorter USING (modality) WHERE correlation IS NOT NULL AND abs(lag) <= {_PRIOR[0]})"
