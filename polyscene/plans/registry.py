@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dims, text
+from ..functions import dims, text, variants
 from ..operators import align, cascade, export, facts, fields, matching, models, narrative, reports, resume, runs, segments, selection, support
 from ..operators import evidence as ev
 from ..sources import files, store
@@ -644,6 +644,35 @@ def json_from_prose(spark, d):
     return e.select("event_id", F.from_json(text.json_object(prose), "k bigint")["k"].alias("k"))
 
 
+#: Properties of events inside annotations whose caption is a text, a number, a list, an object, null or a placeholder.
+_SHAPES = ['{"caption":"said ?","more":?}', '{"caption":7,"more":?}', '{"caption":["x"],"more":[[?]]}', '{"caption":{"a":"b"}}', '{"caption":null}', '{"caption":"' + resume.PLACEHOLDERS[0] + '","more":{"q":"' + resume.PLACEHOLDERS[2] + '"}}']
+_SHAPED = (
+    "raw AS (SELECT event_id, replace(replace(" + ad.quoted(_SHAPES) + "[event_id % 6 + 1], 'said ?', 'said ' || event_id), '?', props)::JSON AS raw FROM events), "
+    "walk AS (SELECT event_id, t.type AS kind, t.atom::VARCHAR AS atom FROM raw, json_tree(raw.raw) t WHERE t.type NOT IN ('OBJECT', 'ARRAY', 'NULL')), "
+    f"sums AS (SELECT event_id, count(*) AS n, count(*) FILTER (WHERE kind = 'VARCHAR') AS texts, count(*) FILTER (WHERE kind = 'VARCHAR' AND NOT list_contains({ad.quoted(resume.PLACEHOLDERS)}, trim(atom, '\"'))) AS real FROM walk GROUP BY 1)"
+)
+
+
+def _shaped(spark: SparkSession, d: str) -> DataFrame:
+    shape = F.element_at(F.array(*map(F.lit, _SHAPES)), (F.col("event_id") % 6 + 1).cast("int"))
+    raw = F.replace(F.replace(shape, F.lit("said ?"), F.concat(F.lit("said "), F.col("event_id").cast("string"))), F.lit("?"), F.col("props"))
+    return ad.table(spark, d, "events").select("event_id", variants.parsed(raw).alias("v"))
+
+
+@query(f"WITH {_SHAPED} SELECT event_id, CASE WHEN json_type(raw, '$.caption') = 'VARCHAR' THEN raw ->> '$.caption' ELSE '' END AS caption FROM raw")
+def typed_fields(spark, d):
+    return _shaped(spark, d).select("event_id", variants.text_field(F.col("v"), "$.caption").alias("caption"))
+
+
+@query(f"WITH {_SHAPED} SELECT event_id, coalesce(n, 0)::BIGINT AS n_leaves, coalesce(texts, 0)::BIGINT AS n_texts, coalesce(n > texts OR real > 0, false) AS complete FROM raw LEFT JOIN sums USING (event_id)")
+def variant_leaves(spark, d):
+    rows = _shaped(spark, d)
+    sums = variants.leaves(rows, ["event_id"], "v").groupBy("event_id").agg(F.count("*").alias("n_leaves"), F.count_if(F.col("kind") == "STRING").alias("n_texts"))
+    whole = variants.complete(rows, ["event_id"], "v", resume.PLACEHOLDERS)
+    none = F.lit(0).cast("bigint")
+    return whole.join(sums, "event_id", "left").select("event_id", F.coalesce("n_leaves", none).alias("n_leaves"), F.coalesce("n_texts", none).alias("n_texts"), "complete")
+
+
 _DONE = "done AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"
 
 
