@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import byte_letters
 from .common import released, ship, slices, stored, texts_of
 
 #: Bytes of a text that are split at once, and words from which on a task's table starts anew.
@@ -53,8 +54,8 @@ LETTER, MARK, OTHER = r"A-Za-zÀ-ÖØ-öø-ÿ", r"[^\x20\x09-\x0D0-9A-Za-z\x80-\
 WORD = re.compile(rf"[^\x20\x09-\x0D{OTHER}]*+[{OTHER}][^\x20\x09-\x0D]*|[{LETTER}]+|'[{LETTER}]+|[0-9]|{MARK}+")
 #: How special tokens begin: texts that hold this are cut at white space alone.
 SPECIAL = "<|"
-#: Words that are encoded as one text, and those that may, as others of letters alone may.
-TOGETHER, PLAIN = 4096, re.compile(rf"[{LETTER}]+|[0-9]|(?!'[A-Za-z]){MARK}+")
+#: Words that the tokenizer takes as one, and that its normal form leaves as they are but for capitals.
+PLAIN = re.compile(rf"[{LETTER}]+|[0-9]|(?!'[A-Za-z]){MARK}+")
 
 
 class Numbers(dict):
@@ -82,30 +83,19 @@ class WordIds:
         self.tokenizer.no_padding()
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         #: Whether the tokenizer drops white space and cuts words as WORD does; if not, it encodes whole texts itself.
-        self.by_words = not ids(" \n") and ids("Ab 12,c'd") == [i for w in ("Ab", "1", "2", ",", "c", "'d") for i in ids(w)]
-        vocabulary = self.tokenizer.get_vocab(True)
-        self.last = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)  # pieces that end a word
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.last[[k for piece, k in vocabulary.items() if suffix and piece.endswith(suffix)]] = True
+        self.by_words = not ids(" \n") and ids("Àb 12,c'd") == [i for w in ("àb", "1", "2", ",", "c", "'d") for i in ids(w)]
+        self.model, self.shown = self.tokenizer.model, {b: c for b, c in byte_letters().items() if chr(b) != c}
         self.clear()
 
     def clear(self) -> None:
         self.number = Numbers()
         self.ends, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words, one after the other, and how many each has.
-
-        No word gives nothing, so where as many words end as there are, each of them is one word of the tokenizer.
-        """
-        chunks = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
-        got = self.tokenizer.encode_batch([" ".join(c) for c in chunks], add_special_tokens=False)
-        out = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
-        for c, g in zip(chunks, got, strict=True):
-            ids = np.array(g.ids, np.uint32)
-            many = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
-            out.append((ids, many) if len(many) == len(c) and many.sum() == len(ids) else self.apart(c))
-        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+    def plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of PLAIN words, one after the other, and how many each has: by the model, past normal form and split."""
+        shown = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.shown) for w in map(str.lower, words)]
+        got = list(map(self.model.tokenize, shown))
+        return np.fromiter((t.id for tokens in got for t in tokens), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
 
     def apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [g.ids for g in self.tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -113,9 +103,9 @@ class WordIds:
 
     def learn(self, fresh: list[str], known: int) -> None:
         """Ids of new words, whose numbers begin at known."""
-        plain = np.fromiter((PLAIN.fullmatch(w) is not None or w.isalpha() for w in fresh), bool, len(fresh))
+        plain = np.fromiter((PLAIN.fullmatch(w) is not None for w in fresh), bool, len(fresh))
         many, runs = np.zeros(len(fresh), np.int64), []
-        for mine, encode in ((plain, self.encoded), (~plain, self.apart)):
+        for mine, encode in ((plain, self.plain), (~plain, self.apart)):
             ids, many[mine] = encode([fresh[k] for k in np.flatnonzero(mine)])
             runs.append(ids)
         # back into the order of numbers
