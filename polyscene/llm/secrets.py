@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import salted_join, stored
+from .pii import apart
 from .spans import kinds_of, listed, matches
 
 #: Fixed patterns, rewritten to be linear-time; the same leftmost non-overlapping matches.
@@ -56,10 +57,11 @@ def _searched(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     found = rows.select("row", "doc_id", "repository", "owner", *[c.alias(k) for k, c in base_spans(F.col("text")).items()], matches(F.col("text"), MIXED).alias("mixed"))
     base = kinds_of({k: F.col(k) for k in BASE}, BASE)
 
-    def valued(kind: str, value) -> Column:
-        return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind if kind in BASE else "owned")).alias("rank"), x["end"].alias("end"), value(x["hit"]).alias("value")))
+    def valued(spans: Column, rank: int, value=lambda h: h) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), value(x["hit"]).alias("value")))
 
-    values = F.concat(valued("assign", lambda h: F.regexp_extract(h, VALUE, 1)), valued("access", lambda h: h), valued("hex", lambda h: h), F.filter(valued("mixed", lambda h: h), lambda x: _random(x["value"]) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))))
+    further = apart(F.filter("mixed", lambda x: _random(x["hit"])), F.col("base"))  # linear in the matches of a text
+    values = F.concat(valued(F.col("assign"), 0, lambda h: F.regexp_extract(h, VALUE, 1)), valued(F.col("access"), 1), valued(F.col("hex"), 2), valued(further, len(BASE)))
     found = found.withColumn("base", base).withColumn("values", values)
     hashed = F.transform("values", lambda v: F.struct(v["start"].alias("start"), v["rank"].alias("rank"), v["end"].alias("end"), F.sha2(v["value"], 256).alias("hash"), _random(v["value"]).alias("random")))
     return stored(found.select("row", "doc_id", "repository", "owner", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], "base", hashed.alias("values")), "secrets")
@@ -85,7 +87,7 @@ def find(docs: DataFrame, repository: str = "doc_id", owner: str = "source") ->
         F.count_if((F.col("rank") < len(BASE)) & live).alias("n_live"),
         F.count_if((F.col("rank") < len(BASE)) & example).alias("n_example"),
     )
-    out = found.drop("values").join(told, "row", "left")
+    out = found.drop("values").join(told.hint("merge"), "row", "left")  # rows with candidates have no bound
     both = F.array_sort(F.concat("base", F.coalesce("more", F.filter("base", lambda x: F.lit(False)))))
     zero = F.lit(0).cast("long")
     return out.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(both).alias("spans"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_example", zero).alias("n_example"))

@@ -112,3 +112,12 @@ def test_ownership_tells_examples_from_live(spark, empty):
     assert (got[1]["n_live"], got[1]["n_example"]) == (1, 0) and (got[3]["n_live"], got[3]["n_example"]) == (0, 1)
     assert got[5]["spans"] == f"owned:4:{4 + len(owned)}" and got[6]["spans"] == ""
     assert secrets.find(empty).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    """Keys and mixed tokens by the ten thousand: the search for overlaps is linear."""
+    n = 16_000
+    text = "\n".join(f"{i:032x} tok{i:05d}/AbCdEfGhIjKl{i}" for i in range(n)) + " secret=" + "Ab1" * 9
+    got = secrets.find(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    assert (got["n_hex"], got["n_assign"], got["n_access"]) == (n, 1, 0)
+    assert got["spans"].count("owned:") == n and got["spans"].count("hex:") == n
