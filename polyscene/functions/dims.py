@@ -14,13 +14,19 @@ REASONING_ORDER = ["rgb", "event", "depth", "ir", "audio"]
 DISPLAY_ORDER = {"rgb": 0, "ir": 1, "depth": 2, "event": 3, "audio": 4}
 
 # Words that carry no evidence.
-STOPWORDS = """a an and are as at be by for from has have in into is it its my of on or that the their there these
-this to up with while no not than then me i you your our we they them he she his her was were will would can could
-should about after before during over under right left center middle side toward towards throughout through around
-between also only mostly very more most all one two three four five six seven eight nine ten frame video scene
-sequence shows show visible appears appear present located positioned detected observed indicates suggest suggests
-likely roughly approximately object objects area areas region regions sides part parts start end begins begin ends
-contains containing overall main primary final initial clear clearly distinct several single small large""".split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "into", "is", "it", "its",
+    "my", "of", "on", "or", "that", "the", "their", "there", "these", "this", "to", "up", "with", "while", "no", "not",
+    "than", "then", "me", "i", "you", "your", "our", "we", "they", "them", "he", "she", "his", "her", "was", "were",
+    "will", "would", "can", "could", "should", "about", "after", "before", "during", "over", "under", "right", "left",
+    "center", "middle", "side", "toward", "towards", "throughout", "through", "around", "between", "also", "only",
+    "mostly", "very", "more", "most", "all", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine",
+    "ten", "frame", "video", "scene", "sequence", "shows", "show", "visible", "appears", "appear", "present",
+    "located", "positioned", "detected", "observed", "indicates", "suggest", "suggests", "likely", "roughly",
+    "approximately", "object", "objects", "area", "areas", "region", "regions", "sides", "part", "parts", "start",
+    "end", "begins", "begin", "ends", "contains", "containing", "overall", "main", "primary", "final", "initial",
+    "clear", "clearly", "distinct", "several", "single", "small", "large",
+]
 
 # Weight of each modality (rgb, ir, event, audio, depth) in a profile.
 PROFILE_WEIGHTS = {
@@ -37,55 +43,61 @@ PROFILE_WEIGHTS = {
 }
 # Modalities that support a profile directly, and as a complement.
 PROFILE_SUPPORT = {
-    "visual_object": ("rgb ir depth", "event"),
-    "visual_spatial": ("rgb ir depth", "event"),
-    "visual_count": ("rgb ir depth", ""),
-    "visual_text": ("rgb ir", ""),
-    "visual_light": ("rgb ir", ""),
-    "visual_motion": ("event rgb ir", "audio depth"),
-    "temporal": ("event rgb ir", "audio depth"),
-    "audio": ("audio", "event rgb ir"),
-    "anomaly": ("rgb ir event depth audio", ""),
-    "default": ("rgb ir event depth", "audio"),
+    "visual_object": (["rgb", "ir", "depth"], ["event"]),
+    "visual_spatial": (["rgb", "ir", "depth"], ["event"]),
+    "visual_count": (["rgb", "ir", "depth"], []),
+    "visual_text": (["rgb", "ir"], []),
+    "visual_light": (["rgb", "ir"], []),
+    "visual_motion": (["event", "rgb", "ir"], ["audio", "depth"]),
+    "temporal": (["event", "rgb", "ir"], ["audio", "depth"]),
+    "audio": (["audio"], ["event", "rgb", "ir"]),
+    "anomaly": (["rgb", "ir", "event", "depth", "audio"], []),
+    "default": (["rgb", "ir", "event", "depth"], ["audio"]),
 }
 # Category -> gate, profile, lexical weight, whether lexical support is required, sections.
-_PLAIN = {
-    "scene_sequence": ("support_soft", "temporal", 0.4, False, "temporal_sequence motion_and_action"),
-    "object_recognition": ("support_required", "visual_object", 0.55, False, "objects_and_attributes"),
-    "spatial_reasoning": ("support_required", "visual_spatial", 0.6, True, "spatial_and_layout"),
-    "navigation": ("support_required", "visual_spatial", 0.6, True, "spatial_and_layout motion_and_action"),
-    "action": ("support_soft", "visual_motion", 0.35, False, "motion_and_action"),
-    "dynamic_recognition": ("support_soft", "visual_motion", 0.35, False, "motion_and_action"),
-    "dynamic_counting": ("support_soft", "visual_motion", 0.55, True, "motion_and_action counting"),
-    "counting": ("support_required", "visual_count", 0.7, True, "counting"),
-    "non_common": ("review_recommended", "anomaly", 0.5, False, "anomaly_and_safety"),
-}
-_SINGLE = {
-    "light_recongnition": ("support_exempt", "visual_light", 0.45, False, "scene_and_context"),
-    "light_recognition": ("support_exempt", "visual_light", 0.45, False, "scene_and_context"),
-    "light_change": ("support_exempt", "visual_light", 0.45, False, "scene_and_context"),
-    "text_recognition": ("support_exempt", "visual_text", 0.65, True, "text_and_symbols objects_and_attributes"),
-    "audio_hia": ("support_exempt", "audio", 0.3, False, "audio_understanding"),
-    "audio_chronological_caption": ("support_exempt", "audio", 0.3, False, "audio_understanding temporal_sequence"),
+CATEGORIES = {
+    "scene_sequence": ("support_soft", "temporal", 0.4, False, ["temporal_sequence", "motion_and_action"]),
+    "event_scene_sequence": ("support_soft", "temporal", 0.4, False, ["temporal_sequence", "motion_and_action"]),
+    "depth_scene_sequence": ("support_soft", "temporal", 0.4, False, ["temporal_sequence", "spatial_and_layout"]),
+    "object_recognition": ("support_required", "visual_object", 0.55, False, ["objects_and_attributes"]),
+    "event_object_recognition": ("support_required", "visual_object", 0.55, False, ["objects_and_attributes"]),
+    "depth_object_recognition": ("support_required", "visual_object", 0.55, False, ["objects_and_attributes"]),
+    "spatial_reasoning": ("support_required", "visual_spatial", 0.6, True, ["spatial_and_layout"]),
+    "event_spatial_reasoning": ("support_required", "visual_spatial", 0.6, True, ["spatial_and_layout"]),
+    "depth_spatial_reasoning": ("support_required", "visual_spatial", 0.6, True, ["spatial_and_layout"]),
+    "navigation": ("support_required", "visual_spatial", 0.6, True, ["spatial_and_layout", "motion_and_action"]),
+    "event_navigation": ("support_required", "visual_spatial", 0.6, True, ["spatial_and_layout", "motion_and_action"]),
+    "depth_navigation": ("support_required", "visual_spatial", 0.6, True, ["spatial_and_layout", "motion_and_action"]),
+    "action": ("support_soft", "visual_motion", 0.35, False, ["motion_and_action"]),
+    "event_action": ("support_soft", "visual_motion", 0.35, False, ["motion_and_action"]),
+    "depth_action": ("support_soft", "visual_motion", 0.35, False, ["motion_and_action"]),
+    "dynamic_recognition": ("support_soft", "visual_motion", 0.35, False, ["motion_and_action"]),
+    "event_dynamic_recognition": ("support_soft", "visual_motion", 0.35, False, ["motion_and_action"]),
+    "depth_dynamic_recognition": ("support_soft", "visual_motion", 0.35, False, ["motion_and_action"]),
+    "dynamic_counting": ("support_soft", "visual_motion", 0.55, True, ["motion_and_action", "counting"]),
+    "event_dynamic_counting": ("support_soft", "visual_motion", 0.55, True, ["motion_and_action", "counting"]),
+    "depth_dynamic_counting": ("support_soft", "visual_motion", 0.55, True, ["motion_and_action", "counting"]),
+    "counting": ("support_required", "visual_count", 0.7, True, ["counting"]),
+    "event_counting": ("support_required", "visual_count", 0.7, True, ["counting"]),
+    "depth_counting": ("support_required", "visual_count", 0.7, True, ["counting"]),
+    "non_common": ("review_recommended", "anomaly", 0.5, False, ["anomaly_and_safety"]),
+    "event_non_common": ("review_recommended", "anomaly", 0.5, False, ["anomaly_and_safety"]),
+    "depth_non_common": ("review_recommended", "anomaly", 0.5, False, ["anomaly_and_safety"]),
+    "light_recongnition": ("support_exempt", "visual_light", 0.45, False, ["scene_and_context"]),
+    "light_recognition": ("support_exempt", "visual_light", 0.45, False, ["scene_and_context"]),
+    "light_change": ("support_exempt", "visual_light", 0.45, False, ["scene_and_context"]),
+    "text_recognition": ("support_exempt", "visual_text", 0.65, True, ["text_and_symbols", "objects_and_attributes"]),
+    "audio_hia": ("support_exempt", "audio", 0.3, False, ["audio_understanding"]),
+    "audio_chronological_caption": ("support_exempt", "audio", 0.3, False, ["audio_understanding", "temporal_sequence"]),
 }
 DEFAULT_PROFILE = ("support_required", "default", 0.5, False, "others")
-
-
-def _categories() -> dict[str, tuple]:
-    out = {}
-    for name, row in _PLAIN.items():
-        out[name] = row
-        for prefix in ("event", "depth"):
-            out[f"{prefix}_{name}"] = row
-    out["depth_scene_sequence"] = (*_PLAIN["scene_sequence"][:4], "temporal_sequence spatial_and_layout")
-    return {**out, **_SINGLE}
-
-
-CATEGORIES = _categories()
 CATEGORY_NAMES = sorted(CATEGORIES)
 
 # Sections of the report.
-SECTIONS = "scene_and_context objects_and_attributes spatial_and_layout motion_and_action temporal_sequence counting text_and_symbols audio_understanding anomaly_and_safety others".split()
+SECTIONS = [
+    "scene_and_context", "objects_and_attributes", "spatial_and_layout", "motion_and_action", "temporal_sequence",
+    "counting", "text_and_symbols", "audio_understanding", "anomaly_and_safety", "others",
+]
 
 # Routing of evidence to the sections of a narrative.
 ROUTES = ["scene_overview", "visible_objects_and_layout", "motion_and_event_cues", "audio_cues"]
@@ -98,40 +110,55 @@ ROUTE_WEIGHTS = {
 }
 # Fixed values.
 ROUTE_HINTS = {
-    "scene_overview": "object_recognition scene_sequence environmental_scene depth_object_recognition".split(),
-    "visible_objects_and_layout": "object_recognition spatial_reasoning counting depth_spatial_reasoning depth_counting".split(),
-    "motion_and_event_cues": "dynamic_recognition dynamic_counting scene_sequence action event_".split(),
-    "audio_cues": "sound_ speech_ music_ audio_ environmental_scene action_from_sound".split(),
+    "scene_overview": ["object_recognition", "scene_sequence", "environmental_scene", "depth_object_recognition"],
+    "visible_objects_and_layout": ["object_recognition", "spatial_reasoning", "counting", "depth_spatial_reasoning", "depth_counting"],
+    "motion_and_event_cues": ["dynamic_recognition", "dynamic_counting", "scene_sequence", "action", "event_"],
+    "audio_cues": ["sound_", "speech_", "music_", "audio_", "environmental_scene", "action_from_sound"],
 }
 # Fixed values.
 ROUTE_KEYWORDS = {
-    "scene_overview": "kitchen indoor outdoor counter workspace room office environment setting preparation cooking food domestic".split(),
-    "visible_objects_and_layout": "board cutting knife peeler carrot bowl laptop stovetop countertop counter power strip left right center layout object objects spatial position".split(),
-    "motion_and_event_cues": "move motion moving dynamic enter lift reach pick grasp peel peeling contact activity interaction start begin hands occlude boundary event".split(),
-    "audio_cues": "audio sound speech music ambient noise chopping scraping knife board percussive kitchen microphone stereo mono rhythmic silence".split(),
+    "scene_overview": ["kitchen", "indoor", "outdoor", "counter", "workspace", "room", "office", "environment", "setting", "preparation", "cooking", "food", "domestic"],
+    "visible_objects_and_layout": [
+        "board", "cutting", "knife", "peeler", "carrot", "bowl", "laptop", "stovetop", "countertop", "counter",
+        "power", "strip", "left", "right", "center", "layout", "object", "objects", "spatial", "position",
+    ],
+    "motion_and_event_cues": [
+        "move", "motion", "moving", "dynamic", "enter", "lift", "reach", "pick", "grasp", "peel", "peeling", "contact",
+        "activity", "interaction", "start", "begin", "hands", "occlude", "boundary", "event",
+    ],
+    "audio_cues": [
+        "audio", "sound", "speech", "music", "ambient", "noise", "chopping", "scraping", "knife", "board",
+        "percussive", "kitchen", "microphone", "stereo", "mono", "rhythmic", "silence",
+    ],
 }
 
 # Reasoning groups of sections; a section may be in several.
-_BASES = {
-    "object_reasoning": "object_recognition counting",
-    "spatial_reasoning": "spatial_reasoning navigation",
-    "temporal_sequence_reasoning": "scene_sequence dynamic_recognition",
-    "action_motion_reasoning": "action dynamic_counting",
-    "anomaly_uncertainty_reasoning": "non_common",
-}
-_MORE = {
-    "spatial_reasoning": "audio_spatial_location",
-    "temporal_sequence_reasoning": "audio_temporal_attribute",
-    "audio_visual_reasoning": "audio_sound_characteristics audio_counting audio_temporal_attribute audio_spatial_location audio_sound_source_identification audio_inferential_causality audio_cross_modal_reasoning",
-    "anomaly_uncertainty_reasoning": "light_change light_recognition light_recongnition",
+GROUPED = {
+    "object_reasoning": ["object_recognition", "event_object_recognition", "depth_object_recognition", "counting", "event_counting", "depth_counting"],
+    "spatial_reasoning": [
+        "spatial_reasoning", "event_spatial_reasoning", "depth_spatial_reasoning", "navigation", "event_navigation",
+        "depth_navigation", "audio_spatial_location",
+    ],
+    "temporal_sequence_reasoning": [
+        "scene_sequence", "event_scene_sequence", "depth_scene_sequence", "dynamic_recognition",
+        "event_dynamic_recognition", "depth_dynamic_recognition", "audio_temporal_attribute",
+    ],
+    "action_motion_reasoning": ["action", "event_action", "depth_action", "dynamic_counting", "event_dynamic_counting", "depth_dynamic_counting"],
+    "audio_visual_reasoning": [
+        "audio_sound_characteristics", "audio_counting", "audio_temporal_attribute", "audio_spatial_location",
+        "audio_sound_source_identification", "audio_inferential_causality", "audio_cross_modal_reasoning",
+    ],
+    "anomaly_uncertainty_reasoning": ["non_common", "event_non_common", "depth_non_common", "light_change", "light_recognition", "light_recongnition"],
 }
-GROUPS = "object_reasoning spatial_reasoning temporal_sequence_reasoning action_motion_reasoning audio_visual_reasoning anomaly_uncertainty_reasoning ungrouped".split()
+GROUPS = [
+    "object_reasoning", "spatial_reasoning", "temporal_sequence_reasoning", "action_motion_reasoning",
+    "audio_visual_reasoning", "anomaly_uncertainty_reasoning", "ungrouped",
+]
 
 
 def section_groups() -> list[tuple[str, str]]:
     """(section, group) pairs."""
-    out = [(p + s, g) for g, names in _BASES.items() for s in names.split() for p in ("", "event_", "depth_")]
-    return out + [(s, g) for g, names in _MORE.items() for s in names.split()]
+    return [(s, g) for g, sections in GROUPED.items() for s in sections]
 
 
 # Gates and thresholds.
@@ -151,7 +178,7 @@ PRIORS = {"ir": (3.0, 0.0, 1.0, 0.22), "depth": (3.0, 0.0, 1.0, 0.20), "event":
 
 def category_table(spark: SparkSession) -> DataFrame:
     """category, gate, profile, lexical_weight, needs_lexical, sections: one row a known category."""
-    rows = [(c, *r[:4], r[4].split()) for c, r in sorted(CATEGORIES.items())]
+    rows = [(c, *r) for c, r in sorted(CATEGORIES.items())]
     return spark.createDataFrame(rows, "category string, gate string, profile string, lexical_weight double, needs_lexical boolean, sections array<string>")
 
 
@@ -159,7 +186,7 @@ def profile_table(spark: SparkSession) -> DataFrame:
     """profile, modality, weight, direct, complementary: one row a profile and modality."""
     rows = []
     for p, w in PROFILE_WEIGHTS.items():
-        direct, comp = (x.split() for x in PROFILE_SUPPORT[p])
+        direct, comp = PROFILE_SUPPORT[p]
         rows += [(p, m, x, m in direct, m in comp) for m, x in zip(FUSION_ORDER, w, strict=True)]
     return spark.createDataFrame(rows, "profile string, modality string, weight double, direct boolean, complementary boolean")
 

@@ -12,10 +12,10 @@ EDGE, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 #: White space that patterns here treat as such.
 SPACE = r"[ \t\n\r\f]"
 MODALITY = "rgb|ir|event|depth|audio"
-NUMBER_WORDS = "zero one two three four five six seven eight nine ten".split()
-DIRECTIONS = "left right above below front behind before after".split()
+NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
+DIRECTIONS = ["left", "right", "above", "below", "front", "behind", "before", "after"]
 ARTICLE = r"(?i)^(?:a|an|the) +"
-TRAILING = "on in at to from by of with for a an the and or as but".split()
+TRAILING = ["on", "in", "at", "to", "from", "by", "of", "with", "for", "a", "an", "the", "and", "or", "as", "but"]
 SEPARATORS = [", followed by", ". ", ",", " and ", " or ", " while ", " as ", " because ", " which "]
 
 

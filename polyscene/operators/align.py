@@ -159,6 +159,7 @@ def alignment(videos: DataFrame, picked: DataFrame, key: list[str], modalities:
     done = F.col("state") == "aligned"
     offset = F.when(done, F.col("offset_seconds"))
     beyond = (F.col("selected_by") == "modality_prior") & (F.abs(F.col("lag") - F.col("raw_best_lag")) / F.least("fps", "r_fps") > 0.5)
+    # The messages here.
     warnings = F.array_compact(F.array(
         F.when(F.col("state") == "missing", F.concat(F.lit("No "), F.upper("modality"), F.lit(" video for this sample."))),
         F.when(F.col("state") == "no_reference", F.lit("No usable RGB reference video for this sample.")),
@@ -186,6 +187,7 @@ def exports(samples: DataFrame, aligned: DataFrame, key: list[str], needed: tupl
     fields = F.struct("offset_seconds", "duration", "file", "exists")
     rows = samples.join(short.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("modality", fields))).alias("t")), key, "left")
     get = lambda m: F.try_element_at("t", F.lit(m))
+    # The messages here.
     problems = [
         F.when(~F.coalesce("exists", F.lit(False)), F.concat(F.lit("RGB reference file does not exist: "), F.coalesce("file", F.lit("")))),
         F.when(~F.coalesce(F.col("duration") > 0, F.lit(False)), F.lit("RGB reference_duration_seconds must be positive.")),

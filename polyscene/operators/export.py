@@ -9,14 +9,21 @@ from ..functions import dims, text
 from .evidence import confidence
 
 # Columns of the two CSV reports, in order.
-SEGMENT_COLUMNS = "file_name task_label start_timestamp end_timestamp segment_confidence segment_id unit_index pair_index modality section evidence question answer timestamp confidence".split()
-FUSED_COLUMNS = """sample_key status row_index section primary_section sections category qa_source qa_index source_modality
-annotation_key fusion_score support_score lexical_support_score semantic_support_score semantic_support_raw_cosine
-supporting_modality_count supporting_modalities complementary_supporting_modality_count complementary_supporting_modalities
-conflicting_modality_count conflicting_modalities modality_reliability modality_weight_profile requires_lexical_support
-is_outlier selection_reason reliability_gate review_recommended review_priority review_reasons support_level
-best_support_modality best_support_score best_direct_support_modality best_complementary_support_modality
-best_match_modality best_match_category support_relations_by_modality question answer""".split()
+SEGMENT_COLUMNS = [
+    "file_name", "task_label", "start_timestamp", "end_timestamp", "segment_confidence", "segment_id", "unit_index",
+    "pair_index", "modality", "section", "evidence", "question", "answer", "timestamp", "confidence",
+]
+FUSED_COLUMNS = [
+    "sample_key", "status", "row_index", "section", "primary_section", "sections", "category", "qa_source", "qa_index",
+    "source_modality", "annotation_key", "fusion_score", "support_score", "lexical_support_score",
+    "semantic_support_score", "semantic_support_raw_cosine", "supporting_modality_count", "supporting_modalities",
+    "complementary_supporting_modality_count", "complementary_supporting_modalities", "conflicting_modality_count",
+    "conflicting_modalities", "modality_reliability", "modality_weight_profile", "requires_lexical_support",
+    "is_outlier", "selection_reason", "reliability_gate", "review_recommended", "review_priority", "review_reasons",
+    "support_level", "best_support_modality", "best_support_score", "best_direct_support_modality",
+    "best_complementary_support_modality", "best_match_modality", "best_match_category",
+    "support_relations_by_modality", "question", "answer",
+]
 
 
 def _blank(c: Column) -> Column:

@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import dims, text
 from .support import modality_weight
 
-# Groups of categories, and reasons of high and medium priority.
-COUNTING = [c for c in dims.CATEGORY_NAMES if c.endswith("counting")]
-SPATIAL = [c for c in dims.CATEGORY_NAMES if c.endswith(("spatial_reasoning", "navigation"))]
-AUDIO = [c for c in dims.CATEGORY_NAMES if c.startswith("audio_")]
-MOTION = [c for c in dims.CATEGORY_NAMES if c.endswith(("action", "dynamic_recognition", "dynamic_counting", "scene_sequence"))]
-HIGH = "possible_numeric_conflict possible_direction_conflict possible_negation_conflict no_supporting_modality conflicting_support_detected only_complementary_support answer_repeats_question uncertain_answer".split()
-MEDIUM = "strict_category_low_lexical unparsed_numbered_block multi_clause_answer long_answer long_question semantic_high_lexical_low generic_answer unsupported_modality_match".split()
+# Categories that a question of each kind may have.
+COUNTING = ["counting", "depth_counting", "depth_dynamic_counting", "dynamic_counting", "event_counting", "event_dynamic_counting"]
+SPATIAL = ["depth_navigation", "depth_spatial_reasoning", "event_navigation", "event_spatial_reasoning", "navigation", "spatial_reasoning"]
+AUDIO = ["audio_chronological_caption", "audio_hia"]
+MOTION = ["action", "depth_action", "depth_dynamic_counting", "depth_dynamic_recognition", "depth_scene_sequence", "dynamic_counting", "dynamic_recognition", "event_action", "event_dynamic_counting", "event_dynamic_recognition", "event_scene_sequence", "scene_sequence"]
+# Reasons of high and of medium priority.
+HIGH = [
+    "possible_numeric_conflict", "possible_direction_conflict", "possible_negation_conflict", "no_supporting_modality",
+    "conflicting_support_detected", "only_complementary_support", "answer_repeats_question", "uncertain_answer",
+]
+MEDIUM = [
+    "strict_category_low_lexical", "unparsed_numbered_block", "multi_clause_answer", "long_answer", "long_question",
+    "semantic_high_lexical_low", "generic_answer", "unsupported_modality_match",
+]
 
 
 def gated(rows: DataFrame, relaxed: bool = False) -> DataFrame:
@@ -68,7 +75,7 @@ def mismatch_reasons(category: Column, question: Column, answer: Column) -> list
 def answer_reasons(question: Column, answer: Column) -> list[Column]:
     """Hints that an answer says little."""
     q, a = F.lower(text.clean(question)), F.lower(text.clean(answer))
-    generic = a.isin("it this that there object thing something unknown unclear none".split())
+    generic = a.isin(["it", "this", "that", "there", "object", "thing", "something", "unknown", "unclear", "none"])
     repeats = (q != "") & ((a == q) | ((F.instr(q, a) > 0) & (F.size(F.split(a, " ")) >= 5)))
     return [
         _when((a != "") & generic, "generic_answer"),

@@ -137,8 +137,8 @@ def anchor_reliability(spark, d):
     return support.reliability(ad.with_tokens(ad.evidence(spark, d))).select("sample_id", "modality", six("reliability").alias("reliability"))
 
 
-_CAT = "cat(category, gate, profile, lexical_weight, needs_lexical, section, sections) AS (VALUES " + ", ".join(f"('{c}', '{r[0]}', '{r[1]}', {r[2]}::DOUBLE, {str(r[3]).lower()}, '{r[4].split()[0]}', {ad.quoted(r[4].split())})" for c, r in sorted(dims.CATEGORIES.items())) + ")"
-_PROF = "prof(profile, modality, weight, direct, complementary) AS (VALUES " + ", ".join(f"('{p}', '{m}', {x}::DOUBLE, {str(m in dims.PROFILE_SUPPORT[p][0].split()).lower()}, {str(m in dims.PROFILE_SUPPORT[p][1].split()).lower()})" for p, w in dims.PROFILE_WEIGHTS.items() for m, x in zip(dims.FUSION_ORDER, w, strict=True)) + ")"
+_CAT = "cat(category, gate, profile, lexical_weight, needs_lexical, section, sections) AS (VALUES " + ", ".join(f"('{c}', '{r[0]}', '{r[1]}', {r[2]}::DOUBLE, {str(r[3]).lower()}, '{r[4][0]}', {ad.quoted(r[4])})" for c, r in sorted(dims.CATEGORIES.items())) + ")"
+_PROF = "prof(profile, modality, weight, direct, complementary) AS (VALUES " + ", ".join(f"('{p}', '{m}', {x}::DOUBLE, {str(m in dims.PROFILE_SUPPORT[p][0]).lower()}, {str(m in dims.PROFILE_SUPPORT[p][1]).lower()})" for p, w in dims.PROFILE_WEIGHTS.items() for m, x in zip(dims.FUSION_ORDER, w, strict=True)) + ")"
 _RANK = case("other_modality", dims.DISPLAY_ORDER, "99")
 
 
@@ -576,15 +576,38 @@ def overlap_window(spark, d):
     return ad.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *align.overlap(F.col("l_quantity"), F.col("l_quantity") * 0.9, offset))
 
 
-@query("WITH r AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'ir' WHEN 1 THEN 'depth' ELSE 'event' END AS modality, o_orderkey // 3 AS sample, round((o_totalprice % 1000) / 100 - 4, 6) AS off, round((o_totalprice % 97) / 97, 6) AS corr FROM orders), l AS (SELECT *, CASE WHEN corr >= 0.8 THEN 'high' WHEN corr >= 0.3 THEN 'medium' ELSE 'low' END AS label FROM r), a AS (SELECT sample, coalesce(max(off) FILTER (WHERE modality = 'ir' AND label IN ('high', 'medium') AND abs(off) <= 1.0), 0.0::DOUBLE) AS anchor FROM l GROUP BY 1), f AS (SELECT l.*, anchor, (modality = 'depth' AND abs(off - anchor) > 3 AND (label = 'low' OR corr < 0.55)) OR (modality = 'event' AND abs(off - anchor) > 5 AND (label = 'low' OR corr < 0.30)) AS rejected FROM l JOIN a USING (sample)) SELECT sample, modality, CASE WHEN rejected THEN anchor ELSE off END AS offset_seconds, CASE WHEN rejected THEN 'low' ELSE label END AS confidence_label, CASE WHEN rejected THEN off END AS rejected_offset_seconds FROM f")
+_CONSENSUS = "r AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'ir' WHEN 1 THEN 'depth' ELSE 'event' END AS modality, o_orderkey // 3 AS sample, round((o_totalprice % 1000) / 100 - 4, 6) AS off, round((o_totalprice % 97) / 97, 6) AS corr FROM orders), l AS (SELECT *, CASE WHEN corr >= 0.8 THEN 'high' WHEN corr >= 0.3 THEN 'medium' ELSE 'low' END AS label FROM r), a AS (SELECT sample, coalesce(max(off) FILTER (WHERE modality = 'ir' AND label IN ('high', 'medium') AND abs(off) <= 1.0), 0.0::DOUBLE) AS anchor FROM l GROUP BY 1), f AS (SELECT l.*, anchor, (modality = 'depth' AND abs(off - anchor) > 3 AND (label = 'low' OR corr < 0.55)) OR (modality = 'event' AND abs(off - anchor) > 5 AND (label = 'low' OR corr < 0.30)) AS rejected FROM l JOIN a USING (sample))"
+
+
+@query(f"WITH {_CONSENSUS} SELECT sample, modality, CASE WHEN rejected THEN anchor ELSE off END AS offset_seconds, CASE WHEN rejected THEN 'low' ELSE label END AS confidence_label, CASE WHEN rejected THEN off END AS rejected_offset_seconds FROM f")
 def consensus_fallback(spark, d):
-    o, k = ad.table(spark, d, "orders"), F.col("o_orderkey") % 3
-    rows = o.select(F.floor(F.col("o_orderkey") / 3).alias("sample"), F.when(k == 0, "ir").when(k == 1, "depth").otherwise("event").alias("modality"), F.round((F.col("o_totalprice") % 1000) / 100 - 4, 6).alias("offset_seconds"), F.round((F.col("o_totalprice") % 97) / 97, 6).alias("correlation"))
-    rows = rows.withColumn("confidence_label", F.when(F.col("correlation") >= 0.8, "high").when(F.col("correlation") >= 0.3, "medium").otherwise("low"))
+    rows = _offsets(spark, d)
     none = rows.select("sample", "modality", "offset_seconds", F.lit(0.0).alias("score")).filter("false")
     return align.consensus(rows, ["sample"], none)
 
 
+def _offsets(spark: SparkSession, d: str) -> DataFrame:
+    o, k = ad.table(spark, d, "orders"), F.col("o_orderkey") % 3
+    rows = o.select(F.floor(F.col("o_orderkey") / 3).alias("sample"), F.when(k == 0, "ir").when(k == 1, "depth").otherwise("event").alias("modality"), F.round((F.col("o_totalprice") % 1000) / 100 - 4, 6).alias("offset_seconds"), F.round((F.col("o_totalprice") % 97) / 97, 6).alias("correlation"))
+    return rows.withColumn("confidence_label", F.when(F.col("correlation") >= 0.8, "high").when(F.col("correlation") >= 0.3, "medium").otherwise("low"))
+
+
+#: Every offset has three candidates: half of it, an eighth of it, and one far off with the best score.
+_NEAR = (
+    "cand AS (SELECT sample, modality, unnest([off / 2, off / 8, off + 40]) AS near, unnest([corr, 1 - corr, 2.0::DOUBLE]) AS score FROM f), "
+    "best AS (SELECT c.*, row_number() OVER (PARTITION BY c.sample, c.modality ORDER BY score DESC, near) AS n FROM cand c JOIN f USING (sample, modality) WHERE rejected AND abs(near - anchor) <= CASE modality WHEN 'depth' THEN 3 ELSE 5 END)"
+)
+
+
+@query(f"WITH {_CONSENSUS}, {_NEAR} SELECT f.sample, f.modality, CASE WHEN rejected THEN coalesce(near, anchor) ELSE off END AS offset_seconds, CASE WHEN NOT rejected THEN label WHEN near IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence_label, CASE WHEN rejected THEN off END AS rejected_offset_seconds FROM f LEFT JOIN (SELECT * FROM best WHERE n = 1) b ON b.sample = f.sample AND b.modality = f.modality")
+def consensus_candidates(spark, d):
+    rows = _offsets(spark, d)
+    c, off = F.col("correlation"), F.col("offset_seconds")
+    three = [(off / 2, c), (off / 8, 1 - c), (off + 40, F.lit(2.0))]
+    near = rows.select("sample", "modality", F.explode(F.array(*[F.struct(x.alias("offset_seconds"), s.alias("score")) for x, s in three])).alias("c")).select("sample", "modality", "c.*")
+    return align.consensus(rows, ["sample"], near)
+
+
 # --- intervals ---------------------------------------------------------------
 
 

@@ -17,8 +17,8 @@ VISUAL = f"map<string, struct<night_file: string, day_file: string, annotations:
 AUDIO = "map<string, struct<audio_file: string, day_rgb_file: string, night_rgb_file: string, annotations: struct<audio_hia: struct<caption: string>, audio_chronological_caption: struct<caption: string>, categories: map<string, struct<timestamp: string, caption: string, question: string, answer: string>>>>>"
 MANIFEST = "source_prefix string, split_dir string, side string, status string, segment_source string, duration_seconds double, segments array<struct<segment_id: string, task_label: string, start_seconds: double, end_seconds: double, start_timestamp: string, end_timestamp: string, confidence: double, evidence_modalities: array<string>, notes: string>>"
 ALIGNMENT = "pair_key string, side string, reference_duration_seconds double, alignments map<string, struct<offset_seconds: double, offset_frames: int, peak_correlation: double, confidence_label: string, duration_seconds: double, candidate_offsets: array<struct<offset_seconds: double, offset_frames: int, correlation: double, score: double, overlap_ratio: double>>>>"
-VIDEO = "mp4 avi mov mkv webm".split()
-AUDIO_FILES = "wav mp3 m4a aac flac ogg".split()
+VIDEO = ["mp4", "avi", "mov", "mkv", "webm"]
+AUDIO_FILES = ["wav", "mp3", "m4a", "aac", "flac", "ogg"]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
