@@ -19,6 +19,25 @@ def counts(rows: DataFrame, dimensions: list[str]) -> DataFrame:
     return sets.select(name.alias("dimension"), value.alias("value"), "n")
 
 
+def fusion_counters(rows: DataFrame) -> DataFrame:
+    """counter, value, n: the fifteen counters of a fusion run, selected, reviewed and dropped evidence apart.
+
+    A row says which values of which counters it is of, those of its lists of sections and reasons among them, so that
+    all counters share one scan and one aggregation; it adds once for a value that a list repeats. What is null counts
+    as `unknown`. rows: outcome, section, sections, category, modality, outlier, reason, gate, review_reasons,
+    priority, drop_reason.
+    """
+    one = lambda counter, value: F.array(F.struct(F.lit(counter).alias("counter"), F.coalesce(value.cast("string"), F.lit("unknown")).alias("value")))
+    each = lambda counter, values: F.transform(F.array_distinct(F.coalesce(values, F.array().cast("array<string>"))), lambda v: F.struct(F.lit(counter).alias("counter"), F.coalesce(v, F.lit("unknown")).alias("value")))
+    about = lambda prefix: [one(f"{prefix}section", F.col("section")), each(f"{prefix}multi_section", F.col("sections")), one(f"{prefix}category", F.col("category")), one(f"{prefix}modality", F.col("modality"))]
+    flagged = F.when(F.size("review_reasons") > 0, F.lit("review_recommended")).otherwise("no_review_flag")
+    selected = [*about(""), one("outlier", F.when(F.col("outlier"), "outlier").otherwise("not_outlier")), one("selection_reason", F.col("reason")), one("reliability_gate", F.col("gate")), one("review", flagged)]
+    review = [*about("review_"), one("review_priority", F.col("priority")), each("review_reason", F.col("review_reasons"))]
+    none = F.slice(one("", F.lit("")), 1, 0)
+    said = F.when(F.col("outcome") == "selected", F.concat(*selected)).when(F.col("outcome") == "review", F.concat(*review)).when(F.col("outcome") == "dropped", one("dropped_reason", F.col("drop_reason"))).otherwise(none)
+    return rows.select(F.explode(said).alias("c")).groupBy("c.counter", "c.value").agg(F.count("*").alias("n"))
+
+
 def examples(rows: DataFrame, reason: str, order: str, most: int = 50) -> DataFrame:
     """The first rows of each reason."""
     w = Window.partitionBy(reason).orderBy(order)

@@ -477,6 +477,22 @@ def report_counts(spark, d):
     return reports.counts(gated_rows(spark, d), _DIMS)
 
 
+def _about(outcome: str, prefix: str) -> list[str]:
+    return [f"SELECT '{prefix}{c}' AS counter, {v} AS value FROM fused WHERE outcome = '{outcome}'" for c, v in (("section", "section"), ("multi_section", "unnest(cat_sections)"), ("category", "category"), ("modality", "modality"))]
+
+
+_COUNTED = " UNION ALL ".join([
+    *_about("selected", ""), *[f"SELECT '{c}', {v} FROM fused WHERE outcome = 'selected'" for c, v in (("outlier", "CASE WHEN outlier THEN 'outlier' ELSE 'not_outlier' END"), ("selection_reason", "reason"), ("reliability_gate", "gate"), ("review", "'no_review_flag'"))],
+    *_about("review", "review_"), *[f"SELECT '{c}', {v} FROM fused WHERE outcome = 'review'" for c, v in (("review_priority", "priority"), ("review_reason", "unnest(reasons)"))],
+    "SELECT 'dropped_reason', drop_reason FROM fused WHERE outcome = 'dropped'",
+])
+
+
+@query(f"WITH {QAPAIRS}, {_FUSION} SELECT counter, value, count(*) AS n FROM ({_COUNTED}) GROUP BY ALL")
+def fusion_counters(spark, d):
+    return reports.fusion_counters(fusion.judged(ad.qa_evidence(spark, d))[0])
+
+
 @query(f"WITH {PAIRS}, {_RELATED}, {_GATED} SELECT reason, rank, evidence_id FROM (SELECT reason, evidence_id, row_number() OVER (PARTITION BY reason ORDER BY evidence_id) AS rank FROM gated WHERE NOT starts_with(reason, 'passed_')) WHERE rank <= 50")
 def dropped_topn(spark, d):
     return reports.examples(gated_rows(spark, d).filter("not keep"), "reason", "evidence_id").select("reason", F.col("rank").cast("long").alias("rank"), "evidence_id")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from polyscene.functions import dims
-from polyscene.operators import evidence, facts, fields, narrative, support
+from polyscene.operators import evidence, facts, fields, narrative, reports, support
 from polyscene.plans import fusion
 
 RESULTS = "modality string, pair_key string, annotations map<string, struct<caption: string, question: string, answer: string>>"
@@ -177,3 +177,24 @@ def test_sections_speak_for_modalities(spark):
     ask = lambda s, d: one.select(fields.primary_category(s, rel(d)).alias("x")).first()["x"]
     assert ask("visible_objects_and_layout", {"rgb": 0.1, "ir": 0.9}) == "rgb" and ask("visible_objects_and_layout", {"depth": 0.5, "ir": 0.5, "audio": 0.9}) == "ir"
     assert ask("motion_and_event_cues", {"event": 0.1, "rgb": 0.9}) == "event" and ask("audio_cues", {"ir": 0.2, "depth": 0.8}) == "depth" and ask("scene_overview", {"rgb": 1.0}) == "fused"
+
+
+def test_counters_of_a_run(spark):
+    kind = "outcome string, section string, sections array<string>, category string, modality string, outlier boolean, reason string, gate string, review_reasons array<string>, priority string, drop_reason string"
+    rows = [
+        ("selected", "counting", ["counting", "others", "counting"], "counting", "rgb", False, "passed", "soft", [], "none", None),
+        ("selected", None, None, None, None, None, None, None, None, None, None),
+        ("review", "counting", ["counting"], "counting", "ir", True, "passed", "soft", ["a", "b", "a"], "high", None),
+        ("dropped", "counting", ["counting"], "counting", "ir", True, "score_gate", "soft", [], "none", "score_gate"),
+        ("dropped", "counting", ["counting"], "counting", "ir", True, "passed", "soft", [], "none", "duplicate_exact_qa"),
+        ("elsewhere", "x", ["x"], "x", "x", True, "x", "x", ["x"], "x", "x"),
+    ]
+    got = {(r["counter"], r["value"]): r["n"] for r in reports.fusion_counters(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {
+        **{(c, v): 1 for c, v in [("section", "counting"), ("multi_section", "counting"), ("multi_section", "others"), ("category", "counting"), ("modality", "rgb"), ("selection_reason", "passed"), ("reliability_gate", "soft")]},
+        **{(c, "unknown"): 1 for c in ("section", "category", "modality", "selection_reason", "reliability_gate")},
+        ("outlier", "not_outlier"): 2, ("review", "no_review_flag"): 2,
+        **{(c, v): 1 for c, v in [("review_section", "counting"), ("review_multi_section", "counting"), ("review_category", "counting"), ("review_modality", "ir"), ("review_priority", "high"), ("review_reason", "a"), ("review_reason", "b")]},
+        ("dropped_reason", "score_gate"): 1, ("dropped_reason", "duplicate_exact_qa"): 1,
+    }
+    assert reports.fusion_counters(spark.createDataFrame([], kind)).collect() == []
