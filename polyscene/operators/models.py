@@ -2,16 +2,20 @@
 
 The client is a picklable function from a request to a text. Parallel calls are bounded
 by the number of partitions, and a call is tried again after a pause that grows, longer
-for quota errors. Without a client (`offline`) every answer is the same text.
+for quota errors. Calls can be paced: time is cut into slots of `spacing` seconds, in each
+of which one partition may begin a call, in turn, so that all tasks together keep to one
+budget without talking to each other. Without a client (`offline`) every answer is the same text.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +46,33 @@ def called(client: Callable[[str], str], request: str, tries: int = TRIES, sleep
     return None, "no tries", 0
 
 
-def answered(requests: DataFrame, client: Callable[[str], str] = offline, parallel: int = 3, pause: Callable[[float], None] = time.sleep) -> DataFrame:
-    """key, answer, error, tries of each row (key, request)."""
+def own_slot(now: float, last: int, turn: int, parallel: int, spacing: float) -> int:
+    """The number of the next slot of a partition, by its turn, that begins now or later and after slot `last`."""
+    first = max(math.ceil(now / spacing), last + 1)
+    return first + (turn - first) % parallel
+
+
+def answered(requests: DataFrame, client: Callable[[str], str] = offline, parallel: int = 3, pause: Callable[[float], None] = time.sleep, spacing: float = 0.0, clock: Callable[[], float] = time.time) -> DataFrame:
+    """key, answer, error, tries of each row (key, request).
+
+    At most `parallel` calls run at once. With spacing, calls, tries after errors included, begin that many seconds
+    apart at least, over all partitions, as far as the machines' clocks agree.
+    """
 
     def run(frames):
+        last, turn = -1, TaskContext.get().partitionId() % parallel
+
+        def paced(request: str) -> str:
+            nonlocal last
+            if spacing:
+                now = clock()
+                last = own_slot(now, last, turn, parallel, spacing)
+                if last * spacing > now:
+                    pause(last * spacing - now)
+            return client(request)
+
         for f in frames:
-            got = [called(client, r, sleep=pause) for r in f["request"]]
+            got = [called(paced, r, sleep=pause) for r in f["request"]]
             yield pd.DataFrame({"key": f["key"], "answer": [g[0] for g in got], "error": [g[1] for g in got], "tries": [g[2] for g in got]})
 
     shipped(requests.sparkSession)
