@@ -121,12 +121,13 @@ def fuse(evidence: DataFrame, relaxed: bool = False) -> Fused:
     """All of it. evidence: as for judged. Evidence and what is judged of it are stored, as several steps read them."""
     evidence = stored(evidence, "evidence")
     rows, reliable = judged(evidence, relaxed)
+    rows = stored(rows, "judged")
     text = evidence.select("evidence_id", "caption", "sentence", "tokens")
     asked = fields.evidence_question(F.col("section"), F.col("question"), F.col("answer"), F.col("caption"))
     full = rows.join(text.drop("tokens"), "evidence_id").withColumn("qa", asked).withColumn("explanation", support.explanation(rows))
-    full = stored(full, "candidates")
-    told = full.select("sample_id", "evidence_id", "modality", "category", "question", "answer", "reliability", "support_score").join(text, "evidence_id")
-    return Fused(full, narrative.section_captions(told, relaxed), reliable, stated.facts(full), relaxed)
+    told = rows.select("sample_id", "evidence_id", "modality", "category", "question", "answer", "reliability", "support_score").join(text, "evidence_id")
+    shown = rows.join(evidence.select("evidence_id", "caption"), "evidence_id")
+    return Fused(full, narrative.section_captions(told, relaxed), reliable, stated.facts(shown), relaxed)
 
 
 def fuse_results(results: DataFrame, relaxed: bool = False) -> Fused:

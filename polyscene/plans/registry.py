@@ -951,7 +951,7 @@ def field_questions(spark, d):
     """Questions of sections that have captions, from the fused run's facts."""
     names = list(facts.SECTION_TYPES)
     out = fusion.fuse(ad.qa_evidence(spark, d))
-    captions = out.sections.select("sample_id", *[F.when(F.col("sample_id") % 6 != k, F.lit("A caption.")).otherwise("").alias(n) for k, n in enumerate(names)])
+    captions = out.facts.select("sample_id").distinct().select("sample_id", *[F.when(F.col("sample_id") % 6 != k, F.lit("A caption.")).otherwise("").alias(n) for k, n in enumerate(names)])
     rows = fusion.section_questions(captions, out.facts, out.reliability).filter("qa_source = 'semantic_fact'")
     return rows.select("sample_id", "section", "fact_type", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
 
