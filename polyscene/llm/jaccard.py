@@ -272,16 +272,43 @@ def stars(flat: DataFrame) -> DataFrame:
     return both.select(*four, *[f"hub_{c}" for c in four]).mapInArrow(_spokes, "a bigint, b bigint").distinct()
 
 
+def _met(batches):
+    """The groups of batches sorted by id, x, y: whether two blocks meet, then size, key, part, block, odd and fine of the members.
+
+    A group may stand in several batches; one is held at a time.
+    """
+    held, now = [], None
+
+    def group():
+        return now[1] != now[2], *(np.concatenate(c) for c in list(zip(*held))[:-1]), [f for piece in held for f in piece[-1]]
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        names = batch.column("id"), batch.column("x"), batch.column("y")
+        names = np.stack([c.to_numpy() for c in names])
+        columns = [batch.column(c).to_numpy().astype(np.int64) for c in ("size", "key", "part", "block")]
+        columns += [_bits(batch.column("odd")), batch.column("fine").to_pylist()]
+        breaks = (np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist()
+        for i, j in zip([0, *breaks], [*breaks, len(batch)], strict=True):
+            own = tuple(names[:, i].tolist())
+            if own != now and held:
+                yield group()
+                held = []
+            now = own
+            held.append([c[i:j] for c in columns])
+    if held:
+        yield group()
+
+
 def _blocks(forest: bool):
     """Likely pairs of sets in a block of a group, or between two blocks; or a spanning forest of them."""
 
-    def pairs(x, y, group):
-        size, key, part, block = (group.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("size", "key", "part", "block"))
-        odd, finer = _bits(group.field("odd")), group.field("fine").to_pylist()
+    def pairs(two, size, key, part, block, odd, finer):
         for i in range(len(key)):
             use = _may(size, part, odd, size[i], part[i], odd[i])
             use[: i + 1] = False
-            if x != y:
+            if two:
                 use &= block != block[i]
             for j in np.flatnonzero(use).tolist():
                 if forest and part[j] == part[i]:
@@ -298,14 +325,12 @@ def _blocks(forest: bool):
         def out():
             return pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*held)], ["a", "b"])
 
-        for batch in batches:
-            lo, hi = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for x, y, group in zip(lo, hi, batch.column(2), strict=True):
-                for pair in pairs(x, y, group.values):
-                    held.append(pair)
-                    if len(held) == 1 << 16:
-                        yield out()
-                        held = []
+        for group in _met(batches):
+            for pair in pairs(*group):
+                held.append(pair)
+                if len(held) == 1 << 16:
+                    yield out()
+                    held = []
         if held:
             yield out()
 
@@ -313,13 +338,16 @@ def _blocks(forest: bool):
 
 
 def every(flat: DataFrame, known: DataFrame, forest: bool) -> DataFrame:
-    """a, b: likely pairs, or a spanning forest of them, within groups that lie in several components; a group of many sets is cut into blocks of about BLOCK."""
+    """a, b: likely pairs, or a spanning forest of them, within groups that lie in several components; a group of many sets is cut into blocks of about BLOCK.
+
+    Members go to Python row by row, sorted by group: lists of them would make Arrow batches of any size.
+    """
     groups = flat.groupBy("id").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
     rows = flat.join(groups.select("id", F.ceil(F.col("n") / BLOCK).alias("blocks")), "id").join(known.select("key", "fine"), "key")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    one = F.collect_list(F.struct("size", "key", "part", "block", "odd", "fine")).alias("members")  # of two blocks at most
-    pairs = rows.groupBy("id", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(one)
-    return pairs.select("x", "y", "members").mapInArrow(_blocks(forest), "a bigint, b bigint").distinct()
+    rows = rows.select("id", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "size", "key", "part", "block", "odd", "fine")
+    met = rows.repartition("id", "x", "y").sortWithinPartitions("id", "x", "y", "key")
+    return met.mapInArrow(_blocks(forest), "a bigint, b bigint").distinct()
 
 
 def close(nodes: DataFrame) -> DataFrame:

@@ -83,3 +83,17 @@ def test_repeated_ids_do_not_hide_links(spark):
     rows = [(1, "some other words of no account"), (1, a), (2, b), (3, "words"), (None, "words")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in jaccard.classes(docs).collect()) == [(0, 3), (1, 1), (1, 1), (2, 1), (3, 3)]
+
+
+def test_groups_reach_python_row_by_row(spark, make, monkeypatch):
+    """No lists of members are built, and groups that stand in several Arrow batches stay whole."""
+    plans, inner = [], jaccard.every
+    monkeypatch.setattr(jaccard, "every", lambda *a: plans.append(inner(*a)) or plans[-1])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        texts = near_copies()
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.classes(make(texts)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute(texts)
+    assert len(plans) == 2 and not any("collect_list" in p._jdf.queryExecution().toString() for p in plans)
