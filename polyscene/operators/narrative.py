@@ -104,37 +104,77 @@ def routed(evidence: DataFrame, relaxed: bool = False) -> DataFrame:
     return scored.filter(F.col("section_score") > LEAST[relaxed]).select(*evidence.columns, "section_score", best.alias("section"))
 
 
+def ended(sentence: Column) -> Column:
+    """A sentence with one full stop."""
+    return F.concat(F.regexp_replace(sentence, r"\.+$", ""), F.lit("."))
+
+
 def joined(sentences: Column) -> Column:
     """Sentences with one full stop each, joined by spaces."""
-    return F.array_join(F.transform(sentences, lambda s: F.concat(F.regexp_replace(s, r"\.+$", ""), F.lit("."))), " ")
+    return F.array_join(F.transform(sentences, ended), " ")
 
 
 #: Modalities that a section prefers, if any of them is there.
 PREFERRED = {"audio_cues": ["audio"], "motion_and_event_cues": ["event", "rgb", "ir"], "visible_objects_and_layout": ["rgb", "ir", "depth"]}
 
 
-def selected_sentences(evidence: DataFrame, section: str, most: int, relaxed: bool = False) -> DataFrame:
-    """sample_id, rank, id: a section's sentences by score, near-copies dropped, its preferred modalities if there are any.
+# Categories of which a section takes evidence without its keywords.
+NAMED = {"visible_objects_and_layout": "spatial|count|object", "motion_and_event_cues": "dynamic|action|scene_sequence|event_scene"}
 
-    evidence: sample_id, evidence_id, modality, category, tokens, reliability, support_score.
+
+def gathered(evidence: DataFrame, sections: list[str], relaxed: bool = False) -> DataFrame:
+    """sample_id, reliable (its reliable modalities), all: its evidence, each with `fits`, the score for each of `sections` it may stand in.
+
+    Evidence meets once, with its sentence, however many sections ask for it; tokens are hashes, of what may stand
+    somewhere. Evidence without a sample is left out of the lists. Other columns of evidence that routes add are kept.
+
+    evidence: sample_id, evidence_id, modality, category, tokens, reliability, support_score, and sentence, section and
+    section_score if there are any.
     """
+    args = [F.col(c) for c in ("modality", "category")], [F.col(c) for c in ("reliability", "support_score")]
+    interest = F.array_intersect("tokens", F.array(*map(F.lit, words_of_interest())))
+
+    def fit(section: str, words: Column) -> Column:
+        score = F.round(route_score(section, *args[0], words, *args[1]), 9)
+        takes = score > LEAST[relaxed]
+        if not relaxed and section in dims.ROUTES:
+            hit = _hits(section, words) > 0
+            takes = takes & (hit | F.col("category").rlike(NAMED[section]) if section in NAMED else hit)
+        return F.when(takes, score).alias(section)
+
+    own = [c for c in ("sentence", "section", "section_score") if c in evidence.columns]
+    rows = evidence.select("*", F.explode(F.transform(F.array(interest), lambda w: F.struct(*[fit(s, w) for s in sections]))).alias("fits"))
+    used = F.coalesce(*[F.col(f"fits.{s}") for s in sections], *[F.col(c) for c in own if c == "section_score"]).isNotNull()
+    keys = F.when(used, text.token_keys(F.col("tokens"))).otherwise(F.array().cast("array<bigint>")).alias("tokens")
+    said = [F.when(used, F.col(c)).alias(c) if c == "sentence" else F.col(c) for c in own]
+    one = F.struct(F.col("evidence_id").alias("id"), "modality", "fits", keys, *said)
+    return rows.groupBy("sample_id").agg(  # within one sample
+        F.collect_set(F.when(F.col("reliability") >= 0.5, F.col("modality"))).alias("reliable"),
+        F.collect_list(F.when(F.col("sample_id").isNotNull(), one)).alias("all"),
+    )
+
+
+def ranked(every: Column, section: str, most: int, relaxed: bool = False) -> Column:
+    """Of a sample's evidence (all of `gathered`), a section's by score, near-copies dropped, its preferred modalities if there are any."""
     from .selection import distinct_greedy
 
-    hits = _hits(section, F.col("tokens"))
-    rows = evidence.withColumn("_score", F.round(route_score(section, *[F.col(c) for c in ("modality", "category", "tokens", "reliability", "support_score")]), 9))
-    if not relaxed and section in dims.ROUTES:
-        named = {"visible_objects_and_layout": "spatial|count|object", "motion_and_event_cues": "dynamic|action|scene_sequence|event_scene"}.get(section)
-        rows = rows.filter((hits > 0) | F.col("category").rlike(named) if named else hits > 0)
-    one = F.struct((-F.col("_score")).alias("far"), F.col("evidence_id").alias("id"), F.col("modality"), F.col("tokens"))
-    lists = rows.filter(F.col("_score") > LEAST[relaxed]).groupBy("sample_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    lists = lists.withColumn("kept", distinct_greedy(F.col("all"), 0.7))
-    if section in PREFERRED:
-        wanted = F.filter("kept", lambda x: x["modality"].isin(PREFERRED[section]))
-        lists = lists.withColumn("kept", F.when(F.size(wanted) > 0, wanted).otherwise(F.col("kept")))
+    fits = F.filter(every, lambda x: x["fits"][section].isNotNull())
+    ordered = F.array_sort(F.transform(fits, lambda x: F.struct((-x["fits"][section]).alias("far"), *[x[c].alias(c) for c in ("id", "modality", "tokens", "sentence")])))
+    preferred = (lambda x: F.coalesce(x["modality"].isin(PREFERRED[section]), F.lit(False))) if section in PREFERRED else None
+    kept = distinct_greedy(ordered, 0.7, most, preferred)
     if section == "audio_cues":
-        heard = evidence.filter("modality = 'audio'").select("sample_id").distinct()
-        lists = lists.join(heard, "sample_id", "left_semi")
-    return lists.select("sample_id", F.posexplode(F.slice("kept", 1, most)).alias("pos", "k")).select("sample_id", (F.col("pos") + 1).alias("rank"), F.col("k.id").alias("evidence_id"))
+        kept = F.when(F.exists(every, lambda x: F.coalesce(x["modality"] == "audio", F.lit(False))), kept).otherwise(F.slice(kept, 1, 0))
+    return kept
+
+
+def selected_sentences(evidence: DataFrame, section: str, most: int, relaxed: bool = False) -> DataFrame:
+    """sample_id, rank, id: a section's sentences by score, near-copies dropped, its preferred modalities if there are any.
+
+    evidence: sample_id, evidence_id, modality, category, tokens, reliability, support_score.
+    """
+    rows = evidence.drop("section", "section_score").withColumn("sentence", F.lit(None).cast("string"))
+    lists = gathered(rows, [section], relaxed)
+    return lists.select("sample_id", F.posexplode(ranked(F.col("all"), section, most, relaxed)).alias("pos", "k")).select("sample_id", (F.col("pos") + 1).alias("rank"), F.col("k.id").alias("evidence_id"))
 
 
 # Lines on agreement: section, the pairs of modalities of which one must be reliable, the line's beginning.
@@ -145,25 +185,29 @@ AGREEMENT = [
 ]
 
 
+#: The sections whose evidence the lines on agreement are made of.
+AGREEING = [*(section for section, _, _ in AGREEMENT), "cross_modal_details"]
+
+
+def details(every: Column, reliable: Column, relaxed: bool = False) -> Column:
+    """Up to two lines on what reliable modalities agree about, else the two best sentences of all. every, reliable: as from gathered."""
+    lines = []
+    for section, pairs, intro in AGREEMENT:
+        agree = F.exists(F.array(*[F.array(*map(F.lit, p)) for p in pairs]), lambda p: F.size(F.array_intersect(p, reliable)) == 2)
+        line = F.get(F.transform(ranked(every, section, 1, relaxed), lambda x: F.concat(F.lit(intro), ended(x["sentence"]))), F.lit(0))
+        lines.append(F.when(agree, line))
+    found = F.slice(F.array_compact(F.array(*lines)), 1, 2)
+    rest = F.coalesce(joined(F.transform(ranked(every, "cross_modal_details", 2, relaxed), lambda x: x["sentence"])), F.lit(""))
+    return F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, F.array_join(x, " ")).otherwise(rest))[0]
+
+
 def cross_modal_details(evidence: DataFrame, relaxed: bool = False) -> DataFrame:
     """sample_id, details: up to two lines on what reliable modalities agree about, else the two best sentences of all.
 
     evidence: as for selected_sentences, with sentence.
     """
-    said = evidence.select("sample_id", "evidence_id", "sentence")
-    out = evidence.groupBy("sample_id").agg(F.collect_set(F.when(F.col("reliability") >= 0.5, F.col("modality"))).alias("m"))
-    lines = []
-    for k, (section, pairs, intro) in enumerate(AGREEMENT):
-        first = selected_sentences(evidence, section, 1, relaxed).join(said, ["sample_id", "evidence_id"]).select("sample_id", F.col("sentence").alias(f"s{k}"))
-        out = out.join(first, "sample_id", "left")
-        agree = F.exists(F.array(*[F.array(*map(F.lit, p)) for p in pairs]), lambda p: F.size(F.array_intersect(p, F.col("m"))) == 2)
-        lines.append(F.when(agree & F.col(f"s{k}").isNotNull(), joined(F.array(f"s{k}"))))
-        lines[-1] = F.concat(F.lit(intro), lines[-1])
-    two = selected_sentences(evidence, "cross_modal_details", 2, relaxed).join(said, ["sample_id", "evidence_id"])
-    two = two.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("rank", "sentence"))).alias("two"))  # of two rows
-    found = F.slice(F.array_compact(F.array(*lines)), 1, 2)
-    rest = F.coalesce(joined(F.transform("two", lambda x: x["sentence"])), F.lit(""))
-    return out.join(two, "sample_id", "left").select("sample_id", F.when(F.size(found) > 0, F.array_join(found, " ")).otherwise(rest).alias("details"))
+    rows = gathered(evidence.drop("section", "section_score"), AGREEING, relaxed)
+    return rows.select("sample_id", details(F.col("all"), F.col("reliable"), relaxed).alias("details"))
 
 
 def section_captions(evidence: DataFrame, relaxed: bool = False) -> DataFrame:

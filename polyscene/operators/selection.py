@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,13 +182,23 @@ def compatible(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & ((a == b) | (~text.yes_no(a) & ~text.yes_no(b) & words))
 
 
-def distinct_greedy(ordered: Column, above: float, most: int | None = None) -> Column:
-    """Of structs with tokens, those not too like an earlier kept one; at most so many."""
+def too_like(x: Column, y: Column, above: float) -> Column:
+    """Whether the tokens of two structs score above that; sets whose sizes lie too far apart are not compared."""
+    a, b = x["tokens"], y["tokens"]
+    return (F.least(F.size(a), F.size(b)) > F.greatest(F.size(a), F.size(b)) * above) & (text.jaccard(a, b) > above)
+
+
+def distinct_greedy(ordered: Column, above: float, most: int | None = None, preferred: Callable[[Column], Column] | None = None) -> Column:
+    """Of structs with tokens, those not too like an earlier kept one; at most so many, of preferred ones if any is kept."""
     empty = F.slice(ordered, 1, 0)
+    use = lambda kept: kept if preferred is None else F.filter(kept, preferred)
 
     def step(acc: Column, x: Column) -> Column:
-        like = F.exists(acc, lambda k: text.jaccard(k["tokens"], x["tokens"]) > above)
-        return F.when(like, acc).otherwise(F.concat(acc, F.array(x)))
+        like = F.exists(acc, lambda k: too_like(k, x, above))
+        over = like if most is None else (F.size(use(acc)) >= most) | like  # what comes after is not asked for
+        return F.when(over, acc).otherwise(F.concat(acc, F.array(x)))
 
     kept = F.aggregate(ordered, empty, step)
+    if preferred is not None:
+        kept = F.transform(F.array(kept), lambda k: F.when(F.size(use(k)) > 0, use(k)).otherwise(k))[0]
     return kept if most is None else F.slice(kept, 1, most)
