@@ -85,6 +85,11 @@ def routed(evidence: DataFrame, relaxed: bool = False) -> DataFrame:
     evidence: modality, category, tokens, reliability, support_score, and question and answer if there are any. In
     relaxed mode the least score is lower and close calls stay with the best.
     """
+    return placed(evidence, relaxed).filter(F.col("section_score") > LEAST[relaxed])
+
+
+def placed(evidence: DataFrame, relaxed: bool = False) -> DataFrame:
+    """As routed, with the evidence that fits nowhere; its section is null."""
     said = [F.coalesce(F.col(c), F.lit("")) if c in evidence.columns else F.lit("") for c in ("question", "answer")]
     args = [F.col(c) for c in ("modality", "category", "reliability", "support_score")]
 
@@ -101,7 +106,7 @@ def routed(evidence: DataFrame, relaxed: bool = False) -> DataFrame:
     if not relaxed:
         own = F.when(F.col("modality") == "audio", F.lit("audio_cues")).when(F.col("modality") == "event", F.lit("motion_and_event_cues")).when(F.col("modality").isin("rgb", "ir", "depth"), F.lit("visible_objects_and_layout")).otherwise(best)
         best = F.when(F.round(F.col("_order")[0]["score"] - F.col("_order")[1]["score"], 9) < 0.02, own).otherwise(best)
-    return scored.filter(F.col("section_score") > LEAST[relaxed]).select(*evidence.columns, "section_score", best.alias("section"))
+    return scored.select(*evidence.columns, "section_score", F.when(F.col("section_score") > LEAST[relaxed], best).alias("section"))
 
 
 def ended(sentence: Column) -> Column:
@@ -144,7 +149,7 @@ def gathered(evidence: DataFrame, sections: list[str], relaxed: bool = False) ->
 
     own = [c for c in ("sentence", "section", "section_score") if c in evidence.columns]
     rows = evidence.select("*", F.explode(F.transform(F.array(interest), lambda w: F.struct(*[fit(s, w) for s in sections]))).alias("fits"))
-    used = F.coalesce(*[F.col(f"fits.{s}") for s in sections], *[F.col(c) for c in own if c == "section_score"]).isNotNull()
+    used = F.coalesce(*[F.col(f"fits.{s}") for s in sections], *[F.when(F.col("section").isNotNull(), 1.0) for c in own if c == "section"]).isNotNull()
     keys = F.when(used, text.token_keys(F.col("tokens"))).otherwise(F.array().cast("array<bigint>")).alias("tokens")
     said = [F.when(used, F.col(c)).alias(c) if c == "sentence" else F.col(c) for c in own]
     one = F.struct(F.col("evidence_id").alias("id"), "modality", "fits", keys, *said)
@@ -216,21 +221,16 @@ def section_captions(evidence: DataFrame, relaxed: bool = False) -> DataFrame:
     A section's evidence goes by score, near copies dropped at 0.7 and again at 0.65, as many as its limit; the whole
     is the first sentence of each, near copies dropped at 0.55, four at most.
     """
-    from .selection import distinct_greedy
+    from .selection import distinct_twice
+
+    def caption(section: str) -> Column:
+        own = F.filter("all", lambda x: x["section"] == section)
+        ordered = F.array_sort(F.transform(own, lambda x: F.struct((-x["section_score"]).alias("far"), x["id"].alias("id"), x["sentence"].alias("sentence"), x["tokens"].alias("tokens"))))
+        return joined(F.transform(distinct_twice(ordered, 0.7, 0.65, LIMITS[relaxed][section]), lambda x: x["sentence"])).alias(section)
 
-    def alike(score: str) -> Column:
-        return F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("far"), F.col("evidence_id").alias("id"), F.col("sentence"), F.col("tokens"))))
-
-    placed = routed(evidence, relaxed)
-    lists = placed.groupBy("sample_id", "section").agg(alike("section_score").alias("all"))  # within one sample
-    lists = lists.withColumn("kept", distinct_greedy(distinct_greedy(F.col("all"), 0.7), 0.65))
-    most = dims.choose(F.col("section"), LIMITS[relaxed], 2)
-    lists = lists.select("sample_id", "section", joined(F.transform(F.slice("kept", 1, most), lambda x: x["sentence"])).alias("caption"))
-    wide = lists.groupBy("sample_id").pivot("section", dims.ROUTES).agg(F.first("caption"))
-    out = evidence.select("sample_id").distinct().join(wide, "sample_id", "left").join(cross_modal_details(evidence, relaxed).withColumnRenamed("details", "cross_modal_details"), "sample_id", "left")
-    names = [*dims.ROUTES, "cross_modal_details"]
-    out = out.select("sample_id", *[F.coalesce(c, F.lit("")).alias(c) for c in names])
-    return out.withColumn("final_unified_caption", unified([F.col(c) for c in names]))
+    rows = gathered(placed(evidence.drop("section", "section_score"), relaxed), AGREEING, relaxed)
+    out = rows.select("sample_id", *map(caption, dims.ROUTES), details(F.col("all"), F.col("reliable"), relaxed).alias("cross_modal_details"))
+    return out.withColumn("final_unified_caption", unified([F.col(c) for c in (*dims.ROUTES, "cross_modal_details")]))
 
 
 def unified(captions: list[Column]) -> Column:

@@ -202,3 +202,16 @@ def distinct_greedy(ordered: Column, above: float, most: int | None = None, pref
     if preferred is not None:
         kept = F.transform(F.array(kept), lambda k: F.when(F.size(use(k)) > 0, use(k)).otherwise(k))[0]
     return kept if most is None else F.slice(kept, 1, most)
+
+
+def distinct_twice(ordered: Column, above: float, again: float, most: int) -> Column:
+    """The first of distinct_greedy at `again` over distinct_greedy at `above`, in one fold that ends once there are so many."""
+    empty = F.slice(ordered, 1, 0)
+
+    def step(acc: Column, x: Column) -> Column:
+        over = (F.size(acc["kept"]) >= most) | F.exists(acc["once"], lambda k: too_like(k, x, above))
+        like = F.exists(acc["kept"], lambda k: too_like(k, x, again))
+        longer = lambda c: F.concat(acc[c], F.array(x))
+        return F.when(over, acc).otherwise(F.struct(longer("once").alias("once"), F.when(like, acc["kept"]).otherwise(longer("kept")).alias("kept")))
+
+    return F.aggregate(ordered, F.struct(empty.alias("once"), empty.alias("kept")), step, lambda acc: acc["kept"])

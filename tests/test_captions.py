@@ -30,6 +30,14 @@ def test_details_need_one_grouping_and_no_join(spark):
     assert set(got) == {None, *range(6)} and got[None] == ""
 
 
+def test_captions_need_one_grouping_and_no_join(spark):
+    plan = plan_of(narrative.section_captions(some(spark)))
+    assert "Join" not in plan and plan.count("Aggregate [") == 1
+    rows = {r["sample_id"]: r for r in narrative.section_captions(some(spark)).collect()}
+    assert {k: r["cross_modal_details"] for k, r in rows.items()} == {r["sample_id"]: r["details"] for r in narrative.cross_modal_details(some(spark)).collect()}
+    assert set(rows) == {None, *range(6)} and not any(rows[None][1:])
+
+
 def alike(a, b, above):
     both = len(set(a) & set(b))
     return bool(a and b) and both / (len(a) + len(b) - both) > above
@@ -49,8 +57,9 @@ def test_folds_that_end_early_keep_what_whole_ones_do(spark):
     df = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k int, x array<struct<id: int, tokens: array<int>>>")
     even = lambda s: s["id"] % 4 == 3
     ids = lambda c: F.transform(c, lambda s: s["id"])
-    out = df.select("k", ids(selection.distinct_greedy(F.col("x"), 0.5, 2, even)).alias("a"), ids(selection.distinct_greedy(F.col("x"), 0.5)).alias("c"))
+    out = df.select("k", ids(selection.distinct_greedy(F.col("x"), 0.5, 2, even)).alias("a"), ids(selection.distinct_twice(F.col("x"), 0.6, 0.4, 3)).alias("b"), ids(selection.distinct_greedy(F.col("x"), 0.5)).alias("c"))
     for r in out.collect():
         once = greedy(lists[r["k"]], 0.5)
         assert r["c"] == [i for i, _ in once]
         assert r["a"] == ([i for i, _ in once if i % 4 == 3] or [i for i, _ in once])[:2]
+        assert r["b"] == [i for i, _ in greedy(greedy(lists[r["k"]], 0.6), 0.4)][:3]
