@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import shipped
+from ..sources.store import shipped, stored
 
 # Tries of a call, seconds of a pause times the try, and of one after a quota error; what tells quota errors.
 TRIES, PAUSE, QUOTA_PAUSE = 3, 2.0, 30.0
@@ -81,10 +81,14 @@ def answered(requests: DataFrame, client: Callable[[str], str] = offline, parall
 
 
 def asking(client: Callable[[str], str], key: str, request: Column, kind: str, name: str, parallel: int = 3, pause: Callable[[float], None] = time.sleep) -> Callable[[DataFrame], DataFrame]:
-    """A call for runs: from rows to key, `name` (the answer, JSON as `kind`; null if it isn't), error, tries."""
+    """A call for runs: from rows to key, `name` (the answer, JSON as `kind`; null if it isn't), error, tries.
+
+    Answers are stored as text at once and parsed where they are read: calls have as many tasks as may run at once, whatever
+    the number of rows, so what these tasks would hold for a shuffle grows without bound.
+    """
 
     def call(rows: DataFrame) -> DataFrame:
-        got = answered(rows.select(F.col(key).alias("key"), request.alias("request")), client, parallel, pause)
+        got = stored(answered(rows.select(F.col(key).alias("key"), request.alias("request")), client, parallel, pause), "answers")
         made = F.from_json("answer", kind)
         error = F.coalesce("error", F.when(made.isNull(), "not the JSON that was asked for"))
         return got.select(F.col("key").alias(key), made.alias(name), error.alias("error"), "tries")
