@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, released, slices, stored, texts_of
-from .simhash import _LAST, SEED, components, named, shingles, voted
+from .simhash import _LAST, SEED, components, extended, named, shingles, voted
 from .simhash import links as tree_links
 
 #: Words in a shingle.
@@ -361,14 +361,16 @@ def close(nodes: DataFrame) -> DataFrame:
     return same.union(across)
 
 
-def links(docs: DataFrame, flat: DataFrame, known: DataFrame, nodes: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """a, b: similar sets whose connected components are those of all similar sets. flat: id of a group, key, size, odd; known: key, size, fine of those; nodes: key, id, fp."""
-    own, edges = nodes.select("key", F.col("key").alias("id")), None
+def linked(docs: DataFrame, flat: DataFrame, known: DataFrame, nodes: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Components of all similar sets, as from simhash.components. flat: id of a group, key, size, odd; known: key, size, fine of those; nodes: key, id, fp.
+
+    Each step's links only extend the components of the step before.
+    """
+    own, found = nodes.select("key", "id"), None
     for step in range(3):
         now = flat.withColumn("part", F.col("key"))
-        if edges is not None:
-            found = components(own, edges).select("key", F.col("least").alias("part"))
-            now = flat.join(found, "key", "left").withColumn("part", F.coalesce("part", "key"))
+        if found is not None:
+            now = flat.join(found.select("key", F.col("head").alias("part")), "key", "left").withColumn("part", F.coalesce("part", "key"))
         pairs = (lambda: stars(now), lambda: every(now, known, True), lambda: every(now, known, False))[step]()
         if step == 0:
             pairs = best(likely(pairs, known)).union(likely(close(nodes), known).select("a", "b")).distinct()
@@ -376,8 +378,8 @@ def links(docs: DataFrame, flat: DataFrame, known: DataFrame, nodes: DataFrame,
         seen = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         seen = stored(nodes.select("key", "id").join(seen, "key"), "seen")
         new = stored(alike(pairs, stored(sets(docs, seen, text, doc_id), "held")), "alike")
-        edges = new if edges is None else edges.union(new)
-    return edges
+        found = components(own, new) if found is None else extended(own, found, new)
+    return found
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -389,5 +391,5 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     flat = sharing(rows, nodes)
     finer = rows.filter(F.col("fine").isNotNull()).select("key", "size", "fine")
     known = stored(finer.join(flat.select("key").distinct().hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"]), "known")
-    edges = links(docs, flat, known, nodes, text, doc_id)
-    return named(rows.select("doc_id", "key"), nodes, components(nodes.select("key", "id"), edges), total).select("doc_id", "component_id")
+    found = linked(docs, flat, known, nodes, text, doc_id)
+    return named(rows.select("doc_id", "key"), nodes, found, total).select("doc_id", "component_id")

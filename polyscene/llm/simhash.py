@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, ship, stored
+from .common import map_texts, salted_join, ship, stored
 
 #: Words in a shingle, and the hash's seed (fixed values of the contract).
 SHINGLE, SEED = 4, 42
@@ -288,13 +288,14 @@ def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> list:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """key, least: for every key that has edges, the least `id` in its component. nodes: key, id; edges: a, b.
+    """key, least, head: for every key that has edges, the least `id` in its component and the key that has it. nodes: key, id; edges: a, b.
 
     A key with very many links, as the least member of a large group has, is joined in SALTS parts.
     """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "links")
     degrees = both.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("n"))
-    hot = hot_keys(degrees, "key", "n", both.count())
+    ends = both.count()
+    hot = hot_keys(degrees, "key", "n", ends)
 
     def salted(key: str, other: Column) -> Column:
         return F.when(F.col(key).isin(hot), other).otherwise(F.lit(0)) if hot else F.lit(0)
@@ -309,7 +310,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         # many keys may share one label, so the labels of labels are looked up for distinct ones
         asked = step.select(F.col("label.key").alias("k")).distinct()
         up = asked.join(now.select(F.col("key").alias("k"), F.col("label").alias("up")), "k")
-        heads = hot_keys(step.groupBy(F.col("label.key").alias("k")).agg(F.count("*").alias("n")), "k", "n", both.count()) if hot else []
+        heads = hot_keys(step.groupBy(F.col("label.key").alias("k")).agg(F.count("*").alias("n")), "k", "n", ends) if hot else []
         part = F.when(F.col("label.key").isin(heads), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)) if heads else F.lit(0)
         many = F.when(F.col("k").isin(heads), F.lit(SALTS - 1)).otherwise(F.lit(0)) if heads else F.lit(0)
         up = up.withColumn("part", F.explode(F.sequence(F.lit(0), many)))
@@ -317,10 +318,26 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         jump = step.join(up, (F.col("label.key") == F.col("k")) & (step["part"] == up["part"]), "left").select("key", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
         new = stored(jump, "labels")
         if new.filter(F.col("label") < F.col("old")).isEmpty():
-            return new.select("key", F.col("label.id").alias("least"))
+            return new.select("key", F.col("label.id").alias("least"), F.col("label.key").alias("head"))
         now = new.select("key", "label")
 
 
+def extended(nodes: DataFrame, found: DataFrame, edges: DataFrame) -> DataFrame:
+    """As components of all edges, those behind `found` and further ones: components meet as their heads, so no link is followed twice."""
+    heads = found.select("key", "head")
+    ends = edges.select("a", "b")
+    for end in ("a", "b"):
+        ends = ends.join(heads.withColumnRenamed("key", end), end, "left").withColumn(end, F.coalesce("head", end)).drop("head")
+    across = stored(ends.filter("a <> b").distinct(), "across")
+    if across.isEmpty():
+        return found
+    now = components(nodes, across).select(F.col("key").alias("head"), F.col("least").alias("to"), F.col("head").alias("to_head"))
+    # the members of a large component share its head
+    old = salted_join(found, now, "head", "key", "left").select("key", F.coalesce("to", "least").alias("least"), F.coalesce("to_head", "head").alias("head"))
+    new = now.select(F.col("head").alias("key"), F.col("to").alias("least"), F.col("to_head").alias("head")).join(heads.select("key"), "key", "left_anti")
+    return stored(old.union(new), "labels")
+
+
 def named(rows: DataFrame, groups: DataFrame, found: DataFrame, total: int) -> DataFrame:
     """doc_id, key, component_id of every row (doc_id, key). groups: key, id, n; found: as from components."""
     named = groups.join(found, "key", "left").select("key", F.coalesce("least", "id").alias("least"))

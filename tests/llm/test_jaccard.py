@@ -97,3 +97,19 @@ def test_groups_reach_python_row_by_row(spark, make, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == brute(texts)
     assert len(plans) == 2 and not any("collect_list" in p._jdf.queryExecution().toString() for p in plans)
+
+
+def test_links_are_followed_once(make, monkeypatch):
+    """Components of all links are built in one go; links of later steps only extend them."""
+    asked = []
+
+    def counted(nodes, edges, own=simhash.components):
+        asked.append({frozenset(r) for r in edges.select("a", "b").collect()})
+        return own(nodes, edges)
+
+    monkeypatch.setattr(jaccard, "components", counted)
+    monkeypatch.setattr(simhash, "components", counted)
+    texts = near_copies()
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.classes(make(texts)).collect()}
+    assert got == brute(texts)
+    assert len(asked) <= 3 and all(not (a & b) for i, a in enumerate(asked) for b in asked[:i])

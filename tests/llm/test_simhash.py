@@ -75,6 +75,23 @@ def test_long_chain_of_labels(spark):
     assert got == {i: 1000 - 38 for i in range(39)}
 
 
+def test_components_are_extended_by_further_edges(spark, monkeypatch):
+    """As of all edges at once; ids repeat; edges within components cost no round of labels."""
+    rng = random.Random(3)
+    nodes = spark.createDataFrame([(k, (k * 7) % 50) for k in range(200)], "key long, id long")
+    # a large component, whose members share a head, and small ones
+    first = [(0, k) for k in range(1, 90)] + [(rng.randrange(90, 200), rng.randrange(90, 200)) for _ in range(30)]
+    more = [(rng.randrange(200), rng.randrange(200)) for _ in range(25)]
+    edges = [spark.createDataFrame([(a, b) for a, b in e if a != b], "a long, b long") for e in (first, more)]
+    found = simhash.components(nodes, edges[0])
+    rows = lambda df: {r["key"]: (r["least"], r["head"]) for r in df.collect()}
+    wanted = rows(simhash.components(nodes, edges[0].union(edges[1])))
+    got = simhash.extended(nodes, found, edges[1])
+    assert got.count() == len(wanted) and rows(got) == wanted
+    monkeypatch.setattr(simhash, "components", None)
+    assert rows(simhash.extended(nodes, got, edges[0])) == wanted
+
+
 def test_dedup_keeps_one_of_each(spark, empty):
     rows = [(3, "a b c d e"), (1, "A b C d e"), (1, "a b c d e"), (7, "other words here now"), (None, "a b c d e"), (9, None), (8, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("count", F.lit(1))
